@@ -11,6 +11,31 @@ from pyspark.sql import functions as F
 from .common import shared_dir, table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import drop_repeated_lines
+
+    out = drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP1_SQL = r"""
+with lines as (
+  select doc_id, generate_subscripts(l, 1) as place, unnest(l) as line
+  from (select doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents)
+), keyed as (
+  select *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+  from lines
+), frequent as (
+  select key, max(doc_id) as top from keyed where length(key) >= 40 group by key having count(distinct doc_id) >= 5
+), marked as (
+  select k.doc_id, k.place, k.line, f.key is not null and k.doc_id < f.top as gone from keyed k left join frequent f on k.key = f.key
+)
+select doc_id, count(*)::bigint as n_lines, count(*) filter (gone)::bigint as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by place) filter (not gone), '')) as kept_sha256
+from marked group by doc_id
+"""
+
+
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_output import read_tokens, write_tokens
 
@@ -19,13 +44,32 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path)
 
 
+def op4_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_copies
+
+    out = near_copies(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact_dedup import mark_copies
+
+    out = mark_copies(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+OP9_SQL = r"""
+with t as (select doc_id, length(coalesce(text, '')) as n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) as text_sha256 from documents),
+w as (select *, first_value(doc_id) over (partition by text_sha256 order by n desc, doc_id) as keep_id, count(*) over (partition by text_sha256) as group_size from t)
+select doc_id, keep_id, group_size::bigint as group_size, doc_id = keep_id as kept, text_sha256 from w
+"""
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_output, op10_best_fit_packing)
-}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for k, f in list(globals().items()) if k.startswith("op")}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op9_exact_dedup": OP9_SQL}
