@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import shared_dir, staged, table
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +44,38 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path)
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import copies
+
+    return copies(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP3_SQL = r"""
+with s as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size from documents
+), o as (
+  select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) - 1 as nth from s group by source
+), w as (
+  select *, [3.0, 1.0, 2.0][nth % 3 + 1]::double as weight, 2.0::double * source_size as cap from o
+), c as (
+  select *, 1.5::double * sum(source_size) over () - coalesce(sum(cap) over (order by cap / weight, nth rows between unbounded preceding and 1 preceding), 0) as rest,
+    sum(weight) over (order by cap / weight, nth rows between current row and unbounded following) as heavy, row_number() over (order by cap / weight, nth) as place
+  from w
+), f as (
+  select place as first_place, rest as first_rest, heavy as first_heavy from c where rest * weight <= cap * heavy order by place limit 1
+), t as (
+  select source, source_size, case when place < first_place then cap else first_rest * weight / first_heavy end as target,
+    ((nth * 40503 + 42 * 9973) % 65536) / 65536.0::double as shift
+  from c, f
+), r as (
+  select s.doc_id, s.size, t.source_size, t.target, t.shift, case when t.source_size > 0 then t.target / t.source_size else 0 end as each,
+    row_number() over (partition by s.source order by s.size, s.doc_id) as rank
+  from s join t on s.source is not distinct from t.source
+)
+select doc_id, size, source_size, target, (least(floor(each * rank + shift) - floor(each * (rank - 1) + shift), ceil(each)) * size)::bigint as taken from r
+"""
+
+
 def op4_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_copies
 
@@ -51,6 +83,27 @@ def op4_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import digests, format_chats
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("\\### Assistant: </turn> ok")
+    more = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    return digests(staged(format_chats(turns.unionByName(more)), "chats", "zstd"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import scan, shown
+
+    out = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s.kind == kind)).cast("bigint").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s.kind_no <= 2)
+    return out.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import mark_copies
 
@@ -72,4 +125,4 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for k, f in list(globals().items()) if k.startswith("op")}
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op9_exact_dedup": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op3_source_mixing": OP3_SQL, "op9_exact_dedup": OP9_SQL}
