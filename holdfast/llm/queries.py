@@ -104,6 +104,14 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
 
 
+def op7_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import held_out, score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = score(docs, train(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import mark_copies
 
