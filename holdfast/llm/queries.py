@@ -112,6 +112,23 @@ def op7_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op8_embedding_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dedup import near_vectors
+
+    out = near_vectors(table(spark, sf_dir, "embeddings"))
+    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+OP8_SQL = """
+with recursive v as materialized (select vec_id, embedding::double[] as e from embeddings),
+p as materialized (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.9),
+r as (select vec_id, vec_id as reached from v union select r.vec_id, p.b from r join p on r.reached = p.a),
+c as (select vec_id, min(reached) as component_id from r group by vec_id),
+n as (select a, count(*) as n from p group by a)
+select c.vec_id, coalesce(n.n, 0)::bigint as n_links, c.component_id, c.vec_id = c.component_id as kept from c left join n on n.a = c.vec_id
+"""
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import mark_copies
 
@@ -133,4 +150,4 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for k, f in list(globals().items()) if k.startswith("op")}
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op3_source_mixing": OP3_SQL, "op9_exact_dedup": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op3_source_mixing": OP3_SQL, "op8_embedding_multi_index": OP8_SQL, "op9_exact_dedup": OP9_SQL}
