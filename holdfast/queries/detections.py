@@ -84,18 +84,18 @@ def condense_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{_D}
-select h.row_id as h_row_id, o.row_id as o_row_id, {_H} as area, {_O} as other_area, {_INTER} as inter, round({_IOU}, 6) as iou,
-  round((greatest(0, least(h.bbox_x2, o.bbox_x2) - greatest(h.bbox_x1, o.bbox_x1) + 1)::double * greatest(0, least(h.bbox_y2, o.bbox_y2) - greatest(h.bbox_y1, o.bbox_y1) + 1)) / ((o.bbox_x2 - o.bbox_x1 + 1)::double * (o.bbox_y2 - o.bbox_y1 + 1)), 6) as coverage,
+select h.row_id as h_row_id, o.row_id as o_row_id, {_H} as area, {_O} as other_area, {_INTER} as inter, round({_IOU}, 9) as iou,
+  round((greatest(0, least(h.bbox_x2, o.bbox_x2) - greatest(h.bbox_x1, o.bbox_x1) + 1)::double * greatest(0, least(h.bbox_y2, o.bbox_y2) - greatest(h.bbox_y1, o.bbox_y1) + 1)) / ((o.bbox_x2 - o.bbox_x1 + 1)::double * (o.bbox_y2 - o.bbox_y1 + 1)), 9) as coverage,
   round((greatest(0, least(h.bbox_x2, o.bbox_x2) - greatest(h.bbox_x1, o.bbox_x1) + 1)::double * greatest(0, least(h.bbox_y2, o.bbox_y2) - greatest(h.bbox_y1, o.bbox_y1) + 1)) / ((h.bbox_x2 - h.bbox_x1 + 1)::double * (h.bbox_y2 - h.bbox_y1 + 1) + (o.bbox_x2 - o.bbox_x1 + 1)::double * (o.bbox_y2 - o.bbox_y1 + 1)
-    - greatest(0, least(h.bbox_x2, o.bbox_x2) - greatest(h.bbox_x1, o.bbox_x1) + 1)::double * greatest(0, least(h.bbox_y2, o.bbox_y2) - greatest(h.bbox_y1, o.bbox_y1) + 1)), 6) as iou_pixels,
-  round({_INTER} / case when o.confidence > 80 then {_H} else {_H} + {_O} - {_INTER} end, 6) as iou_xywh,
-  round(sqrt(power({_CX}, 2) + power({_CY}, 2)), 6) as far, round({_FAR}, 6) as offset_far,
-  round((h.bbox_x2 - h.bbox_x1) / greatest((h.bbox_y2 - h.bbox_y1)::double, 0.000001), 6) as aspect, h.bbox_x2 > h.bbox_x1 and h.bbox_y2 > h.bbox_y1 as valid
+    - greatest(0, least(h.bbox_x2, o.bbox_x2) - greatest(h.bbox_x1, o.bbox_x1) + 1)::double * greatest(0, least(h.bbox_y2, o.bbox_y2) - greatest(h.bbox_y1, o.bbox_y1) + 1)), 9) as iou_pixels,
+  round({_INTER} / case when o.confidence > 80 then {_H} else {_H} + {_O} - {_INTER} end, 9) as iou_xywh,
+  round(sqrt(power({_CX}, 2) + power({_CY}, 2)), 9) as far, round({_FAR}, 9) as offset_far,
+  round((h.bbox_x2 - h.bbox_x1) / greatest((h.bbox_y2 - h.bbox_y1)::double, 0.000001), 9) as aspect, h.bbox_x2 > h.bbox_x1 and h.bbox_y2 > h.bbox_y1 as valid
 from det h join det o on h.video_id = o.video_id and h.frame_number = o.frame_number where h.detection_type = 'hand' and o.detection_type = 'object'""")
 def box_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     h, o = boxes.box("h_bbox_"), boxes.box("o_bbox_")
     df = m.pairs(det(spark, sf_dir), F.lit(True), F.lit(True))
-    r = lambda col, name: F.round(col, 6).alias(name)
+    r = lambda col, name: F.round(col, 9).alias(name)
     return df.select(
         "h_row_id", "o_row_id", boxes.area(h).alias("area"), boxes.area(o).alias("other_area"), boxes.intersection(h, o).alias("inter"), r(boxes.iou(h, o), "iou"), r(boxes.coverage(h, o), "coverage"),
         r(boxes.iou_pixels(h, o), "iou_pixels"), r(boxes.iou_xywh(boxes.to_xywh(h), boxes.to_xywh(o), F.col("o_confidence") > 80), "iou_xywh"), r(boxes.centre_distance(h, o), "far"),

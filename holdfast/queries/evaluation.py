@@ -1 +1,159 @@
-"""Queries on label sequences."""
+"""Queries on average precision, suppression, anchors and their targets."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import detection_eval as e
+from ..operators import proposals as p
+from ..testdata import DET, cte
+from .detections import det
+from .registry import query
+
+_X = "greatest(0, least(d.x2, g.x2) - greatest(d.x1, g.x1) + 1)::double * greatest(0, least(d.y2, g.y2) - greatest(d.y1, g.y1) + 1)"
+_IOU = f"({_X} / ((d.x2 - d.x1 + 1)::double * (d.y2 - d.y1 + 1) + (g.x2 - g.x1 + 1)::double * (g.y2 - g.y1 + 1) - {_X}))"
+_VOC = f"""{cte(det=DET)}, d as (select video_id, frame_number, video_id % 3 as class, row_id as det_id, bbox_x1 + row_id % 9 * 4 as x1, bbox_y1 as y1, bbox_x2 + row_id % 9 * 4 as x2, bbox_y2 as y2, confidence + row_id % 1009 / 10000.0::double as confidence, hand_side from det),
+g as (select video_id, frame_number, video_id % 3 as class, row_id as gt_id, bbox_x1 as x1, bbox_y1 as y1, bbox_x2 as x2, bbox_y2 as y2, row_id % 10 = 0 as difficult, hand_side from det where row_id % 3 = 0),
+o as (select d.video_id, d.frame_number, d.det_id, g.gt_id, {_IOU} as overlap, g.difficult, g.hand_side as gt_side from d join g using (video_id, frame_number) qualify row_number() over (partition by d.video_id, d.frame_number, d.det_id order by {_IOU} desc, g.gt_id) = 1),
+m as (select d.video_id, d.frame_number, d.class, d.det_id, d.confidence, d.hand_side, o.gt_id, coalesce(o.overlap > 0.5, false) as ok, coalesce(o.overlap > 0.5, false) and coalesce(o.difficult, false) as hard, o.gt_side from d left join o using (video_id, frame_number, det_id)),
+q as (select *, ok and coalesce({{c}}, false) as good from m), r as (select *, good and row_number() over (partition by video_id, frame_number, gt_id, good order by confidence desc, det_id) = 1 as first from q),
+h as (select *, (first and not hard)::int as tp, (not hard and not (first and not hard))::int as fp from r), np as (select class, count(*) as npos from g where not difficult group by 1),
+c as (select h.*, npos, sum(tp) over w as ctp, sum(fp) over w as cfp from h join np using (class) window w as (partition by class order by confidence desc, det_id rows unbounded preceding)),
+v as (select *, ctp / npos::double as recall, ctp / greatest((ctp + cfp)::double, 2.220446049250313e-16) as prec from c),
+cv as (select *, max(prec) over (partition by class order by confidence desc, det_id rows between current row and unbounded following) as env from v)"""
+
+
+def _voc(spark: SparkSession, sf_dir: str, side: bool = False) -> tuple[DataFrame, DataFrame]:
+    df = det(spark, sf_dir).withColumn("class", F.col("video_id") % 3)
+    shift = F.col("row_id") % 9 * 4
+    d = df.withColumns({"det_id": F.col("row_id"), "bbox_x1": F.col("bbox_x1") + shift, "bbox_x2": F.col("bbox_x2") + shift, "confidence": F.col("confidence") + F.col("row_id") % 1009 / F.lit(10000.0)})
+    d = d.select("video_id", "frame_number", "class", "det_id", "bbox_x1", "bbox_y1", "bbox_x2", "bbox_y2", "confidence", "hand_side")
+    g = df.where("row_id % 3 = 0").select("video_id", "frame_number", "class", F.col("row_id").alias("gt_id"), *[F.col(f"bbox_{k}").alias(f"gt_{k}") for k in ("x1", "y1", "x2", "y2")], (F.col("row_id") % 10 == 0).alias("gt_difficult"), F.col("hand_side").alias("gt_side"))
+    hits = e.voc_hits(d, g.drop("class"), ["video_id", "frame_number"], 0.5, F.col("hand_side") == F.col("gt_side") if side else None)
+    return e.precision_curve(hits, g, ["class"]), g
+
+
+@query(f"{_VOC.format(c='true')} select class, round(sum(case when tp = 1 then env / npos else 0 end), 9) as ap from cv group by 1")
+def voc_average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return e.average_precision(_voc(spark, sf_dir)[0], ["class"]).select("class", F.round("ap", 9).alias("ap"))
+
+
+@query(f"{_VOC.format(c='true')} select class, round(({' + '.join(f'coalesce(max(prec) filter (recall >= {i * 0.1}::double), 0)' for i in range(11))}) / 11, 9) as ap from cv group by 1")
+def voc_eleven_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return e.average_precision(_voc(spark, sf_dir)[0], ["class"], True).select("class", F.round("ap", 9).alias("ap"))
+
+
+@query(f"{_VOC.format(c='hand_side = gt_side')} select class, round(sum(case when tp = 1 then env / npos else 0 end), 9) as ap from cv group by 1")
+def voc_hand_side_constraint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return e.average_precision(_voc(spark, sf_dir, True)[0], ["class"]).select("class", F.round("ap", 9).alias("ap"))
+
+
+@query(f"{_VOC.format(c='true')}, a as (select class, sum(case when tp = 1 then env / npos else 0 end) as ap from cv group by 1) select round(avg(ap), 9) as mean_ap from a")
+def voc_mean_average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return e.average_precision(_voc(spark, sf_dir)[0], ["class"]).agg(F.round(F.avg("ap"), 9).alias("mean_ap"))
+
+
+@query(f"""{_VOC.format(c='true')} select class, max(npos) as npos, round(arg_max(confidence, struct_pack(f := case when prec + recall > 0 then prec * recall / (prec + recall) else 0 end, s := confidence)), 6) as threshold from cv group by 1""")
+def score_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return e.best_threshold(_voc(spark, sf_dir)[0], ["class"]).select("class", "npos", F.round("threshold", 6).alias("threshold"))
+
+
+def _coco(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    df = det(spark, sf_dir).withColumns({"image_id": F.col("video_id") * 512 + F.col("frame_number"), "category_id": F.col("video_id") % 3})
+    size = {"w": F.col("bbox_x2") - F.col("bbox_x1"), "h": F.col("bbox_y2") - F.col("bbox_y1")}
+    df = df.withColumns(size)
+    d = df.select("image_id", "category_id", F.col("row_id").alias("det_id"), (F.col("bbox_x1") + F.col("row_id") % 9 * 4).alias("x"), F.col("bbox_y1").alias("y"), "w", "h", (F.col("confidence") / 100 + F.col("row_id") % 1009 / 1e6).alias("score"))
+    g = df.where("row_id % 3 = 0").select("image_id", "category_id", F.col("row_id").alias("gt_id"), F.col("bbox_x1").alias("x"), F.col("bbox_y1").alias("y"), "w", "h", (F.col("w") * F.col("h")).cast("double").alias("area"), (F.col("row_id") % 20 == 0).cast("int").alias("iscrowd"), F.lit(0).alias("gt_ignore"))
+    return d, g
+
+
+@query()
+def coco_average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, g = _coco(spark, sf_dir)
+    return e.coco_summary(e.coco_precision(e.coco_match(d, g, thresholds=(0.5, 0.75)), g))
+
+
+@query()
+def coco_precision_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, g = _coco(spark, sf_dir)
+    area = (1000.0, 20000.0)
+    return e.coco_by_category(e.coco_precision(e.coco_match(d, g, area, (0.5,)), g, area))
+
+
+_NX = "greatest(0, least(k.x2, b.x2) - greatest(k.x1, b.x1) + 1)::double * greatest(0, least(k.y2, b.y2) - greatest(k.y1, b.y1) + 1)"
+_NIOU = f"({_NX} / ((k.x2 - k.x1 + 1)::double * (k.y2 - k.y1 + 1) + (b.x2 - b.x1 + 1)::double * (b.y2 - b.y1 + 1) - {_NX}))"
+
+
+@query(f"""with recursive det as (select {DET[1]} from {DET[0]}),
+s as (select video_id, frame_number, row_id, bbox_x1 as x1, bbox_y1 as y1, bbox_x2 as x2, bbox_y2 as y2, row_number() over (partition by video_id, frame_number order by confidence desc, row_id) as n from det),
+p as (select k.video_id, k.frame_number, k.n as a, b.n as b from s k join s b on k.video_id = b.video_id and k.frame_number = b.frame_number and k.n < b.n and {_NIOU} >= 0.3),
+walk as (select video_id, frame_number, 1::bigint as n, [1::bigint] as kept from s where n = 1 union all
+  select w.video_id, w.frame_number, w.n + 1, case when exists (select 1 from p where p.video_id = w.video_id and p.frame_number = w.frame_number and p.b = w.n + 1 and list_contains(w.kept, p.a)) then w.kept else list_append(w.kept, w.n + 1) end
+  from walk w join s on s.video_id = w.video_id and s.frame_number = w.frame_number and s.n = w.n + 1),
+f as (select video_id, frame_number, arg_max(kept, n) as kept from walk group by 1, 2)
+select s.video_id, s.frame_number, s.row_id from s join f using (video_id, frame_number) where list_contains(f.kept, s.n)""")
+def suppressed_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p.suppressed(det(spark, sf_dir), ["video_id", "frame_number"], 0.3).select("video_id", "frame_number", "row_id")
+
+
+@query()
+def proposal_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p.proposals(det(spark, sf_dir), ["video_id", "frame_number"], F.lit(440), F.lit(300), 6000, 3).select("video_id", "frame_number", "row_id", "rank")
+
+
+_ANCHORS = """r as (select unnest([0.5, 1.0, 2.0]) as ratio, unnest([0, 1, 2]) as i), s as (select unnest([8, 16, 32]) as scale, unnest([0, 1, 2]) as j),
+b as (select i * 3 + j as anchor, scale, round_even(sqrt(256.0::double / ratio), 0) as w, ratio from r, s), b2 as (select anchor, w * scale as w, round_even(w * ratio, 0) * scale as h from b),
+base as (select anchor, 7.5 - (w - 1) / 2 as x1, 7.5 - (h - 1) / 2 as y1, 7.5 + (w - 1) / 2 as x2, 7.5 + (h - 1) / 2 as y2 from b2)"""
+
+
+@query(f"with {_ANCHORS} select * from base")
+def base_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p.base_anchors(spark)
+
+
+@query(f"""with {_ANCHORS} select ((y.row * 28 + x.col) * 9 + anchor)::int as anchor_id, x1 + x.col * 16 as x1, y1 + y.row * 16 as y1, x2 + x.col * 16 as x2, y2 + y.row * 16 as y2
+from base, (select unnest(generate_series(0, 18)) as row) y, (select unnest(generate_series(0, 27)) as col) x""")
+def shifted_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p.shifted_anchors(p.base_anchors(spark), 19, 28)
+
+
+def _truths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = det(spark, sf_dir).where("detection_type = 'object' and frame_number % 32 = 0")
+    return df.select((F.col("video_id") * 512 + F.col("frame_number")).alias("image_id"), F.col("row_id").alias("gt_id"), *[F.col(f"bbox_{k}").alias(f"gt_{k}") for k in ("x1", "y1", "x2", "y2")], (F.col("row_id") % 5 + 1).alias("gt_class"))
+
+
+def _rois(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = det(spark, sf_dir).where("frame_number % 32 = 0")
+    return df.select((F.col("video_id") * 512 + F.col("frame_number")).alias("image_id"), F.col("row_id").alias("anchor_id"), *[F.col(f"bbox_{k}") for k in ("x1", "y1", "x2", "y2")])
+
+
+_TARGETS = f"""{cte(det=DET)}, d as (select video_id * 512 + frame_number as image_id, row_id as anchor_id, bbox_x1 as x1, bbox_y1 as y1, bbox_x2 as x2, bbox_y2 as y2 from det where frame_number % 32 = 0),
+g as (select video_id * 512 + frame_number as image_id, row_id as gt_id, bbox_x1 as x1, bbox_y1 as y1, bbox_x2 as x2, bbox_y2 as y2, row_id % 5 + 1 as gt_class from det where frame_number % 32 = 0 and detection_type = 'object'),
+o as (select d.image_id, d.anchor_id, g.gt_id, g.gt_class, {_IOU} as overlap from d join g using (image_id)), m as (select *, max(overlap) over (partition by image_id, gt_id) as most from o)"""
+
+
+@query(f"""{_TARGETS} select image_id, anchor_id, arg_max(gt_id, struct_pack(o := overlap, g := -gt_id)) as gt_id, round(max(overlap), 9) as overlap,
+  case when bool_or(overlap = most and most > 0) or max(overlap) >= 0.7 then 1 when max(overlap) < 0.3 then 0 else -1 end as label from m group by 1, 2""")
+def anchor_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p.anchor_targets(_rois(spark, sf_dir), _truths(spark, sf_dir), "image_id").select("image_id", "anchor_id", "gt_id", F.round("overlap", 9).alias("overlap"), "label")
+
+
+@query(f"""{_TARGETS} select image_id, anchor_id, case when max(overlap) > 0 then arg_max(gt_class, struct_pack(o := overlap, g := -gt_id)) else 0 end as gt_class, round(max(overlap), 9) as overlap from m group by 1, 2""")
+def region_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p.truth_classes(_rois(spark, sf_dir), _truths(spark, sf_dir), "image_id").select("image_id", "anchor_id", F.col("gt_class").cast("bigint").alias("gt_class"), F.round("overlap", 9).alias("overlap"))
+
+
+@query()
+def proposal_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p.proposal_targets(_rois(spark, sf_dir), _truths(spark, sf_dir), "image_id", batch=8).select("image_id", "anchor_id", "kind", "gt_id")
+
+
+@query(f"""{cte(det=DET)} select row_id, video_id, bbox_x1 as x1, bbox_x2 as x2, false as flipped from det union all select row_id, video_id, 440 - bbox_x2 - 1, 440 - bbox_x1 - 1, true from det""")
+def flipped_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p.with_flipped(det(spark, sf_dir), F.lit(440)).select("row_id", "video_id", F.col("bbox_x1").alias("x1"), F.col("bbox_x2").alias("x2"), "flipped")
+
+
+@query(f"""{cte(det=DET)} select video_id, min(row_id) as row_id from det group by video_id, round_even(bbox_x1 / 32.0, 0), round_even(bbox_y1 / 32.0, 0), round_even(bbox_x2 / 32.0, 0), round_even(bbox_y2 / 32.0, 0)""")
+def unique_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p.unique_boxes(det(spark, sf_dir), ["video_id"], 1 / 32).select("video_id", "row_id")
