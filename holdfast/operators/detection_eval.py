@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,67 +54,33 @@ def best_threshold(curve: DataFrame, by: list[str]) -> DataFrame:
     return out.join(F.broadcast(mean)).select(*by, "npos", F.when(F.col("t") != 0, F.col("t")).otherwise(F.col("mean")).alias("threshold"))
 
 
-COCO_MATCHED = "image_id bigint, category_id bigint, det_id bigint, score double, rank int, threshold double, matched boolean, ignored boolean"
-THRESHOLDS = tuple(np.round(np.arange(0.5, 0.96, 0.05), 2).tolist())
+THRESHOLDS = (0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95)
 
 
-def match_image(dets: np.ndarray, scores: np.ndarray, truths: np.ndarray, crowd: np.ndarray, ignore: np.ndarray, thresholds: tuple[float, ...], most: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Greedy matching in one image and category; boxes are (x, y, width, height).
-
-    Returns the order of detections, and by threshold whether each is matched and whether it is ignored. A detection takes the
-    free truth of largest overlap (a crowd is always free); truths that count are preferred to ignored ones.
-    """
-    order = np.argsort(-scores, kind="stable")[:most]
-    by_use = np.argsort(ignore, kind="stable")
-    truths, crowd, ignore = truths[by_use], crowd[by_use], ignore[by_use]
-    d = dets[order]
-    size = np.clip(np.minimum(d[:, None, :2] + d[:, None, 2:], truths[:, :2] + truths[:, 2:]) - np.maximum(d[:, None, :2], truths[:, :2]), 0, None)
-    inter = size.prod(axis=2)
-    own, other = d[:, 2:].prod(axis=1)[:, None], truths[:, 2:].prod(axis=1)
-    over = inter / np.maximum(np.where(crowd, own, own + other - inter), 1e-300)
-    matched, ignored = np.zeros((len(thresholds), len(order)), bool), np.zeros((len(thresholds), len(order)), bool)
-    for i, t in enumerate(thresholds):
-        taken = np.zeros(len(truths), bool)
-        for j in range(len(order)):
-            free = ~taken | crowd
-            for group in (~ignore, ignore):
-                able = np.flatnonzero(free & group & (over[j] >= min(t, 1 - 1e-10)))
-                if len(able):
-                    # Of equal overlaps the last one wins.
-                    best = able[len(able) - 1 - np.argmax(over[j, able][::-1])]
-                    taken[best], matched[i, j], ignored[i, j] = True, True, ignore[best]
-                    break
-    return order, matched, ignored
-
-
-def coco_match(dets: DataFrame, truths: DataFrame, area: tuple[float, float] = (0.0, 1e10), thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
+def coco_match(dets: DataFrame, truths: DataFrame, area: tuple[float, float] = (0.0, 1e10), thresholds: tuple[float, ...] = THRESHOLDS, most: int = 100) -> DataFrame:
     """Detections (image_id, category_id, det_id, x, y, w, h, score) against truths (.., x, y, w, h, area, iscrowd, gt_ignore).
 
-    The choice depends on what was taken before, so an image and category is one group, at most ``most`` detections deep.
-    Truths that are crowds, ignored or out of the area range are ignored; so are unmatched detections out of the range.
+    In order of score a detection takes the free truth of largest overlap (of equals the last), one that counts before an ignored
+    one; a crowd is always free. Truths that are crowds, ignored or out of the area range are ignored, and so are unmatched
+    detections out of the range. The choice depends on what was taken before, so an image and category is one array that is
+    folded in the JVM, with at most ``most`` detections.
+
+    Returns image_id, category_id, det_id, score, rank, threshold, matched, ignored.
     """
-    low, high = area
-
-    def run(d: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        if not len(d):
-            return pd.DataFrame(columns=[x.split()[0] for x in COCO_MATCHED.split(", ")])
-        d = d.sort_values("det_id", kind="stable")
-        if len(g):
-            g = g.sort_values("gt_id", kind="stable")
-        else:
-            g = pd.DataFrame({k: np.zeros(0) for k in ("gt_id", "x", "y", "w", "h", "area", "iscrowd", "gt_ignore")})
-        crowd = g["iscrowd"].to_numpy(bool)
-        ignore = crowd | g["gt_ignore"].to_numpy(bool) | (g["area"].to_numpy() < low) | (g["area"].to_numpy() > high)
-        boxes, scores = d[["x", "y", "w", "h"]].to_numpy(float), d["score"].to_numpy(float)
-        order, matched, ignored = match_image(boxes, scores, g[["x", "y", "w", "h"]].to_numpy(float), crowd, ignore, thresholds)
-        size = boxes[order, 2] * boxes[order, 3]
-        ignored |= ~matched & ((size < low) | (size > high))
-        n = len(order)
-        head = d.iloc[order]
-        return pd.concat([pd.DataFrame({"image_id": head["image_id"], "category_id": head["category_id"], "det_id": head["det_id"], "score": head["score"], "rank": np.arange(n), "threshold": t, "matched": matched[i], "ignored": ignored[i]}) for i, t in enumerate(thresholds)])
-
-    keys = ["image_id", "category_id"]
-    return dets.groupBy(*keys).cogroup(truths.groupBy(*keys)).applyInPandas(run, COCO_MATCHED)
+    keys, (low, high) = ["image_id", "category_id"], area
+    d = dets.groupBy(*keys).agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "det_id", "x", "y", "w", "h"))), 1, most).alias("ds"))
+    ignore = (F.col("iscrowd") == 1) | (F.col("gt_ignore") == 1) | (F.col("area") < low) | (F.col("area") > high)
+    g = truths.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("gt_id", "x", "y", "w", "h", (F.col("iscrowd") == 1).alias("crowd"), ignore.alias("ignore")))).alias("gs"))
+    both = d.join(g, keys, "left").withColumn("gs", F.coalesce("gs", F.expr("slice(gs, 1, 0)"))).withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
+    side = lambda p, q: f"greatest(0D, least(d.{p} + d.{q}, g.{p} + g.{q}) - greatest(d.{p}, g.{p}))"
+    inter = f"({side('x', 'w')} * {side('y', 'h')})"
+    over = f"({inter} / greatest(1e-300D, case when g.crowd then d.w * d.h else d.w * d.h + g.w * g.h - {inter} end))"
+    able = f"filter(transform(gs, (g, i) -> named_struct('use', not g.ignore, 'over', {over}, 'i', i)), c -> c.over >= least(threshold, 1 - 1e-10D) and (gs[c.i].crowd or not array_contains(a.taken, c.i)))"
+    outside = f"(d.w * d.h < {low} or d.w * d.h > {high})"
+    state = "named_struct('taken', case when b is null then a.taken else concat(a.taken, array(b.i)) end, 'out', concat(a.out, array(named_struct('det_id', d.det_id, 'score', -d.s, 'matched', b is not null, 'ignored', coalesce(not b.use, " + outside + ")))))"
+    empty = "named_struct('taken', cast(array() as array<int>), 'out', transform(slice(ds, 1, 0), d -> named_struct('det_id', d.det_id, 'score', -d.s, 'matched', true, 'ignored', true)))"
+    fold = f"aggregate(coalesce(ds, slice(ds, 1, 0)), {empty}, (a, d) -> transform(array(array_max({able})), b -> {state})[0]).out"
+    return both.select(*keys, "threshold", F.posexplode(F.expr(fold)).alias("rank", "r")).select(*keys, "r.det_id", "r.score", "rank", "threshold", "r.matched", "r.ignored")
 
 
 def coco_precision(matches: DataFrame, truths: DataFrame, area: tuple[float, float] = (0.0, 1e10)) -> DataFrame:

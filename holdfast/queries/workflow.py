@@ -1 +1,139 @@
-"""Queries on label sequences."""
+"""Queries on tracking, refinement and whole runs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import dataset, refine, tracking
+from ..plans import workflow as w
+from ..streaming import events as ev
+from ..testdata import DET, GT, SEQ, cte, view
+from .detections import det, frames
+from .registry import query
+from .sequences import _CONF, _GAPPY, _ISLANDS, gappy, seq
+
+_S = cte(seq=SEQ)
+K = ["video_id"]
+BRIDGE = tracking.BridgeConfig(max_missed=4, confirm=1, contact_iou=0.05, reassociate_iou=0.3, seed_confidence=70, promote_stationary=True, stationary_confirm=1, stationary_iou=0.05)
+
+
+@query()
+def tracking_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = tracking.tracking_bridge(det(spark, sf_dir), BRIDGE)
+    return out.select("video_id", "frame_number", "row_id", "contact_label", "tracking_promoted", "tracking_track_id", F.round("tracking_iou", 6).alias("tracking_iou"), "tracking_missed_count", "tracking_state", "tracking_bbox_source", F.round("tracking_bbox_x1", 6).alias("x1"))
+
+
+@query()
+def temporal_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tracking.temporal_regions(det(spark, sf_dir), 4)
+
+
+@query()
+def full_contact_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = det(spark, sf_dir)
+    return w.contact_labels(df, frames(df), w.PipelineConfig(object_size=0.3, bigger_factor=1.0, bridge=BRIDGE, strict=True))
+
+
+@query(f"{_S} select video_id, pos, case when pred >= 0.5 then 1 else 0 end as refined, 1 + sum(case when pred <> lag_pred then 1 else 0 end) over (partition by video_id)::bigint as n_segments from (select *, lag(pred) over (partition by video_id order by pos) as lag_pred from seq)")
+def refine_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return refine.refine(seq(spark, sf_dir), refine.Identity()).select("video_id", "pos", "refined", F.col("n_segments").cast("bigint").alias("n_segments"))
+
+
+@query()
+def refine_transition_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = refine.TransitionDP(9, refine.Durations((1.0, 1.5), (0.5, 0.5), (1.0, 1.0), 5.0))
+    return refine.refine(seq(spark, sf_dir), r).select("video_id", "pos", "refined", F.round("objective", 6).alias("objective"), "n_segments")
+
+
+@query()
+def refine_segment_hsmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = refine.SegmentHSMM(9, (2.0, 3.0), (0.3, 0.4), 0.2, 0.3, posterior=True)
+    return refine.refine(seq(spark, sf_dir), r).select("video_id", "pos", "refined", F.round("posterior", 6).alias("posterior"), F.round("objective", 6).alias("objective"))
+
+
+@query()
+def refinement_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = seq(spark, sf_dir)
+    out = refine.change_of_metrics(s, refine.refine(s, refine.SegmentHSMM(9, (2.0, 3.0), (0.3, 0.4), 0.2, 0.3)))
+    return out.select("video_id", *[F.round(c, 6).alias(c) for c in ("before", "after", "delta")])
+
+
+@query(f"""{cte(det=DET)}, flags as (select video_id, frame_number, coalesce(bool_or(blue_glove_status = 'experimenter'), false) as blue from det where row_id % 2 = 0 group by 1, 2),
+p as (select distinct video_id, frame_number from det) select p.*, coalesce(f.blue, false) as blue from p left join flags f using (video_id, frame_number)""")
+def flags_onto_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = ["video_id", "frame_number"]
+    df = det(spark, sf_dir)
+    return w.with_metadata(df.select(*keys).distinct(), w.frame_flags(df.where("row_id % 2 = 0"), keys), keys, "left")
+
+
+_SEL = f"""{_S}, {_GAPPY}, {_ISLANDS.format(src='gappy')}, sel as (select video_id, (first + length // 2)::bigint as pos, pred from isl where length >= 2 and not (pred = 1 and has_blue)),
+t as (select video_id, pos, gt from seq where pos % 5 <> 2), a as (select sel.*, t.gt from sel left join t using (video_id, pos))"""
+
+
+def _selected(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return w.extract_timestamps(gappy(spark, sf_dir), K, "pos", "pred", 0.05, 40), seq(spark, sf_dir).where("pos % 5 <> 2").select("video_id", "pos", "gt")
+
+
+@query(f"""{_SEL}, c as (select video_id, count(*) as n_selected_total, count(gt) as n_selected_with_gt, count(*) - count(gt) as n_selected_missing_gt, {_CONF.format(p='pred')} from a group by 1), n as (select video_id, count(*) as n_gt_total from t group by 1)
+select video_id, n_selected_total, n_selected_with_gt, n_selected_missing_gt, n_gt_total, tp, fp, tn, fn, case when n_selected_with_gt > 0 then 'success' else 'failed' end as status, round(n_selected_with_gt / n_gt_total::double, 6) as coverage,
+  round(case when tp + fp + tn + fn > 0 then (tp + tn) / (tp + fp + tn + fn)::double else 0 end, 6) as accuracy from c join n using (video_id)""")
+def selected_frames_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, t = _selected(spark, sf_dir)
+    out = w.evaluate_selected(s, t, K, "pos")
+    return out.select("video_id", "n_selected_total", "n_selected_with_gt", "n_selected_missing_gt", "n_gt_total", "tp", "fp", "tn", "fn", "status", F.round("coverage_selected_over_gt", 6).alias("coverage"), F.round("accuracy", 6).alias("accuracy"))
+
+
+@query(f"{_SEL} select video_id, pos, pred, gt, case when gt is null then 'missing_gt' when pred > gt then 'fp' else 'fn' end as kind from a where gt is null or pred <> gt")
+def selected_frame_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, t = _selected(spark, sf_dir)
+    return w.errors(s, t, K, "pos").select("video_id", "pos", "pred", "gt", "kind")
+
+
+@query(f"""{_S}, {_GAPPY}, {_ISLANDS.format(src='gappy')}, cells as (select s.s as seconds, f.f as fps from (values (0.02::double), (0.05), (0.1)) s(s), (values (20.0::double), (40.0)) f(f)),
+sel as (select seconds, fps, video_id, (first + length // 2)::bigint as pos, pred from isl, cells where length >= ceil(seconds * fps) and not (pred = 1 and has_blue)), a as (select sel.*, gt from sel join seq s using (video_id, pos)),
+a2 as (select seconds, fps, sel.pred as pred, s.gt as gt from sel join (select video_id, pos, gt from seq) s using (video_id, pos))
+select seconds, fps, count(*) filter (pred = 1 and gt = 1) as tp, count(*) filter (pred = 1 and gt = 0) as fp, count(*) filter (pred = 0 and gt = 0) as tn, count(*) filter (pred = 0 and gt = 1) as fn, round(avg((pred = gt)::int), 6) as accuracy from a2 group by 1, 2""".replace(" a as (select sel.*, gt from sel join seq s using (video_id, pos)),\n", "\n"))
+def parameter_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = w.sweep(gappy(spark, sf_dir), seq(spark, sf_dir).select("video_id", "pos", "gt"), K, "pos", "pred", [0.02, 0.05, 0.1], [20.0, 40.0])
+    return out.select("seconds", "fps", "tp", "fp", "tn", "fn", F.round("accuracy", 6).alias("accuracy"))
+
+
+@query()
+def pseudo_label_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = det(spark, sf_dir)
+    videos = [str(r[0]) for r in df.select("video_id").distinct().orderBy("video_id").limit(1000).collect()]  # participants: a driver-side list by nature
+    splits = spark.createDataFrame([(int(p), s) for p, s in dataset.split_participants(videos, 0.2, 42).items()], "video_id bigint, split string")
+    images, _ = w.pseudo_labels(df.where("detection_type = 'object'"), df.where("detection_type = 'hand'"), splits)
+    return images
+
+
+_COCO = f"""{cte(det=DET)}, l as (select *, case when video_id % 5 = 0 then 'val' else 'train' end as split from det where detection_type = 'object' and row_id % 3 = 0), f as (select distinct split, video_id, frame_number as frame_idx from l),
+i as (select *, row_number() over (partition by split order by video_id, frame_idx) as image_id from f)"""
+
+
+@query(f"""{_COCO} select l.split, i.image_id, row_number() over (partition by l.split order by i.image_id, l.row_id) as annotation_id, [l.bbox_x1::double, l.bbox_y1::double, (l.bbox_x2 - l.bbox_x1)::double, (l.bbox_y2 - l.bbox_y1)::double] as bbox,
+  (l.bbox_x2 - l.bbox_x1)::double * (l.bbox_y2 - l.bbox_y1) as area from l join i on l.split = i.split and l.video_id = i.video_id and l.frame_number = i.frame_idx""")
+def coco_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = det(spark, sf_dir).where("detection_type = 'object' and row_id % 3 = 0").withColumns({"split": F.when(F.col("video_id") % 5 == 0, "val").otherwise("train"), "width": F.lit(440), "height": F.lit(300)}).withColumnRenamed("frame_number", "frame_idx")
+    return dataset.coco_tables(rows)[1].select("split", F.col("image_id").cast("bigint").alias("image_id"), F.col("annotation_id").cast("bigint").alias("annotation_id"), "bbox", "area")
+
+
+@query("""with n as (select distinct l_orderkey % 500 as image_id, l_partkey % 40 as node_id from lineitem where l_quantity < 10), e as (select l_orderkey % 500 as image_id, l_partkey % 40 as subject, l_shipdate::date::varchar[1:4] as predicate, l_suppkey % 40 as object from lineitem)
+select distinct e.* from e where exists (select 1 from n where n.image_id = e.image_id and n.node_id = e.subject) and exists (select 1 from n where n.image_id = e.image_id and n.node_id = e.object)""".replace("l_shipdate::date::varchar[1:4]", "year(l_shipdate)::varchar"))
+def scene_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    nodes = li.where("l_quantity < 10").selectExpr("l_orderkey % 500 as image_id", "l_partkey % 40 as node_id").distinct()
+    return dataset.scene_edges(li.selectExpr("l_orderkey % 500 as image_id", "l_partkey % 40 as subject", "cast(year(l_shipdate) as string) as predicate", "l_suppkey % 40 as object"), nodes)
+
+
+@query("select time_bucket(interval 1 hour, ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
+def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ev.windowed(ev.read_events(spark, sf_dir, False))
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("""with f as (select user_id, ts, case when lag(ts) over w is null or ts - lag(ts) over w >= interval 30 minute then 1 else 0 end as fresh from events window w as (partition by user_id order by ts)),
+s as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as k from f) select user_id, min(ts) as start, count(*) as n from s group by user_id, k""")
+def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.sessions(ev.read_events(spark, sf_dir, False)).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
