@@ -29,10 +29,10 @@ def keyed(vectors: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, vecs = [], []
-            for v in batch.column("embedding").to_pylist():
+            for i, v in zip(batch.column("vec_id").to_pylist(), batch.column("embedding").to_pylist(), strict=True):
                 x = np.array([np.nan] if v is None or None in v else v, np.float64)
                 most = np.abs(x).max(initial=0.0)
-                good = np.isfinite(x).all() and most > 0
+                good = i is not None and np.isfinite(x).all() and most > 0
                 if good:
                     x = x / most
                     x = x / np.linalg.norm(x) + 0.0
@@ -161,7 +161,7 @@ DEALT = "cell bigint, h int, v int, role int, cls bigint, mult bigint, home bigi
 def near_vectors(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.98, sample: int = 16384, probes: int = 256, fill: int = 32, most: int = 1024) -> DataFrame:
     """One row for each vector: vec_id, n_links, component_id (smallest vec_id reachable by links).
 
-    Vectors (vec_id, embedding) that are null, empty or zero, or hold a null or non-finite component, link with nothing;
+    Vectors (vec_id, embedding) that are null, empty or zero, or hold a null or non-finite component, or have no vec_id, link with nothing;
     vectors of different lengths don't link. Equal vectors are linked, repeated rows too. Other columns are ignored; an empty
     table gives no rows. A cell with more than ``most`` vectors, or eight times as many visits, is worked on in blocks.
     """
