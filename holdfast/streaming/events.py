@@ -26,4 +26,7 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
 
 
 def first_seen(events: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """One row for each event; in a stream among those that are less than ``late`` apart."""
+    if not events.isStreaming:
+        return events.dropDuplicates(["event_id"])
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
