@@ -195,3 +195,17 @@ def with_all_categories(annotations: DataFrame, categories: list) -> DataFrame:
     """Images that have every one of the categories."""
     some = annotations.where(F.col("category_id").isin(categories)).groupBy("image_id").agg(F.count_distinct("category_id").alias("n"))
     return some.where(F.col("n") == len(set(categories))).select("image_id")
+
+
+def extra_regions(rois: DataFrame, extra: DataFrame, key: str, scale: Column, w: Column, h: Column) -> DataFrame:
+    """``rois`` (key, box) and, scaled and clipped to the image, the valid boxes of ``extra``."""
+    b = boxes.Box(*(c * scale for c in boxes.box()))
+    b = boxes.clip(b, w, h, 1)
+    added = extra.select(key, *[c.alias(f"bbox_{k}") for k, c in zip(("x1", "y1", "x2", "y2"), b, strict=True)], F.lit(True).alias("is_extra"))
+    kept = added.where(boxes.valid(boxes.box()))
+    return rois.select(key, *[F.col(f"bbox_{k}").cast("double").alias(f"bbox_{k}") for k in ("x1", "y1", "x2", "y2")], F.lit(False).alias("is_extra")).unionByName(kept)
+
+
+def with_vocabulary(nodes: DataFrame, vocabulary: DataFrame, key: str = "image_id") -> DataFrame:
+    """The images that have at least one object with a name of the vocabulary."""
+    return nodes.join(F.broadcast(vocabulary.select("name").distinct()), "name", "left_semi").select(key).distinct()

@@ -168,3 +168,14 @@ def segment_durations(pred: DataFrame, gt: DataFrame, keys: list[str]) -> DataFr
     both = nth(pred, "a").join(nth(gt, "b"), [*keys, "label", "k"], "full")
     d = F.col("a") - F.col("b")
     return both.groupBy(*keys, "label").agg(F.avg(F.abs(d)).alias("maed"), F.avg(d).alias("msde"), F.count_if(F.col("a").isNull()).alias("missed"), F.count_if(F.col("b").isNull()).alias("extra"))
+
+
+def label_precision(df: DataFrame, label: str, gt: str) -> DataFrame:
+    """For each label how many frames have it, how many rightly, and the share."""
+    right = F.count_if(F.col(label) == F.col(gt))
+    return df.groupBy(label).agg(F.count("*").alias("n"), right.alias("right"), (right / F.count("*")).alias("precision"))
+
+
+def top(df: DataFrame, n: int, *order: Column) -> DataFrame:
+    """The first n rows by an order that names a unique key last."""
+    return df.orderBy(*order).limit(n)

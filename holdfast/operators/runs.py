@@ -126,3 +126,9 @@ def batches_by_shape(df: DataFrame, size: int, low: float = 0.5, high: float = 2
     w = Window.partitionBy("batch")
     first, last = F.min("ratio").over(w), F.max("ratio").over(w)
     return df.withColumn("target_ratio", F.when(last < 1, first).when(first > 1, last).otherwise(1.0))
+
+
+def weak_labels(df: DataFrame, keys: list[str], order: str, free: str, contact: str, least: int, share: float) -> DataFrame:
+    """Weak labels of frames: 0 where ``free`` (no-contact-first) is 0, and 1 on trimmed runs of ``contact`` (portable-first)."""
+    none = df.where(F.col(free) == 0).select(*keys, order, F.lit(0).alias("weak"))
+    return none.unionByName(trimmed_runs(df, keys, order, contact, 1, least, share).select(*keys, order, F.lit(1).alias("weak")))

@@ -247,3 +247,34 @@ select image_id from a where category_id in (1, 3) group by 1 having count(disti
 def images_with_all_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = det(spark, sf_dir).where("detection_type = 'hand'").select((F.col("video_id") * 1000 + F.col("frame_number")).alias("image_id"), F.col("contact_state").alias("category_id"))
     return f.with_all_categories(a, [1, 3])
+
+
+@query(f"""{_D}, a as (select video_id, bbox_x1::double as x1, bbox_y1::double as y1, bbox_x2::double as x2, bbox_y2::double as y2, false as is_extra from det where detection_type = 'object'),
+b as (select video_id, greatest(0, least(bbox_x1 * 1.5::double, 439)) as x1, greatest(0, least(bbox_y1 * 1.5::double, 299)) as y1, greatest(0, least(bbox_x2 * 1.5::double, 439)) as x2, greatest(0, least(bbox_y2 * 1.5::double, 299)) as y2, true as is_extra from det where detection_type = 'hand' and contact_state = 3)
+select * from a union all select * from b where x2 > x1 and y2 > y1""")
+def extra_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = det(spark, sf_dir)
+    out = f.extra_regions(df.where("detection_type = 'object'"), df.where("detection_type = 'hand' and contact_state = 3"), "video_id", F.lit(1.5), F.lit(440), F.lit(300))
+    return out.withColumnsRenamed({f"bbox_{k}": k for k in ("x1", "y1", "x2", "y2")})
+
+
+@query("with n as (select l_orderkey as image_id, l_shipdate::varchar[1:1] || (l_partkey % 50)::varchar as name from lineitem), v as (select '1' || (l_partkey % 50)::varchar as name from lineitem where l_partkey % 50 < 3) select distinct image_id from n where name in (select name from v)".replace("l_shipdate::varchar[1:1]", "'1'"))
+def images_with_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat(F.lit("1"), (F.col("l_partkey") % 50).cast("string")).alias("name")
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return f.with_vocabulary(li.select(F.col("l_orderkey").alias("image_id"), name), li.where("l_partkey % 50 < 3").select(name))
+
+
+@query(f"""{_D}, b as (select row_id, video_id, bbox_x1 - 60 as x, bbox_y1 - 60 as y, bbox_x2 - bbox_x1 - 80 as w, bbox_y2 - bbox_y1 - 60 as h from det),
+c as (select *, greatest(0, x)::double as x1, greatest(0, y)::double as y1, least(399, greatest(0, x) + greatest(0, w - 1))::double as x2, least(249, greatest(0, y) + greatest(0, h - 1))::double as y2 from b)
+select row_id, video_id, x1, y1, x2, y2 from c where w * h > 0 and x2 >= x1 and y2 >= y1""")
+def sane_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = det(spark, sf_dir).selectExpr("row_id", "video_id", "bbox_x1 - 60 as x", "bbox_y1 - 60 as y", "bbox_x2 - bbox_x1 - 80 as w", "bbox_y2 - bbox_y1 - 60 as h")
+    return f.sane_boxes(df, F.lit(400), F.lit(250)).select("row_id", "video_id", "x1", "y1", "x2", "y2")
+
+
+@query(f"""{_D}, b as (select row_id, video_id, bbox_x1 as x1, bbox_y1 as y1, bbox_x2 - 80 as x2, bbox_y2 - 60 as y2, x2 <= x1 or y2 <= y1 as bad from det)
+select row_id, video_id, case when bad then 0 else x1 end as fixed_x1, case when bad then 0 else y1 end as fixed_y1, case when bad then 439 else x2 end as fixed_x2, case when bad then 439 else y2 end as fixed_y2 from b""")
+def repaired_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = det(spark, sf_dir).selectExpr("row_id", "video_id", "bbox_x1 as x1", "bbox_y1 as y1", "bbox_x2 - 80 as x2", "bbox_y2 - 60 as y2")
+    return f.repaired_boxes(df, F.lit(440), F.lit(300)).select("row_id", "video_id", "fixed_x1", "fixed_y1", "fixed_x2", "fixed_y2")

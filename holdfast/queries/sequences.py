@@ -312,3 +312,30 @@ def aligned_missing_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_aligned_sql("count"))
 def aligned_missing_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _aligned(spark, sf_dir, "count")
+
+
+@query(f"""{_S}, w0 as (select *, case when pred = 1 or gt = 1 then 1 else 0 end as any_contact, case when pred = 1 and gt = 1 then 1 else 0 end as both_contact from seq), {_runs('both_contact', 'w0', 'wr')},
+t as (select *, count(*) over (partition by video_id, run) as n, row_number() over (partition by video_id, run order by pos) - 1 as nth from wr),
+l as (select video_id, pos, 0 as weak from w0 where any_contact = 0 union all select video_id, pos, 1 from t where both_contact = 1 and n >= 2 and nth >= floor(0.2 * (n - 1)) and nth < n - floor(0.2 * (n - 1)))
+select weak, count(*) as n, count(*) filter (weak = gt) as "right", round(count(*) filter (weak = gt) / count(*)::double, 6) as precision from l join seq using (video_id, pos) group by 1""")
+def weak_label_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, g = F.col("pred") == 1, F.col("gt") == 1
+    s = seq(spark, sf_dir).withColumns({"any_contact": (p | g).cast("int"), "both_contact": (p & g).cast("int")})
+    weak = r.weak_labels(s, K, "pos", "any_contact", "both_contact", 2, 0.2)
+    out = k.label_precision(weak.join(s.select("video_id", "pos", "gt"), ["video_id", "pos"]), "weak", "gt")
+    return out.select("weak", "n", "right", F.round("precision", 6).alias("precision"))
+
+
+@query(f"{_DIAG}, s as (select dataset_key, case when status <> 'success' then 1000.0::double else 0 end + coalesce((1 - accuracy) * 50, 50) + (fp + fn) * 10.0::double + case when n_aligned < 5 then 20.0::double else 0 end + coalesce((1 - aligned_share) * 20, 0) as score from d) select dataset_key, round(score, 6) as priority_score from s order by round(score, 9) desc, dataset_key limit 5")
+def top_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A top-k report: the limit is its point."""
+    return k.top(k.priorities(_diag(spark, sf_dir)), 5, F.desc(F.round("priority_score", 9)), F.col("dataset_key")).select("dataset_key", F.round("priority_score", 6).alias("priority_score"))
+
+
+@query("""with i as (select distinct l_partkey % 900 + 100 as width, l_suppkey % 80 * 10 + 100 as height from lineitem)
+select width, height, round(case when round(600 / least(width, height)::double * greatest(width, height)) > 1000 then 1000 / greatest(width, height)::double else 600 / least(width, height)::double end, 9) as scale, floor(width * 640 / 1000.0::double)::bigint as edge from i""")
+def image_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions import images
+
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("l_partkey % 900 + 100 as width", "l_suppkey % 80 * 10 + 100 as height").distinct()
+    return li.select("width", "height", F.round(images.image_scale(F.col("width"), F.col("height")), 9).alias("scale"), images.timeline_edge(F.col("width"), F.lit(1000), 640).alias("edge"))
