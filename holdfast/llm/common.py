@@ -32,16 +32,22 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder, removed when the JVM ends."""
+    path = f"{shared_dir(spark)}/staged/{tag}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def staged(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: cuts lineage and survives lost executors.
 
     The files are removed when the JVM ends, or earlier by ``discard``.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/staged/{tag}-{uuid.uuid4().hex}"
+    path = scratch(spark, tag)
     df.write.option("compression", compression).parquet(path)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out

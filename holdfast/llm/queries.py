@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, staged, table
+from .common import scratch, staged, table
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +38,7 @@ from marked group by doc_id
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_output import read_tokens, write_tokens
 
-    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    path = scratch(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), path)
     return read_tokens(spark, path)
 
