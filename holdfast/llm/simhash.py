@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from .common import discard, shuffle_partitions, staged, steps
 from .components import components, merge_labels
 
-#: Fingerprints whose trees are built at once, and pairs of query and node followed at once.
-TREES, FRONT = 50_000, 2_000_000
+#: Fingerprints whose trees are built at once, and pairs of query and node followed at once: a pair may lead to 2 * radius + 1
+#: others, and as many wait at each level of the trees.
+TREES, FRONT = 50_000, 1 << 17
 
 
 def fingerprint(text: bytes, words: int = 4) -> int:
@@ -103,7 +104,7 @@ def search(fps: np.ndarray, tree: np.ndarray, radius: int) -> np.ndarray:
     n = len(fps)
     child, labels = grow(fps, tree), np.arange(n)
     root = np.flatnonzero(np.concatenate([[True], tree[1:] != tree[:-1]]))
-    query, node = np.arange(n), np.repeat(root, np.diff(np.append(root, n)))
+    query, node = np.arange(n, dtype=np.int32), np.repeat(root, np.diff(np.append(root, n))).astype(np.int32)
     stack = [(query[i : i + FRONT // 16], node[i : i + FRONT // 16]) for i in range(0, n, FRONT // 16)]
     while stack:
         query, node = stack.pop()
@@ -111,7 +112,7 @@ def search(fps: np.ndarray, tree: np.ndarray, radius: int) -> np.ndarray:
             half = len(query) // 2
             stack += [(query[half:], node[half:])]
             query, node = query[:half], node[:half]
-        d = np.bitwise_count(fps[query] ^ fps[node]).astype(np.int64)
+        d = np.bitwise_count(fps[query] ^ fps[node]).astype(np.int32)
         near = (d <= radius) & (node < query)
         labels = merge_labels(labels, query[near], node[near])
         follow = [], []
