@@ -119,29 +119,58 @@ def shifted_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _truths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = det(spark, sf_dir).where("detection_type = 'object' and frame_number % 32 = 0")
+    df = det(spark, sf_dir).where("detection_type = 'object'")
     return df.select((F.col("video_id") * 512 + F.col("frame_number")).alias("image_id"), F.col("row_id").alias("gt_id"), *[F.col(f"bbox_{k}").alias(f"gt_{k}") for k in ("x1", "y1", "x2", "y2")], (F.col("row_id") % 5 + 1).alias("gt_class"))
 
 
 def _rois(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = det(spark, sf_dir).where("frame_number % 32 = 0")
+    df = det(spark, sf_dir)
     return df.select((F.col("video_id") * 512 + F.col("frame_number")).alias("image_id"), F.col("row_id").alias("anchor_id"), *[F.col(f"bbox_{k}") for k in ("x1", "y1", "x2", "y2")])
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """One image in 32, which is what the SQL of anchor_targets and region_classes has; the whole_ queries have all."""
+    return df.where("image_id % 512 % 32 = 0")
+
+
 _TARGETS = f"""{cte(det=DET)}, d as (select video_id * 512 + frame_number as image_id, row_id as anchor_id, bbox_x1 as x1, bbox_y1 as y1, bbox_x2 as x2, bbox_y2 as y2 from det where frame_number % 32 = 0),
 g as (select video_id * 512 + frame_number as image_id, row_id as gt_id, bbox_x1 as x1, bbox_y1 as y1, bbox_x2 as x2, bbox_y2 as y2, row_id % 5 + 1 as gt_class from det where frame_number % 32 = 0 and detection_type = 'object'),
 o as (select d.image_id, d.anchor_id, g.gt_id, g.gt_class, {_IOU} as overlap from d join g using (image_id)), m as (select *, max(overlap) over (partition by image_id, gt_id) as most from o)"""
 
 
-@query(f"""{_TARGETS} select image_id, anchor_id, arg_max(gt_id, struct_pack(o := overlap, g := -gt_id)) as gt_id, round(max(overlap), 9) as overlap,
-  case when bool_or(overlap = most and most > 0) or max(overlap) >= 0.7 then 1 when max(overlap) < 0.3 then 0 else -1 end as label from m group by 1, 2""")
+#: The same over all images.
+_ALL_TARGETS = _TARGETS.replace("frame_number % 32 = 0 and ", "").replace(" where frame_number % 32 = 0", "")
+_LABELS = """ select image_id, anchor_id, arg_max(gt_id, struct_pack(o := overlap, g := -gt_id)) as gt_id, round(max(overlap), 9) as overlap,
+  case when bool_or(overlap = most and most > 0) or max(overlap) >= 0.7 then 1 when max(overlap) < 0.3 then 0 else -1 end as label from m group by 1, 2"""
+_GT_CLASSES = """ select image_id, anchor_id, case when max(overlap) > 0 then arg_max(gt_class, struct_pack(o := overlap, g := -gt_id)) else 0 end as gt_class, round(max(overlap), 9) as overlap from m group by 1, 2"""
+
+
+def _anchor_targets(rois: DataFrame, truths: DataFrame) -> DataFrame:
+    return p.anchor_targets(rois, truths, "image_id").select("image_id", "anchor_id", "gt_id", F.round("overlap", 9).alias("overlap"), "label")
+
+
+def _region_classes(rois: DataFrame, truths: DataFrame) -> DataFrame:
+    return p.truth_classes(rois, truths, "image_id").select("image_id", "anchor_id", F.col("gt_class").cast("bigint").alias("gt_class"), F.round("overlap", 9).alias("overlap"))
+
+
+@query(_TARGETS + _LABELS)
 def anchor_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p.anchor_targets(_rois(spark, sf_dir), _truths(spark, sf_dir), "image_id").select("image_id", "anchor_id", "gt_id", F.round("overlap", 9).alias("overlap"), "label")
+    return _anchor_targets(_few(_rois(spark, sf_dir)), _few(_truths(spark, sf_dir)))
+
 
+@query(_ALL_TARGETS + _LABELS)
+def whole_anchor_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _anchor_targets(_rois(spark, sf_dir), _truths(spark, sf_dir))
 
-@query(f"""{_TARGETS} select image_id, anchor_id, case when max(overlap) > 0 then arg_max(gt_class, struct_pack(o := overlap, g := -gt_id)) else 0 end as gt_class, round(max(overlap), 9) as overlap from m group by 1, 2""")
+
+@query(_TARGETS + _GT_CLASSES)
 def region_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p.truth_classes(_rois(spark, sf_dir), _truths(spark, sf_dir), "image_id").select("image_id", "anchor_id", F.col("gt_class").cast("bigint").alias("gt_class"), F.round("overlap", 9).alias("overlap"))
+    return _region_classes(_few(_rois(spark, sf_dir)), _few(_truths(spark, sf_dir)))
+
+
+@query(_ALL_TARGETS + _GT_CLASSES)
+def whole_region_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _region_classes(_rois(spark, sf_dir), _truths(spark, sf_dir))
 
 
 @query()
