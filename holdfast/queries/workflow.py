@@ -102,7 +102,7 @@ def parameter_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def pseudo_label_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = det(spark, sf_dir)
-    videos = [str(r[0]) for r in df.select("video_id").distinct().orderBy("video_id").limit(1000).collect()]  # participants: a driver-side list by nature
+    videos = [str(r[0]) for r in df.select("video_id").distinct().toLocalIterator()]  # participants: a driver-side list, as the reference's seeded shuffle is of all names; one for 512 order keys
     splits = spark.createDataFrame([(int(p), s) for p, s in dataset.split_participants(videos, 0.2, 42).items()], "video_id bigint, split string")
     images, _ = w.pseudo_labels(df.where("detection_type = 'object'"), df.where("detection_type = 'hand'"), splits)
     return images

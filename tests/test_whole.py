@@ -21,3 +21,13 @@ def test_targets_of_all_images(name, spark):
     assert found <= images and any(i % 32 for i in found)
     # A truth overlaps itself in full, so each image with one has a region of every kind of row asked for here.
     assert found == images
+
+
+def test_pseudo_labels_split_all_videos(spark, tmp_path):
+    first = QUERIES["pseudo_label_images"](spark, SF).select("video_id", "frame_idx").first()
+    order = spark.read.parquet(f"{SF}/lineitem.parquet").where(F.col("l_orderkey") == first.video_id * 512 + first.frame_idx)
+    video = spark.range(1100).select((F.col("id") * 512 + first.frame_idx).alias("key"))
+    order.crossJoin(video).withColumn("l_orderkey", F.col("key").cast(order.schema["l_orderkey"].dataType)).drop("key").write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows = {(r.video_id, r.split) for r in QUERIES["pseudo_label_images"](spark, str(tmp_path)).select("video_id", "split").collect()}
+    assert len(rows) == 1100
+    assert sum(s == "val" for _, s in rows) == 220
