@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..llm.common import shuffle_partitions, staged
+
 
 def number_runs(df: DataFrame, keys: list[str], order: str, label: str, step: int | None = 1) -> DataFrame:
     """``df`` with run: counts up whenever the label changes or, unless ``step`` is None, the order's value moves by other than it."""
@@ -115,14 +117,28 @@ def subsample(df: DataFrame, keys: list[str], interval: float = 2.0) -> DataFram
     return since_kept(df, keys, ["time_sec", "frame_idx"], ["row_id"], f"x.time_sec - last.time_sec >= {interval}")
 
 
+def ranked(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """``df`` with each row's place (from 0) in ``order`` within ``keys``, which no task needs to see whole.
+
+    Rows are dealt by ranges and sorted there; what stands in earlier tasks shifts them. ``keys`` and ``order`` name each row.
+    """
+    by = [*keys, *order]
+    rows = df.repartitionByRange(shuffle_partitions(df.sparkSession), *by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id())
+    rows = staged(rows.withColumn("__task", F.shiftright("__at", 33)), "ranked")
+    part = rows.groupBy(*keys, "__task").agg(F.count("*").alias("n"), F.min("__at").alias("first"))
+    shift = F.sum("n").over(Window.partitionBy(*keys).orderBy("__task")) - F.col("n") - F.col("first")
+    part = part.select(*keys, "__task", shift.alias("__shift"))
+    return rows.join(F.broadcast(part), [*keys, "__task"]).withColumn(name, F.col("__at") + F.col("__shift")).select(*df.columns, name)
+
+
 def batches_by_shape(df: DataFrame, size: int, low: float = 0.5, high: float = 2.0) -> DataFrame:
     """Images in order of width / height clamped to [low, high], in batches with one target ratio each.
 
-    Target: of a batch all below 1 the first, all above 1 the last, else 1. The rank is of the whole table by nature.
+    Target: of a batch all below 1 the first, all above 1 the last, else 1. The rank is of the whole table.
     """
     ratio = F.col("width") / F.col("height")
     df = df.withColumns({"ratio": F.greatest(F.lit(low), F.least(F.lit(high), ratio)), "need_crop": (ratio < low) | (ratio > high)})
-    df = df.withColumn("rank", F.row_number().over(Window.orderBy("ratio", "image_id")) - 1).withColumn("batch", F.floor(F.col("rank") / size))
+    df = ranked(df, [], ["ratio", "image_id"], "rank").withColumn("batch", F.floor(F.col("rank") / size))
     w = Window.partitionBy("batch")
     first, last = F.min("ratio").over(w), F.max("ratio").over(w)
     return df.withColumn("target_ratio", F.when(last < 1, first).when(first > 1, last).otherwise(1.0))

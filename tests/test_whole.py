@@ -31,3 +31,26 @@ def test_pseudo_labels_split_all_videos(spark, tmp_path):
     rows = {(r.video_id, r.split) for r in QUERIES["pseudo_label_images"](spark, str(tmp_path)).select("video_id", "split").collect()}
     assert len(rows) == 1100
     assert sum(s == "val" for _, s in rows) == 220
+
+
+def test_changepoints_and_batches_of_all_rows(spark):
+    li = spark.read.parquet(f"{SF}/lineitem.parquet")
+    batches = QUERIES["whole_shape_batches"](spark, SF)
+    assert batches.count() == li.select("l_orderkey", "l_linenumber").distinct().count()
+    counts = [n for _, n in sorted((r.batch, r["count"]) for r in batches.groupBy("batch").count().collect())]
+    assert set(counts[:-1]) == {16}
+    frames = QUERIES["whole_changepoint_frames"](spark, SF).where("label = 1")
+    held = li.selectExpr("l_orderkey % 100 as video_id", "l_partkey % 200 as frame").where("frame < 120 + video_id").join(li.where("l_linenumber < 7 and l_suppkey % 5 > 0").selectExpr("l_orderkey % 100 as video_id", "l_partkey % 200 as frame").distinct(), ["video_id", "frame"], "left_semi")
+    assert held.join(frames, ["video_id", "frame"], "left_anti").count() == 0
+
+
+def test_ranks_need_no_single_task(spark):
+    from holdfast.operators import runs
+
+    df = spark.range(1000).select((F.col("id") % 3).alias("k"), (F.col("id") * 7919 % 1009).alias("v"))
+    rows = runs.ranked(df, ["k"], ["v"], "at").collect()
+    for k in range(3):
+        assert [r["at"] for r in sorted((r for r in rows if r.k == k), key=lambda r: r.v)] == list(range(sum(r.k == k for r in rows)))
+    shapes = df.select(F.col("v").alias("image_id"), F.lit(3).alias("width"), F.lit(2).alias("height"))
+    plan = runs.batches_by_shape(shapes, 16)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan.split("Window")[1]
