@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..llm.common import staged
 from .matching import overlaps
 
 
@@ -54,6 +55,7 @@ def best_threshold(curve: DataFrame, by: list[str]) -> DataFrame:
     return out.join(F.broadcast(mean)).select(*by, "npos", F.when(F.col("t") != 0, F.col("t")).otherwise(F.col("mean")).alias("threshold"))
 
 
+AREAS = {"all": (0.0, 1e10), "small": (0.0, 1024.0), "medium": (1024.0, 9216.0), "large": (9216.0, 1e10)}
 THRESHOLDS = (0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95)
 
 
@@ -83,10 +85,14 @@ def coco_match(dets: DataFrame, truths: DataFrame, area: tuple[float, float] = (
     return both.select(*keys, "threshold", F.posexplode(F.expr(fold)).alias("rank", "r")).select(*keys, "r.det_id", "r.score", "rank", "threshold", "r.matched", "r.ignored")
 
 
+def _counted(truths: DataFrame, area: tuple[float, float]) -> DataFrame:
+    counted = (F.col("iscrowd") == 0) & (F.col("gt_ignore") == 0) & F.col("area").between(*area)
+    return truths.where(counted).groupBy("category_id").agg(F.count("*").alias("npos"))
+
+
 def coco_precision(matches: DataFrame, truths: DataFrame, area: tuple[float, float] = (0.0, 1e10)) -> DataFrame:
     """(category_id, threshold, recall index 0..100, precision): the best precision at or beyond each recall; 0 beyond the last."""
-    counted = (F.col("iscrowd") == 0) & (F.col("gt_ignore") == 0) & F.col("area").between(*area)
-    npos = truths.where(counted).groupBy("category_id").agg(F.count("*").alias("npos"))
+    npos = _counted(truths, area)
     by = ["category_id", "threshold"]
     w = Window.partitionBy(*by).orderBy(F.desc("score"), "image_id", "rank").rowsBetween(Window.unboundedPreceding, 0)
     df = matches.where(~F.col("ignored")).join(npos, "category_id")
@@ -99,6 +105,39 @@ def coco_precision(matches: DataFrame, truths: DataFrame, area: tuple[float, flo
     return filled.select(*by, "at", F.coalesce(F.max("precision").over(after), F.lit(0.0)).alias("precision"))
 
 
+def coco_recall(matches: DataFrame, truths: DataFrame, area: tuple[float, float] = (0.0, 1e10), first: int = 100) -> DataFrame:
+    """(category_id, threshold, recall): the share of truths that the ``first`` detections of each image and category find."""
+    by = ["category_id", "threshold"]
+    hits = matches.where(F.col("matched") & ~F.col("ignored") & (F.col("rank") < first)).groupBy(*by).agg(F.count("*").alias("hits"))
+    grid = matches.select("threshold").distinct().join(F.broadcast(_counted(truths, area)))
+    return grid.join(hits, by, "left").select(*by, (F.coalesce("hits", F.lit(0)) / F.col("npos")).alias("recall"))
+
+
+def coco_means(dets: DataFrame, truths: DataFrame) -> DataFrame:
+    """One row of the twelve means: precision over all, at .50 and at .75, by area; recall with 1, 10 and 100 detections, by area."""
+    out, recalls = [], []
+    mean = F.coalesce(F.avg("recall"), F.lit(-1.0))
+    for name, area in AREAS.items():
+        m = staged(coco_match(dets, truths, area), "matches")
+        p = coco_summary(coco_precision(m, truths, area))
+        out.append(p if name == "all" else p.select(F.col("ap").alias(f"ap_{name}")))
+        recalls += [coco_recall(m, truths, area, k).agg(mean.alias(f"ar_{k if name == 'all' else name}")) for k in ((1, 10, 100) if name == "all" else (100,))]
+    first, *rest = [*out, *recalls]
+    for x in rest:
+        first = first.crossJoin(x)
+    return first
+
+
+def coco_means_by_category(dets: DataFrame, truths: DataFrame) -> DataFrame:
+    """category_id, ap, ap_small, ap_medium, ap_large: mean precision over all thresholds; -1 marks what isn't there."""
+    out = None
+    for name, area in AREAS.items():
+        p = coco_by_category(coco_precision(coco_match(dets, truths, area), truths, area))
+        p = p if name == "all" else p.withColumnRenamed("ap", f"ap_{name}")
+        out = p if out is None else out.join(p, "category_id", "left")
+    return out.fillna(-1.0)
+
+
 def coco_summary(precision: DataFrame) -> DataFrame:
     """Mean precision over all, at .50 and at .75; -1 marks what isn't there."""
     mean = lambda c: F.coalesce(F.avg(F.when(c & (F.col("precision") > -1), F.col("precision"))), F.lit(-1.0))

@@ -71,14 +71,13 @@ def _coco(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 @query()
 def coco_average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, g = _coco(spark, sf_dir)
-    return e.coco_summary(e.coco_precision(e.coco_match(d, g, thresholds=(0.5, 0.75)), g))
+    return e.coco_means(d, g)
 
 
 @query()
 def coco_precision_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, g = _coco(spark, sf_dir)
-    area = (1000.0, 20000.0)
-    return e.coco_by_category(e.coco_precision(e.coco_match(d, g, area, (0.5,)), g, area))
+    return e.coco_means_by_category(d, g)
 
 
 _NX = "greatest(0, least(k.x2, b.x2) - greatest(k.x1, b.x1) + 1)::double * greatest(0, least(k.y2, b.y2) - greatest(k.y1, b.y1) + 1)"

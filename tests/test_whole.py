@@ -54,3 +54,17 @@ def test_ranks_need_no_single_task(spark):
     shapes = df.select(F.col("v").alias("image_id"), F.lit(3).alias("width"), F.lit(2).alias("height"))
     plan = runs.batches_by_shape(shapes, 16)._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan.split("Window")[1]
+
+
+def test_coco_means_over_all_thresholds_and_areas(spark):
+    from holdfast.operators import detection_eval as e
+
+    # A small truth found exactly, and a large one with an overlap of 77 / 123, which passes .50, .55 and .60.
+    dets = spark.createDataFrame([(1, 1, 1, 0, 0, 10, 10, 0.9), (2, 1, 2, 23, 0, 100, 100, 0.8)], "image_id int, category_id int, det_id int, x int, y int, w int, h int, score double")
+    truths = spark.createDataFrame([(1, 1, 1, 0, 0, 10, 10, 100.0, 0, 0), (2, 1, 2, 0, 0, 100, 100, 10000.0, 0, 0)], "image_id int, category_id int, gt_id int, x int, y int, w int, h int, area double, iscrowd int, gt_ignore int")
+    ap = 0.3 + 0.7 * 51 / 101
+    want = {"ap": ap, "ap50": 1, "ap75": 51 / 101, "ap_small": 1, "ap_medium": -1, "ap_large": 0.3, "ar_1": 0.65, "ar_10": 0.65, "ar_100": 0.65, "ar_small": 1, "ar_medium": -1, "ar_large": 0.3}
+    assert e.coco_means(dets, truths).first().asDict() == pytest.approx(want)
+    assert [r.asDict() for r in e.coco_means_by_category(dets, truths).collect()] == [pytest.approx({"category_id": 1, "ap": ap, "ap_small": 1, "ap_medium": -1, "ap_large": 0.3})]
+    assert set(QUERIES["coco_average_precision"](spark, SF).columns) == set(want)
+    assert QUERIES["coco_precision_by_category"](spark, SF).columns == ["category_id", "ap", "ap_small", "ap_medium", "ap_large"]
