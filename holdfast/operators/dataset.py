@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import boxes, parsing
+from .runs import ranked
 
 
 def split_participants(participants: list[str], share: float, seed: int) -> dict[str, str]:
@@ -40,14 +41,14 @@ def coco_tables(labels: DataFrame, category: str = "stimulus") -> tuple[DataFram
     Ids run from 1 within a split in order of (video_id, frame_idx). Names that collide after cleaning get _1, _2, ...
     """
     frames = labels.select("split", "video_id", "frame_idx", "width", "height").distinct()
-    order = Window.partitionBy("split").orderBy("video_id", "frame_idx")
     name = image_names(frames, F.col("video_id").cast("string"), number=F.col("frame_idx") % 1000)
-    images = frames.withColumns({"image_id": F.row_number().over(order), "stem": name})
+    images = ranked(frames, ["split"], ["video_id", "frame_idx"], "image_id").withColumns({"image_id": (F.col("image_id") + 1).cast("int"), "stem": name})
     again = F.row_number().over(Window.partitionBy("split", "stem").orderBy("image_id")) - 1
     images = images.withColumn("file_name", F.concat("stem", F.when(again > 0, F.concat(F.lit("_"), again.cast("string"))).otherwise(""), F.lit(".png"))).drop("stem")
     b = boxes.to_xywh(boxes.box())
     ann = labels.join(images.select("split", "video_id", "frame_idx", "image_id"), ["split", "video_id", "frame_idx"])
-    ann = ann.select("split", "image_id", F.row_number().over(Window.partitionBy("split").orderBy("image_id", "row_id")).alias("annotation_id"), F.array(*[c.cast("double") for c in b]).alias("bbox"), boxes.area(boxes.box()).alias("area"), F.lit(1).alias("category_id"), F.lit(0).alias("iscrowd"))
+    ann = ranked(ann, ["split"], ["image_id", "row_id"], "annotation_id")
+    ann = ann.select("split", "image_id", (F.col("annotation_id") + 1).cast("int").alias("annotation_id"), F.array(*[c.cast("double") for c in b]).alias("bbox"), boxes.area(boxes.box()).alias("area"), F.lit(1).alias("category_id"), F.lit(0).alias("iscrowd"))
     return images, ann
 
 

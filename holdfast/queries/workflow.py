@@ -112,13 +112,25 @@ _COCO = f"""{cte(det=DET)}, l as (select *, case when video_id % 5 = 0 then 'val
 i as (select *, row_number() over (partition by split order by video_id, frame_idx) as image_id from f)"""
 
 
-@query(f"""{_COCO} select l.split, i.image_id, row_number() over (partition by l.split order by i.image_id, l.row_id) as annotation_id, [l.bbox_x1::double, l.bbox_y1::double, (l.bbox_x2 - l.bbox_x1)::double, (l.bbox_y2 - l.bbox_y1)::double] as bbox,
-  (l.bbox_x2 - l.bbox_x1)::double * (l.bbox_y2 - l.bbox_y1) as area from l join i on l.split = i.split and l.video_id = i.video_id and l.frame_number = i.frame_idx""")
-def coco_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = det(spark, sf_dir).where("detection_type = 'object' and row_id % 3 = 0").withColumns({"split": F.when(F.col("video_id") % 5 == 0, "val").otherwise("train"), "width": F.lit(440), "height": F.lit(300)}).withColumnRenamed("frame_number", "frame_idx")
+_ANNOTATIONS = f"""{_COCO} select l.split, i.image_id, row_number() over (partition by l.split order by i.image_id, l.row_id) as annotation_id, [l.bbox_x1::double, l.bbox_y1::double, (l.bbox_x2 - l.bbox_x1)::double, (l.bbox_y2 - l.bbox_y1)::double] as bbox,
+  (l.bbox_x2 - l.bbox_x1)::double * (l.bbox_y2 - l.bbox_y1) as area from l join i on l.split = i.split and l.video_id = i.video_id and l.frame_number = i.frame_idx"""
+
+
+def _annotations(objects: DataFrame) -> DataFrame:
+    rows = objects.withColumns({"split": F.when(F.col("video_id") % 5 == 0, "val").otherwise("train"), "width": F.lit(440), "height": F.lit(300)}).withColumnRenamed("frame_number", "frame_idx")
     return dataset.coco_tables(rows)[1].select("split", F.col("image_id").cast("bigint").alias("image_id"), F.col("annotation_id").cast("bigint").alias("annotation_id"), "bbox", "area")
 
 
+@query(_ANNOTATIONS)
+def coco_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _annotations(det(spark, sf_dir).where("detection_type = 'object' and row_id % 3 = 0"))
+
+
+@query(_ANNOTATIONS.replace(" and row_id % 3 = 0", ""))
+def whole_coco_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _annotations(det(spark, sf_dir).where("detection_type = 'object'"))
+
+
 @query("""with n as (select distinct l_orderkey % 500 as image_id, l_partkey % 40 as node_id from lineitem where l_quantity < 10), e as (select l_orderkey % 500 as image_id, l_partkey % 40 as subject, l_shipdate::date::varchar[1:4] as predicate, l_suppkey % 40 as object from lineitem)
 select distinct e.* from e where exists (select 1 from n where n.image_id = e.image_id and n.node_id = e.subject) and exists (select 1 from n where n.image_id = e.image_id and n.node_id = e.object)""".replace("l_shipdate::date::varchar[1:4]", "year(l_shipdate)::varchar"))
 def scene_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,3 +68,8 @@ def test_coco_means_over_all_thresholds_and_areas(spark):
     assert [r.asDict() for r in e.coco_means_by_category(dets, truths).collect()] == [pytest.approx({"category_id": 1, "ap": ap, "ap_small": 1, "ap_medium": -1, "ap_large": 0.3})]
     assert set(QUERIES["coco_average_precision"](spark, SF).columns) == set(want)
     assert QUERIES["coco_precision_by_category"](spark, SF).columns == ["category_id", "ap", "ap_small", "ap_medium", "ap_large"]
+
+
+def test_annotations_of_all_objects(spark):
+    n = det(spark, SF).where("detection_type = 'object'").count()
+    assert QUERIES["whole_coco_annotations"](spark, SF).count() == n
