@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..llm.common import shuffle_partitions, staged
+from ..staging import shuffle_partitions, staged
 
 
 def number_runs(df: DataFrame, keys: list[str], order: str, label: str, step: int | None = 1) -> DataFrame:
