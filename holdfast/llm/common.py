@@ -1,9 +1,7 @@
-"""What the training-data operators share: table access, staging in the shared folder, text helpers."""
+"""What the training-data operators share: table access, text helpers, and staging in the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,6 +9,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import discard, scratch, shared_dir, shuffle_partitions, staged  # noqa: F401
+
 #: The white space of every contract here: space and the five control characters tab to carriage return.
 WHITE = " \t\n\x0b\x0c\r"
 NOT_WHITE_RUN = r"[^\x20\x09-\x0D]+"
@@ -23,48 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one set here where none is set."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="holdfast-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder, removed when the JVM ends."""
-    path = f"{shared_dir(spark)}/staged/{tag}-{uuid.uuid4().hex}"
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
-
-
-def staged(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: cuts lineage and survives lost executors.
-
-    The files are removed when the JVM ends, or earlier by ``discard``.
-    """
-    spark = df.sparkSession
-    path = scratch(spark, tag)
-    df.write.option("compression", compression).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._staged_at = path
-    return out
-
-
-def discard(*frames: DataFrame) -> None:
-    """Remove the files of staged frames that nothing reads any more."""
-    for df in frames:
-        spark = df.sparkSession
-        at = spark._jvm.org.apache.hadoop.fs.Path(df._staged_at)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit("")).alias(name)
 
