@@ -2,10 +2,13 @@
 
 A byte-level BPE never merges across its pre-tokens. Text is therefore cut into runs at places where a pre-token always
 begins, the distinct runs of a batch are encoded once by the library, and the ids of whole texts are gathered from them.
+That holds for one kind of tokenizer file, which ``splits_at_words`` recognises; with any other file, and for texts that hold
+the string of an added token, the library encodes the whole text.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -37,26 +40,43 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def splits_at_words(spec: dict) -> bool:
+    """Whether a tokenizer file is a byte-level BPE that takes texts as they are and splits them by the usual pattern of words."""
+    before, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
+    odd = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")
+    return plain and not spec.get("normalizer") and not spec.get("truncation") and not spec.get("padding") and model.get("type") == "BPE" and not any(model.get(k) for k in odd)
+
+
 def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where runs begin: at each text, before a blank that a solid byte follows, between an ASCII letter and a mark."""
+    """Where runs begin: at each text, before a blank that a solid byte of its own text follows, between an ASCII letter and a mark."""
     mark = np.zeros(len(data) + 1, bool)
     if len(data) > 1:
         left, right = data[:-1], data[1:]
         mark[: len(data) - 1] = _blank[left] & _solid[right]
         mark[1 : len(data)] |= _letter[left] & _mark[right]
+    mark[offsets[1:] - 1] = False  # nothing follows a text's last byte
     mark[offsets] = True
     return np.flatnonzero(mark)
 
 
 class Encoder:
-    """Encodes columns of texts with the tokenizer file at ``path``; special tokens' strings are ordinary text."""
+    """Encodes columns of texts with the tokenizer file at ``path``.
+
+    As in the library, the string of a special token gives that token's id wherever it stands; with ``special`` False it is ordinary text.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        added = [t["content"] for t in spec.get("added_tokens", []) if special or not t["special"]]
+        self.by_runs = splits_at_words(spec)
+        self.added = "|".join(map(re.escape, added))
         self.known: dict[bytes, int] = {}
         self.starts, self.lengths, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
@@ -91,8 +111,25 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and for n texts the n + 1 places where they begin and end. A null counts as empty."""
         texts = pa.concat_arrays([pa.compute.fill_null(texts, "").cast(pa.large_string())])
-        offsets = np.frombuffer(texts.buffers()[1], np.int64)[: len(texts) + 1]
-        if not len(texts) or not offsets[-1]:
+        whole = pa.compute.match_substring_regex(texts, self.added).to_numpy(zero_copy_only=False) if self.added else np.zeros(len(texts), bool)
+        if not self.by_runs:
+            whole = np.ones(len(texts), bool)
+        if not whole.any():
+            return self._by_runs(texts)
+        found = self.tokenizer.encode_batch_fast(texts.filter(pa.array(whole)).to_pylist(), add_special_tokens=False)
+        ids, offsets = self._by_runs(texts.filter(pa.array(~whole)))
+        at = np.flatnonzero(~whole)
+        parts: list[np.ndarray | list[int]] = [()] * len(texts)
+        for i, a, b in zip(at.tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            parts[i] = ids[a:b]
+        for i, e in zip(np.flatnonzero(whole).tolist(), found, strict=True):
+            parts[i] = e.ids
+        return np.concatenate([np.asarray(p, np.uint32) for p in parts]), np.cumsum([0, *map(len, parts)])
+
+    def _by_runs(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        texts = pa.concat_arrays([texts])
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[: len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        if not offsets[-1]:
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         data = texts.buffers()[2]
         cut = cuts(np.frombuffer(data, np.uint8)[: offsets[-1]], offsets)
@@ -105,11 +142,11 @@ class Encoder:
         return ids, np.concatenate([[0], ends])[np.searchsorted(cut, offsets)]
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, special: bool = True) -> Encoder:
     """One encoder for each Python worker and file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, special) not in _encoders:
+        _encoders[path, special] = Encoder(path, special)
+    return _encoders[path, special]
