@@ -113,15 +113,18 @@ def pack(docs: DataFrame, size: int = 1024, tokenizer: str | None = None, end_id
 
     A document is its ids and ``end_id``. Only documents longer than ``size`` are cut: all pieces but the first have ``size``
     tokens. Columns: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Null texts count as empty: one token.
-    Repeated rows are packed as often as they come; a null doc_id is kept; other columns are ignored; an empty table gives no
-    rows. Needs, besides one pass over the texts, rows of a few numbers for each piece.
+    A very long text is encoded whole by one task, which holds its ids, and gives as many pieces as it needs. Repeated rows are
+    packed as often as they come; a null doc_id is kept; other columns are ignored, whatever their names; an empty table gives
+    no rows. Needs, besides one pass over the texts, rows of a few numbers for each piece, shuffled once. The plan of bins is
+    broadcast: it has at most ``size`` lengths with one row for each combination, 0.23 MB for five million pieces.
     """
     rows = staged(pieces(docs, size, tokenizer or tokenizer_path(), end_id), "pieces")
     of_task = rows.groupBy("length", "task").agg(F.count("*").alias("n"))
     of_task = staged(of_task.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")), "ranks")
     counts = {r["length"]: r["n"] for r in of_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # ``size`` rows at most
     plan = docs.sparkSession.sparkContext.broadcast(slots(combinations(counts, size), size))
-    ranked = rows.join(of_task.select("length", "task", "before"), ["length", "task"])
+    # A row for each length and task grows with the corpus: it is dealt out, not broadcast. A key has one task's pieces at most.
+    ranked = rows.join(of_task.select("length", "task", "before").hint("merge"), ["length", "task"])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where = plan.value

@@ -26,8 +26,9 @@ SEGMENTS = "shard int, seq int, doc_ids array<bigint>, lengths array<bigint>, n_
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int | None = 0, shards: int | None = None) -> None:
     """Encode ``text`` of all rows and write the files to ``path``.
 
-    Null or empty texts give the end id alone (nothing without one). Rows that share a doc_id follow one another in the order
-    of their texts; a null doc_id comes first. Other columns are ignored. An empty table gives files without rows.
+    Null or empty texts give the end id alone (nothing without one). A very long text is encoded whole, alone in its segment.
+    Repeated rows are documents each; rows that share a doc_id follow one another in the order of their texts; a null doc_id
+    comes first. Other columns are ignored, whatever their names. An empty table gives files without rows.
     """
     tokenizer = tokenizer or tokenizer_path()
 
