@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_WHITE_RUN, shuffle_partitions, staged
+from .common import NOT_WHITE_RUN, fresh, shuffle_partitions, staged
 
 
 def words() -> Column:
@@ -40,36 +40,47 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     return of.select("source", "source_size", target.alias("target"), offset.alias("offset"))
 
 
-def copies(docs: DataFrame, **parameters) -> DataFrame:
-    """One row for each document: doc_id, source, size (words), source_size, target, copies, taken (copies x size).
-
-    A null text has size 0; null is a source of its own. No document comes more often than target / source_size rounded up.
-    Documents without words in a source without words have 0 copies. Repeated rows are documents each. Reruns agree, whatever
-    the partitions. An empty table gives no rows.
-    """
-    spark = docs.sparkSession
-    sizes = staged(docs.select("doc_id", "source", words().alias("size")), "sizes")
-    order = ["source", "size", "doc_id"]
-    rows = sizes.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
-    rows = staged(rows.withColumn("task", F.shiftright("at", 33)), "ordered")
-    part = rows.groupBy("source", "task").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+def _copies(rows: DataFrame, **parameters) -> DataFrame:
+    """``rows`` (row, doc_id, source, size, tie), which are staged, with source_size, target and copies; row and tie only break ties."""
+    spark = rows.sparkSession
+    order = ["source", "size", "doc_id", "tie", "row"]
+    ordered = rows.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    ordered = staged(ordered.select("row", "doc_id", "source", "size", "at", F.shiftright("at", 33).alias("task")), "ordered")
+    part = ordered.groupBy("source", "task").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     shift = F.sum("n").over(Window.partitionBy("source").orderBy("task")) - F.col("n") - F.col("first")
     part = part.select("source", "task", shift.alias("shift")).alias("p")
-    of = targets(sizes, **parameters).alias("o")
+    of = targets(rows, **parameters).alias("o")
     base = part.join(of, F.expr("p.source <=> o.source")).select("p.source", "p.task", "p.shift", "o.source_size", "o.target", "o.offset").alias("b")
     rank = F.col("at") + F.col("shift")
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     crossed = F.floor(each * (rank + 1) + F.col("offset")) - F.floor(each * rank + F.col("offset"))
-    out = rows.alias("r").join(base, F.expr("r.source <=> b.source and r.task = b.task"))
-    out = out.select("doc_id", "r.source", "size", "source_size", "target", F.least(crossed, F.ceil(each)).alias("copies"))
-    return out.withColumn("taken", F.col("copies") * F.col("size"))
+    # A row for each source and task grows with both: it is dealt out, not broadcast. A key has one task's rows at most.
+    out = ordered.alias("r").join(base.hint("merge"), F.expr("r.source <=> b.source and r.task = b.task"))
+    return out.select("row", "doc_id", "r.source", "size", "source_size", "target", F.least(crossed, F.ceil(each)).alias("copies"))
+
+
+def copies(docs: DataFrame, **parameters) -> DataFrame:
+    """One row for each document: doc_id, source, size (words), source_size, target, copies, taken (copies x size).
+
+    A null text has size 0; a very long text counts whole; null is a source of its own. No document comes more often than
+    target / source_size rounded up. Documents without words in a source without words have 0 copies. Repeated rows are documents
+    each; a null doc_id comes first among rows of its source and size. Reruns agree, whatever the partitions. Other columns are
+    ignored, whatever their names. An empty table gives no rows. One row for each source goes through a single task.
+    """
+    none = F.lit(0).cast("bigint")
+    rows = staged(docs.select(none.alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), "source", words().alias("size"), none.alias("tie")), "sizes")
+    return _copies(rows, **parameters).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of ``docs``, each as often as ``copies`` says. Of rows with one doc_id, the nth by source and size goes with the nth."""
-    nth = F.row_number().over(Window.partitionBy("__doc").orderBy("__source", "__size"))
-    of = copies(docs, **parameters).select(F.col("doc_id").alias("__doc"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("copies").alias("__copies"))
-    of = of.withColumn("__nth", nth).where("__copies > 0").select("__doc", "__nth", "__copies")
-    rows = docs.withColumns({"__doc": F.col("doc_id"), "__source": F.col("source"), "__size": words()}).withColumn("__nth", nth).drop("__source", "__size")
-    joined = rows.alias("r").join(of.alias("c"), F.expr("r.__doc <=> c.__doc and r.__nth = c.__nth"))
-    return joined.select(*[F.col(f"r.`{c}`") for c in docs.columns], F.explode(F.array_repeat(F.lit(1), F.col("c.__copies").cast("int"))).alias("__copy")).drop("__copy")
+    """The rows of ``docs``, each as often as ``copies`` says, with all their columns, whatever their names.
+
+    Rows are numbered in a written table, and decided on by number, source and size; texts are joined to the decisions once. Rows
+    that agree in doc_id, source and size go by a hash of their texts, so that reruns agree; equal rows are interchangeable.
+    """
+    row, n = fresh(docs, "row", "copies")
+    numbered = staged(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    sizes = numbered.select(F.col(row).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), "source", words().alias("size"), F.xxhash64("text").alias("tie"))
+    taken = _copies(staged(sizes, "sizes"), **parameters).where("copies > 0").select(F.col("row").alias(row), F.col("copies").cast("int").alias(n))
+    again = F.explode(F.array_repeat(F.lit(1), F.col(n))).alias(n)
+    return numbered.join(taken, row).select(*[F.col(f"`{c}`") for c in docs.columns], again).drop(n)
