@@ -16,8 +16,8 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 #: Strings that may be keys, by character class, with the bits of entropy that a window needs.
 CLASSES = {"hex": (r"(?<![A-Za-z0-9+/_-])[0-9A-Fa-f]{24,}(?![A-Za-z0-9+/_-])", 3.0), "base64": (r"[A-Za-z0-9+/_-]{20,}", 3.6)}
-#: Candidates with any of these are placeholders or names, not secrets.
-ALLOWED = r"(?i)example|sample|dummy|placeholder|changeme|redacted|deadbeef|0123456789|abcdefghij|(.)\1{7}"
+#: The allow-list: placeholders and runs of one character. No window that overlaps one of these is a secret.
+ALLOWED = r"(?i)example|sample|dummy|placeholder|changeme|redacted|deadbeef|0123456789|abcdefghij|(.)\1{7,}"
 WINDOW = 20
 _SPAN = "array<struct<start:bigint,kind_no:int,end:bigint,kind:string>>"
 
@@ -27,8 +27,12 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """Array of (start, value) of the pattern's leftmost matches that don't overlap, in code points from 0."""
+def _sum(lengths: Column) -> Column:
+    return F.aggregate(lengths, F.lit(0).cast("bigint"), lambda a, x: a + x)
+
+
+def _located(text: Column, pattern: str, shown: Callable[[Column, Callable[[Column], Column]], Column]) -> Column:
+    """``shown`` of (hits, gaps) of the pattern's leftmost matches that don't overlap, and of a function: characters before the nth gap."""
 
     def located(v: Column) -> Column:
         steps = F.transform(v.hits, lambda m, i: F.length(m) + F.length(F.get(v.gaps, i)))
@@ -36,25 +40,24 @@ def matches(text: Column, pattern: str) -> Column:
         def placed(s: Column) -> Column:
             # Sums of 256 steps each, so that a text with very many matches doesn't sum all steps for each of them.
             whole = F.transform(F.sequence(F.lit(0), F.floor(F.size(s) / 256).cast("int")), lambda c: _sum(F.slice(s, c * 256 + 1, F.lit(256))))
-            return let(
-                whole,
-                lambda w: F.transform(
-                    v.hits,
-                    lambda m, i: F.struct(
-                        (_sum(F.slice(w, F.lit(1), F.floor(i / 256).cast("int"))) + _sum(F.slice(s, (F.floor(i / 256) * 256 + 1).cast("int"), i % 256)) + F.length(F.get(v.gaps, i))).alias("start"),
-                        m.alias("value"),
-                    ),
-                ),
-            )
+            before = lambda w: lambda i: _sum(F.slice(w, F.lit(1), F.floor(i / 256).cast("int"))) + _sum(F.slice(s, (F.floor(i / 256) * 256 + 1).cast("int"), i % 256))
+            return let(whole, lambda w: shown(v, before(w)))
 
         return let(steps, placed)
 
-    found = let(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps")), located)
+    return let(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps")), located)
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """Array of (start, value) of the pattern's matches, in code points from 0."""
+    found = _located(text, pattern, lambda v, before: F.transform(v.hits, lambda m, i: F.struct((before(i) + F.length(F.get(v.gaps, i))).alias("start"), m.alias("value"))))
     return F.when(F.rlike(text, F.lit(pattern)), found).otherwise(F.array().cast("array<struct<start:bigint,value:string>>"))
 
 
-def _sum(lengths: Column) -> Column:
-    return F.aggregate(lengths, F.lit(0).cast("bigint"), lambda a, x: a + x)
+def between(text: Column, pattern: str) -> Column:
+    """Array of (start, value) of what the pattern's matches leave."""
+    found = _located(text, pattern, lambda v, before: F.transform(v.gaps, lambda g, i: F.struct(before(i).alias("start"), g.alias("value"))))
+    return F.when(F.rlike(text, F.lit(pattern)), found).otherwise(F.array(F.struct(F.lit(0).cast("bigint").alias("start"), text.alias("value"))))
 
 
 def _spans(found: Column, no: int, kind: str) -> Column:
@@ -70,43 +73,47 @@ def _entropy_spans(judged: Column, no: int, kind: str) -> Column:
 def windows(value: Column, bits: float, size: int = WINDOW) -> Column:
     """(first, last): where the first and the last window of at least ``bits`` of entropy begin in value; null if none does.
 
-    With n of each character, entropy is log2(size) - sum(n log2 n) / size. Moving on by one character changes two counts.
+    With n of each character, entropy is log2(size) - sum(n log2 n) / size. The counts of a window's characters are carried from
+    window to window: moving on by one character changes two of them, and two terms of the sum.
     """
-    plogp = F.array(*[F.lit(0.0), *[F.lit(n).cast("double") * F.log2(F.lit(n)) for n in range(1, size + 1)]])
+    plogp = F.array(F.lit(0.0), *[F.lit(n).cast("double") * F.log2(F.lit(n)) for n in range(1, size + 1)])
 
-    def counted(chars: Column, c: Column) -> Column:
-        return F.size(F.filter(chars, lambda x: x == c))
+    def counted(v: Column) -> Column:
+        # A character is the place of its kind among the candidate's kinds, so that counts are an array.
+        codes = F.transform(v.chars, lambda c: (F.array_position(v.kinds, c) - 1).cast("int"))
+        counts = F.transform(v.kinds, lambda c: F.size(F.filter(F.slice(v.chars, 1, size), lambda x: x == c)))
+        return let(F.struct(codes.alias("codes"), counts.alias("counts"), v.n.alias("n"), v.plogp.alias("plogp")), moved)
 
     def moved(v: Column) -> Column:
-        start = F.aggregate(F.array_distinct(F.slice(v.chars, 1, size)), F.lit(0.0), lambda a, c: a + F.get(v.plogp, counted(F.slice(v.chars, 1, size), c)))
-
-        def judged(total: Column, place: Column, first: Column, last: Column) -> Column:
+        def judged(counts: Column, total: Column, place: Column, first: Column, last: Column) -> Column:
             over = F.log2(F.lit(float(size))) - total / size >= bits - 1e-9
-            return F.struct(total.alias("total"), F.when(first.isNull() & over, place).otherwise(first).alias("first"), F.when(over, place).otherwise(last).alias("last"))
+            return F.struct(counts.alias("counts"), total.alias("total"), F.when(first.isNull() & over, place).otherwise(first).alias("first"), F.when(over, place).otherwise(last).alias("last"))
 
         def step(a: Column, i: Column) -> Column:
-            inner = F.slice(v.chars, i + 1, F.lit(size - 1))
-            gone, come = counted(inner, F.get(v.chars, i - 1)), counted(inner, F.get(v.chars, i + size - 1))
-            # The leaving character had one more than the inner part has; the entering one makes one more.
-            change = F.get(v.plogp, gone) - F.get(v.plogp, gone + 1) + F.get(v.plogp, come + 1) - F.get(v.plogp, come)
-            return judged(a.total + change, i, a["first"], a["last"])
+            gone, come = F.get(v.codes, i - 1), F.get(v.codes, i + size - 1)
+            less, more = F.get(a.counts, gone), F.get(a.counts, come)
+            change = F.get(v.plogp, less - 1) - F.get(v.plogp, less) + F.get(v.plogp, more + 1) - F.get(v.plogp, more)
+            counts = F.transform(a.counts, lambda n, k: n - (k == gone).cast("int") + (k == come).cast("int"))
+            return judged(F.when(gone == come, a.counts).otherwise(counts), a.total + F.when(gone == come, 0.0).otherwise(change), i, a["first"], a["last"])
 
+        start = F.aggregate(v.counts, F.lit(0.0), lambda a, n: a + F.get(v.plogp, n))
         n = v.n - size
         places = F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
         none = F.lit(None).cast("int")
-        return let(start, lambda s: F.aggregate(places, judged(s, F.lit(0), none, none), step))
+        return let(start, lambda s: F.aggregate(places, judged(v.counts, s, F.lit(0), none, none), step))
 
-    found = let(F.struct(F.split(value, "(?!^)").alias("chars"), F.length(value).alias("n"), plogp.alias("plogp")), moved)
-    return found
+    return let(F.split(value, "(?!^)"), lambda c: let(F.struct(c.alias("chars"), F.array_distinct(c).alias("kinds"), F.length(value).alias("n"), plogp.alias("plogp")), counted))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """``docs`` with an array ``spans`` of (start, kind_no, end, kind), in order of start and kind; places are code points.
 
     Kinds: assign (a named secret and its value of 8 characters or more), access (key ids of 16 or more), hex (32 or more),
-    entropy_hex and entropy_base64 (windows of ``WINDOW`` characters whose entropy reaches the bits of their class, in strings
-    with letters and digits, without those that ``ALLOWED`` names). A null or empty text has no spans. A column named
-    spans is replaced. Rows stay as they are, repeated ones too.
+    entropy_hex and entropy_base64 (windows of ``WINDOW`` characters whose entropy reaches the bits of their class, none of which
+    overlaps a match of ``ALLOWED``, in strings whose part between such matches has letters and digits; one span for each part).
+    A null or empty text has no spans; a very long text is scanned whole, in its task, with counts kept by candidate only.
+    A column named spans is replaced, all others stay. Rows stay as they are, repeated ones and null doc_ids too. An empty table
+    gives no rows.
     """
     text = F.coalesce("text", F.lit(""))
     assign = F.filter(matches(text, ASSIGN), lambda m: F.length(F.regexp_extract(m.value, ASSIGN, 1)) >= 8)
@@ -114,7 +121,9 @@ def scan(docs: DataFrame) -> DataFrame:
     hexes = matches(text, HEX + "(?<=[0-9a-f]{32})")
     spans = [_spans(assign, 0, "assign"), _spans(access, 1, "access"), _spans(hexes, 2, "hex")]
     for no, (name, (pattern, bits)) in enumerate(CLASSES.items(), 3):
-        able = F.filter(matches(text, pattern), lambda m: F.rlike(m.value, F.lit("[0-9]")) & F.rlike(m.value, F.lit("[A-Za-z]")) & ~F.rlike(m.value, F.lit(ALLOWED)))
+        candidates = F.filter(matches(text, pattern), lambda m: F.rlike(m.value, F.lit("[0-9]")) & F.rlike(m.value, F.lit("[A-Za-z]")))
+        parts = F.flatten(F.transform(candidates, lambda m: F.transform(between(m.value, ALLOWED), lambda p: F.struct((m.start + p.start).alias("start"), p.value.alias("value")))))
+        able = F.filter(parts, lambda p: (F.length(p.value) >= WINDOW) & F.rlike(p.value, F.lit("[0-9]")) & F.rlike(p.value, F.lit("[A-Za-z]")))
         judged = F.transform(able, lambda m: F.struct(m.start.alias("start"), windows(m.value, bits).alias("w")))
         spans.append(_entropy_spans(judged, no, f"entropy_{name}"))
     return docs.withColumn("spans", F.array_sort(F.concat(*[s.cast(_SPAN) for s in spans])))
