@@ -6,6 +6,9 @@ by the sum of its halves' distances to the two centroids. How many cells it visi
 finds for ``probes`` vectors against all, and pairs made at similarities from the threshold to 1; both must reach the target
 recall. Every vector is a query. What a visit finds is verified by cosines in double precision. Equal vectors are one class
 with a count; links are counted and joined in the cell where they are found, never listed.
+
+A vector goes to each cell that it visits with the largest sum of distances that it still visits, not with its list of cells:
+whether it visits a cell follows from that and the codebooks, which every task holds.
 """
 
 from __future__ import annotations
@@ -24,30 +27,48 @@ from .components import components, merge_labels
 
 
 def keyed(vectors: DataFrame) -> DataFrame:
-    """(vec_id, key, vec): unit vectors as bytes of doubles, and a hash of them; both null for a vector that links with nothing."""
+    """(vec_id, key, vec): vectors as bytes of doubles and a hash of them; both null for a vector that links with nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, vecs = [], []
             for i, v in zip(batch.column("vec_id").to_pylist(), batch.column("embedding").to_pylist(), strict=True):
-                x = np.array([np.nan] if v is None or None in v else v, np.float64)
-                most = np.abs(x).max(initial=0.0)
-                good = i is not None and np.isfinite(x).all() and most > 0
-                if good:
-                    x = x / most
-                    x = x / np.linalg.norm(x) + 0.0
-                # The key is of the vector as given: equal vectors have equal bytes.
-                keys.append(xxhash.xxh3_128_digest((np.array(v, np.float64) + 0.0).tobytes()) if good else None)
-                vecs.append(x.tobytes() if good else None)
+                x = np.array([np.nan] if v is None or None in v else v, np.float64) + 0.0
+                good = i is not None and np.isfinite(x).all() and np.abs(x).max(initial=0.0) > 0
+                keys.append(xxhash.xxh3_128_digest(x.tobytes()) if good else None)
+                # As floats where that loses nothing. Doubles come with a mark, so that the number of bytes tells them apart.
+                small = x.astype(np.float32) if good and np.abs(x).max() < 1e38 else None
+                vecs.append(None if not good else small.tobytes() if small is not None and (small == x).all() else x.tobytes() + b"d")
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(keys, pa.binary()), pa.array(vecs, pa.binary())], names=["vec_id", "key", "vec"])
 
     return vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding").mapInArrow(run, "vec_id bigint, key binary, vec binary")
 
 
+def _by_size(vecs: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(dimensions, places, unit vectors in double precision) of vectors of one length in bytes after another."""
+    lengths = np.fromiter(map(len, vecs), np.int64, len(vecs))
+    for n in np.unique(lengths):
+        here = np.flatnonzero(lengths == n)
+        double = n % 4 == 1
+        raw = b"".join(vecs[i][:-1] if double else vecs[i] for i in here)
+        x = np.frombuffer(raw, np.float64 if double else np.float32).reshape(len(here), -1).astype(np.float64)
+        x = x / np.abs(x).max(axis=1)[:, None]
+        yield x.shape[1], here, x / np.linalg.norm(x, axis=1)[:, None] + 0.0
+
+
+def _units(vecs: list[bytes]) -> np.ndarray:
+    """Vectors of as many dimensions, as unit vectors in rows."""
+    parts = list(_by_size(vecs))
+    out = np.empty((len(vecs), parts[0][0]))
+    for _, here, x in parts:
+        out[here] = x
+    return out
+
+
 def k_means(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
     centre = x[np.random.default_rng(seed).permutation(len(x))[:k]].copy()
     for _ in range(rounds):
-        near = distances(x, centre).argmin(axis=1)
+        near = np.concatenate([distances(x[i : i + 1024], centre).argmin(axis=1) for i in range(0, len(x), 1024)])
         n = np.bincount(near, minlength=k)
         total = np.zeros_like(centre)
         np.add.at(total, near, x)
@@ -59,12 +80,16 @@ def distances(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
     return np.maximum((x**2).sum(axis=1)[:, None] - 2 * x @ centre.T + (centre**2).sum(axis=1), 0)
 
 
+#: Added to distances by number of centroid, so that no two cells are equally far, and what rounding may change in a sum.
+APART, SLACK = 1e-10, 1e-12
+
+
 @lru_cache
 def _corner(a: int, b: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of ranks that can be among the ``most`` smallest sums of an ascending row of a and one of b values."""
-    i, j = np.meshgrid(np.arange(a), np.arange(b), indexing="ij")
-    keep = (i + 1) * (j + 1) <= most
-    return i[keep], j[keep]
+    pairs = [(i, j) for i in range(min(a, most)) for j in range(min(b, most // (i + 1)))]
+    i, j = np.array(pairs).T
+    return i, j
 
 
 class Grid:
@@ -72,51 +97,73 @@ class Grid:
 
     def __init__(self, x: np.ndarray, k: int):
         self.half = x.shape[1] // 2
-        k = max(1, min(k, len(x)))
-        self.books = [k_means(np.ascontiguousarray(x[:, a:b]), k) for a, b in ((0, self.half), (self.half, x.shape[1]))]
-        self.k = k
+        self.k = max(1, min(k, len(x)))
+        self.books = [k_means(np.ascontiguousarray(x[:, a:b]), self.k) for a, b in ((0, self.half), (self.half, x.shape[1]))]
+
+    def _far(self, x: np.ndarray) -> list[np.ndarray]:
+        """Distances of the halves to all their centroids."""
+        parts = (x[:, : self.half], x[:, self.half :])
+        return [distances(np.ascontiguousarray(p), c) + np.arange(self.k) * step for p, c, step in zip(parts, self.books, (APART, APART * self.k), strict=True)]
 
-    def visits(self, x: np.ndarray, most: int) -> np.ndarray:
-        """For each row the cells it visits, in order; the first is the one it lies in."""
+    def homes(self, x: np.ndarray) -> np.ndarray:
+        a, b = self._far(x)
+        return a.argmin(axis=1) * self.k + b.argmin(axis=1)
+
+    def visits(self, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each row the cells it visits, in order (the first is the one it lies in), and the largest sum that it visits."""
         most = min(most, self.k**2)
-        d = [distances(np.ascontiguousarray(p), c) for p, c in zip((x[:, : self.half], x[:, self.half :]), self.books, strict=True)]
+        d = self._far(x)
         order = [np.argsort(m, axis=1, kind="stable") for m in d]
         ranked = [np.take_along_axis(m, o, axis=1) for m, o in zip(d, order, strict=True)]
         i, j = _corner(self.k, self.k, most)
-        best = np.argsort(ranked[0][:, i] + ranked[1][:, j], axis=1, kind="stable")[:, :most]
-        return np.take_along_axis(order[0], i[best], axis=1) * self.k + np.take_along_axis(order[1], j[best], axis=1)
+        total = ranked[0][:, i] + ranked[1][:, j]
+        best = np.argsort(total, axis=1, kind="stable")[:, :most]
+        cells = np.take_along_axis(order[0], i[best], axis=1) * self.k + np.take_along_axis(order[1], j[best], axis=1)
+        return cells, np.take_along_axis(total, best[:, -1:], axis=1)[:, 0] + SLACK
+
+    def reaches(self, x: np.ndarray, reach: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """Whether rows (with the largest sums they visit) visit each of the cells."""
+        a, b = self._far(x)
+        return a[:, cells // self.k] + b[:, cells % self.k] <= reach[:, None]
 
-    def rank(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """For pairs of rows how many visits it takes until one of them comes to the other's cell."""
-        out = np.full(len(x), self.k**2)
-        for a, b in ((x, y), (y, x)):
-            hit = self.visits(a, self.k**2) == self.visits(b, 1)
-            out = np.minimum(out, hit.argmax(axis=1) + 1)
-        return out
+    def ranks(self, x: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """For each row how many visits it takes to its cell: as many as there are cells not farther, counted by sorted halves."""
+        a, b = self._far(x)
+        row = np.arange(len(x))
+        s = a[row, cells // self.k] + b[row, cells % self.k] + SLACK
+        b = np.sort(b, axis=1)
+        return np.array([np.searchsorted(b[i], s[i] - a[i], side="right").sum() for i in row], np.int64)
 
 
-def _needed(histogram: np.ndarray, recall: float) -> int:
-    return int(np.searchsorted(np.cumsum(histogram), recall * histogram.sum() - 1e-9)) if histogram.sum() else 1
+#: Visits are counted in steps of five hundredths, so that few counts come to the driver.
+STEP = np.log(1.05)
 
 
-def _matrix(vecs: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(vecs), np.float64).reshape(len(vecs), -1)
+def _needed(steps: dict[int, int], recall: float) -> int:
+    """The fewest visits, by whole steps, that find the share ``recall`` of the pairs."""
+    if not steps:
+        return 1
+    at = np.array(sorted(steps))
+    found = np.cumsum([steps[i] for i in at])
+    return int(np.ceil(np.exp(at[np.searchsorted(found, recall * found[-1] - 1e-9)] * STEP)))
 
 
-def _by_size(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(dimensions, places, matrix) for the vectors of a batch."""
-    vecs = batch.column("vec").to_pylist()
-    sizes = np.fromiter((len(v) // 8 for v in vecs), np.int64, len(vecs))
-    for n in np.unique(sizes):
-        here = np.flatnonzero(sizes == n)
-        yield int(n), here, _matrix([vecs[i] for i in here])
+def _steps(rank: np.ndarray) -> np.ndarray:
+    return np.ceil(np.log(np.maximum(rank, 1)) / STEP - 1e-9).astype(np.int64)
+
+
+def _first(grid: Grid, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For pairs of rows the visits it takes until one of them comes to the other's cell."""
+    return np.minimum(grid.ranks(x, grid.homes(y)), grid.ranks(y, grid.homes(x)))
 
 
 def fit(classes: DataFrame, total: int, threshold: float, recall: float, sample: int, probes: int, fill: int) -> tuple[dict[int, Grid], dict[int, int]]:
-    """Grids and numbers of visits, by number of dimensions."""
-    rows = classes.orderBy(F.xxhash64("key"), "cls").limit(sample).select("cls", "vec").toArrow().combine_chunks().to_batches()
-    drawn = {n: x for b in rows for n, _, x in _by_size(b)}
-    k = max(1, min(1024, round((total / fill) ** 0.5)))
+    """Grids and numbers of visits, by number of dimensions. Of a probe's pairs a task counts 64 of each batch of vectors at most."""
+    rows = classes.orderBy(F.xxhash64("key"), "cls").limit(sample).select("vec").toArrow().column("vec").to_pylist()
+    drawn: dict[int, np.ndarray] = {}
+    for n, _, x in _by_size(rows):
+        drawn[n] = np.concatenate([drawn[n], x]) if n in drawn else x
+    k = max(1, round((total / fill) ** 0.5))
     grids = {n: Grid(x, min(k, max(1, len(x) // 8))) for n, x in drawn.items()}
     queries = {n: x[:probes] for n, x in drawn.items()}
     shared = classes.sparkSession.sparkContext.broadcast((grids, queries))
@@ -125,24 +172,24 @@ def fit(classes: DataFrame, total: int, threshold: float, recall: float, sample:
         grids, queries = shared.value
         counts: dict[tuple[int, int], int] = {}
         for batch in batches:
-            for n, _, x in _by_size(batch):
+            for n, _, x in _by_size(batch.column("vec").to_pylist()):
                 if n not in grids:
                     continue
-                q, y = np.nonzero((s := queries[n] @ x.T) >= threshold)
-                other = s[q, y] < 1 - 1e-12  # the probe itself
-                for i in range(0, other.sum(), 2048):
-                    a, b = q[other][i : i + 2048], y[other][i : i + 2048]
-                    for r, c in zip(*np.unique(grids[n].rank(queries[n][a], x[b]), return_counts=True), strict=True):
-                        counts[n, int(r)] = counts.get((n, int(r)), 0) + int(c)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.int32()), pa.array([k[1] for k in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["size", "rank", "n"])
-
-    found = classes.select("vec").mapInArrow(run, "size int, rank int, n bigint").groupBy("size", "rank").agg(F.sum("n").alias("n")).collect()  # at most one row for each cell
+                s = queries[n] @ x.T
+                q, y = np.nonzero((s >= threshold) & (s < 1 - 1e-12))  # without the probe itself
+                nth = np.arange(len(q)) - np.searchsorted(q, q)
+                q, y = q[nth < 64], y[nth < 64]
+                for i in range(0, len(q), 512):
+                    step, m = np.unique(_steps(_first(grids[n], queries[n][q[i : i + 512]], x[y[i : i + 512]])), return_counts=True)
+                    for r, c in zip(step.tolist(), m.tolist(), strict=True):
+                        counts[n, r] = counts.get((n, r), 0) + c
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.int32()), pa.array([k[1] for k in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["size", "step", "n"])
+
+    found = classes.select("vec").mapInArrow(run, "size int, step int, n bigint").groupBy("size", "step").agg(F.sum("n").alias("n")).collect()  # a few hundred steps
     visits = {}
     for n, grid in grids.items():
-        real, made = np.zeros(grid.k**2 + 1), np.zeros(grid.k**2 + 1)
-        for r in found:
-            if r["size"] == n:
-                real[r["rank"]] += r["n"]
+        real = {r["step"]: r["n"] for r in found if r["size"] == n}
+        made: dict[int, int] = {}
         rng = np.random.default_rng(11)
         x = queries[n]
         if n > 1:
@@ -150,111 +197,138 @@ def fit(classes: DataFrame, total: int, threshold: float, recall: float, sample:
             noise -= (noise * x).sum(axis=1)[:, None] * x
             noise /= np.maximum(np.linalg.norm(noise, axis=1), 1e-300)[:, None]
             c = rng.uniform(threshold, 1, len(x))[:, None]
-            np.add.at(made, grid.rank(x, c * x + np.sqrt(1 - c**2) * noise), 1)
+            step, m = np.unique(_steps(_first(grid, x, c * x + np.sqrt(1 - c**2) * noise)), return_counts=True)
+            made = dict(zip(step.tolist(), m.tolist(), strict=True))
         visits[n] = max(1, _needed(real, recall), _needed(made, recall))
     return grids, visits
 
 
-DEALT = "cell bigint, h int, v int, role int, cls bigint, mult bigint, home bigint, vec binary, visited binary"
+PLACED = "cls bigint, mult bigint, home bigint, reach double, vec binary"
+DEALT = f"cell bigint, h int, v int, role int, {PLACED}"
+_names = [x.split()[0] for x in DEALT.split(", ")]
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.98, sample: int = 16384, probes: int = 256, fill: int = 32, most: int = 1024) -> DataFrame:
     """One row for each vector: vec_id, n_links, component_id (smallest vec_id reachable by links).
 
     Vectors (vec_id, embedding) that are null, empty or zero, or hold a null or non-finite component, or have no vec_id, link with nothing;
-    vectors of different lengths don't link. Equal vectors are linked, repeated rows too. Other columns are ignored; an empty
-    table gives no rows. A cell with more than ``most`` vectors, or eight times as many visits, is worked on in blocks.
+    vectors of different lengths don't link; a vector of any length is compared whole. Equal vectors are linked, repeated rows too.
+    Other columns are ignored, whatever their names; an empty table gives no rows. A cell with more than ``most`` vectors, or
+    eight times as many visits, is worked on in blocks.
+
+    Of all links the share ``recall`` is aimed at. A codebook has a centroid for eight vectors of the sample at most, 2,048: with
+    ``fill`` vectors in a cell that is enough for 134 million vectors of one length, and a larger sample serves more.
     """
     spark = vectors.sparkSession
     rows = staged(keyed(vectors), "vectors")
     classes = staged(rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("cls"), F.count("*").alias("mult"), F.first("vec").alias("vec")), "classes")
     total = classes.count()
-    model = fit(classes, total, threshold, recall, sample, probes, fill)
-    shared = spark.sparkContext.broadcast(model)
-
-    def cells(n: int, x: np.ndarray) -> np.ndarray:
-        grids, visits = shared.value
-        own = np.concatenate([grids[n].visits(x[i : i + 1024], visits[n]) for i in range(0, len(x), 1024)]) if n in grids else np.zeros((len(x), 1), np.int64)
-        return own + (n << 32)
+    shared = spark.sparkContext.broadcast(fit(classes, total, threshold, recall, sample, probes, fill))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grids, visits = shared.value
         for batch in batches:
-            visited = [b""] * batch.num_rows
-            for n, here, x in _by_size(batch):
-                for i, row in zip(here.tolist(), cells(n, x), strict=True):
-                    visited[i] = row.tobytes()
-            home = [int.from_bytes(v[:8], "little") for v in visited]
-            yield pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("mult"), pa.array(home), batch.column("vec"), pa.array(visited, pa.binary())], names=["cls", "mult", "home", "vec", "visited"])
-
-    at = staged(classes.select("cls", "mult", "vec").mapInArrow(placed, "cls bigint, mult bigint, home bigint, vec binary, visited binary"), "placed")
+            home, reach, visited = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows), [b""] * batch.num_rows
+            for n, here, x in _by_size(batch.column("vec").to_pylist()):
+                for i in range(0, len(x), 1024):
+                    if n in grids:
+                        cells, most_far = grids[n].visits(x[i : i + 1024], visits[n])
+                    else:  # no vector of the sample is as long: all those lie in one cell
+                        cells, most_far = np.zeros((len(x[i : i + 1024]), 1), np.int64), np.full(len(x[i : i + 1024]), np.inf)
+                    at = here[i : i + 1024]
+                    home[at], reach[at] = cells[:, 0] + (n << 32), most_far
+                    for j, row in zip(at.tolist(), cells + (n << 32), strict=True):
+                        visited[j] = row.tobytes()
+            columns = [batch.column("cls"), batch.column("mult"), pa.array(home), pa.array(reach), batch.column("vec"), pa.array(visited, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*_names[4:], "visited"])
+
+    at = staged(classes.select("cls", "mult", "vec").mapInArrow(placed, f"{PLACED}, visited binary"), "placed")
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cell, n = np.unique(np.frombuffer(b"".join(batch.column("visited").to_pylist()), np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], names=["cell", "n"])
 
-    # No more rows than the grid has cells come to the driver.
+    # Cells with over ``most`` vectors: no more rows than the grid has cells come to the driver.
     homes = at.groupBy(F.col("home").alias("cell")).agg(F.count("*").alias("n")).where(F.col("n") > most).collect()
     guests = at.select("visited").mapInArrow(tally, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > 8 * most).collect()
     parts = spark.sparkContext.broadcast(({r["cell"]: -(-r["n"] // most) for r in homes}, {r["cell"]: -(-r["n"] // (8 * most)) for r in guests}))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_home, by_guest = parts.value
+        split = np.array(sorted(by_home.keys() | by_guest.keys()), np.int64)
         for batch in batches:
-            index, out = [], []
-            for i, (cls, home, visited) in enumerate(zip(*(batch.column(k).to_pylist() for k in ("cls", "home", "visited")), strict=True)):
-                for cell in np.frombuffer(visited, np.int64).tolist():
-                    h, v = by_home.get(cell, 1), by_guest.get(cell, 1)
-                    own_h, own_v = (xxhash.xxh64_intdigest(cls.to_bytes(8, "little", signed=True)) % m for m in (h, v))
-                    blocks = {(a, own_v): 2 for a in range(h)}
-                    if cell == home:
-                        for b in range(v):
-                            blocks[own_h, b] = blocks.get((own_h, b), 0) | 1
-                    for (a, b), role in blocks.items():
-                        index.append(i)
-                        out.append((cell, a, b, role))
-            columns = list(zip(*out, strict=True)) or [()] * 4
-            head = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)]
-            rest = batch.take(pa.array(index, pa.int64())) if index else batch.slice(0, 0)
-            yield pa.RecordBatch.from_arrays([*head, *(rest.column(k) for k in ("cls", "mult", "home", "vec", "visited"))], names=[x.split()[0] for x in DEALT.split(", ")])
-
-    def verify(held: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            visited = batch.column("visited").to_pylist()
+            cell = np.frombuffer(b"".join(visited), np.int64)
+            row = np.repeat(np.arange(len(visited)), [len(v) // 8 for v in visited])
+            own = cell == batch.column("home").to_numpy()[row]
+            plain = ~np.isin(cell, split)
+            # A guest of a cell that isn't split meets all its vectors in one block; one that lies there is a host, too.
+            index, out = [row[plain]], [(cell[plain], np.zeros(plain.sum(), np.int64), np.zeros(plain.sum(), np.int64), 2 + own[plain])]
+            extra = []
+            cls = batch.column("cls").to_pylist()
+            for i, c, mine in zip(row[~plain].tolist(), cell[~plain].tolist(), own[~plain].tolist(), strict=True):
+                h, v = by_home.get(c, 1), by_guest.get(c, 1)
+                own_h, own_v = (xxhash.xxh64_intdigest(cls[i].to_bytes(8, "little", signed=True)) % m for m in (h, v))
+                blocks = {(a, own_v): 2 for a in range(h)}
+                if mine:
+                    for b in range(v):
+                        blocks[own_h, b] = blocks.get((own_h, b), 0) | 1
+                extra += [(i, c, a, b, role) for (a, b), role in blocks.items()]
+            if extra:
+                i, *columns = np.array(extra, np.int64).T
+                index.append(i)
+                out.append(tuple(columns))
+            head = [pa.array(np.concatenate(c).astype(t)) for c, t in zip(zip(*out, strict=True), (np.int64, np.int32, np.int32, np.int32), strict=True)]
+            rest = batch.take(pa.array(np.concatenate(index)))
+            yield pa.RecordBatch.from_arrays([*head, *(rest.column(k) for k in _names[4:])], names=_names)
+
+    def verify(block: pa.Table) -> pa.RecordBatch:
         """Of one block: classes, their links found here, and the smallest class that each is joined with here."""
-        held.sort(key=lambda r: r[1])
-        cell = held[0][0]
-        role, cls, mult, home = (np.array([r[i] for r in held], np.int64) for i in (4, 1, 2, 3))
-        x = _matrix([r[5] for r in held])
-        visited = _matrix([r[6] for r in held]).view(np.int64)
+        grids, _ = shared.value
+        block = block.sort_by("cls").combine_chunks()
+        role, cls, mult, home, reach = (block.column(k).to_numpy() for k in ("role", "cls", "mult", "home", "reach"))
+        x, cell = _units(block.column("vec").to_pylist()), block.column("cell")[0].as_py()
         host, guest = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
-        links, label = np.zeros(len(held), np.int64), np.arange(len(held))
+        links, label = np.zeros(len(cls), np.int64), np.arange(len(cls))
+        grid = grids.get(x.shape[1])
         for i in range(0, len(guest), 512):
             g = guest[i : i + 512]
-            a, b = np.nonzero(x[g] @ x[host].T >= threshold)
-            a, b = g[a], host[b]
-            a, b = a[a != b], b[a != b]
-            np.add.at(links, a, mult[b])
+            near = x[g] @ x[host].T >= threshold
+            some = near.any(axis=0)
+            a, b = np.nonzero(near[:, some])
+            away, of = np.unique(home[g], return_inverse=True)
             # If the host doesn't visit the guest's cell, nobody else counts this link for the host.
-            once = (visited[b] != home[a][:, None]).all(axis=1) & (home[a] != cell)
+            with_host = host[some]
+            visits = grid.reaches(x[with_host], reach[with_host], away - (x.shape[1] << 32)) if grid and len(with_host) else np.ones((len(with_host), len(away)), bool)
+            once = ~visits[b, of[a]] & (home[g][a] != cell)
+            a, b = g[a], with_host[b]
+            other = a != b
+            a, b, once = a[other], b[other], once[other]
+            np.add.at(links, a, mult[b])
             np.add.at(links, b[once], mult[a[once]])
             label = merge_labels(label, a, b)
         some = links > 0
-        return cls[some], links[some], cls[label[some]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (cls[some], links[some], cls[label[some]])], names=["cls", "n", "root"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held = None, []
+        key, held = None, []
 
-        def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in verify(held)], names=["cls", "n", "root"])
+        def done() -> Iterator[pa.RecordBatch]:
+            if sum(b.num_rows for b in held) > 1:
+                yield verify(pa.Table.from_batches(held))
 
         for batch in batches:
-            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if r[:3] != block:
-                    if len(held) > 1:
-                        yield done()
-                    block, held = r[:3], []
-                held.append((r[0], *r[4:7], r[3], *r[7:]))
-        if len(held) > 1:
-            yield done()
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(k).to_numpy() for k in ("cell", "h", "v")], axis=1)
+            begins = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for a, b in zip(begins, begins[1:], strict=False):
+                if key != tuple(keys[a].tolist()):
+                    yield from done()
+                    key, held = tuple(keys[a].tolist()), []
+                held.append(batch.slice(a, b - a))
+        yield from done()
 
     dealt = at.mapInArrow(deal, DEALT).repartition(shuffle_partitions(spark), "cell", "h", "v").sortWithinPartitions("cell", "h", "v")
     found = staged(dealt.mapInArrow(search, "cls bigint, n bigint, root bigint"), "found")
