@@ -43,11 +43,12 @@ def mark_copies(docs: DataFrame, heavy: int = 1024) -> DataFrame:
     """One row for each document: doc_id, keep_id, group_size, kept, digest (SHA-256 of the text without white space).
 
     Of rows with equal texts the one with the most code points stays, then the one with the smallest doc_id. Null counts as
-    empty. Repeated rows with one doc_id count in group_size, and all of them are marked as kept if that doc_id stays. A null
-    doc_id loses against any other. Other columns are ignored; an empty table gives no rows.
+    empty; a very long text is hashed whole, in its task. Repeated rows with one doc_id count in group_size, and all of them are
+    marked as kept if that doc_id stays. A null doc_id loses against any other. Other columns are ignored, whatever their names;
+    an empty table gives no rows.
     """
     rows = staged(digests(docs), "digests")
-    win = [F.count("*").alias("group_size"), F.max_by("doc_id", F.struct("size", -F.col("doc_id"))).alias("keep_id")]
+    win = [F.count("*").alias("group_size"), F.max_by("doc_id", F.struct("size", F.bitwise_not("doc_id"))).alias("keep_id")]
     frequent = misra_gries(rows, "digest", heavy).groupBy("value").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "value").limit(heavy)
     # Misra-Gries may name values that are not frequent: the exact counts decide.
     named = rows.join(F.broadcast(frequent.select(F.col("value").alias("digest"))), "digest", "left_semi")
