@@ -60,6 +60,8 @@ def test_exact_dedup(docs, rows, empty):
     assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept, r.digest.hex()) for r in mark_copies(docs, 1).collect()) == got
     assert mark_copies(empty).count() == 0
     assert mark_copies(docs.unionAll(docs)).agg(F.sum("group_size")).first()[0] == 4 * sum(r[2] for r in got)
+    least = mark_copies(docs.sparkSession.createDataFrame([(-(2**63), "a"), (2**63 - 1, "a"), (0, "a ")], "doc_id bigint, text string"))
+    assert sorted((r.doc_id, r.keep_id) for r in least.collect()) == [(-(2**63), 0), (0, 0), (2**63 - 1, 0)]
     odd = mark_copies(docs.sparkSession.createDataFrame([(None, "a"), (5, "a"), (None, "b")], "doc_id bigint, text string"))
     assert sorted((str(r.doc_id), r.keep_id, r.kept) for r in odd.collect() if r.keep_id) == [("5", 5, True), ("None", 5, False)]
 
@@ -76,8 +78,8 @@ def test_misra_gries_keeps_frequent_values(spark):
 def test_line_dedup(docs, rows, empty):
     from holdfast.llm.line_dedup import drop_repeated_lines
 
-    for batches in (1, 4, 7):
-        out = drop_repeated_lines(docs, batches=batches)
+    for batches, held in ((1, 500_000), (4, 500_000), (7, 500_000), (4, 0)):  # with 0 the frequent lines are not broadcast
+        out = drop_repeated_lines(docs, batches=batches, held=held)
         assert out.columns == [*docs.columns, "n_lines", "n_dropped"]
         assert sorted((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in out.collect()) == brute.lines(pairs(rows))
     assert sum(r[2] for r in brute.lines(pairs(rows))) > 5
@@ -86,6 +88,40 @@ def test_line_dedup(docs, rows, empty):
     assert sorted((str(r.doc_id), r.text) for r in drop_repeated_lines(null).collect()) == sorted([("None", ""), ("1", ""), ("2", ""), ("3", ""), ("4", LICENCE), ("4", LICENCE)])
 
 
+def test_runs_are_merged_as_they_lie(spark):
+    """Neither the anti-join of a batch with a run nor the compaction of two runs exchanges or sorts a run."""
+    from holdfast.llm.line_dedup import Runs, ordered_scans
+
+    runs = Runs(spark, 2)
+    rows = spark.range(20_000).selectExpr("id % 90 as doc_id", "xxhash64(id % 5000) as h1", "xxhash64(id % 5000, 1) as h2").distinct()
+    with ordered_scans(spark):
+        runs.add(rows.where("doc_id >= 60"))
+        plan = runs.batch(rows.where("doc_id < 60 and doc_id >= 30"))._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan and plan.count("Exchange") == 1  # that of the batch's own counts
+        assert plan.count("Sort [") == 1
+        first, second = runs._write(runs.batch(rows.where("doc_id < 30"))), runs.levels[0]
+        plan = runs.merged(first, second)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+        for name in runs.names:
+            assert len({f.split("_")[-1] for f in spark.table(name).inputFiles()}) == len(spark.table(name).inputFiles()) <= runs.parts
+        assert runs.frequent().count() > 0
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("holdfast_run")]
+
+
+def test_clashing_columns(spark, rows):
+    """Columns that are named as the operators' own are carried along."""
+    from holdfast.llm import line_dedup, mixing, quality, simhash
+
+    names = ["doc", "gone", "row", "copies", "label", "tie", "task", "h1", "top", "__doc", "__gone", "__size", "__source", "__copy", "__nth", "__y"]
+    df = spark.createDataFrame([(r[0], r[1], r[3]) for r in rows], "doc_id bigint, text string, source string").withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names})
+    labels = spark.createDataFrame([(r[0], r[0] % 2) for r in rows], "doc_id bigint, quality int")
+    outs = [line_dedup.drop_repeated_lines(df), line_dedup.drop_repeated_lines(df, held=0), mixing.mix(df), quality.score(df, quality.train(df, labels)), simhash.keep_one(df)]
+    for out in outs:
+        assert out.columns[: len(df.columns)] == df.columns
+        found = out.collect()
+        assert found and all(r[n] == f"{n}{r.doc_id}" for r in found for n in names)
+
+
 def test_simhash(docs, rows, empty):
     from holdfast.llm.simhash import keep_one, near_copies
 
@@ -180,20 +216,23 @@ def spans_by_hand(text):
     import math
     import re
 
-    from holdfast.llm.secret_scan import ALLOWED, CLASSES
-
     text = text or ""
+    classes = [("hex", r"(?<![A-Za-z0-9+/_-])[0-9A-Fa-f]{24,}(?![A-Za-z0-9+/_-])", 3.0), ("base64", r"[A-Za-z0-9+/_-]{20,}", 3.6)]
+    allowed = re.compile(r"example|sample|dummy|placeholder|changeme|redacted|deadbeef|0123456789|abcdefghij|(.)\1{7,}", re.I)
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     out = [(m.start(), 0, m.end(), "assign") for m in assign.finditer(text) if len(m[2]) >= 8]
     out += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
     out += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
     entropy = lambda s: -sum(s.count(c) / 20 * math.log2(s.count(c) / 20) for c in set(s))
-    for no, (kind, (pattern, bits)) in enumerate(CLASSES.items(), 3):
+    for no, (kind, pattern, bits) in enumerate(classes, 3):
         for m in re.finditer(pattern, text):
-            if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and not re.search(ALLOWED[4:], m[0], re.I):
-                hot = [i for i in range(len(m[0]) - 19) if entropy(m[0][i : i + 20]) >= bits - 1e-9]
-                if hot:
-                    out.append((m.start() + hot[0], no, m.start() + hot[-1] + 20, f"entropy_{kind}"))
+            ends = [(0, 0), *[x.span() for x in allowed.finditer(m[0])], (len(m[0]), len(m[0]))]
+            for (_, a), (b, _) in zip(ends, ends[1:], strict=False):
+                part = m[0][a:b]
+                if len(part) >= 20 and re.search("[0-9]", part) and re.search("[A-Za-z]", part):
+                    hot = [i for i in range(len(part) - 19) if entropy(part[i : i + 20]) >= bits - 1e-9]
+                    if hot:
+                        out.append((m.start() + a + hot[0], no, m.start() + a + hot[-1] + 20, f"entropy_{kind}"))
     return sorted(out)
 
 
@@ -206,6 +245,12 @@ def test_secret_scan(docs, rows, empty, spark):
     assert kinds == {"assign", "access", "hex", "entropy_hex", "entropy_base64"}
     many = " ".join(f"token=abcdefgh{i}é" for i in range(700)) + " " + "0123abcd9f8e7d6c" * 40 + "x" + "".join(random.Random(9).choice("ABCDefgh0123456789+/") for _ in range(3000))
     assert [tuple(s) for s in scan(spark.createDataFrame([(many,)], "text string")).first().spans] == spans_by_hand(many)
+    # A placeholder, or a run of one character, hides the windows that overlap it, not the rest of the string.
+    rng = random.Random(10)
+    body = ["".join(rng.choice("ABCDefghijklmno0123456789+/") for _ in range(90)) for _ in range(3)]
+    for odd in (f"{body[0]}AAAAAAAAAAAA{body[1]}", f"key={body[0]}EXAMPLE{body[1]}sample{body[2]}", f"x{'example' * 3000}{body[2]}"):
+        found = [tuple(s) for s in scan(spark.createDataFrame([(odd,)], "text string")).first().spans]
+        assert found == spans_by_hand(odd) and sum(s[3] == "entropy_base64" for s in found) >= odd.count("+") / 90
     assert scan(empty).count() == 0
 
 
@@ -227,7 +272,7 @@ def test_encoder_is_the_tokenizer(rows):
 
     from holdfast.llm import tokens
 
-    texts = [r[1] for r in rows] + ["a  b\n\n c.  x　 y don't 'll  '", "   q", " lead", "trail ", "été. É! 12.5 a1b2\x1c x\x85 y \t\n z"]
+    texts = [r[1] for r in rows] + ["a  b\n\n c.  x　 y don't 'll  '", "   q", " lead", "trail ", "été. É! 12.5 a1b2\x1c x\x85 y \t\n z", "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext", "|>"]
     for kept in (600_000, 3):
         tokens.KEPT_RUNS, before = kept, tokens.KEPT_RUNS
         ids, offsets = tokens.Encoder(tokens.tokenizer_path()).encode(pa.array(texts))
@@ -235,6 +280,50 @@ def test_encoder_is_the_tokenizer(rows):
         assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:], strict=False)] == [x[:-1].tolist() for x in brute.token_ids(texts, 0)]
 
 
+def encoded(encoder, texts):
+    import pyarrow as pa
+
+    ids, offsets = encoder.encode(pa.array(texts, pa.string()))
+    return [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:], strict=False)]
+
+
+def test_ids_of_a_text_do_not_depend_on_its_neighbours():
+    """100,000 random texts, ending in every mix of blanks, in batches of random order."""
+    from holdfast.llm import tokens
+
+    rng = random.Random(12)
+    atoms = [" ", "\n", "\t", "  ", "\n\n", " \n", "\r\n", "\u00a0", "\u3000", "a", "b", "don't", "é", "ß", "12", ".", "'", "'s", "<|", "|>", "endoftext", "<|endoftext|>", "Hello", "漢", "🙂", "\x1c", "\x00", "x×y"]
+    texts = ["".join(rng.choices(atoms, k=rng.randint(0, 7))) for _ in range(100_000)]
+    expected = {}
+    plain = tokens.Encoder(tokens.tokenizer_path()).tokenizer
+    for part in range(0, len(texts), 10_000):
+        expected |= {t: e.ids for t, e in zip(texts[part : part + 10_000], plain.encode_batch(texts[part : part + 10_000], add_special_tokens=False), strict=True)}
+    rng.shuffle(texts)
+    own = tokens.Encoder(tokens.tokenizer_path())
+    for part in range(0, len(texts), 777):
+        some = texts[part : part + 777]
+        assert encoded(own, some) == [expected[t] for t in some]
+    # Every pair of ends and beginnings.
+    ends, begins = ["a", "a ", "a\n\n", "a \n", " ", "\n\n\n", "", "a\t "], ["b", " b", "\nb", ".", "", "é", "\n"]
+    some = [x for e in ends for b in begins for x in (e, b)]
+    assert encoded(own, some) == [plain.encode(t, add_special_tokens=False).ids for t in some]
+    ordinary = tokens.Encoder(tokens.tokenizer_path(), special=False)
+    plain.encode_special_tokens = True
+    assert encoded(ordinary, ["a <|endoftext|> b"]) == [plain.encode("a <|endoftext|> b", add_special_tokens=False).ids]
+
+
+def test_encoder_of_another_kind_of_file():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from holdfast.llm import tokens
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, plain, texts = tokens.Encoder(path), Tokenizer.from_file(path), ["Hello  World\n", "", None, "a <|startoftext|> B", "don't\n\n"]
+    assert not own.by_runs
+    assert encoded(own, texts) == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_token_output(docs, rows, empty, tmp_path):
     from holdfast.llm.token_output import read_tokens, write_tokens
 
@@ -246,6 +335,15 @@ def test_token_output(docs, rows, empty, tmp_path):
         start += len(ids)
     got = sorted(tuple(r) for r in read_tokens(docs.sparkSession, f"file://{tmp_path}/t", with_ids=True).collect())
     assert got == expected
+    # Repeated rows and null doc_ids, over several shards.
+    odd = docs.select("doc_id", "text").unionAll(docs.select("doc_id", "text")).unionAll(docs.limit(9).select(F.lit(None).cast("bigint"), "text"))
+    write_tokens(odd, f"file://{tmp_path}/o", shards=3)
+    ordered = sorted(((r.doc_id, r.text or "") for r in odd.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))
+    expected, start = [], 0
+    for (doc, _), ids in zip(ordered, brute.token_ids([t for _, t in ordered], 0), strict=True):
+        expected.append((doc, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert sorted((tuple(r) for r in read_tokens(docs.sparkSession, f"file://{tmp_path}/o").collect()), key=lambda r: r[1]) == expected
     write_tokens(empty, f"file://{tmp_path}/e")
     assert read_tokens(docs.sparkSession, f"file://{tmp_path}/e").count() == 0
 
@@ -369,6 +467,42 @@ def test_embeddings(spark):
     assert near_vectors(spark.createDataFrame([(None, [1.0, 2.0]), (2, [1.0, 2.0])], "vec_id bigint, embedding array<double>")).count() == 2
 
 
+@pytest.mark.parametrize("size", [4_000, 16_000])
+def test_recall_of_planted_pairs(spark, size):
+    """Pairs at cosines of .90 to .95 among random vectors: at least 0.95 of the links are found, and no others."""
+    from holdfast.llm.embedding_dedup import near_vectors
+
+    rng = np.random.default_rng(size)
+    x = rng.normal(size=(size, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    noise = rng.normal(size=(size // 4, 64))
+    noise -= (noise * x[: size // 4]).sum(axis=1)[:, None] * x[: size // 4]
+    noise /= np.linalg.norm(noise, axis=1)[:, None]
+    c = rng.uniform(0.9, 0.95, size // 4)[:, None]
+    x = np.concatenate([x, c * x[: size // 4] + np.sqrt(1 - c**2) * noise])
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    got = {r.vec_id: r.n_links for r in near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")).collect()}
+    n = near.sum(axis=1)
+    assert all(got[i] <= n[i] for i in got)
+    print("recall", size, sum(got.values()) / n.sum())
+    assert sum(got.values()) >= 0.95 * n.sum()
+
+
+def test_ranks_count_cells():
+    from holdfast.llm.embedding_dedup import Grid
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 10))
+    grid = Grid(x, 12)
+    cells, reach = grid.visits(x, 144)
+    assert np.array_equal(np.sort(cells, axis=1), np.tile(np.arange(144), (300, 1)))
+    assert np.array_equal(grid.ranks(np.repeat(x, 144, axis=0), cells.ravel()), np.tile(np.arange(1, 145), 300))
+    some, reach = grid.visits(x, 9)
+    assert np.array_equal(grid.reaches(x, reach, np.arange(144)), np.array([np.isin(np.arange(144), row) for row in some]))
+    assert np.array_equal(grid.homes(x), some[:, 0])
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 def test_queries_have_their_columns(spark):
     from holdfast.llm.queries import QUERIES
