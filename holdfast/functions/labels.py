@@ -59,6 +59,16 @@ def probability(confidence: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(c <= 1, c).otherwise(c / 100)))
 
 
+def best_class(scores: Column) -> Column:
+    """The place (from 0) of the largest of an array of scores, the first of equals."""
+    return F.array_position(scores, F.array_max(scores)) - 1
+
+
+def likely(score: Column) -> Column:
+    """Whether a logit's sigmoid is over one half."""
+    return (1 / (1 + F.exp(-score))) > 0.5
+
+
 def threshold(value: float | None, default: float) -> float:
     """A threshold given as percent or probability, within 0 and 1."""
     v = default if value is None or value != value else float(value)

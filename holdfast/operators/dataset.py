@@ -26,6 +26,14 @@ def split_by_hash(df: DataFrame, key: str, share: float, seed: int) -> DataFrame
     return df.withColumn("split", F.when(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(10_000)) < int(share * 10_000), "val").otherwise("train"))
 
 
+def split_by_rank(names: DataFrame, key: str, share: float, seed: int) -> DataFrame:
+    """(key, split) of distinct names: the first round(n x share) by a seeded hash are val, one at least of two or more; no driver-side list."""
+    once = names.select(key).distinct().withColumn("__draw", F.md5(F.concat(F.lit(f"{seed}-"), F.col(key).cast("string")).cast("binary")))
+    n = once.count()
+    most = 0 if n < 2 else max(1, min(n - 1, round(n * share)))
+    return ranked(once, [], ["__draw", key], "__nth").select(key, F.when(F.col("__nth") < most, "val").otherwise("train").alias("split"))
+
+
 def with_split(df: DataFrame, splits: DataFrame, key: str) -> DataFrame:
     """Rows with their key's split; a key without one is train."""
     return df.join(splits, key, "left").fillna("train", ["split"])
@@ -52,6 +60,34 @@ def coco_tables(labels: DataFrame, category: str = "stimulus") -> tuple[DataFram
     return images, ann
 
 
+def counts_by_participant(labels: DataFrame, splits: DataFrame, key: str = "participant_id") -> DataFrame:
+    """(participant, split, selected_frames): how many labels each participant has; one without a split is train."""
+    return with_split(labels.groupBy(key).agg(F.count("*").alias("selected_frames")), splits, key)
+
+
+def counts_by_fps(labels: DataFrame, fps: str = "fps") -> DataFrame:
+    """(fps, n): how many labels each rate has, rates rounded to three places."""
+    return labels.groupBy(F.round(F.col(fps).cast("double"), 3).alias("fps")).agg(F.count("*").alias("n"))
+
+
+#: How many lines of a split file the small splits have.
+SUBSETS = {"minitrain": 1000, "smalltrain": 20_000, "minival": 100, "smallval": 2000}
+
+
+def subset(lines: DataFrame, name: str, *order: str) -> DataFrame:
+    """The first lines of a split by its name; a name without a limit has all. The limit is the point of these splits."""
+    return lines.orderBy(*order).limit(SUBSETS[name]) if name in SUBSETS else lines
+
+
+def training_order(df: DataFrame, order: list[str], size: int, seed: int) -> DataFrame:
+    """``df`` with place: batches of ``size`` neighbours in ``order``, drawn in a seeded order; the rows left over come last."""
+    rows = ranked(df, [], order, "__n").withColumn("__batch", F.floor(F.col("__n") / size))
+    full = df.count() // size
+    draw = F.when(F.col("__batch") < full, F.md5(F.concat(F.lit(f"{seed}-"), F.col("__batch").cast("string")).cast("binary"))).otherwise("~")
+    batches = ranked(rows.select("__batch").distinct().withColumn("__draw", draw), [], ["__draw", "__batch"], "__at_batch").select("__batch", "__at_batch")
+    return rows.join(batches, "__batch").withColumn("place", F.col("__at_batch") * size + F.col("__n") % size).select(*df.columns, "place")
+
+
 def scene_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Distinct (image_id, subject, predicate, object) whose ends are both known."""
     known = nodes.select("image_id", F.col("node_id"))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.boxes import box
 from ..staging import staged
+from .filters import same_object
 from .matching import overlaps
+from .runs import prefix_sums
 
 
 def voc_hits(dets: DataFrame, truths: DataFrame, keys: list[str], threshold: float = 0.5, qualifies: Column | None = None) -> DataFrame:
@@ -16,7 +21,7 @@ def voc_hits(dets: DataFrame, truths: DataFrame, keys: list[str], threshold: flo
     (a condition on columns of both, truths' prefixed with gt_) takes it; others are false. A difficult truth counts neither way.
     """
     extra = [c for c in truths.columns if c not in (*keys, "gt_id", "gt_x1", "gt_y1", "gt_x2", "gt_y2")]
-    matched = overlaps(dets, truths, keys).join(truths.select(*keys, "gt_id", *extra), [*keys, "gt_id"], "left")
+    matched = overlaps(dets, truths, keys, extra=tuple(extra))
     over = F.coalesce(F.col("overlap") > threshold, F.lit(False))
     good = over & F.coalesce(qualifies if qualifies is not None else F.lit(True), F.lit(False))
     df = matched.withColumns({"__good": good, "__hard": over & F.coalesce(F.col("gt_difficult"), F.lit(False))})
@@ -26,15 +31,19 @@ def voc_hits(dets: DataFrame, truths: DataFrame, keys: list[str], threshold: flo
 
 
 def precision_curve(hits: DataFrame, truths: DataFrame, by: list[str]) -> DataFrame:
-    """Recall and precision after each detection in order of confidence, and the precision's envelope."""
+    """Recall and precision after each detection in order of confidence, and the precision's envelope.
+
+    Sums over a class run through ranges of confidence; so does the envelope, the best precision from here on.
+    """
     npos = truths.where(~F.coalesce(F.col("gt_difficult"), F.lit(False))).groupBy(*by).agg(F.count("*").alias("npos"))
-    w = Window.partitionBy(*by).orderBy(F.desc("confidence"), "det_id")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    df = hits.join(npos, by).withColumns({"ctp": F.sum("tp").over(upto), "cfp": F.sum("fp").over(upto)})
+    df = prefix_sums(hits.join(npos, by), by, [F.desc("confidence"), F.col("det_id")], {"ctp": "tp", "cfp": "fp"})
     df = df.withColumns({"recall": F.col("ctp") / F.col("npos"), "precision": F.col("ctp") / F.greatest(F.col("ctp") + F.col("cfp"), F.lit(2.0**-52))})
-    # The best precision from here on, as a running maximum from the other end: a frame that shrinks would be computed anew for each row.
-    back = Window.partitionBy(*by).orderBy("confidence", F.desc("det_id")).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("envelope", F.max("precision").over(back))
+    # A running maximum from the other end: a frame that shrinks would be computed anew for each row.
+    back = Window.partitionBy(*by, "__task").orderBy(F.desc("__at")).rowsBetween(Window.unboundedPreceding, 0)
+    later = Window.partitionBy(*by).orderBy(F.desc("__task")).rowsBetween(Window.unboundedPreceding, -1)
+    beyond = df.groupBy(*by, "__task").agg(F.max("precision").alias("__most")).select(*by, "__task", F.max("__most").over(later).alias("__beyond"))
+    out = df.withColumn("envelope", F.max("precision").over(back)).join(beyond, [*by, "__task"])
+    return out.withColumn("envelope", F.greatest("envelope", "__beyond")).drop("__task", "__at", "__beyond")
 
 
 def average_precision(curve: DataFrame, by: list[str], eleven: bool = False) -> DataFrame:
@@ -45,6 +54,34 @@ def average_precision(curve: DataFrame, by: list[str], eleven: bool = False) ->
     return curve.groupBy(*by).agg(F.sum(F.when(F.col("tp") == 1, F.col("envelope") / F.col("npos")).otherwise(0.0)).alias("ap"))
 
 
+#: The names of constraints on a hand's true positive.
+CONSTRAINTS = ("", "handstate", "handside", "objectbbox", "all")
+
+
+def constraint(name: str, least: float = 0.5) -> Column:
+    """What a detected hand must share with its truth (gt_): contact state, side, the linked object's box (object_x1.., see ``same_object``), or all three."""
+    if name not in CONSTRAINTS:
+        raise ValueError(f"unknown constraint {name!r}; choices: {CONSTRAINTS}")
+    tests = {"handstate": F.col("contact_state") == F.col("gt_state"), "handside": F.col("hand_side") == F.col("gt_side"), "objectbbox": same_object(box("object_"), box("gt_object_"), least)}
+    some = list(tests.values()) if name == "all" else [tests[name]] if name else [F.lit(True)]
+    return reduce(lambda a, b: a & b, [F.coalesce(t, F.lit(False)) for t in some])
+
+
+def class_average_precision(dets: DataFrame, truths: DataFrame, key: str, threshold: float = 0.5, same_case: bool = False, eleven: bool = False) -> DataFrame:
+    """(class, npos, ap) of every class that truths or detections name; 0 where there are no truths or no detections.
+
+    Detections meet truths of their own class only. Names are compared in lower case and without blanks at their ends, or as they
+    stand if ``same_case``. A truth with several names (attributes) comes as several rows.
+    """
+    name = (lambda c: F.col(c)) if same_case else (lambda c: F.lower(F.trim(c)))
+    d, g = (df.withColumn("class", name("class")) for df in (dets, truths))
+    g = g if "gt_difficult" in g.columns else g.withColumn("gt_difficult", F.lit(False))
+    ap = average_precision(precision_curve(voc_hits(d, g, [key, "class"], threshold), g, ["class"]), ["class"], eleven)
+    n = g.where(~F.coalesce(F.col("gt_difficult"), F.lit(False))).groupBy("class").agg(F.count("*").alias("npos"))
+    classes = d.select("class").unionAll(g.select("class")).distinct()
+    return classes.join(n, "class", "left").join(ap, "class", "left").fillna({"npos": 0, "ap": 0.0})
+
+
 def best_threshold(curve: DataFrame, by: list[str]) -> DataFrame:
     """The score where (precision x recall) / (precision + recall) is largest; classes with one truth or none take the mean of the others."""
     p, r = F.col("precision"), F.col("recall")
@@ -94,9 +131,8 @@ def coco_precision(matches: DataFrame, truths: DataFrame, area: tuple[float, flo
     """(category_id, threshold, recall index 0..100, precision): the best precision at or beyond each recall; 0 beyond the last."""
     npos = _counted(truths, area)
     by = ["category_id", "threshold"]
-    w = Window.partitionBy(*by).orderBy(F.desc("score"), "image_id", "rank").rowsBetween(Window.unboundedPreceding, 0)
-    df = matches.where(~F.col("ignored")).join(npos, "category_id")
-    df = df.withColumns({"tp": F.sum(F.col("matched").cast("int")).over(w), "fp": F.sum((~F.col("matched")).cast("int")).over(w)})
+    df = matches.where(~F.col("ignored")).join(npos, "category_id").withColumns({"hit": F.col("matched").cast("int"), "miss": (~F.col("matched")).cast("int")})
+    df = prefix_sums(df, by, [F.desc("score"), F.col("image_id"), F.col("rank")], {"tp": "hit", "fp": "miss"})
     df = df.withColumns({"precision": F.col("tp") / (F.col("tp") + F.col("fp")), "at": F.floor(F.col("tp") / F.col("npos") * 100 + 1e-9).cast("int")})
     best = df.groupBy(*by, "at").agg(F.max("precision").alias("precision"))
     grid = matches.select("threshold").distinct().join(F.broadcast(npos.select("category_id"))).select(*by, F.explode(F.sequence(F.lit(0), F.lit(100))).alias("at"))

@@ -44,16 +44,20 @@ def blue_glove(df: DataFrame, threshold: float = 0.5, inclusive: bool = True) ->
     })
 
 
-def object_size(df: DataFrame, frames: DataFrame, most: float = 0.5) -> DataFrame:
-    """Mark unfiltered objects that take more than ``most`` of their frame; ``frames`` has width and height by video."""
+def object_size(df: DataFrame, frames: DataFrame | tuple[Column, Column], most: float = 0.5) -> DataFrame:
+    """Mark unfiltered objects that take more than ``most`` of their frame; ``frames`` has width and height by video, or is both as columns."""
     df = with_missing(df, filtered_by=F.lit(None).cast("string"), filtered_reason=F.lit(None).cast("string"))
-    joined = df.join(frames.select("video_id", "width", "height"), "video_id", "left")
-    share = F.try_divide(boxes.area(boxes.box()), F.col("width") * F.col("height"))
+    if isinstance(frames, DataFrame):
+        size = frames.select("video_id", F.struct("width", "height").alias("__frame"))
+        joined, (w, h) = df.join(size, "video_id", "left"), (F.col("__frame.width"), F.col("__frame.height"))
+    else:
+        joined, (w, h) = df, frames
+    share = F.try_divide(boxes.area(boxes.box()), w * h)
     large = (F.col("detection_type") == "object") & unfiltered(strict=True) & (share > most)
     large = F.coalesce(large, F.lit(False))
     reason = F.format_string("area ratio %.4f > %.2f", share, F.lit(most))
     marked = joined.withColumns({"is_filtered": F.when(large, True).otherwise(F.col("is_filtered")), "filtered_by": F.when(large, "object_size_filter").otherwise(F.col("filtered_by")), "filtered_reason": F.when(large, reason).otherwise(F.col("filtered_reason"))})
-    return marked.drop("width", "height")
+    return marked.drop("__frame")
 
 
 def object_ratio(df: DataFrame, factor: float, flag: str | None = None) -> DataFrame:

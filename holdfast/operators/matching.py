@@ -1,12 +1,12 @@
-"""Joins of hands and objects within a frame. Every choice names its whole key, down to the order of rows.
+"""Matches of hands and objects within a frame. Every choice names its whole key, down to the order of rows.
 
-Each join's fan-out is that of one frame (some ten rows a side); the best partner is an aggregate with map-side combining
-(min_by), not a window, and sides are filtered before they meet.
+A frame has some ten rows. Its candidates are packed into one array, by a window where both sides are rows of one table and by
+an aggregate where they aren't, and each row takes the least of its array: one exchange, and no table is read twice.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import boxes
@@ -24,19 +24,33 @@ def pairs(df: DataFrame, hands: Column, objects: Column) -> DataFrame:
 _COLUMNS = ("row_id", "bbox_x1", "bbox_y1", "bbox_x2", "bbox_y2", "confidence", "offset_x", "offset_y", "offset_mag")
 
 
+def _packed(df: DataFrame, rows: Column) -> DataFrame:
+    """``df`` with the frame's ``rows`` (those of them that are objects) as an array in each row."""
+    objects = (F.col("detection_type") == "object") & rows
+    return df.withColumn("__objects", F.collect_list(F.when(objects, F.struct(*_COLUMNS))).over(Window.partitionBy(*FRAME)))
+
+
+def _box_of(item: Column, prefix: str = "bbox_") -> boxes.Box:
+    return boxes.Box(*(item[f"{prefix}{k}"] for k in ("x1", "y1", "x2", "y2")))
+
+
 def best_object(df: DataFrame, hands: Column, objects: Column) -> DataFrame:
     """``df`` with m_row_id, m_confidence, m_area and m_iou of each such hand's best object; null elsewhere.
 
     Best: highest confidence, nearest to where the hand's offset points, largest overlap, largest area, smallest corners.
     """
-    h, o = boxes.box("h_bbox_"), boxes.box("o_bbox_")
-    p = pairs(df, hands, objects).withColumns({
-        "conf": F.coalesce(F.col("o_confidence"), F.lit(0.0)), "iou": boxes.iou(h, o), "area": boxes.area(o),
-        "far": boxes.offset_distance(h, o, F.col("h_offset_mag"), F.col("h_offset_x"), F.col("h_offset_y")),
-    })
-    key = F.struct(-F.col("conf"), F.col("far"), -F.col("iou"), -F.col("area"), *o, F.col("o_row_id"))
-    best = p.groupBy(*FRAME, F.col("h_row_id").alias("row_id")).agg(F.min_by(F.struct(F.col("o_row_id").alias("m_row_id"), F.col("conf").alias("m_confidence"), F.col("area").alias("m_area"), F.col("iou").alias("m_iou")), key).alias("m"))
-    return df.join(best.select(*FRAME, "row_id", "m.*"), [*FRAME, "row_id"], "left")
+    hand = boxes.box()
+
+    def judged(o: Column) -> Column:
+        b, conf = _box_of(o), F.coalesce(o.confidence, F.lit(0.0))
+        iou, area = boxes.iou(hand, b), boxes.area(b)
+        far = boxes.offset_distance(hand, b, F.col("offset_mag"), F.col("offset_x"), F.col("offset_y"))
+        key = [(-conf).alias("k1"), far.alias("k2"), (-iou).alias("k3"), (-area).alias("k4"), *[c.alias(f"k{i}") for i, c in enumerate(b, 5)]]
+        return F.struct(*key, o.row_id.alias("row_id"), conf.alias("confidence"), area.alias("area"), iou.alias("iou"))
+
+    best = F.when((F.col("detection_type") == "hand") & hands, F.array_min(F.transform("__objects", judged)))
+    out = _packed(df, objects).withColumn("__best", best)
+    return out.withColumns({f"m_{k}": F.col(f"__best.{k}") for k in ("row_id", "confidence", "area", "iou")}).drop("__objects", "__best")
 
 
 def best_hand(objects: DataFrame, hands: DataFrame) -> DataFrame:
@@ -44,31 +58,37 @@ def best_hand(objects: DataFrame, hands: DataFrame) -> DataFrame:
 
     Best: largest overlap, nearest centre, first in order of rows.
     """
-    right = hands.select(*FRAME, F.col("row_id").alias("hand_row_id"), *[F.col(f"bbox_{k}").alias(f"hand_{k}") for k in ("x1", "y1", "x2", "y2")])
-    joined = objects.select(*FRAME, "row_id", *boxes.box()).join(right, list(FRAME))
-    iou, far = boxes.iou(boxes.box(), boxes.box("hand_")), boxes.centre_distance(boxes.box(), boxes.box("hand_"))
-    value = F.struct("hand_row_id", "hand_x1", "hand_y1", "hand_x2", "hand_y2", iou.alias("matched_hand_iou"), far.alias("matched_hand_center_dist"))
-    best = joined.groupBy(*FRAME, "row_id").agg(F.min_by(value, F.struct(-iou, far, F.col("hand_row_id"))).alias("m"))
-    return objects.join(best.select(*FRAME, "row_id", "m.*"), [*FRAME, "row_id"], "left")
+    names = ("x1", "y1", "x2", "y2")
+    of_frame = hands.groupBy(*FRAME).agg(F.collect_list(F.struct("row_id", *[f"bbox_{k}" for k in names])).alias("__hands"))
+
+    def judged(h: Column) -> Column:
+        b = _box_of(h)
+        iou, far = boxes.iou(boxes.box(), b), boxes.centre_distance(boxes.box(), b)
+        return F.struct((-iou).alias("k"), far.alias("far"), h.row_id.alias("row_id"), *[c.alias(k) for k, c in zip(names, b, strict=True)], iou.alias("iou"))
+
+    out = objects.join(of_frame, list(FRAME), "left").withColumn("__best", F.array_min(F.transform("__hands", judged)))
+    named = {"hand_row_id": "row_id", **{f"hand_{k}": k for k in names}, "matched_hand_iou": "iou", "matched_hand_center_dist": "far"}
+    return out.withColumns({k: F.col(f"__best.{v}") for k, v in named.items()}).drop("__hands", "__best")
 
 
 def nearest_object(df: DataFrame, in_contact: Column) -> DataFrame:
     """Hands with the object nearest to where their offset points (object_row_id, -1 without contact or object)."""
-    h, o = boxes.box("h_bbox_"), boxes.box("o_bbox_")
-    far = boxes.offset_distance(h, o, F.col("h_offset_mag"), F.col("h_offset_x"), F.col("h_offset_y"))
-    best = pairs(df, in_contact, F.lit(True)).groupBy(*FRAME, F.col("h_row_id").alias("row_id")).agg(F.min_by("o_row_id", F.struct(far, F.col("o_row_id"))).alias("object_row_id"))
-    hands = df.where("detection_type = 'hand'").select(*FRAME, "row_id")
-    return hands.join(best, [*FRAME, "row_id"], "left").fillna(-1, ["object_row_id"])
+    far = lambda o: F.struct(boxes.offset_distance(boxes.box(), _box_of(o), F.col("offset_mag"), F.col("offset_x"), F.col("offset_y")).alias("far"), o.row_id.alias("row_id"))
+    best = F.when(in_contact, F.array_min(F.transform("__objects", far)))
+    return _packed(df, F.lit(True)).where("detection_type = 'hand'").select(*FRAME, "row_id", F.coalesce(best["row_id"], F.lit(-1)).alias("object_row_id"))
 
 
-def overlaps(dets: DataFrame, truths: DataFrame, keys: list[str], masked: bool = False) -> DataFrame:
-    """Each detection with its best truth by pixel overlap: gt_id, overlap (ties: smallest gt_id); nulls without a truth."""
-    right = truths.select(*keys, "gt_id", *[F.col(f"gt_{k}") for k in ("x1", "y1", "x2", "y2")])
+def overlaps(dets: DataFrame, truths: DataFrame, keys: list[str], masked: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Each detection with its best truth by pixel overlap: gt_id, overlap (ties: smallest gt_id), ``extra`` columns of it; nulls without a truth."""
     measure = boxes.iou_pixels_masked if masked else boxes.iou_pixels
-    joined = dets.select(*keys, "det_id", *boxes.box()).join(right, keys)
-    over = measure(boxes.box(), boxes.box("gt_"))
-    best = joined.groupBy(*keys, "det_id").agg(F.min_by(F.struct("gt_id", over.alias("overlap")), F.struct(-over, F.col("gt_id"))).alias("m"))
-    return dets.join(best.select(*keys, "det_id", "m.*"), [*keys, "det_id"], "left")
+    of_image = truths.groupBy(*keys).agg(F.collect_list(F.struct("gt_id", *[f"gt_{k}" for k in ("x1", "y1", "x2", "y2")], *extra)).alias("__truths"))
+
+    def judged(g: Column) -> Column:
+        over = measure(boxes.box(), _box_of(g, "gt_"))
+        return F.struct((-over).alias("k"), g.gt_id.alias("gt_id"), over.alias("overlap"), *[g[c].alias(c) for c in extra])
+
+    out = dets.join(of_image, keys, "left").withColumn("__best", F.array_min(F.transform("__truths", judged)))
+    return out.withColumns({k: F.col(f"__best.{k}") for k in ("gt_id", "overlap", *extra)}).drop("__truths", "__best")
 
 
 def aligned(predictions: DataFrame, truth: DataFrame, keys: list[str], missing: str = "drop") -> DataFrame:

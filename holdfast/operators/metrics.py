@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runs import islands
+from .runs import islands, ranked
 
 
 def _rate(a: Column, b: Column) -> Column:
@@ -71,9 +71,16 @@ def segmental_f1(pred: DataFrame, gt: DataFrame, keys: list[str], thresholds: tu
 
 
 def edit_score(pred: DataFrame, gt: DataFrame, keys: list[str]) -> DataFrame:
-    """100 x (1 - Levenshtein distance of the segments' labels / the longer's number); both empty: 0."""
-    text = lambda df, name: df.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "label"))), lambda s: s.label.cast("string")), "").alias(name))
-    both = text(pred, "a").join(text(gt, "b"), keys, "full").fillna("", ["a", "b"])
+    """100 x (1 - Levenshtein distance of the segments' labels / the longer's number); both empty: 0.
+
+    A label becomes one character, the place of its kind among a sequence's kinds of labels, so that it is one step whatever its name.
+    """
+    names = lambda df, name: df.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("start", "label"))), lambda s: s.label.cast("string")).alias(name))
+    none = F.array().cast("array<string>")
+    both = names(pred, "a").join(names(gt, "b"), keys, "full").withColumns({"a": F.coalesce("a", none), "b": F.coalesce("b", none)})
+    both = both.withColumn("kinds", F.array_distinct(F.concat("a", "b")))
+    letter = lambda x: F.decode(F.unhex(F.hex(F.lit(0x4E00) + F.array_position(F.col("kinds"), x))), "UTF-16BE")
+    both = both.withColumns({c: F.array_join(F.transform(c, letter), "") for c in ("a", "b")})
     longer = F.greatest(F.length("a"), F.length("b"))
     return both.select(*keys, F.when(longer > 0, (1 - F.levenshtein("a", "b") / longer) * 100).otherwise(0.0).alias("edit"))
 
@@ -138,6 +145,13 @@ def coverage_summary(audit: DataFrame) -> DataFrame:
     return audit.agg(F.count("*").alias("n"), F.sum("pred_n").cast("bigint").alias("pred_n"), F.sum("overlap_n").cast("bigint").alias("overlap_n"), F.round(F.avg("gt_over_pred"), 6).alias("macro"), F.round(F.sum("overlap_n") / F.sum("pred_n"), 6).alias("weighted"), F.count_if("missing_tail_only").alias("n_tail_only"))
 
 
+def with_baseline(strict: DataFrame, baseline: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Each dataset's strict scores beside the baseline's and their difference; a dataset without a baseline run has nulls."""
+    other = baseline.select(key, *[F.col(c).alias(f"baseline_{c}") for c in columns], F.lit(True).alias("has_baseline"))
+    out = strict.join(other, key, "left").withColumns({f"delta_{c}": F.col(c) - F.col(f"baseline_{c}") for c in columns})
+    return out.withColumn("has_baseline", F.coalesce("has_baseline", F.lit(False)))
+
+
 def diagnostics(df: DataFrame) -> DataFrame:
     """Rates of a run's errors; null where there is nothing to divide by."""
     share = lambda a, b: F.when(b > 0, a / b)
@@ -149,13 +163,13 @@ def diagnostics(df: DataFrame) -> DataFrame:
 
 
 def priorities(df: DataFrame) -> DataFrame:
-    """Datasets by how much they need a look: failures, low accuracy, mismatches, few samples, low coverage. Rank is global by nature."""
+    """Datasets by how much they need a look: failures, low accuracy, mismatches, few samples, low coverage."""
     parts = [
         F.when(F.col("status") != "success", 1000.0).otherwise(0.0), F.coalesce((1 - F.col("accuracy")) * 50, F.lit(50.0)), (F.col("fp") + F.col("fn")) * 10.0,
         F.when(F.col("n_aligned") < 5, 20.0).otherwise(0.0), F.coalesce((1 - F.col("aligned_share")) * 20, F.lit(0.0)),
     ]
     scored = df.withColumn("priority_score", sum(parts[1:], parts[0]))
-    return scored.withColumn("priority_rank", F.row_number().over(Window.orderBy(F.desc("priority_score"), "dataset_key")))
+    return ranked(scored, [], [F.desc("priority_score"), F.col("dataset_key")], "priority_rank").withColumn("priority_rank", F.col("priority_rank") + 1)
 
 
 def segment_durations(pred: DataFrame, gt: DataFrame, keys: list[str]) -> DataFrame:

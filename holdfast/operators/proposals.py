@@ -52,28 +52,40 @@ def proposals(df: DataFrame, keys: list[str], w: Column, h: Column, first: int =
 
 
 def _pairs(anchors: DataFrame, truths: DataFrame, key: str) -> DataFrame:
-    over = boxes.iou_pixels_masked(boxes.box(), boxes.box("gt_"))
-    return anchors.join(truths, key).withColumn("overlap", over)
+    """Regions with each truth of their image and the overlap; a region of an image without truth comes once, with overlap 0."""
+    over = F.when(F.col("gt_id").isNull(), 0.0).otherwise(boxes.iou_pixels_masked(boxes.box(), boxes.box("gt_")))
+    return anchors.join(truths, key, "left").withColumn("overlap", over)
 
 
 def anchor_targets(anchors: DataFrame, truths: DataFrame, key: str, positive: float = 0.7, negative: float = 0.3) -> DataFrame:
     """Labels of anchors: 1 if the overlap is high or the best of some truth, 0 if low, else -1. Needs anchor_id and gt_id."""
-    p = _pairs(anchors, truths, key)
-    best_of_truth = p.groupBy(key, "gt_id").agg(F.max("overlap").alias("most"))
-    p = p.join(best_of_truth, [key, "gt_id"])
+    p = _pairs(anchors, truths, key).withColumn("most", F.max("overlap").over(Window.partitionBy(key, "gt_id")))
     by = p.groupBy(key, "anchor_id").agg(F.max("overlap").alias("overlap"), F.bool_or((F.col("overlap") == F.col("most")) & (F.col("most") > 0)).alias("best"), F.max_by("gt_id", F.struct("overlap", -F.col("gt_id"))).alias("gt_id"))
     label = F.when(F.col("best") | (F.col("overlap") >= positive), 1).when(F.col("overlap") < negative, 0).otherwise(-1)
     return by.select(key, "anchor_id", "gt_id", "overlap", label.alias("label"))
 
 
+def drawn(column: str, seed: int) -> Column:
+    """A seeded order that any engine with MD5 gives."""
+    return F.md5(F.concat(F.lit(f"{seed}-"), F.col(column).cast("string")).cast("binary"))
+
+
+def sampled_anchors(labelled: DataFrame, key: str, batch: int = 256, share: float = 0.5, seed: int = 7) -> DataFrame:
+    """Anchors' labels with those beyond the sample set to -1: at most ``share`` of the batch stays 1, 0 fills the rest."""
+    w = Window.partitionBy(key, "label").orderBy(drawn("anchor_id", seed), "anchor_id")
+    n_fg = F.least(F.count_if(F.col("label") == 1).over(Window.partitionBy(key)), F.lit(int(batch * share)))
+    most = F.when(F.col("label") == 1, n_fg).when(F.col("label") == 0, batch - n_fg)
+    return labelled.withColumns({"nth": F.row_number().over(w), "most": most}).withColumn("label", F.when(F.col("nth") <= F.col("most"), F.col("label")).otherwise(-1)).drop("nth", "most")
+
+
 def proposal_targets(rois: DataFrame, truths: DataFrame, key: str, foreground: float = 0.5, low: float = 0.1, high: float = 0.5, batch: int = 128, share: float = 0.25, seed: int = 7) -> DataFrame:
     """Of each image's regions a sample of foreground (overlap >= .5) and background (in [low, high)), by a seeded hash."""
     by = _pairs(rois, truths, key).groupBy(key, "anchor_id").agg(F.max("overlap").alias("overlap"), F.max_by("gt_id", F.struct("overlap", -F.col("gt_id"))).alias("gt_id"))
     kind = F.when(F.col("overlap") >= foreground, "fg").when((F.col("overlap") >= low) & (F.col("overlap") < high), "bg")
-    w = Window.partitionBy(key, "kind").orderBy(F.xxhash64(F.lit(seed), "anchor_id"), "anchor_id")
-    drawn = by.withColumn("kind", kind).where("kind is not null").withColumn("nth", F.row_number().over(w))
+    w = Window.partitionBy(key, "kind").orderBy(drawn("anchor_id", seed), "anchor_id")
+    some = by.withColumn("kind", kind).where("kind is not null").withColumn("nth", F.row_number().over(w))
     n_fg = F.least(F.sum(F.when(F.col("kind") == "fg", 1).otherwise(0)).over(Window.partitionBy(key)), F.lit(int(batch * share)))
-    return drawn.withColumn("n_fg", n_fg).where(F.col("nth") <= F.when(F.col("kind") == "fg", F.col("n_fg")).otherwise(batch - F.col("n_fg"))).drop("nth", "n_fg")
+    return some.withColumn("n_fg", n_fg).where(F.col("nth") <= F.when(F.col("kind") == "fg", F.col("n_fg")).otherwise(batch - F.col("n_fg"))).drop("nth", "n_fg")
 
 
 def with_flipped(df: DataFrame, w: Column) -> DataFrame:

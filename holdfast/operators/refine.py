@@ -29,6 +29,10 @@ class Refined:
         return int((np.diff(self.sequence) != 0).sum())
 
 
+class Infeasible(ValueError):
+    """No segmentation satisfies the refiner's bounds; bad input is any other ValueError."""
+
+
 class Refiner(Protocol):
     def predict(self, observations: np.ndarray) -> Refined: ...
 
@@ -74,7 +78,7 @@ def _best_path(score, n: int, k: int, longest: int) -> tuple[float, list[tuple[i
             new[t], back[m, t] = total[np.arange(len(t)), pick], u[pick]
         best = new
     if not np.isfinite(best[n]):
-        raise ValueError("no feasible segmentation")
+        raise Infeasible("no feasible segmentation")
     cuts, t = [], n
     for m in range(k, 0, -1):
         u = int(back[m, t])
@@ -121,7 +125,7 @@ class TransitionDP:
         p = _probabilities(observations, self.eps)
         n, k = len(p), self.transitions + 1
         if k > n:
-            raise ValueError(f"{self.transitions} transitions need more than {n} frames")
+            raise Infeasible(f"{self.transitions} transitions need more than {n} frames")
         cost = np.stack([np.concatenate([[0.0], np.cumsum(-np.log(q))]) for q in (1 - p, p)])
 
         def solve(start: int) -> Refined:
@@ -162,7 +166,7 @@ class SegmentHSMM:
         n, k = len(x), self.segments
         longest = min(n, self.longest or n)
         if not 1 <= k <= n or n > k * longest:
-            raise ValueError(f"no feasible segmentation of {n} frames in {k} segments of at most {longest}")
+            raise Infeasible(f"no feasible segmentation of {n} frames in {k} segments of at most {longest}")
         clip = lambda v: min(1 - self.eps, max(self.eps, v))
         hit = (clip(self.fpr), clip(1 - self.fnr))
         miss = (clip(1 - self.fpr), clip(self.fnr))
@@ -179,36 +183,51 @@ class SegmentHSMM:
         return Refined(seq, value, parts, self._posteriors(score, n, k, longest) if self.posterior else None)
 
     def _posteriors(self, score, n: int, k: int, longest: int) -> np.ndarray:
-        """Sums over all segmentations by forward and backward passes; each segment adds its weight between its boundaries."""
+        """Sums over all segmentations by forward and backward passes; each segment adds its weight between its boundaries.
+
+        Tables are k x n; the scores of segments are computed in bands of boundaries that a longest segment can join.
+        """
         forward, backward = np.full((k + 1, n + 1), -np.inf), np.full((k + 1, n + 1), -np.inf)
         forward[0, 0], backward[k, n] = 0.0, 0.0
-        t, u = np.arange(n + 1)[:, None], np.arange(n + 1)
-        band = (u < t) & (t - u <= longest)
 
-        def logsum(a: np.ndarray, axis: int) -> np.ndarray:
-            top = a.max(axis=axis, keepdims=True)
+        def logsum(a: np.ndarray) -> np.ndarray:
+            top = a.max(axis=1, keepdims=True)
             top = np.where(np.isfinite(top), top, 0.0)
             with np.errstate(divide="ignore"):
-                return np.log(np.exp(a - top).sum(axis=axis)) + top.squeeze(axis)
+                return np.log(np.exp(a - top).sum(axis=1)) + top[:, 0]
+
+        def band(m: int, low: int, back: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """256 boundaries from ``low`` on (rows), those that a segment m joins them to (columns), and its scores."""
+            here = np.arange(low, min(n, low + 255) + 1)
+            there = np.arange(here[0] + 1, min(n, here[-1] + longest) + 1) if back else np.arange(max(0, here[0] - longest), here[-1])
+            u, t = (here[:, None], there) if back else (there, here[:, None])
+            return here, there, np.where((u < t) & (t - u <= longest), score(m, u, t), -np.inf)
 
-        tables = {s: np.where(band, score(s + 1, u, t), -np.inf) for s in (0, 1)}  # a segment's score depends on its parity only
         for m in range(1, k + 1):
-            forward[m] = logsum(forward[m - 1][None, :] + tables[(m - 1) % 2], 1)
+            for low in range(1, n + 1, 256):
+                t, u, s = band(m, low)
+                forward[m, t] = logsum(forward[m - 1, u] + s)
         for m in range(k - 1, -1, -1):
-            backward[m] = logsum(backward[m + 1][:, None] + tables[m % 2], 0)
+            for low in range(0, n, 256):
+                u, t, s = band(m + 1, low, True)
+                backward[m, u] = logsum(backward[m + 1, t] + s)
         change = np.zeros(n + 1)
         for m in range(1, k + 1):
             if (self.start_state + m - 1) % 2 == 1:
-                weight = np.exp(forward[m - 1][None, :] + tables[(m - 1) % 2] + backward[m][:, None] - forward[k, n])
-                change += weight.sum(axis=0) - weight.sum(axis=1)
+                for low in range(1, n + 1, 256):
+                    t, u, s = band(m, low)
+                    weight = np.exp(forward[m - 1, u] + s + backward[m, t][:, None] - forward[k, n])
+                    change[u] += weight.sum(axis=0)
+                    change[t] -= weight.sum(axis=1)
         return np.clip(np.cumsum(change)[:n], 0.0, 1.0)
 
 
-OUTPUT = "video_id bigint, pos bigint, refined int, posterior double, objective double, n_segments int"
+OUTPUT = "video_id bigint, pos bigint, refined int, posterior double, objective double, n_segments int, status string"
 
 
 def refine(df: DataFrame, refiner: Refiner, observation: str = "pred") -> DataFrame:
-    """Each frame's refined label, and its sequence's objective; a sequence that can't be refined gives null labels.
+    """Each frame's refined label, and its sequence's objective. A sequence without a feasible segmentation gives null labels and
+    the status "infeasible", else "ok"; observations that the refiner refuses are an error.
 
     Rows are (video_id, pos, observation).
     """
@@ -218,9 +237,9 @@ def refine(df: DataFrame, refiner: Refiner, observation: str = "pred") -> DataFr
         out = pd.DataFrame({"video_id": pdf["video_id"], "pos": pdf["pos"]})
         try:
             r = refiner.predict(pdf[observation].to_numpy())
-        except ValueError:
-            return out.assign(refined=pd.array([None] * len(out), "Int32"), posterior=None, objective=None, n_segments=pd.array([None] * len(out), "Int32"))
-        return out.assign(refined=r.sequence, posterior=r.posteriors, objective=r.objective, n_segments=r.transitions + 1)
+        except Infeasible:
+            return out.assign(refined=pd.array([None] * len(out), "Int32"), posterior=None, objective=None, n_segments=pd.array([None] * len(out), "Int32"), status="infeasible")
+        return out.assign(refined=r.sequence, posterior=r.posteriors, objective=r.objective, n_segments=r.transitions + 1, status="ok")
 
     return df.select("video_id", "pos", observation).groupBy("video_id").applyInPandas(run, OUTPUT)
 

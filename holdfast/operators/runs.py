@@ -1,15 +1,21 @@
 """Runs of equal labels: islands, representative frames, trimming and smoothing.
 
 Everything is windows by sequence; a sequence's rows are sorted once and the windows share the order. Only the recurrences that
-depend on what was kept last (``since_kept``) fold over a sequence's array instead.
+depend on what was kept last (``since_kept``) step through the sorted rows instead. Places in an order of a whole table come
+from a range sort and sums over its tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from math import sqrt
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..staging import shuffle_partitions, staged
+from .streams import in_order
 
 
 def number_runs(df: DataFrame, keys: list[str], order: str, label: str, step: int | None = 1) -> DataFrame:
@@ -90,15 +96,26 @@ def even_sample(df: DataFrame, keys: list[str], order: str, k: int) -> DataFrame
     return numbered.where((F.col("n") <= k) | F.array_contains(places, F.col("nth").cast("bigint"))).drop("nth", "n")
 
 
-def since_kept(df: DataFrame, keys: list[str], order: list[str], columns: list[str], keep: str) -> DataFrame:
-    """Rows kept by a rule that looks at the last kept one: the first, and those where ``keep`` (SQL on x and last) holds.
+def since_kept(df: DataFrame, keys: list[str], order: list[str], columns: list[str], keep: Callable[[tuple, tuple], bool]) -> DataFrame:
+    """Rows kept by a rule that looks at the last kept one: the first, and those where ``keep(last, x)`` holds.
 
-    A sequence is one array; the fold stays in the JVM.
+    Both are tuples of ``order`` and then the other ``columns``. A task steps through its sequences and holds the last kept row.
     """
     fields = [*order, *[c for c in columns if c not in order]]
-    packed = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("xs"))
-    fold = f"aggregate(slice(xs, 2, size(xs)), array(xs[0]), (kept, x) -> case when exists(array(element_at(kept, -1)), last -> {keep}) then concat(kept, array(x)) else kept end)"
-    return packed.select(*keys, F.explode(F.expr(fold)).alias("x")).select(*keys, "x.*")
+    rows = df.select(*keys, *fields)
+    n = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = None, None
+        for batch in batches:
+            take = []
+            for i, row in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                if last is None or row[:n] != key or keep(last, row[n:]):
+                    key, last = row[:n], row[n:]
+                    take.append(i)
+            yield batch.take(pa.array(take, pa.int64()))
+
+    return in_order(rows, keys, fields).mapInArrow(run, rows.schema)
 
 
 def similarity_filter(df: DataFrame, keys: list[str], gap: float = 1.0, move: float = 0.05, area_change: float = 0.1) -> DataFrame:
@@ -106,29 +123,49 @@ def similarity_filter(df: DataFrame, keys: list[str], gap: float = 1.0, move: fl
 
     Needs time_sec, frame_idx, cx, cy, area and width.
     """
-    keep = (
-        f"x.time_sec - last.time_sec >= {gap} and sqrt(power(x.cx - last.cx, 2) + power(x.cy - last.cy, 2)) > {move} * greatest(1, x.width)"
-        f" and abs(x.area - last.area) / greatest(1e-6, last.area) > {area_change}"
-    )
+
+    def keep(last: tuple, x: tuple) -> bool:
+        far = sqrt((x[3] - last[3]) ** 2 + (x[4] - last[4]) ** 2)
+        return x[0] - last[0] >= gap and far > move * max(1, x[6]) and abs(x[5] - last[5]) / max(1e-6, last[5]) > area_change
+
     return since_kept(df, keys, ["time_sec", "frame_idx"], ["row_id", "cx", "cy", "area", "width"], keep)
 
 
 def subsample(df: DataFrame, keys: list[str], interval: float = 2.0) -> DataFrame:
-    return since_kept(df, keys, ["time_sec", "frame_idx"], ["row_id"], f"x.time_sec - last.time_sec >= {interval}")
+    return since_kept(df, keys, ["time_sec", "frame_idx"], ["row_id"], lambda last, x: x[0] - last[0] >= interval)
+
 
+def by_ranges(df: DataFrame, by: list[str | Column]) -> DataFrame:
+    """``df`` dealt by ranges of ``by`` and sorted there, written with __task and __at, a number that rises by one within a task."""
+    rows = df.repartitionByRange(shuffle_partitions(df.sparkSession), *by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id())
+    return staged(rows.withColumn("__task", F.shiftright("__at", 33)), "ranked")
 
-def ranked(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+
+def _earlier(rows: DataFrame, keys: list[str], sums: dict[str, Column]) -> DataFrame:
+    """For each of ``keys`` and task the sums over earlier tasks."""
+    before = Window.partitionBy(*keys).orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
+    part = rows.groupBy(*keys, "__task").agg(*[c.alias(k) for k, c in sums.items()])
+    return part.select(*keys, "__task", *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(k) for k in sums])
+
+
+def prefix_sums(df: DataFrame, keys: list[str], order: list[str | Column], values: dict[str, str]) -> DataFrame:
+    """``df`` with running sums (new name: column) within ``keys`` in ``order``, which no task needs to see whole; __task tells ranges."""
+    rows = by_ranges(df, [*keys, *order])
+    upto = Window.partitionBy(*keys, "__task").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    base = _earlier(rows, keys, {f"__{k}": F.sum(v) for k, v in values.items()})
+    out = rows.join(base, [*keys, "__task"]).withColumns({k: F.sum(v).over(upto) + F.col(f"__{k}") for k, v in values.items()})
+    return out.drop(*[f"__{k}" for k in values])
+
+
+def ranked(df: DataFrame, keys: list[str], order: list[str | Column], name: str) -> DataFrame:
     """``df`` with each row's place (from 0) in ``order`` within ``keys``, which no task needs to see whole.
 
     Rows are dealt by ranges and sorted there; what stands in earlier tasks shifts them. ``keys`` and ``order`` name each row.
     """
-    by = [*keys, *order]
-    rows = df.repartitionByRange(shuffle_partitions(df.sparkSession), *by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id())
-    rows = staged(rows.withColumn("__task", F.shiftright("__at", 33)), "ranked")
-    part = rows.groupBy(*keys, "__task").agg(F.count("*").alias("n"), F.min("__at").alias("first"))
-    shift = F.sum("n").over(Window.partitionBy(*keys).orderBy("__task")) - F.col("n") - F.col("first")
-    part = part.select(*keys, "__task", shift.alias("__shift"))
-    return rows.join(F.broadcast(part), [*keys, "__task"]).withColumn(name, F.col("__at") + F.col("__shift")).select(*df.columns, name)
+    rows = by_ranges(df, [*keys, *order])
+    first = rows.groupBy(*keys, "__task").agg(F.min("__at").alias("__first"))
+    base = _earlier(rows, keys, {"__n": F.count("*")}).join(first, [*keys, "__task"])
+    return rows.join(base, [*keys, "__task"]).withColumn(name, F.col("__at") - F.col("__first") + F.col("__n")).select(*df.columns, name)
 
 
 def batches_by_shape(df: DataFrame, size: int, low: float = 0.5, high: float = 2.0) -> DataFrame:

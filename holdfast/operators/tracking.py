@@ -1,7 +1,7 @@
 """Tracking through detector misses: one pure step over a frame, wrapped for batch and for streams.
 
-A track's state depends on every frame before, so a video is one group; frames come sorted and are stepped through once. The
-step holds one frame and a few numbers. Videos are independent: the number of groups grows with the corpus, not their size.
+A track's state depends on every frame before, so a video's frames go to one task in order; they are stepped through as they
+come, in Arrow batches, and a task holds one batch and a few numbers. Videos are independent, and other columns pass along.
 """
 
 from __future__ import annotations
@@ -11,12 +11,13 @@ from dataclasses import asdict, dataclass, replace
 from itertools import groupby
 from math import hypot
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.labels import NO_CONTACT, PORTABLE, STATIONARY, threshold
+from .streams import in_order, whole_groups
 
 Box = tuple[float, float, float, float]
 
@@ -187,22 +188,30 @@ def annotate(rows: list[tuple], state: BridgeState, config: BridgeConfig) -> tup
 
 
 def tracking_bridge(df: DataFrame, config: BridgeConfig = BridgeConfig()) -> DataFrame:
-    """``df`` with tracking columns; hands that a track promotes become Portable Object.
-
-    The rows' other columns take no part in the exchange with Python: annotations are joined back by key.
-    """
+    """``df`` with tracking columns; hands that a track promotes become Portable Object."""
     config = config.clamped()
-    names = [x.split()[0] for x in OUTPUT.split(", ")]
+    added = T.StructType.fromDDL(ADDED)
+    df = df.drop(*[n for n in added.names if n in df.columns])
+    schema = T.StructType([*df.schema.fields, *added.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, video = BridgeState(), None
+        for batch in whole_groups(batches, ["video_id", "frame_number", "frame_id"]):
+            out: list[tuple] = []
+            for v, rows in groupby(zip(*(batch.column(c).to_pylist() for c in NEEDED), strict=True), key=lambda r: r[0]):
+                if v != video:
+                    state, video = BridgeState(), v
+                found, state = annotate(list(rows), state, config)
+                out += [r[3:] for r in found]
+            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), _added_types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=schema.names)
+
+    marked = in_order(df, ["video_id"], ["frame_number", "frame_id", "row_id"]).mapInArrow(run, schema)
+    promoted = F.col("tracking_promoted")
+    return marked.withColumns({"contact_label": F.when(promoted, PORTABLE).otherwise(F.col("contact_label")), "contact_state": F.when(promoted, 3).otherwise(F.col("contact_state"))})
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["frame_number", "frame_id", "row_id"], kind="stable")
-        rows = [tuple(None if v is None or v != v else v for v in r) for r in pdf[NEEDED].itertuples(index=False, name=None)]
-        return pd.DataFrame(annotate(rows, BridgeState(), config)[0], columns=names)
 
-    marks = df.select(*NEEDED).groupBy("video_id").applyInPandas(run, OUTPUT)
-    joined = df.drop(*[n for n in names[3:] if n in df.columns]).join(marks, ["video_id", "frame_number", "row_id"])
-    promoted = F.col("tracking_promoted")
-    return joined.withColumns({"contact_label": F.when(promoted, PORTABLE).otherwise(F.col("contact_label")), "contact_state": F.when(promoted, 3).otherwise(F.col("contact_state"))})
+_added_types = [pa.bool_(), pa.int64(), pa.float64(), pa.int64(), pa.string(), *[pa.float64()] * 4, pa.string()]
 
 
 def pick(candidates: list[tuple[Box, float]], before: Box | None) -> Box | None:
@@ -258,18 +267,22 @@ def temporal_regions(df: DataFrame, max_missed: int = 8, detect: Callable[[list[
     find = detect or default
     needed = ["video_id", "frame_number", "row_id", "detection_type", "bbox_x1", "bbox_y1", "bbox_x2", "bbox_y2", "confidence", "blue_glove_status"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["frame_number", "row_id"], kind="stable")
-        state, out = RegionState(), []
-        for number, group in groupby(pdf[needed].itertuples(index=False, name=None), key=lambda r: r[1]):
-            rows = list(group)
-            objects = [(tuple(map(float, r[4:8])), float(r[8])) for r in rows if r[3] != "hand"]
-            gloves = [tuple(map(float, r[4:8])) for r in rows if r[3] == "hand" and r[9] == "experimenter"]
-            state, _, what = region_step(state, objects, find, lambda _, b, g=gloves: any(iou(b, x) > 0 for x in g), max_missed)
-            out.append((rows[0][0], number, what, state.missed, *(state.last or (None,) * 4)))
-        return pd.DataFrame(out, columns=[x.split()[0] for x in REGIONS.split(", ")])
-
-    return df.select(*needed).groupBy("video_id").applyInPandas(run, REGIONS)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, video = RegionState(), None
+        for batch in whole_groups(batches, ["video_id", "frame_number"]):
+            out = []
+            for (v, number), group in groupby(zip(*(batch.column(c).to_pylist() for c in needed), strict=True), key=lambda r: r[:2]):
+                if v != video:
+                    state, video = RegionState(), v
+                rows = list(group)
+                objects = [(tuple(map(float, r[4:8])), float(r[8])) for r in rows if r[3] != "hand"]
+                gloves = [tuple(map(float, r[4:8])) for r in rows if r[3] == "hand" and r[9] == "experimenter"]
+                state, _, what = region_step(state, objects, find, lambda _, b, g=gloves: any(iou(b, x) > 0 for x in g), max_missed)
+                out.append((v, number, what, state.missed, *(state.last or (None,) * 4)))
+            types = [pa.int64(), pa.int64(), pa.string(), pa.int32(), *[pa.float64()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[x.split()[0] for x in REGIONS.split(", ")])
+
+    return in_order(df.select(*needed), ["video_id"], ["frame_number", "row_id"]).mapInArrow(run, REGIONS)
 
 
 STATE = T.StructType([T.StructField("state", T.StringType()), T.StructField("held", T.StringType())])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import boxes, labels, parsing
@@ -33,8 +33,9 @@ def det(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, DET)
 
 
-def frames(df: DataFrame) -> DataFrame:
-    return df.select("video_id").distinct().withColumns({"width": F.lit(440), "height": F.lit(300)})
+def frames() -> tuple[Column, Column]:
+    """Width and height of every frame of these views."""
+    return F.lit(440), F.lit(300)
 
 
 #: The filters' SQL, one after another; each reads the one before it.
@@ -63,7 +64,7 @@ from {t} group by video_id, frame_number, frame_id"""
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = det(spark, sf_dir)
-    return f.bigger_than_hand(f.smaller_factor(f.object_size(f.blue_glove(df), frames(df), 0.2)))
+    return f.bigger_than_hand(f.smaller_factor(f.object_size(f.blue_glove(df), frames(), 0.2)))
 
 
 @query(f"{_CHAIN}\n" + _CONDENSE.format(n=1, p=2, s=3, t="big"))
@@ -157,7 +158,7 @@ def blue_glove_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{_D},\n{_BLUE},\n{_SIZE}\nselect row_id, video_id, is_filtered, case when too_large then 'object_size_filter' end as filtered_by from sized""")
 def object_size_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = det(spark, sf_dir)
-    return f.object_size(f.blue_glove(df), frames(df), 0.2).select("row_id", "video_id", "is_filtered", "filtered_by")
+    return f.object_size(f.blue_glove(df), frames(), 0.2).select("row_id", "video_id", "is_filtered", "filtered_by")
 
 
 @query(f"""{_CHAIN}
@@ -165,7 +166,7 @@ select video_id, frame_number, row_id, contact_label, contact_state, coalesce(bi
 def object_ratio_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both ratio filters; the second one's match overwrites the first's where it has one."""
     df = det(spark, sf_dir)
-    first = f.smaller_factor(f.object_size(f.blue_glove(df), frames(df), 0.2)).withColumnsRenamed({"matched_object_conf": "c1", "matched_object_area": "a1"})
+    first = f.smaller_factor(f.object_size(f.blue_glove(df), frames(), 0.2)).withColumnsRenamed({"matched_object_conf": "c1", "matched_object_area": "a1"})
     out = f.bigger_than_hand(first)
     return out.select("video_id", "frame_number", "row_id", "contact_label", "contact_state", F.coalesce("matched_object_conf", "c1").alias("conf"), F.round(F.coalesce("matched_object_area", "a1"), 6).alias("obj_area"))
 

@@ -84,19 +84,23 @@ _NX = "greatest(0, least(k.x2, b.x2) - greatest(k.x1, b.x1) + 1)::double * great
 _NIOU = f"({_NX} / ((k.x2 - k.x1 + 1)::double * (k.y2 - k.y1 + 1) + (b.x2 - b.x1 + 1)::double * (b.y2 - b.y1 + 1) - {_NX}))"
 
 
-@query(f"""with recursive det as (select {DET[1]} from {DET[0]}),
-s as (select video_id, frame_number, row_id, bbox_x1 as x1, bbox_y1 as y1, bbox_x2 as x2, bbox_y2 as y2, row_number() over (partition by video_id, frame_number order by confidence desc, row_id) as n from det),
-p as (select k.video_id, k.frame_number, k.n as a, b.n as b from s k join s b on k.video_id = b.video_id and k.frame_number = b.frame_number and k.n < b.n and {_NIOU} >= 0.3),
+_SUPPRESSED = f"""with recursive det as (select {DET[1]} from {DET[0]}),
+s as (select video_id, frame_number, row_id, {{box}}, row_number() over (partition by video_id, frame_number order by confidence desc, row_id) as n from det),
+p as (select k.video_id, k.frame_number, k.n as a, b.n as b from s k join s b on k.video_id = b.video_id and k.frame_number = b.frame_number and k.n < b.n and {_NIOU} >= {{t}}),
 walk as (select video_id, frame_number, 1::bigint as n, [1::bigint] as kept from s where n = 1 union all
   select w.video_id, w.frame_number, w.n + 1, case when exists (select 1 from p where p.video_id = w.video_id and p.frame_number = w.frame_number and p.b = w.n + 1 and list_contains(w.kept, p.a)) then w.kept else list_append(w.kept, w.n + 1) end
   from walk w join s on s.video_id = w.video_id and s.frame_number = w.frame_number and s.n = w.n + 1),
 f as (select video_id, frame_number, arg_max(kept, n) as kept from walk group by 1, 2)
-select s.video_id, s.frame_number, s.row_id from s join f using (video_id, frame_number) where list_contains(f.kept, s.n)""")
+select s.video_id, s.frame_number, {{out}} from s join f using (video_id, frame_number) where list_contains(f.kept, s.n)"""
+
+
+@query(_SUPPRESSED.format(t=0.3, box="bbox_x1 as x1, bbox_y1 as y1, bbox_x2 as x2, bbox_y2 as y2", out="s.row_id"))
 def suppressed_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.suppressed(det(spark, sf_dir), ["video_id", "frame_number"], 0.3).select("video_id", "frame_number", "row_id")
 
 
-@query()
+@query(_SUPPRESSED.format(t=0.7, box="greatest(0, least(bbox_x1, 439))::double as x1, greatest(0, least(bbox_y1, 299))::double as y1, greatest(0, least(bbox_x2, 439))::double as x2, greatest(0, least(bbox_y2, 299))::double as y2",
+    out="s.row_id, (list_position(f.kept, s.n) - 1)::int as rank") + " and list_position(f.kept, s.n) <= 3")
 def proposal_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.proposals(det(spark, sf_dir), ["video_id", "frame_number"], F.lit(440), F.lit(300), 6000, 3).select("video_id", "frame_number", "row_id", "rank")
 
@@ -127,52 +131,34 @@ def _rois(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select((F.col("video_id") * 512 + F.col("frame_number")).alias("image_id"), F.col("row_id").alias("anchor_id"), *[F.col(f"bbox_{k}") for k in ("x1", "y1", "x2", "y2")])
 
 
-def _few(df: DataFrame) -> DataFrame:
-    """One image in 32, which is what the SQL of anchor_targets and region_classes has; the whole_ queries have all."""
-    return df.where("image_id % 512 % 32 = 0")
-
-
-_TARGETS = f"""{cte(det=DET)}, d as (select video_id * 512 + frame_number as image_id, row_id as anchor_id, bbox_x1 as x1, bbox_y1 as y1, bbox_x2 as x2, bbox_y2 as y2 from det where frame_number % 32 = 0),
-g as (select video_id * 512 + frame_number as image_id, row_id as gt_id, bbox_x1 as x1, bbox_y1 as y1, bbox_x2 as x2, bbox_y2 as y2, row_id % 5 + 1 as gt_class from det where frame_number % 32 = 0 and detection_type = 'object'),
-o as (select d.image_id, d.anchor_id, g.gt_id, g.gt_class, {_IOU} as overlap from d join g using (image_id)), m as (select *, max(overlap) over (partition by image_id, gt_id) as most from o)"""
-
-
-#: The same over all images.
-_ALL_TARGETS = _TARGETS.replace("frame_number % 32 = 0 and ", "").replace(" where frame_number % 32 = 0", "")
+_TARGETS = f"""{cte(det=DET)}, d as (select video_id * 512 + frame_number as image_id, row_id as anchor_id, bbox_x1 as x1, bbox_y1 as y1, bbox_x2 as x2, bbox_y2 as y2 from det),
+g as (select video_id * 512 + frame_number as image_id, row_id as gt_id, bbox_x1 as x1, bbox_y1 as y1, bbox_x2 as x2, bbox_y2 as y2, row_id % 5 + 1 as gt_class from det where detection_type = 'object'),
+o as (select d.image_id, d.anchor_id, g.gt_id, g.gt_class, coalesce({_IOU}, 0) as overlap from d left join g using (image_id)), m as (select *, max(overlap) over (partition by image_id, gt_id) as most from o)"""
 _LABELS = """ select image_id, anchor_id, arg_max(gt_id, struct_pack(o := overlap, g := -gt_id)) as gt_id, round(max(overlap), 9) as overlap,
   case when bool_or(overlap = most and most > 0) or max(overlap) >= 0.7 then 1 when max(overlap) < 0.3 then 0 else -1 end as label from m group by 1, 2"""
-_GT_CLASSES = """ select image_id, anchor_id, case when max(overlap) > 0 then arg_max(gt_class, struct_pack(o := overlap, g := -gt_id)) else 0 end as gt_class, round(max(overlap), 9) as overlap from m group by 1, 2"""
-
-
-def _anchor_targets(rois: DataFrame, truths: DataFrame) -> DataFrame:
-    return p.anchor_targets(rois, truths, "image_id").select("image_id", "anchor_id", "gt_id", F.round("overlap", 9).alias("overlap"), "label")
-
-
-def _region_classes(rois: DataFrame, truths: DataFrame) -> DataFrame:
-    return p.truth_classes(rois, truths, "image_id").select("image_id", "anchor_id", F.col("gt_class").cast("bigint").alias("gt_class"), F.round("overlap", 9).alias("overlap"))
 
 
 @query(_TARGETS + _LABELS)
 def anchor_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _anchor_targets(_few(_rois(spark, sf_dir)), _few(_truths(spark, sf_dir)))
+    return p.anchor_targets(_rois(spark, sf_dir), _truths(spark, sf_dir), "image_id").select("image_id", "anchor_id", "gt_id", F.round("overlap", 9).alias("overlap"), "label")
 
 
-@query(_ALL_TARGETS + _LABELS)
-def whole_anchor_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _anchor_targets(_rois(spark, sf_dir), _truths(spark, sf_dir))
+@query(f"""{_TARGETS}, l as ({_LABELS}), n as (select *, row_number() over (partition by image_id, label order by md5('7-' || anchor_id), anchor_id) as nth, least(count(*) filter (label = 1) over (partition by image_id), 2) as fg from l)
+select image_id, anchor_id, case when (label = 1 and nth <= fg) or (label = 0 and nth <= 4 - fg) then label else -1 end as label from n""")
+def sampled_anchor_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = p.anchor_targets(_rois(spark, sf_dir), _truths(spark, sf_dir), "image_id")
+    return p.sampled_anchors(labelled, "image_id", 4).select("image_id", "anchor_id", "label")
 
 
-@query(_TARGETS + _GT_CLASSES)
+@query(_TARGETS + """ select image_id, anchor_id, case when max(overlap) > 0 then arg_max(gt_class, struct_pack(o := overlap, g := -gt_id)) else 0 end as gt_class, round(max(overlap), 9) as overlap from m group by 1, 2""")
 def region_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _region_classes(_few(_rois(spark, sf_dir)), _few(_truths(spark, sf_dir)))
-
-
-@query(_ALL_TARGETS + _GT_CLASSES)
-def whole_region_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _region_classes(_rois(spark, sf_dir), _truths(spark, sf_dir))
+    return p.truth_classes(_rois(spark, sf_dir), _truths(spark, sf_dir), "image_id").select("image_id", "anchor_id", F.col("gt_class").cast("bigint").alias("gt_class"), F.round("overlap", 9).alias("overlap"))
 
 
-@query()
+@query(f"""{_TARGETS}, b as (select image_id, anchor_id, max(overlap) as overlap, arg_max(gt_id, struct_pack(o := overlap, g := -gt_id)) as gt_id from m group by 1, 2),
+k as (select *, case when overlap >= 0.5 then 'fg' when overlap >= 0.1 and overlap < 0.5 then 'bg' end as kind from b),
+n as (select *, row_number() over (partition by image_id, kind order by md5('7-' || anchor_id), anchor_id) as nth, least(count(*) filter (kind = 'fg') over (partition by image_id), 2) as fg from k where kind is not null)
+select image_id, anchor_id, kind, gt_id from n where nth <= case when kind = 'fg' then fg else 8 - fg end""")
 def proposal_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.proposal_targets(_rois(spark, sf_dir), _truths(spark, sf_dir), "image_id", batch=8).select("image_id", "anchor_id", "kind", "gt_id")
 
@@ -185,3 +171,106 @@ def flipped_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{cte(det=DET)} select video_id, min(row_id) as row_id from det group by video_id, round_even(bbox_x1 / 32.0, 0), round_even(bbox_y1 / 32.0, 0), round_even(bbox_x2 / 32.0, 0), round_even(bbox_y2 / 32.0, 0)""")
 def unique_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.unique_boxes(det(spark, sf_dir), ["video_id"], 1 / 32).select("video_id", "row_id")
+
+
+_CLASS_AP = f"""{cte(det=DET)}, d as (select video_id * 512 + frame_number as image_id, video_id * 100000000000000 + row_id as det_id, {{dc}} as class, bbox_x1 + row_id % 9 * 4 as x1, bbox_y1 as y1, bbox_x2 + row_id % 9 * 4 as x2, bbox_y2 as y2, confidence + row_id % 1009 / 10000.0::double as confidence from det),
+t as (select video_id * 512 + frame_number as image_id, row_id, bbox_x1 as x1, bbox_y1 as y1, bbox_x2 as x2, bbox_y2 as y2 from det where row_id % 3 = 0),
+g as ({{gs}}), o as (select d.det_id, g.gt_id, {_IOU} as overlap from d join g using (image_id, class) qualify row_number() over (partition by d.image_id, d.class, d.det_id order by {_IOU} desc, g.gt_id) = 1),
+m as (select d.*, o.gt_id, coalesce(o.overlap > {{t}}, false) as ok from d left join o using (det_id)), r as (select *, (ok and row_number() over (partition by image_id, class, gt_id, ok order by confidence desc, det_id) = 1)::int as tp from m),
+np as (select class, count(*) as npos from g group by 1), c as (select r.*, npos, sum(tp) over w as ctp, sum(1 - tp) over w as cfp from r join np using (class) window w as (partition by class order by confidence desc, det_id rows unbounded preceding)),
+v as (select *, max(ctp / (ctp + cfp)::double) over (partition by class order by confidence desc, det_id rows between current row and unbounded following) as env from c),
+a as (select class, sum(case when tp = 1 then env / npos else 0 end) as ap from v group by 1)
+select class, coalesce(npos, 0)::bigint as npos, round(coalesce(ap, 0), 9) as ap from (select class from d union select class from g) left join np using (class) left join a using (class)"""
+
+
+def _class_truths(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    df = det(spark, sf_dir).withColumn("image_id", F.col("video_id") * 512 + F.col("frame_number"))
+    shift = F.col("row_id") % 9 * 4
+    d = df.withColumns({"det_id": F.col("video_id") * 100_000_000_000_000 + F.col("row_id"), "bbox_x1": F.col("bbox_x1") + shift, "bbox_x2": F.col("bbox_x2") + shift, "confidence": F.col("confidence") + F.col("row_id") % 1009 / F.lit(10000.0)})
+    g = df.where("row_id % 3 = 0").select("image_id", F.col("row_id").alias("gt_id"), *[F.col(f"bbox_{k}").alias(f"gt_{k}") for k in ("x1", "y1", "x2", "y2")])
+    return d.select("image_id", "det_id", "row_id", *[f"bbox_{k}" for k in ("x1", "y1", "x2", "y2")], "confidence"), g
+
+
+@query(_CLASS_AP.format(dc="'c' || row_id % 4", gs="select *, row_id as gt_id, 'c' || row_id % 5 as class from t", t=0.5))
+def scene_graph_average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects by class; c4 has truths and no detections."""
+    d, g = _class_truths(spark, sf_dir)
+    out = e.class_average_precision(d.withColumn("class", F.format_string("c%d", F.col("row_id") % 4)), g.withColumn("class", F.format_string("c%d", F.col("gt_id") % 5)), "image_id")
+    return out.select("class", "npos", F.round("ap", 9).alias("ap"))
+
+
+@query(_CLASS_AP.format(dc="'a' || row_id % 4", gs="select *, row_id as gt_id, unnest(['a' || row_id % 5, 'a' || (row_id + 1) % 5]) as class from t", t=0.5))
+def scene_graph_attribute_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Truths have two attributes each."""
+    d, g = _class_truths(spark, sf_dir)
+    truths = g.withColumn("class", F.explode(F.array(F.format_string("a%d", F.col("gt_id") % 5), F.format_string("a%d", (F.col("gt_id") + 1) % 5))))
+    return e.class_average_precision(d.withColumn("class", F.format_string("a%d", F.col("row_id") % 4)), truths, "image_id").select("class", "npos", F.round("ap", 9).alias("ap"))
+
+
+_CASES = "case when {0} % 2 = 0 then 'Hand' else 'hand' end"
+
+
+@query(_CLASS_AP.format(dc="'hand'", gs=f"select *, row_id as gt_id, {_CASES.format('row_id')} as class from t", t=0.7))
+def voc_same_case_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class names as they stand, at an overlap of .7."""
+    d, g = _class_truths(spark, sf_dir)
+    out = e.class_average_precision(d.withColumn("class", F.lit("hand")), g.withColumn("class", F.expr(_CASES.format("gt_id"))), "image_id", 0.7, True)
+    return out.select("class", "npos", F.round("ap", 9).alias("ap"))
+
+
+_LINKED = "case when contact_state in (3, 4) then bbox_{k}{s} end as {p}{k}"
+_LINKS = lambda p, s: ", ".join(_LINKED.format(k=k, s=s if k[0] == "x" else "", p=p) for k in ("x1", "y1", "x2", "y2"))
+_OBJ_X = "greatest(0, least(lx2, gx2) - greatest(lx1, gx1))::double * greatest(0, least(ly2, gy2) - greatest(ly1, gy1))"
+_OBJ_IOU = f"({_OBJ_X}) / ((lx2 - lx1)::double * (ly2 - ly1) + (gx2 - gx1)::double * (gy2 - gy1) - {_OBJ_X})"
+_SAME_OBJECT = f"case when lx1 is null and gx1 is null then true when lx1 is null or gx1 is null then false else {_OBJ_IOU} > 0.5 end"
+_HANDS = f"""{cte(det=DET)}, h as (select * from det where detection_type = 'hand'),
+d as (select video_id, frame_number, video_id % 3 as class, row_id as det_id, bbox_x1 + row_id % 9 * 4 as x1, bbox_y1 as y1, bbox_x2 + row_id % 9 * 4 as x2, bbox_y2 as y2, confidence + row_id % 1009 / 10000.0::double as confidence, (contact_state + (row_id % 4 = 0)::int) % 5 as state, case when row_id % 7 = 0 then 'Left' else hand_side end as side, {_LINKS('l', ' + row_id % 6 * 20')} from h),
+g as (select video_id, frame_number, video_id % 3 as class, row_id as gt_id, bbox_x1 as x1, bbox_y1 as y1, bbox_x2 as x2, bbox_y2 as y2, contact_state as gt_state, hand_side as gt_side, {_LINKS('g', '')} from h where row_id % 3 = 0),
+o as (select d.video_id, d.frame_number, d.det_id, g.gt_id, {_IOU} as overlap, gt_state, gt_side, gx1, gy1, gx2, gy2 from d join g using (video_id, frame_number) qualify row_number() over (partition by d.video_id, d.frame_number, d.det_id order by {_IOU} desc, g.gt_id) = 1),
+m as (select d.*, o.gt_id, coalesce(o.overlap > 0.5, false) as ok, coalesce(state = gt_state, false) as s, coalesce(side = gt_side, false) as i, coalesce({_SAME_OBJECT}, false) as b from d left join o using (video_id, frame_number, det_id)),
+k as (select *, unnest([{{names}}]) as name, unnest([{{tests}}]) as fits from m), q as (select *, ok and fits as good from k),
+r as (select *, (good and row_number() over (partition by name, video_id, frame_number, gt_id, good order by confidence desc, det_id) = 1)::int as tp from q),
+np as (select class, count(*) as npos from g group by 1), c as (select r.*, npos, sum(tp) over w as ctp, sum(1 - tp) over w as cfp from r join np using (class) window w as (partition by name, class order by confidence desc, det_id rows unbounded preceding)),
+v as (select *, max(ctp / (ctp + cfp)::double) over (partition by name, class order by confidence desc, det_id rows between current row and unbounded following) as env from c)
+select name, class, round(sum(case when tp = 1 then env / npos else 0 end), 9) as ap from v group by 1, 2"""
+
+
+@query(_HANDS.format(names="'', 'handstate', 'handside', 'objectbbox', 'all'", tests="true, s, i, b, s and i and b"))
+def voc_hand_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hands under every constraint, by class."""
+    df = det(spark, sf_dir).where("detection_type = 'hand'").withColumn("class", F.col("video_id") % 3)
+    names, linked = ("x1", "y1", "x2", "y2"), F.col("contact_state").isin(3, 4)
+    shift, far = F.col("row_id") % 9 * 4, F.col("row_id") % 6 * 20
+    g = df.where("row_id % 3 = 0").select("video_id", "frame_number", "class", F.col("row_id").alias("gt_id"), *[F.col(f"bbox_{k}").alias(f"gt_{k}") for k in names], F.lit(False).alias("gt_difficult"),
+        F.col("contact_state").alias("gt_state"), F.col("hand_side").alias("gt_side"), *[F.when(linked, F.col(f"bbox_{k}")).alias(f"gt_object_{k}") for k in names])
+    d = df.select(
+        "video_id", "frame_number", "class", F.col("row_id").alias("det_id"), (F.col("bbox_x1") + shift).alias("bbox_x1"), "bbox_y1", (F.col("bbox_x2") + shift).alias("bbox_x2"), "bbox_y2", (F.col("confidence") + F.col("row_id") % 1009 / F.lit(10000.0)).alias("confidence"),
+        ((F.col("contact_state") + (F.col("row_id") % 4 == 0).cast("int")) % 5).alias("contact_state"), F.when(F.col("row_id") % 7 == 0, "Left").otherwise(F.col("hand_side")).alias("hand_side"),
+        *[F.when(linked, F.col(f"bbox_{k}") + (far if k[0] == "x" else 0)).alias(f"object_{k}") for k in names],
+    )
+    keys, out = ["video_id", "frame_number"], None
+    for name in e.CONSTRAINTS:
+        hits = e.voc_hits(d, g.drop("class"), keys, 0.5, e.constraint(name)).withColumn("name", F.lit(name))
+        out = hits if out is None else out.unionByName(hits)
+    truths = g.withColumn("name", F.explode(F.array(*map(F.lit, e.CONSTRAINTS))))
+    return e.average_precision(e.precision_curve(out, truths, ["name", "class"]), ["name", "class"]).select("name", "class", F.round("ap", 9).alias("ap"))
+
+
+@query(f"""{cte(det=DET)}, s as (select row_id, [(row_id % 17)::double, (row_id % 13)::double, (row_id % 11)::double, (row_id % 7)::double, (row_id % 5)::double] as scores, row_id % 9 - 4 as logit from det)
+select row_id, list_position(scores, list_max(scores))::bigint - 1 as contact_state, logit > 0 as is_right, case when logit > 0 then 'Right' else 'Left' end as side from s""")
+def head_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contact state and side from a detector's scores."""
+    from ..functions import labels
+
+    df = det(spark, sf_dir).select("row_id", F.array(*[(F.col("row_id") % n).cast("double") for n in (17, 13, 11, 7, 5)]).alias("scores"), (F.col("row_id") % 9 - 4).alias("logit"))
+    right = labels.likely(F.col("logit"))
+    return df.select("row_id", labels.best_class(F.col("scores")).alias("contact_state"), right.alias("is_right"), labels.side_label(right.cast("int")).alias("side"))
+
+
+@query("""with o as (select distinct o_orderkey from orders), r as (select *, row_number() over (order by o_orderkey) - 1 as n, (count(*) over ()) // 64 as whole from o),
+b as (select distinct n // 64 as batch, case when n // 64 < max(whole) over () then md5('5-' || (n // 64)) else '~' end as draw from r), p as (select batch, row_number() over (order by draw, batch) - 1 as nth from b)
+select o_orderkey, p.nth * 64 + n % 64 as place from r join p on r.n // 64 = p.batch""")
+def training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import dataset
+
+    return dataset.training_order(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey").distinct(), ["o_orderkey"], 64, 5)

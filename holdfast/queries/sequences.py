@@ -79,24 +79,16 @@ def smoothed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.smoothed(seq(spark, sf_dir), K, "pos", "pred", 1, 2).select("video_id", "pos", "pred", "smooth")
 
 
-_CHANGEPOINTS = """with p as (select l_orderkey % 100 as video_id, l_partkey % 200 as hold, case when l_linenumber = 7 then null else l_partkey % 200 + l_suppkey % 5 end as release from lineitem where l_quantity = 50),
+_CHANGEPOINTS = """with p as (select l_orderkey % 100 as video_id, l_partkey % 200 as hold, case when l_linenumber = 7 then null else l_partkey % 200 + l_suppkey % 5 end as release from lineitem),
 len as (select distinct video_id, 120 + video_id as n from p), f as (select video_id, unnest(generate_series(0, n - 1)) as frame from len)
 select f.video_id, f.frame, max(case when p.hold <= f.frame and f.frame < coalesce(p.release, l.n) then 1 else 0 end) as label from f join len l using (video_id) left join p on p.video_id = f.video_id group by 1, 2"""
 
 
-def _changepoints(li: DataFrame) -> DataFrame:
-    p = li.selectExpr("l_orderkey % 100 as video_id", "l_partkey % 200 as hold", "case when l_linenumber = 7 then null else l_partkey % 200 + l_suppkey % 5 end as release")
-    return r.from_changepoints(p, K, p.select("video_id").distinct().withColumn("n", 120 + F.col("video_id")))
-
-
 @query(_CHANGEPOINTS)
 def changepoint_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _changepoints(spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_quantity = 50"))
-
-
-@query(_CHANGEPOINTS.replace(" where l_quantity = 50", ""))
-def whole_changepoint_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _changepoints(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    p = li.selectExpr("l_orderkey % 100 as video_id", "l_partkey % 200 as hold", "case when l_linenumber = 7 then null else l_partkey % 200 + l_suppkey % 5 end as release")
+    return r.from_changepoints(p, K, p.select("video_id").distinct().withColumn("n", 120 + F.col("video_id")))
 
 
 @query(f"""{_S}, n as (select video_id, pos, row_number() over (partition by video_id order by pos) - 1 as nth, count(*) over (partition by video_id) as n from seq)
@@ -113,7 +105,14 @@ def subsampled_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.subsample(e, K, 90000.0).select("video_id", F.col("row_id").alias("event_id"))
 
 
-@query()
+#: The last-kept rule of ``similarity_filter`` over {src} (video_id, t, row_id, cx, cy, area), as table kept.
+SIMILAR = """o as (select *, row_number() over (partition by video_id order by t, row_id) as nth from {src}),
+kept as (select * from o where nth = 1 union all select x.* from kept k, lateral (select o.* from o where o.video_id = k.video_id and o.nth > k.nth and o.t - k.t >= {gap} and sqrt(power(o.cx - k.cx, 2) + power(o.cy - k.cy, 2)) > {move} * 440
+  and abs(o.area - k.area) / greatest(0.000001, k.area) > {change} order by o.nth limit 1) x)"""
+TIMED = "video_id, frame_number / 30.0::double as t, row_id, (bbox_x1 + bbox_x2) / 2.0::double as cx, (bbox_y1 + bbox_y2) / 2.0::double as cy, greatest(0, bbox_x2 - bbox_x1)::double * greatest(0, bbox_y2 - bbox_y1) as area"
+
+
+@query(f"with recursive det as (select {DET[1]} from {DET[0]}), b as (select {TIMED} from det where detection_type = 'object'), {SIMILAR.format(src='b', gap=0.5, move=0.05, change=0.1)} select video_id, row_id from kept")
 def similarity_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions import boxes
     from .detections import det
@@ -124,25 +123,17 @@ def similarity_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.similarity_filter(df, K, 0.5, 0.05, 0.1).select("video_id", "row_id")
 
 
-_SHAPES = """with i as (select l_orderkey * 8 + l_linenumber as image_id, min(l_partkey % 300 + 50) as width, min(l_suppkey % 90 + 60) as height from lineitem where l_quantity > 49 group by 1),
+_SHAPES = """with i as (select l_orderkey * 8 + l_linenumber as image_id, min(l_partkey % 300 + 50) as width, min(l_suppkey % 90 + 60) as height from lineitem group by 1),
 r as (select *, greatest(0.5::double, least(2.0::double, width::double / height)) as ratio, width::double / height < 0.5 or width::double / height > 2 as need_crop from i),
 n as (select *, row_number() over (order by ratio, image_id) - 1 as rank from r), b as (select *, rank // 16 as batch from n)
 select image_id, batch, need_crop, round(case when max(ratio) over w < 1 then min(ratio) over w when min(ratio) over w > 1 then max(ratio) over w else 1 end, 6) as target_ratio from b window w as (partition by batch)"""
 
 
-def _shape_batches(li: DataFrame) -> DataFrame:
-    images = li.groupBy((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("image_id")).agg(F.min(F.col("l_partkey") % 300 + 50).alias("width"), F.min(F.col("l_suppkey") % 90 + 60).alias("height"))
-    return r.batches_by_shape(images, 16).select("image_id", F.col("batch").cast("bigint").alias("batch"), "need_crop", F.round("target_ratio", 6).alias("target_ratio"))
-
-
 @query(_SHAPES)
 def shape_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shape_batches(spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_quantity > 49"))
-
-
-@query(_SHAPES.replace(" where l_quantity > 49", ""))
-def whole_shape_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shape_batches(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    images = li.groupBy((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("image_id")).agg(F.min(F.col("l_partkey") % 300 + 50).alias("width"), F.min(F.col("l_suppkey") % 90 + 60).alias("height"))
+    return r.batches_by_shape(images, 16).select("image_id", F.col("batch").cast("bigint").alias("batch"), "need_crop", F.round("target_ratio", 6).alias("target_ratio"))
 
 
 _CONF = "count(*) filter ({p} = 1 and gt = 1) as tp, count(*) filter ({p} = 1 and gt = 0) as fp, count(*) filter ({p} = 0 and gt = 0) as tn, count(*) filter ({p} = 0 and gt = 1) as fn"

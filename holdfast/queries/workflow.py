@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import dataset, refine, tracking
+from ..operators import dataset, metrics, refine, tracking
 from ..plans import workflow as w
 from ..streaming import events as ev
 from ..testdata import DET, GT, SEQ, cte, view
-from .detections import det, frames
+from .detections import _BH, _O, det, frames
 from .registry import query
-from .sequences import _CONF, _GAPPY, _ISLANDS, gappy, seq
+from .sequences import _CONF, _GAPPY, _ISLANDS, SIMILAR, TIMED, gappy, seq
 
 _S = cte(seq=SEQ)
 K = ["video_id"]
@@ -32,7 +32,7 @@ def temporal_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def full_contact_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = det(spark, sf_dir)
-    return w.contact_labels(df, frames(df), w.PipelineConfig(object_size=0.3, bigger_factor=1.0, bridge=BRIDGE, strict=True))
+    return w.contact_labels(df, frames(), w.PipelineConfig(object_size=0.3, bigger_factor=1.0, bridge=BRIDGE, strict=True))
 
 
 @query(f"{_S} select video_id, pos, case when pred >= 0.5 then 1 else 0 end as refined, 1 + sum(case when pred <> lag_pred then 1 else 0 end) over (partition by video_id)::bigint as n_segments from (select *, lag(pred) over (partition by video_id order by pos) as lag_pred from seq)")
@@ -99,38 +99,76 @@ def parameter_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("seconds", "fps", "tp", "fp", "tn", "fn", F.round("accuracy", 6).alias("accuracy"))
 
 
-@query()
+_SPLIT = """parts as (select video_id, row_number() over (order by md5('42-' || video_id), video_id) - 1 as nth, count(*) over () as n from (select distinct video_id from det)),
+splits as (select video_id, case when nth < case when n < 2 then 0 else greatest(1, least(n - 1, round_even(n * 0.2, 0))) end then 'val' else 'train' end as split from parts)"""
+_PSEUDO = f"""with recursive det as (select {DET[1]} from {DET[0]}), {_BH}, good as (select o.* from det o join bh using (video_id, frame_number, row_id) where o.detection_type = 'object' and o.confidence >= 60
+  and (o.bbox_x2 - o.bbox_x1) / greatest((o.bbox_y2 - o.bbox_y1)::double, 0.000001) between 0.5 and 2 and {_O} / greatest(bh.hand_area, 0.000001) < 1.5 and bh.inter / greatest({_O}, 0.000001) <= 0.4),
+b as (select {TIMED} from good), {SIMILAR.format(src='b', gap=0.2, move=0.02, change=0.05)}, {_SPLIT},
+chosen as (select good.*, split from good join kept using (video_id, row_id) join splits using (video_id)), f as (select distinct split, video_id, frame_number as frame_idx from chosen)"""
+
+
+@query(f"""{_PSEUDO} select split, video_id, frame_idx, 440 as width, 300 as height, row_number() over (partition by split order by video_id, frame_idx)::int as image_id, concat(video_id, '_', lpad(frame_idx::varchar, 6, '0'), '.png') as file_name from f""")
 def pseudo_label_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = det(spark, sf_dir)
-    videos = [str(r[0]) for r in df.select("video_id").distinct().toLocalIterator()]  # participants: a driver-side list, as the reference's seeded shuffle is of all names; one for 512 order keys
-    splits = spark.createDataFrame([(int(p), s) for p, s in dataset.split_participants(videos, 0.2, 42).items()], "video_id bigint, split string")
+    splits = dataset.split_by_rank(df, "video_id", 0.2, 42)
     images, _ = w.pseudo_labels(df.where("detection_type = 'object'"), df.where("detection_type = 'hand'"), splits)
     return images
 
 
-_COCO = f"""{cte(det=DET)}, l as (select *, case when video_id % 5 = 0 then 'val' else 'train' end as split from det where detection_type = 'object' and row_id % 3 = 0), f as (select distinct split, video_id, frame_number as frame_idx from l),
-i as (select *, row_number() over (partition by split order by video_id, frame_idx) as image_id from f)"""
+@query(f"""{cte(det=DET)}, {_SPLIT}, l as (select *, round(case when frame_number % 3 = 0 then 29.97 else 24.9999 end::double, 3) as fps from det where detection_type = 'object')
+select 'participant' as kind, video_id::varchar as name, split, count(*) as n from l join splits using (video_id) group by 2, 3 union all select 'fps', fps::varchar, null, count(*) from l group by 2""")
+def dataset_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = det(spark, sf_dir)
+    labels = df.where("detection_type = 'object'").withColumn("fps", F.when(F.col("frame_number") % 3 == 0, 29.97).otherwise(24.9999))
+    by = dataset.counts_by_participant(labels, dataset.split_by_rank(df, "video_id", 0.2, 42), "video_id").select(F.lit("participant").alias("kind"), F.col("video_id").cast("string").alias("name"), "split", F.col("selected_frames").alias("n"))
+    return by.unionByName(dataset.counts_by_fps(labels).select(F.lit("fps").alias("kind"), F.col("fps").cast("string").alias("name"), F.lit(None).cast("string").alias("split"), "n"))
 
 
-_ANNOTATIONS = f"""{_COCO} select l.split, i.image_id, row_number() over (partition by l.split order by i.image_id, l.row_id) as annotation_id, [l.bbox_x1::double, l.bbox_y1::double, (l.bbox_x2 - l.bbox_x1)::double, (l.bbox_y2 - l.bbox_y1)::double] as bbox,
-  (l.bbox_x2 - l.bbox_x1)::double * (l.bbox_y2 - l.bbox_y1) as area from l join i on l.split = i.split and l.video_id = i.video_id and l.frame_number = i.frame_idx"""
+@query(f"""{_S}, st as (select video_id, avg((pred = gt)::int) as accuracy from seq group by 1), b as (select video_id, avg(((pred = 1 and not blue)::int = gt)::int) as accuracy from seq where video_id % 4 <> 1 group by 1)
+select video_id, round(st.accuracy, 6) as accuracy, round(b.accuracy, 6) as baseline_accuracy, round(st.accuracy - b.accuracy, 6) as delta_accuracy, b.accuracy is not null as has_baseline from st left join b using (video_id)""")
+def strict_against_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = seq(spark, sf_dir)
+    strict = s.groupBy("video_id").agg(metrics.accuracy())
+    base = s.where("video_id % 4 <> 1").withColumn("pred", ((F.col("pred") == 1) & ~F.col("blue")).cast("int")).groupBy("video_id").agg(metrics.accuracy())
+    out = metrics.with_baseline(strict, base, "video_id", ["accuracy"])
+    return out.select("video_id", *[F.round(c, 6).alias(c) for c in ("accuracy", "baseline_accuracy", "delta_accuracy")], "has_baseline")
+
+
+_MODES = f"""{_S}, {_GAPPY}, grp as (select distinct video_id, case when video_id % 2 = 0 then 20.0::double else 40.0::double end as fps from seq where video_id % 5 <> 4),
+x as (select g.video_id, g.pos, g.pred, grp.fps, m.mode, case when g.pos % 6 <> 2 then g.blue end as flag from gappy g join grp using (video_id), (select unnest(['inner', 'left']) as mode) m),
+y as (select video_id, pos, pred, fps, mode, coalesce(flag, false) as blue from x where mode = 'left' or flag is not null),
+z as (select *, case when lag(pos) over w is null or lag(pred) over w <> pred or pos - lag(pos) over w <> 1 then 1 else 0 end as fresh from y window w as (partition by video_id, mode order by pos)),
+rr as (select *, sum(fresh) over (partition by video_id, mode order by pos) as run from z),
+isl as (select video_id, mode, fps, run, min(pred) as pred, min(pos) as first, count(*) as length, bool_or(blue) as has_blue from rr group by 1, 2, 3, 4), cells as (select unnest([0.02, 0.05, 0.1])::double as seconds),
+sel as (select seconds, mode, video_id, (first + length // 2)::bigint as pos, pred from isl, cells where length >= ceil(seconds * fps) and not (pred = 1 and has_blue)),
+a as (select sel.*, s.gt from sel join (select video_id, pos, gt from seq where pos % 4 <> 3) s using (video_id, pos)),
+c as (select seconds, mode, count(distinct video_id) as n, {_CONF.format(p='pred')} from a group by 1, 2), grid as (select seconds, unnest(['inner', 'left']) as mode from cells),
+f as (select grid.seconds, grid.mode, coalesce(tp, 0) as tp, coalesce(fp, 0) as fp, coalesce(tn, 0) as tn, coalesce(fn, 0) as fn, (select count(*) from grp) - coalesce(n, 0) as n_failed from grid left join c using (seconds, mode)),
+h as (select *, mode || '_' || seconds as name, case when tp + fp + tn + fn > 0 then (tp + tn) / (tp + fp + tn + fn)::double else 0 end as accuracy from f)
+select name, seconds, mode, tp, fp, tn, fn, n_failed::bigint as n_failed, round(accuracy, 6) as accuracy, row_number() over (order by accuracy desc, n_failed, name) as rank from h"""
+
+
+@query(_MODES)
+def sweep_of_join_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = gappy(spark, sf_dir)
+    keys = [r[0] for r in seq(spark, sf_dir).where("video_id % 5 <> 4").select("video_id").distinct().collect()]  # the names of a run's datasets
+    groups = [(fps, [k for k in keys if k % 2 == odd]) for odd, fps in ((0, 20.0), (1, 40.0))]
+    out = w.sweep_modes(s.drop("blue"), s.where("pos % 6 <> 2"), seq(spark, sf_dir).where("pos % 4 <> 3").select("video_id", "pos", "gt"), "video_id", "pos", "pred", [0.02, 0.05, 0.1], ["inner", "left"], [g for g in groups if g[1]])
+    return out.select("name", "seconds", "mode", *metrics.COUNTS, F.col("n_failed").cast("bigint").alias("n_failed"), F.round("accuracy", 6).alias("accuracy"), F.col("rank").cast("bigint").alias("rank"))
+
+
+_COCO = f"""{cte(det=DET)}, l as (select *, case when video_id % 5 = 0 then 'val' else 'train' end as split from det where detection_type = 'object'), f as (select distinct split, video_id, frame_number as frame_idx from l),
+i as (select *, row_number() over (partition by split order by video_id, frame_idx) as image_id from f)"""
 
 
-def _annotations(objects: DataFrame) -> DataFrame:
+@query(f"""{_COCO} select l.split, i.image_id, row_number() over (partition by l.split order by i.image_id, l.row_id) as annotation_id, [l.bbox_x1::double, l.bbox_y1::double, (l.bbox_x2 - l.bbox_x1)::double, (l.bbox_y2 - l.bbox_y1)::double] as bbox,
+  (l.bbox_x2 - l.bbox_x1)::double * (l.bbox_y2 - l.bbox_y1) as area from l join i on l.split = i.split and l.video_id = i.video_id and l.frame_number = i.frame_idx""")
+def coco_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    objects = det(spark, sf_dir).where("detection_type = 'object'")
     rows = objects.withColumns({"split": F.when(F.col("video_id") % 5 == 0, "val").otherwise("train"), "width": F.lit(440), "height": F.lit(300)}).withColumnRenamed("frame_number", "frame_idx")
     return dataset.coco_tables(rows)[1].select("split", F.col("image_id").cast("bigint").alias("image_id"), F.col("annotation_id").cast("bigint").alias("annotation_id"), "bbox", "area")
 
 
-@query(_ANNOTATIONS)
-def coco_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _annotations(det(spark, sf_dir).where("detection_type = 'object' and row_id % 3 = 0"))
-
-
-@query(_ANNOTATIONS.replace(" and row_id % 3 = 0", ""))
-def whole_coco_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _annotations(det(spark, sf_dir).where("detection_type = 'object'"))
-
-
 @query("""with n as (select distinct l_orderkey % 500 as image_id, l_partkey % 40 as node_id from lineitem where l_quantity < 10), e as (select l_orderkey % 500 as image_id, l_partkey % 40 as subject, l_shipdate::date::varchar[1:4] as predicate, l_suppkey % 40 as object from lineitem)
 select distinct e.* from e where exists (select 1 from n where n.image_id = e.image_id and n.node_id = e.subject) and exists (select 1 from n where n.image_id = e.image_id and n.node_id = e.object)""".replace("l_shipdate::date::varchar[1:4]", "year(l_shipdate)::varchar"))
 def scene_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

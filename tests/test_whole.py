@@ -12,15 +12,13 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 
 
-@pytest.mark.parametrize("name", ["whole_anchor_targets", "whole_region_classes", "proposal_targets"])
+@pytest.mark.parametrize("name", ["anchor_targets", "region_classes", "sampled_anchor_targets"])
 def test_targets_of_all_images(name, spark):
     df = det(spark, SF).withColumn("image_id", F.col("video_id") * 512 + F.col("frame_number"))
-    both = df.groupBy("image_id").agg(F.max((F.col("detection_type") == "object").cast("int")).alias("t")).where("t = 1")
-    images = {r.image_id for r in both.collect()}
-    found = {r.image_id for r in QUERIES[name](spark, SF).select("image_id").distinct().collect()}
-    assert found <= images and any(i % 32 for i in found)
-    # A truth overlaps itself in full, so each image with one has a region of every kind of row asked for here.
-    assert found == images
+    regions = {(r.image_id, r.row_id) for r in df.select("image_id", "row_id").collect()}
+    without = df.groupBy("image_id").agg(F.max((F.col("detection_type") == "object").cast("int")).alias("t")).where("t = 0").count()
+    found = {(r.image_id, r.anchor_id) for r in QUERIES[name](spark, SF).collect()}
+    assert found == regions and without  # regions of images without truth, too
 
 
 def test_pseudo_labels_split_all_videos(spark, tmp_path):
@@ -35,11 +33,11 @@ def test_pseudo_labels_split_all_videos(spark, tmp_path):
 
 def test_changepoints_and_batches_of_all_rows(spark):
     li = spark.read.parquet(f"{SF}/lineitem.parquet")
-    batches = QUERIES["whole_shape_batches"](spark, SF)
+    batches = QUERIES["shape_batches"](spark, SF)
     assert batches.count() == li.select("l_orderkey", "l_linenumber").distinct().count()
     counts = [n for _, n in sorted((r.batch, r["count"]) for r in batches.groupBy("batch").count().collect())]
     assert set(counts[:-1]) == {16}
-    frames = QUERIES["whole_changepoint_frames"](spark, SF).where("label = 1")
+    frames = QUERIES["changepoint_frames"](spark, SF).where("label = 1")
     held = li.selectExpr("l_orderkey % 100 as video_id", "l_partkey % 200 as frame").where("frame < 120 + video_id").join(li.where("l_linenumber < 7 and l_suppkey % 5 > 0").selectExpr("l_orderkey % 100 as video_id", "l_partkey % 200 as frame").distinct(), ["video_id", "frame"], "left_semi")
     assert held.join(frames, ["video_id", "frame"], "left_anti").count() == 0
 
@@ -72,4 +70,4 @@ def test_coco_means_over_all_thresholds_and_areas(spark):
 
 def test_annotations_of_all_objects(spark):
     n = det(spark, SF).where("detection_type = 'object'").count()
-    assert QUERIES["whole_coco_annotations"](spark, SF).count() == n
+    assert QUERIES["coco_annotations"](spark, SF).count() == n
