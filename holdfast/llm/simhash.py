@@ -99,10 +99,10 @@ def grow(fps: np.ndarray, tree: np.ndarray) -> np.ndarray:
     return child
 
 
-def search(fps: np.ndarray, tree: np.ndarray, radius: int) -> np.ndarray:
-    """For each fingerprint the first of its tree reachable by links of at most ``radius`` bits."""
+def pairs_within(fps: np.ndarray, tree: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs (query, node, distance) of one tree within ``radius`` bits, node before query; only edges that can lead to some are followed."""
     n = len(fps)
-    child, labels = grow(fps, tree), np.arange(n)
+    child = grow(fps, tree)
     root = np.flatnonzero(np.concatenate([[True], tree[1:] != tree[:-1]]))
     query, node = np.arange(n, dtype=np.int32), np.repeat(root, np.diff(np.append(root, n))).astype(np.int32)
     stack = [(query[i : i + FRONT // 16], node[i : i + FRONT // 16]) for i in range(0, n, FRONT // 16)]
@@ -114,7 +114,7 @@ def search(fps: np.ndarray, tree: np.ndarray, radius: int) -> np.ndarray:
             query, node = query[:half], node[:half]
         d = np.bitwise_count(fps[query] ^ fps[node]).astype(np.int32)
         near = (d <= radius) & (node < query)
-        labels = merge_labels(labels, query[near], node[near])
+        yield query[near], node[near], d[near]
         follow = [], []
         for edge in range(-radius, radius + 1):
             inside = (d + edge > 0) & (d + edge <= 64)
@@ -123,6 +123,13 @@ def search(fps: np.ndarray, tree: np.ndarray, radius: int) -> np.ndarray:
             follow[1].append(to[to >= 0])
         if sum(map(len, follow[0])):
             stack.append((np.concatenate(follow[0]), np.concatenate(follow[1])))
+
+
+def search(fps: np.ndarray, tree: np.ndarray, radius: int) -> np.ndarray:
+    """For each fingerprint the first of its tree reachable by links of at most ``radius`` bits."""
+    labels = np.arange(len(fps))
+    for query, node, _ in pairs_within(fps, tree, radius):
+        labels = merge_labels(labels, query, node)
     return labels
 
 

@@ -123,3 +123,17 @@ def check_packing(rows, expected, size=1024):
             at += length
         assert at <= size
     return len(bins)
+
+
+def similarities(docs, n=5):
+    """Jaccard similarities of shingle sets, by pairs of places; texts without words are alike."""
+    sets = []
+    for _, text in docs:
+        w = words(ascii_lower(text or ""))
+        sets.append({" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set())
+    holders = defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s or {""}:
+            holders[x].append(i)
+    shared = Counter((a, b) for h in holders.values() for k, b in enumerate(h) for a in h[:k])
+    return {(a, b): k / len((sets[a] | sets[b]) or {""}) for (a, b), k in shared.items()}

@@ -137,6 +137,90 @@ def test_simhash(docs, rows, empty):
     assert near_copies(docs.unionAll(docs)).count() == 2 * len(rows)
 
 
+def test_wide_hashes_are_of_shingles(rows):
+    """Equal texts after lower-casing and splitting have equal hashes, and as many as shingles, in any batch."""
+    import pyarrow as pa
+
+    from holdfast.llm.wide_simhash import shingle_hashes, wide_fingerprints
+
+    texts = [r[1] for r in rows] + ["É a\x1cb c\u00a0d e f", "a  B\tc\x0bd\x0ce F", "A b C d E f", "a", ""]
+    hashes, n = shingle_hashes(pa.array(texts), 5)
+    ends, seen = np.cumsum(n), {}
+    for i, text in enumerate(texts):
+        w = brute.words(brute.ascii_lower(text or ""))
+        shingles = [" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))] if w else []
+        assert n[i] == len(shingles)
+        for s, h in zip(shingles, hashes[ends[i] - n[i] : ends[i]].tolist(), strict=True):
+            assert seen.setdefault(s, h) == h
+    assert len(set(seen.values())) == len(seen)
+    whole = wide_fingerprints(pa.array(texts), 5)
+    for i in range(0, len(texts), 3):
+        assert np.array_equal(wide_fingerprints(pa.array(texts).slice(i, 3), 5), whole[i : i + 3])
+    # Bits in over half the values, counted plainly.
+    from holdfast.llm import wide_simhash as w
+
+    i = max(range(len(texts)), key=lambda k: n[k])
+    h = hashes[ends[i] - n[i] : ends[i]]
+    bits = [[int((w._mixed(h + w._of_lane[lane]) >> np.uint64(b) & np.uint64(1)).sum()) * 2 > n[i] for b in range(64)] for lane in (0, 7)]
+    assert sorted(np.unpackbits(whole[i, [0, 7]].astype(">u8").view(np.uint8).reshape(2, 8), axis=1).sum(axis=1).tolist()) == sorted(map(sum, bits))
+
+
+def planted(rng, groups, each, vocab):
+    """Texts of ``groups`` bases, each with ``each`` near copies: some words replaced, or the end cut off."""
+    out = []
+    for _ in range(groups):
+        base = [rng.choice(vocab) for _ in range(rng.randint(60, 260))]
+        out.append(" ".join(base))
+        for _ in range(each):
+            new = list(base)
+            for _ in range(rng.randint(1, max(1, len(base) // 70))):
+                new[rng.randrange(len(new))] = rng.choice(vocab)
+            out.append(" ".join(new if rng.random() < 0.6 else new[: rng.randint(len(new) * 9 // 10, len(new))]))
+    return out
+
+
+def test_near_copies_at_a_similarity(spark, docs, rows, empty):
+    """Against all pairs: links of 0.8 are found, and nothing is joined that links of 0.7 don't join."""
+    from holdfast.llm.wide_simhash import keep_one_similar, similar_copies
+
+    rng = random.Random(21)
+    vocab = [f"w{i}" for i in range(3000)]
+    texts = planted(rng, 150, 4, vocab) + [" ".join(rng.choice(vocab) for _ in range(rng.randint(1, 200))) for _ in range(500)] + [None, "", " \n", "one two", "ONE two"]
+    data = list(enumerate(texts))
+    df = spark.createDataFrame(data, "doc_id bigint, text string").repartition(6)
+    got = {r.doc_id: r.component_id for r in similar_copies(df).collect()}
+    near = brute.similarities(data)
+    high = [p for p, s in near.items() if s >= 0.8]
+    recall = np.mean([got[a] == got[b] for a, b in high])
+    print("recall of pairs at 0.8", len(high), recall)
+    assert recall >= 0.95
+    ids = [d for d, _ in data]
+    group = brute.components(len(ids), [p for p, s in near.items() if s >= 0.7], ids)
+    assert all(group[c] == group[d] and c <= d for d, c in got.items())
+    kept = keep_one_similar(df.withColumn("fp", F.lit("x")), held=0)
+    assert kept.columns == ["doc_id", "text", "fp"] and {r.doc_id for r in kept.collect()} == {r.doc_id for r in keep_one_similar(df).collect()} == set(got.values())
+    assert similar_copies(empty).count() == 0 and keep_one_similar(empty).count() == 0
+    assert sorted(r.doc_id for r in similar_copies(docs.unionAll(docs)).collect()) == sorted(2 * [r[0] for r in rows])
+    odd = keep_one_similar(spark.createDataFrame([(None, "a b"), (1, "a b"), (2, "A  b"), (None, None)], "doc_id bigint, text string"))
+    assert sorted(str(r.doc_id) for r in odd.collect()) == ["1", "None", "None"]
+
+
+def test_a_large_group_of_near_copies_leaves_tasks_as_leaders(spark):
+    from holdfast.llm import wide_simhash as w
+
+    rng = random.Random(22)
+    vocab = [f"w{i}" for i in range(3000)]
+    texts = planted(rng, 1, 2500, vocab) + [" ".join(rng.choice(vocab) for _ in range(150)) for _ in range(500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in w.similar_copies(df).collect()}
+    assert np.mean([got[i] == 0 for i in range(2501)]) >= 0.99 and all(got[i] == i for i in range(2501, 3001))
+    distinct = w.fingerprints(df, 5).groupBy("fp").agg(F.min("doc_id").alias("rep")).coalesce(1)
+    places = w.tables(distinct.count(), 0.8, 0.99)
+    sent = w.dealt(distinct, places, w.differing(0.8)[1])
+    assert sent.where("key is not null").groupBy("key").count().agg(F.max("count")).first()[0] < 500
+    assert sent.where("key is null").count() < 2501 * len(places)
+
+
 def test_bk_trees_find_all_neighbours():
     from holdfast.llm.simhash import search
 
