@@ -142,6 +142,13 @@ def flip(b: Box, w: Column) -> Box:
     return Box(w - b.x2 - 1, b.y1, w - b.x1 - 1, b.y2)
 
 
+def moved_on(before: Box, last: Box) -> Box:
+    """The last box moved on by its centre's latest step, its size kept; the last box itself where there is none before."""
+    step = lambda a, b: F.coalesce(((b[0] + b[1]) - (a[0] + a[1])) / 2, F.lit(0.0))
+    dx, dy = step((before.x1, before.x2), (last.x1, last.x2)), step((before.y1, before.y2), (last.y1, last.y2))
+    return Box(last.x1 + dx, last.y1 + dy, last.x2 + dx, last.y2 + dy)
+
+
 def enlarge(b: Box, ratio: float, im_height: Column, im_width: Column) -> Box:
     """Grown by ``ratio`` about its centre. Known quirk, kept: x is clamped by the height, y by the width."""
     (cx, cy), w, h = centre(b), width(b) * ratio, height(b) * ratio

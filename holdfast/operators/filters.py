@@ -143,6 +143,21 @@ def heuristics(objects: DataFrame, hands: DataFrame, min_confidence: float = 0.8
     return out.withColumn("passed_heuristics", F.col("heuristics_fail_reasons") == "")
 
 
+def k_means_filter(*_: object, **__: object) -> DataFrame:
+    """Named by the configurations, without a behaviour of its own."""
+    raise NotImplementedError("the k-means filter has no defined behaviour")
+
+
+#: Filters of pseudo-labels by the name that a configuration gives.
+STRATEGIES = {"heuristics": heuristics, "kmeans": k_means_filter}
+
+
+def strategy(name: str):
+    if name not in STRATEGIES:
+        raise ValueError(f"unknown filter {name!r}; choices: {sorted(STRATEGIES)}")
+    return STRATEGIES[name]
+
+
 def best_of_frame(df: DataFrame, hand: float = 0.5, obj: float = 0.5, most: int = 10) -> DataFrame:
     """Detections over their type's threshold, at most ``most`` of each type in a frame, by confidence."""
     kept = df.where(F.col("confidence") >= F.when(F.col("detection_type") == "hand", hand).otherwise(obj))

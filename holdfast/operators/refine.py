@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..staging import shuffle_partitions
+
 
 @dataclass
 class Refined:
@@ -241,7 +243,9 @@ def refine(df: DataFrame, refiner: Refiner, observation: str = "pred") -> DataFr
             return out.assign(refined=pd.array([None] * len(out), "Int32"), posterior=None, objective=None, n_segments=pd.array([None] * len(out), "Int32"), status="infeasible")
         return out.assign(refined=r.sequence, posterior=r.posteriors, objective=r.objective, n_segments=r.transitions + 1, status="ok")
 
-    return df.select("video_id", "pos", observation).groupBy("video_id").applyInPandas(run, OUTPUT)
+    # Dealt by a given number of partitions: rows are few, steps many, so that small partitions aren't to be put together.
+    dealt = df.select("video_id", "pos", observation).repartition(shuffle_partitions(df.sparkSession), "video_id")
+    return dealt.groupBy("video_id").applyInPandas(run, OUTPUT)
 
 
 def change_of_metrics(df: DataFrame, refined: DataFrame) -> DataFrame:

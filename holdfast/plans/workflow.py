@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import condense, dataset, filters, metrics, runs
 from ..operators.matching import aligned
 from ..operators.tracking import BridgeConfig, tracking_bridge
+from . import config
 
 
 @dataclass(frozen=True)
@@ -25,20 +26,23 @@ class PipelineConfig:
     strategy: str = "no_contact_first"
 
 
-def contact_labels(df: DataFrame, frames: DataFrame | tuple[Column, Column], config: PipelineConfig = PipelineConfig()) -> DataFrame:
+config.NESTED["PipelineConfig", "bridge"] = BridgeConfig
+
+
+def contact_labels(df: DataFrame, frames: DataFrame | tuple[Column, Column], chosen: PipelineConfig = PipelineConfig()) -> DataFrame:
     """Blue gloves, object size, ratios, bridge, strict evidence, one label for each frame; in this order."""
-    df = filters.blue_glove(df, config.blue_threshold)
-    if config.object_size is not None:
-        df = filters.object_size(df, frames, config.object_size)
-    if config.smaller_factor is not None:
-        df = filters.smaller_factor(df, config.smaller_factor)
-    if config.bigger_factor is not None:
-        df = filters.bigger_than_hand(df, config.bigger_factor)
-    if config.bridge is not None:
-        df = tracking_bridge(df, config.bridge)
-    if config.strict:
+    df = filters.blue_glove(df, chosen.blue_threshold)
+    if chosen.object_size is not None:
+        df = filters.object_size(df, frames, chosen.object_size)
+    if chosen.smaller_factor is not None:
+        df = filters.smaller_factor(df, chosen.smaller_factor)
+    if chosen.bigger_factor is not None:
+        df = filters.bigger_than_hand(df, chosen.bigger_factor)
+    if chosen.bridge is not None:
+        df = tracking_bridge(df, chosen.bridge)
+    if chosen.strict:
         df = filters.strict_portable(df)
-    return condense.condense(df, config.strategy)
+    return condense.condense(df, chosen.strategy)
 
 
 def with_metadata(predictions: DataFrame, metadata: DataFrame, keys: list[str], how: str = "inner", flag: str = "blue") -> DataFrame:

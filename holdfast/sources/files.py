@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels, parsing
+from ..operators.runs import ranked
 
 #: What counts as an image or a video.
 IMAGES = (".png", ".jpg", ".jpeg", ".bmp", ".tif", ".tiff", ".webp")
@@ -179,7 +180,7 @@ def same_tables(left: DataFrame, right: DataFrame, tolerance: float = 1e-6) -> b
         kinds = dict(df.dtypes)
         # Numbers are compared within the tolerance, so that they can't take part in the order before rounding.
         place = [F.round(F.col(c).cast("double"), 4) if kinds[c] in ("double", "float") else F.col(c).cast("string") for c in names]
-        return df.select(*names).withColumn("__n", F.row_number().over(Window.orderBy(*place)))
+        return ranked(df.select(*names), [], place, "__n")
 
     a, b = key(left), key(right)
     kinds = dict(left.dtypes)
