@@ -5,7 +5,7 @@ with the runs: hashes that a run already knows in enough documents are settled a
 is written as a new sorted run. Two runs of one level are compacted into one of the next, so there are as many runs as binary
 digits in the number of batches. Runs hold 32 bytes for each distinct hash, never lines.
 
-A run is a bucketed table: one sorted file for each of as many buckets as a shuffle has partitions, by the same hash. So the
+A run is a bucketed table: one sorted file for each of as many buckets as a shuffle has partitions then, by the same hash. So the
 anti-join of a batch and the compaction of two runs are merges that read runs as they lie, without an exchange or a sort.
 """
 
@@ -57,21 +57,25 @@ def line_hashes(docs: DataFrame, least: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, h1 bigint, h2 bigint")
 
 
-ORDERED_SCAN = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+#: Rows of line hashes for each bucket of a run; there are as many buckets as a shuffle has partitions at the most.
+BUCKET = 250_000
 
 
 @contextmanager
-def ordered_scans(spark: SparkSession) -> Iterator[None]:
-    """Within this, a bucket that is one sorted file counts as sorted when it is read."""
-    before = spark.conf.get(ORDERED_SCAN, None)
-    spark.conf.set(ORDERED_SCAN, "true")
+def run_settings(spark: SparkSession, buckets: int) -> Iterator[None]:
+    """Within this, shuffles have as many partitions as runs have buckets, and a bucket that is one sorted file counts as sorted when it is read."""
+    wanted = {"spark.sql.shuffle.partitions": str(buckets), "spark.sql.legacy.bucketedTableScan.outputOrdering": "true"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(ORDERED_SCAN)
-        else:
-            spark.conf.set(ORDERED_SCAN, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 class Runs:
@@ -166,8 +170,9 @@ def drop_repeated_lines(docs: DataFrame, least_chars: int = 40, least_docs: int
     spark = docs.sparkSession
     lines = staged(line_hashes(docs, least_chars), "lines")
     bounds = docs.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] or [] if batches > 1 else []
-    runs, above = Runs(spark, least_docs), None
-    with ordered_scans(spark):
+    above = None
+    with run_settings(spark, max(1, min(shuffle_partitions(spark), -(-lines.count() // BUCKET)))):
+        runs = Runs(spark, least_docs)
         try:
             for low in [*sorted(set(bounds), reverse=True), None]:
                 batch = lines if low is None else lines.where(F.col("doc_id") >= low)

@@ -90,11 +90,11 @@ def test_line_dedup(docs, rows, empty):
 
 def test_runs_are_merged_as_they_lie(spark):
     """Neither the anti-join of a batch with a run nor the compaction of two runs exchanges or sorts a run."""
-    from holdfast.llm.line_dedup import Runs, ordered_scans
+    from holdfast.llm.line_dedup import Runs, run_settings
 
-    runs = Runs(spark, 2)
     rows = spark.range(20_000).selectExpr("id % 90 as doc_id", "xxhash64(id % 5000) as h1", "xxhash64(id % 5000, 1) as h2").distinct()
-    with ordered_scans(spark):
+    with run_settings(spark, 3):
+        runs = Runs(spark, 2)
         runs.add(rows.where("doc_id >= 60"))
         plan = runs.batch(rows.where("doc_id < 60 and doc_id >= 30"))._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan and plan.count("Exchange") == 1  # that of the batch's own counts
