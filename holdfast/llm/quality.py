@@ -151,84 +151,6 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 16384) -> Trees:
     return fit(x[order], y[order])
 
 
-def score(self, x: np.ndarray) -> np.ndarray:
-        """Probability of label 1 for rows of statistics."""
-        trees, inner = self.feature.shape
-        total = np.full(len(x), self.base)
-        if trees:
-            node, tree, row = np.zeros((len(x), trees), np.int64), np.arange(trees), np.arange(len(x))[:, None]
-            for _ in range(int(np.log2(inner + 1))):
-                node = 2 * node + 1 + (x[row, self.feature[tree, node]] > self.threshold[tree, node])
-            total = total + self.value[tree, node - inner].sum(axis=1)
-        return 1 / (1 + np.exp(-total))
-
-
-def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, bins: int = 64, rate: float = 0.15, least: int = 10, penalty: float = 1.0) -> Trees:
-    """Boosted trees for labels 0 and 1. Without rows of both labels all scores are the (smoothed) share of label 1."""
-    rows, columns = x.shape
-    share = (y.sum() + 0.5) / (rows + 1)
-    base = float(np.log(share / (1 - share)))
-    inner = 2**depth - 1
-    if not 0 < y.sum() < rows:
-        return Trees(base, np.zeros((0, inner), np.int64), np.zeros((0, inner)), np.zeros((0, inner + 1)))
-    edges = [np.unique(np.quantile(x[:, j], np.arange(1, bins) / bins, method="lower")) for j in range(columns)]
-    binned = np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)], axis=1)
-    bounds = np.stack([np.append(e, np.full(bins - len(e), np.inf)) for e in edges])
-    flat = binned + np.arange(columns) * bins
-    total, out = np.full(rows, base), ([], [], [])
-    for _ in range(trees):
-        p = 1 / (1 + np.exp(-total))
-        g, h = p - y, p * (1 - p)
-        node = np.zeros(rows, np.int64)
-        feature, threshold = np.zeros(inner, np.int64), np.full(inner, np.inf)
-        for level in range(depth):
-            first, n = 2**level - 1, 2**level
-            at = ((node - first)[:, None] * (columns * bins) + flat).ravel()
-            G, H, N = (np.bincount(at, np.repeat(v, columns), n * columns * bins).reshape(n, columns, bins).cumsum(axis=2) for v in (g, h, np.ones(rows)))
-            g_all, h_all, n_all = G[:, :, -1:], H[:, :, -1:], N[:, :, -1:]
-            gain = G**2 / (H + penalty) + (g_all - G) ** 2 / (h_all - H + penalty) - g_all**2 / (h_all + penalty)
-            gain[(N < least) | (n_all - N < least)] = 0
-            best = gain.reshape(n, -1).argmax(axis=1)
-            useful = gain.reshape(n, -1)[np.arange(n), best] > 1e-9
-            f, b = best // bins, best % bins
-            feature[first : first + n] = np.where(useful, f, 0)
-            threshold[first : first + n] = np.where(useful, bounds[f, b], np.inf)
-            mine = node - first
-            node = 2 * node + 1 + (useful[mine] & (binned[np.arange(rows), f[mine]] > b[mine]))
-        leaf = node - inner
-        value = -rate * np.bincount(leaf, g, inner + 1) / (np.bincount(leaf, h, inner + 1) + penalty)
-        total = total + value[leaf]
-        for held, v in zip(out, (feature, threshold, value), strict=True):
-            held.append(v)
-    return Trees(base, *map(np.stack, out))
-
-
-def held_out() -> Column:
-    """Rows that no model learns from: crc32 of the doc_id as text leaves 2 when divided by 4."""
-    return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
-
-
-def _with_statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    for batch in steps(batches):
-        yield batch, np.array([statistics(t or b"") for t in batch.column("text").cast(pa.binary()).to_pylist()])
-
-
-def train(docs: DataFrame, labels: DataFrame, most: int = 16384) -> Trees:
-    """Trees from at most ``most`` labelled rows that aren't held out; ``labels`` are (doc_id, quality), others than 0 and 1 ignored."""
-    known = labels.where(F.col("quality").isin(0, 1) & ~held_out()).select("doc_id", F.col("quality").cast("double").alias("__y"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "__y").limit(most)  # so small that it may be broadcast
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, x in _with_statistics(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("__y"), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
-
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").mapInArrow(run, "doc_id bigint, y double, x array<double>").toArrow()
-    x = np.array(rows["x"].to_pylist()).reshape(-1, len(STATISTICS))
-    y = rows["y"].to_numpy()
-    order = np.lexsort([*x.T, y, rows["doc_id"].to_numpy()])
-    return fit(x[order], y[order])
-
-
 def score(docs: DataFrame, trees: Trees, threshold: float = 0.7) -> DataFrame:
     """``docs`` with score (0 to 1; higher: label 1 is likelier) and predicted (1 if score >= threshold, else 0).
 
