@@ -74,8 +74,8 @@ def format_chats(turns: DataFrame, template: Template = Template()) -> DataFrame
 
     Turns (conv_id, turn, role, text) go by turn, then role and text; a null turn comes first, a null text or role counts as empty.
     Conversations whose order the state machine refuses are formatted too, and ``fault`` says where (null: nowhere). Repeated
-    rows are turns each. Rows with a null conv_id are one conversation. Other columns are ignored; an empty table gives no rows.
-    A task holds one conversation's texts at a time.
+    rows are turns each. Rows with a null conv_id are one conversation. Other columns are ignored, whatever their names; an empty
+    table gives no rows. A very long text is one segment; a task holds one conversation's texts at a time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,3 +52,26 @@ def steps(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = S
                 begin, held = i, 0
             held += int(size) + 64
         yield batch.slice(begin)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], keys: int, least: int) -> Iterator[list[np.ndarray]]:
+    """The columns (of numbers) in parts of about ``least`` rows or more, none of which ends within rows that agree in the first ``keys`` columns."""
+    held: list[list[np.ndarray]] = []
+    n = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = [batch.column(c).to_numpy() for c in columns]
+        if n + batch.num_rows >= least:
+            change = np.zeros(batch.num_rows, bool)
+            for c, x in enumerate(new[:keys]):
+                change[1:] |= x[1:] != x[:-1]
+                change[0] |= bool(held) and x[0] != held[-1][c][-1]
+            if change.any():
+                end = int(change.nonzero()[0][-1])
+                yield [np.concatenate(x) for x in zip(*held, [x[:end] for x in new], strict=True)]
+                held, n, new = [], 0, [x[end:] for x in new]
+        held.append(new)
+        n += len(new[0])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]

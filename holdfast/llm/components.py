@@ -22,11 +22,23 @@ def merge_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray
             labels = labels[labels]
 
 
+#: A node with more than HUB links is joined to them by a broadcast, the HUBS largest of such nodes at the most.
+HUB, HUBS = 100_000, 10_000
+
+
+def _with_least(rows: DataFrame, node: str, least: DataFrame) -> DataFrame:
+    """``rows`` with m, the least neighbour of their ``node``, from (x, m, n): the largest hubs' rows don't move."""
+    hubs = least.where(F.col("n") > HUB).orderBy(F.desc("n"), "x").limit(HUBS).select(F.col("x").alias(node), F.col("m").alias("hub"))
+    marked = rows.join(F.broadcast(hubs), node, "left")
+    rest = marked.where("hub is null").drop("hub").join(least.select(F.col("x").alias(node), "m"), node)
+    return marked.where("hub is not null").withColumnRenamed("hub", "m").unionByName(rest)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of each node that is not the smallest of its component, from links (a, b) of long ids.
 
     Large and small stars alternate until each node hangs on one smaller node that hangs on none. Minima are aggregated with
-    map-side combining and written before they are joined, so that adaptive execution can split a star with very many links.
+    map-side combining and written before they are joined; a star with very many links isn't gathered in one task.
     """
     edges = staged(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     while True:
@@ -35,12 +47,12 @@ def components(links: DataFrame) -> DataFrame:
         if ends.where("up > 1 or (up = 1 and low > 0)").isEmpty():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
         both = edges.select(F.col("u").alias("x"), F.col("v").alias("y")).unionAll(edges.select("v", "u"))
-        least = staged(both.groupBy("x").agg(F.least("x", F.min("y")).alias("m")), "minima")
-        large = both.where("y > x").join(least, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
+        least = staged(both.groupBy("x").agg(F.least("x", F.min("y")).alias("m"), F.count("*").alias("n")), "minima")
+        large = _with_least(both.where("y > x"), "x", least).select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
         large = staged(large, "edges")
         discard(edges, least)
-        least = staged(large.groupBy("u").agg(F.min("v").alias("m")), "minima")
-        joined = large.join(least, "u")
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))).distinct()
+        least = staged(large.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m"), F.count("*").alias("n")), "minima")
+        joined = _with_least(large, "u", least)
+        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select(F.col("x").alias("u"), F.col("m").alias("v"))).distinct()
         edges = staged(small, "edges")
         discard(large, least)

@@ -3,7 +3,8 @@
 Fingerprints within ``radius`` bits agree in full on one of radius + 1 blocks of bits, so distinct fingerprints are dealt by
 (block, its value), and each such bucket is a shard with its own BK-tree. The set of all fingerprints grows with the corpus:
 the shards' trees meet their queries by a shuffle, not by a broadcast. A bucket with more than ``most`` fingerprints is dealt
-once more by blocks of its other bits; its members still agree on one of those if they differ in at most ``radius`` bits.
+again by blocks of its other bits, and once more if need be; its members still agree on one of those if they differ in at most
+``radius`` bits.
 Trees of many buckets are built and searched at once, level by level, following only edges within the radius.
 """
 
@@ -17,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, shuffle_partitions, staged, steps
+from .common import shuffle_partitions, staged, steps, whole_groups
 from .components import components, merge_labels
 
 #: Fingerprints whose trees are built at once, and pairs of query and node followed at once: a pair may lead to 2 * radius + 1
@@ -59,25 +60,39 @@ def _blocks(bits: list[int], n: int) -> list[list[int]]:
 
 
 def _value(bits: list[int]) -> Column:
-    """The bits of fp at these places, which are one or two runs, with the others 0."""
+    """The bits of fp at these places, with the others 0."""
     return F.col("fp").bitwiseAND(F.lit(sum(1 << b for b in bits) - (1 << 64 if 63 in bits else 0)))
 
 
+#: How often a bucket is dealt: after the third time its members agree on more than half of their bits.
+LEVELS = 3
+
+
+def _paths(n: int, level: int) -> list[tuple[int, list[int], list[int]]]:
+    """(number, bits that are fixed, bits that remain) of the choices of one block of n at each of ``level`` levels."""
+    out = [(0, [], list(range(64)))]
+    for _ in range(level):
+        out = [(p * n + j + 1, fixed + b, [x for x in rest if x not in b]) for p, fixed, rest in out for j, b in enumerate(_blocks(rest, n))]
+    return out
+
+
 def buckets(rows: DataFrame, radius: int, most: int) -> DataFrame:
     """(fp, rep, block, value): each fingerprint in all its buckets; block tells which bits value holds."""
     n = radius + 1
-    blocks = _blocks(list(range(64)), n)
-    first = F.explode(F.array(*[F.struct(F.lit(i * n).alias("block"), _value(b).alias("value")) for i, b in enumerate(blocks)]))
+    first = F.explode(F.array(*[F.struct(F.lit(p).alias("block"), _value(fixed).alias("value")) for p, fixed, _ in _paths(n, 1)]))
     dealt = rows.select("fp", "rep", first.alias("b")).select("fp", "rep", "b.block", "b.value")
-    large = staged(dealt.groupBy("block", "value").agg(F.count("*").alias("n")).where(F.col("n") > most).select("block", "value", F.lit(True).alias("large")), "large")
-    # The second dealing: the value of the first block, kept apart from the same bits of other blocks, with one of the rest.
-    again = F.lit(None).cast("array<struct<block:int,value:bigint>>")
-    for i, b in enumerate(blocks):
-        rest = _blocks([x for x in range(64) if x not in b], n)
-        again = F.when(F.col("block") == i * n, F.array(*[F.struct(F.lit(64 + i * n + j).alias("block"), _value(b + r).alias("value")) for j, r in enumerate(rest)])).otherwise(again)
-    plain = F.array(F.struct("block", "value"))
-    joined = dealt.join(large, ["block", "value"], "left")
-    return joined.select("fp", "rep", F.explode(F.when(F.col("large"), again).otherwise(plain)).alias("b")).select("fp", "rep", "b.block", "b.value")
+    for level in range(2, LEVELS + 1):
+        large = staged(dealt.groupBy("block", "value").agg(F.count("*").alias("n")).where(F.col("n") > most).select("block", "value", F.lit(True).alias("large")), "large")
+        if large.isEmpty():
+            break
+        again = F.lit(None).cast("array<struct<block:int,value:bigint>>")
+        for p, _, _ in _paths(n, level - 1):
+            own = [(q, fixed) for q, fixed, _ in _paths(n, level) if (q - 1) // n == p]
+            again = F.when(F.col("block") == p, F.array(*[F.struct(F.lit(q).alias("block"), _value(fixed).alias("value")) for q, fixed in own])).otherwise(again)
+        able = F.coalesce("large", F.lit(False)) & F.col("block").isin([p for p, _, _ in _paths(n, level - 1)])
+        joined = dealt.join(large, ["block", "value"], "left")
+        dealt = joined.select("fp", "rep", F.explode(F.when(able, again).otherwise(F.array(F.struct("block", "value")))).alias("b")).select("fp", "rep", "b.block", "b.value")
+    return dealt
 
 
 def grow(fps: np.ndarray, tree: np.ndarray) -> np.ndarray:
@@ -137,27 +152,11 @@ def links(rows: DataFrame, radius: int, most: int) -> DataFrame:
     """(a, b): links between representatives that join what each bucket joins, at most one for each member of a bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def linked(held: list[pa.RecordBatch], end: int) -> pa.RecordBatch:
-            fps, rep, value, block = (np.concatenate([b.column(k).to_numpy() for b in held])[:end] for k in ("fp", "rep", "value", "block"))
+        for value, block, fps, rep in whole_groups(batches, ("value", "block", "fp", "rep"), 2, TREES):
             tree = np.cumsum(np.concatenate([[False], (value[1:] != value[:-1]) | (block[1:] != block[:-1])]))
             label = search(fps.view(np.uint64), tree, radius)
-            far = label != np.arange(end)
-            return pa.RecordBatch.from_arrays([pa.array(rep[far]), pa.array(rep[label[far]])], names=["a", "b"])
-
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            held.append(batch)
-            if (total := sum(b.num_rows for b in held)) < TREES:
-                continue
-            value, block = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in ("value", "block"))
-            begins = np.flatnonzero((value[1:] != value[:-1]) | (block[1:] != block[:-1])) + 1
-            if len(begins):
-                end = int(begins[-1])
-                yield linked(held, end)
-                rest = pa.Table.from_batches(held).slice(end, total - end).combine_chunks()
-                held = rest.to_batches()
-        if held:
-            yield linked(held, sum(b.num_rows for b in held))
+            far = label != np.arange(len(fps))
+            yield pa.RecordBatch.from_arrays([pa.array(rep[far]), pa.array(rep[label[far]])], names=["a", "b"])
 
     dealt = buckets(rows, radius, most).repartition(shuffle_partitions(rows.sparkSession), "block", "value")
     return dealt.sortWithinPartitions("block", "value", "rep").mapInArrow(run, "a bigint, b bigint")
@@ -167,8 +166,9 @@ def near_copies(docs: DataFrame, words: int = 4, radius: int = 4, most: int = 10
     """One row for each document: doc_id, fp, component_id (smallest doc_id reachable by links of at most ``radius`` bits).
 
     Texts are lower-cased in A-Z; a text with fewer than ``words`` words is one shingle; null or empty texts have fingerprint
-    0, linked like any other. Repeated rows give repeated rows. Rows with a null doc_id are not supported by links: a
-    fingerprint that only they have gives a null component_id. Other columns are ignored; an empty table gives no rows.
+    0, linked like any other; a very long text is hashed whole, in its task, with counts of 64 bits in blocks of shingles.
+    Repeated rows give repeated rows. Rows with a null doc_id are not supported by links: a fingerprint that only they have gives
+    a null component_id. Other columns are ignored, whatever their names; an empty table gives no rows.
     """
     rows = staged(fingerprints(docs, words), "fingerprints")
     distinct = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")

@@ -126,7 +126,7 @@ def test_simhash(docs, rows, empty):
     from holdfast.llm.simhash import keep_one, near_copies
 
     expected = brute.simhash(pairs(rows))
-    for most in (1024, 1):  # with 1, every bucket is dealt twice
+    for most in (1024, 3, 1):  # with 1, every bucket is dealt three times
         got = sorted((r.doc_id, r.fp & (2**64 - 1), r.component_id) for r in near_copies(docs, most=most).collect())
         assert got == expected
     assert any(d != c for d, _, c in expected)
@@ -246,6 +246,36 @@ def test_components_of_chains_and_stars(spark):
     assert {n: got.get(n, n) for n in nodes} == expected
 
 
+def test_hubs_are_joined_by_a_broadcast(spark, monkeypatch):
+    from holdfast.llm import components as c
+
+    monkeypatch.setattr(c, "HUB", 5)
+    rng = random.Random(3)
+    links = [(1000, i) for i in range(1001, 1100)] + [(i, i + 1) for i in range(0, 40)] + [(5, i) for i in range(500, 530)] + [(rng.randint(200, 260), rng.randint(200, 260)) for _ in range(90)]
+    got = {r.node: r.component for r in c.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    nodes = sorted({x for l in links for x in l})
+    place = {x: i for i, x in enumerate(nodes)}
+    assert {n: got.get(n, n) for n in nodes} == dict(zip(nodes, brute.components(len(nodes), [(place[a], place[b]) for a, b in links], nodes), strict=True))
+
+
+def test_parts_end_with_groups():
+    import pyarrow as pa
+
+    from holdfast.llm.common import whole_groups
+
+    rng = np.random.default_rng(8)
+    a, b = np.sort(rng.integers(0, 12, 400)), rng.integers(0, 2, 400)
+    order = np.lexsort((b, a))
+    table = pa.table({"a": a[order], "b": b[order], "v": np.arange(400)})
+    for size in (1, 13, 400):
+        for least in (1, 50, 1000):
+            parts = list(whole_groups(iter(table.to_batches(max_chunksize=size)), ("a", "b", "v"), 2, least))
+            assert np.array_equal(np.concatenate([p[2] for p in parts]), np.arange(400))
+            ends = [(int(p[0][-1]), int(p[1][-1])) for p in parts]
+            assert all(e != (int(p[0][0]), int(p[1][0])) for e, p in zip(ends, parts[1:], strict=False))
+    assert not list(whole_groups(iter([]), ("a",), 1, 5))
+
+
 def test_mixing(docs, rows, empty, spark):
     from holdfast.llm.mixing import copies, mix
 
@@ -527,6 +557,41 @@ def test_quality(docs, empty, spark):
     assert fit(np.zeros((0, 3)), np.zeros(0)).score(np.zeros((2, 3))).tolist() == [0.5, 0.5]
 
 
+def test_boosting_splits_where_all_splits_gain_least():
+    """The first tree's root against every feature and value; with few values each value has a bin of its own."""
+    from holdfast.llm.quality import fit
+
+    rng = np.random.default_rng(6)
+    for seed in range(5):
+        x = rng.integers(0, 9, (200, 4)).astype(float)
+        y = ((x[:, seed % 4] > 4) ^ (rng.random(200) < 0.2)).astype(float)
+        trees = fit(x, y, trees=1, depth=1, least=10, penalty=1.0)
+        p = (y.sum() + 0.5) / 201
+        g, h = p - y, np.full(200, p * (1 - p))
+        score = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1)
+        best = max((score(x[:, j] <= v) + score(x[:, j] > v), -j, -v) for j in range(4) for v in np.unique(x[:, j]) if 10 <= (x[:, j] <= v).sum() <= 190)
+        j, v = int(trees.feature[0, 0]), trees.threshold[0, 0]
+        assert score(x[:, j] <= v) + score(x[:, j] > v) == pytest.approx(best[0])
+        left = x[:, j] <= v
+        for side, value in zip((left, ~left), trees.value[0], strict=True):
+            assert value == pytest.approx(-0.15 * g[side].sum() / (h[side].sum() + 1))
+
+
+def test_training_rows_are_bounded(spark):
+    from holdfast.llm import quality
+
+    docs = spark.createDataFrame([(i % 10, f"text {i} " * (i % 7 + 1)) for i in range(400)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id bigint, quality int")
+    seen = []
+    old = quality.fit
+    quality.fit = lambda x, y, **k: seen.append(len(x)) or old(x, y, **k)
+    try:
+        quality.train(docs, labels, most=50)
+    finally:
+        quality.fit = old
+    assert seen == [50]
+
+
 def test_embeddings(spark):
     from holdfast.llm.embedding_dedup import near_vectors
 
