@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from .common import shuffle_partitions, staged, steps, whole_groups
 from .components import components, merge_labels
 
-#: Fingerprints whose trees are built at once, and pairs of query and node followed at once: a pair may lead to 2 * radius + 1
-#: others, and as many wait at each level of the trees.
-TREES, FRONT = 50_000, 1 << 17
+#: Fingerprints whose trees are built at once, and pairs of query and node that those followed at once may lead to: each leads to
+#: 2 * radius + 1 at the most, and as many wait at each level of the trees.
+TREES, FRONT = 50_000, 9 << 17
 
 
 def fingerprint(text: bytes, words: int = 4) -> int:
@@ -120,10 +120,11 @@ def pairs_within(fps: np.ndarray, tree: np.ndarray, radius: int) -> Iterator[tup
     child = grow(fps, tree)
     root = np.flatnonzero(np.concatenate([[True], tree[1:] != tree[:-1]]))
     query, node = np.arange(n, dtype=np.int32), np.repeat(root, np.diff(np.append(root, n))).astype(np.int32)
-    stack = [(query[i : i + FRONT // 16], node[i : i + FRONT // 16]) for i in range(0, n, FRONT // 16)]
+    front = FRONT // (2 * radius + 1)
+    stack = [(query[i : i + front // 16], node[i : i + front // 16]) for i in range(0, n, front // 16)]
     while stack:
         query, node = stack.pop()
-        if len(query) > FRONT:
+        if len(query) > front:
             half = len(query) // 2
             stack += [(query[half:], node[half:])]
             query, node = query[:half], node[:half]

@@ -45,7 +45,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
             seq += 1
 
     rows = docs.select("doc_id", text_or_empty())
-    ordered = rows.repartitionByRange(shards or shuffle_partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    # The beginning of a text splits the rows of one doc_id, or of none, among shards; order is by whole texts.
+    ordered = rows.repartitionByRange(shards or shuffle_partitions(docs.sparkSession), "doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(run, SEGMENTS).write.option("compression", "zstd").mode("overwrite").parquet(path)
 
 

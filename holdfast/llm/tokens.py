@@ -18,7 +18,7 @@ import pyarrow.compute  # noqa: F401
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Distinct runs whose ids a Python worker remembers; later ones are encoded again in each step that has them.
-KEPT_RUNS = 600_000
+KEPT_RUNS = 300_000
 
 _byte = np.arange(256)
 _letter = ((_byte >= 65) & (_byte <= 90)) | ((_byte >= 97) & (_byte <= 122))
@@ -72,6 +72,7 @@ class Encoder:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        spec["model"] = {k: v for k, v in spec["model"].items() if k not in ("vocab", "merges")}
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not special
         added = [t["content"] for t in spec.get("added_tokens", []) if special or not t["special"]]

@@ -387,7 +387,7 @@ def test_encoder_is_the_tokenizer(rows):
     from holdfast.llm import tokens
 
     texts = [r[1] for r in rows] + ["a  b\n\n c.  x　 y don't 'll  '", "   q", " lead", "trail ", "été. É! 12.5 a1b2\x1c x\x85 y \t\n z", "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext", "|>"]
-    for kept in (600_000, 3):
+    for kept in (tokens.KEPT_RUNS, 3):
         tokens.KEPT_RUNS, before = kept, tokens.KEPT_RUNS
         ids, offsets = tokens.Encoder(tokens.tokenizer_path()).encode(pa.array(texts))
         tokens.KEPT_RUNS = before
@@ -458,6 +458,9 @@ def test_token_output(docs, rows, empty, tmp_path):
         expected.append((doc, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
     assert sorted((tuple(r) for r in read_tokens(docs.sparkSession, f"file://{tmp_path}/o").collect()), key=lambda r: r[1]) == expected
+    none = docs.select(F.lit(None).cast("bigint").alias("doc_id"), F.concat(F.col("doc_id").cast("string"), F.lit(" some text")).alias("text"))
+    write_tokens(none, f"file://{tmp_path}/n", shards=3)
+    assert docs.sparkSession.read.parquet(f"file://{tmp_path}/n").select("shard").distinct().count() == 3
     write_tokens(empty, f"file://{tmp_path}/e")
     assert read_tokens(docs.sparkSession, f"file://{tmp_path}/e").count() == 0
 
