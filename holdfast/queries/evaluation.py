@@ -68,16 +68,44 @@ def _coco(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return d, g
 
 
-@query()
+#: Detections take truths one after another, for each range of areas and threshold: table r has what became of each detection.
+_MATCHED = f"""with recursive det as (select {DET[1]} from {DET[0]}),
+e as (select *, video_id * 512 + frame_number as image_id, video_id % 3 as category_id, bbox_x2 - bbox_x1 as w, bbox_y2 - bbox_y1 as h from det),
+d as (select image_id, category_id, row_id as det_id, bbox_x1 + row_id % 9 * 4 as x, bbox_y1 as y, w, h, confidence / 100 + row_id % 1009 / 1000000.0::double as score, row_number() over (partition by image_id, category_id order by confidence / 100 + row_id % 1009 / 1000000.0::double desc, row_id) as n from e),
+g as (select image_id, category_id, row_id as gt_id, bbox_x1 as x, bbox_y1 as y, w, h, (w * h)::double as area, row_id % 20 = 0 as crowd from e where row_id % 3 = 0),
+areas as (select * from (values ('all', 0.0::double, 1e10::double), ('small', 0, 1024), ('medium', 1024, 9216), ('large', 9216, 1e10)) v(kind, low, high)),
+thresholds as (select unnest([0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95])::double as threshold),
+i as (select d.image_id, d.n, g.gt_id, g.crowd, g.area, greatest(0, least(d.x + d.w, g.x + g.w) - greatest(d.x, g.x))::double * greatest(0, least(d.y + d.h, g.y + g.h) - greatest(d.y, g.y)) as inter, (d.w * d.h)::double as own, (g.w * g.h)::double as other from d join g using (image_id, category_id)),
+p as (select image_id, n, gt_id, crowd, area, inter / greatest(1e-300::double, case when crowd then own else own + other - inter end) as over from i where inter > 0),
+walk as (select image_id, kind, low, high, threshold, 0::bigint as n, []::bigint[] as taken, null::bigint as pick, null::boolean as used from (select distinct image_id from d), areas, thresholds
+  union all select w.image_id, w.kind, w.low, w.high, w.threshold, w.n + 1, case when x.gt_id is null then w.taken else list_append(w.taken, x.gt_id) end, x.gt_id, x.used from walk w join d on d.image_id = w.image_id and d.n = w.n + 1
+  left join lateral (select p.gt_id, not p.crowd and p.area >= w.low and p.area <= w.high as used from p where p.image_id = w.image_id and p.n = w.n + 1 and p.over >= w.threshold and (p.crowd or not list_contains(w.taken, p.gt_id))
+    order by not p.crowd and p.area >= w.low and p.area <= w.high desc, p.over desc, p.gt_id desc limit 1) x on true),
+r as (select w.kind, w.threshold, d.image_id, d.category_id, d.n, d.score, w.pick is not null as matched, coalesce(not w.used, d.w * d.h < w.low or d.w * d.h > w.high) as ignored from walk w join d on d.image_id = w.image_id and d.n = w.n where w.n between 1 and 100),
+np as (select kind, category_id, count(*) as npos from g, areas where not crowd and area between low and high group by 1, 2),
+c as (select r.*, npos, sum(matched::int) over v as tp, sum((not matched)::int) over v as fp from r join np using (kind, category_id) where not ignored window v as (partition by kind, threshold, category_id order by score desc, image_id, n)),
+q as (select kind, threshold, category_id, floor(tp / npos::double * 100 + 1e-9)::int as at_recall, max(tp / (tp + fp)::double) as precision from c group by 1, 2, 3, 4),
+grid as (select kind, category_id, threshold, unnest(range(0, 101)) as recall from np, thresholds),
+f as (select grid.*, coalesce((select max(precision) from q where q.kind = grid.kind and q.threshold = grid.threshold and q.category_id = grid.category_id and q.at_recall >= grid.recall), 0) as precision from grid)"""
+_MEAN = "coalesce(avg(precision) filter ({0}), -1)"
+
+
+@query(f"""{_MATCHED}, k as (select unnest([1, 10, 100]) as most), hits as (select kind, threshold, category_id, most, count(*) as hits from r, k where matched and not ignored and n <= most group by 1, 2, 3, 4),
+ar as (select np.kind, most, avg(coalesce(hits, 0) / npos::double) as recall from np join thresholds on true join k on true left join hits using (kind, threshold, category_id, most) group by 1, 2),
+m as (select {_MEAN.format("kind = 'all'")} as ap, {_MEAN.format("kind = 'all' and threshold = 0.5")} as ap50, {_MEAN.format("kind = 'all' and threshold = 0.75")} as ap75, {", ".join(f"{_MEAN.format(f"kind = '{x}'")} as ap_{x}" for x in ("small", "medium", "large"))} from f)
+select {", ".join(f"round({x}, 9) as {x}" for x in ("ap", "ap50", "ap75", "ap_small", "ap_medium", "ap_large"))}, {", ".join(f"round(coalesce((select recall from ar where kind = 'all' and most = {x}), -1), 9) as ar_{x}" for x in (1, 10, 100))},
+  {", ".join(f"round(coalesce((select recall from ar where kind = '{x}' and most = 100), -1), 9) as ar_{x}" for x in ("small", "medium", "large"))} from m""")
 def coco_average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, g = _coco(spark, sf_dir)
-    return e.coco_means(d, g)
+    out = e.coco_means(d, g)
+    return out.select(*[F.round(c, 9).alias(c) for c in out.columns])
 
 
-@query()
+@query(f"""{_MATCHED} select category_id, {", ".join(f"round({_MEAN.format(f"kind = '{x}'")}, 9) as ap{'' if x == 'all' else '_' + x}" for x in ("all", "small", "medium", "large"))} from f group by 1 having count(*) filter (kind = 'all') > 0""")
 def coco_precision_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, g = _coco(spark, sf_dir)
-    return e.coco_means_by_category(d, g)
+    out = e.coco_means_by_category(d, g)
+    return out.select("category_id", *[F.round(c, 9).alias(c) for c in out.columns[1:]])
 
 
 _NX = "greatest(0, least(k.x2, b.x2) - greatest(k.x1, b.x1) + 1)::double * greatest(0, least(k.y2, b.y2) - greatest(k.y1, b.y1) + 1)"
