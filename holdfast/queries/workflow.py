@@ -18,13 +18,77 @@ K = ["video_id"]
 BRIDGE = tracking.BridgeConfig(max_missed=4, confirm=1, contact_iou=0.05, reassociate_iou=0.3, seed_confidence=70, promote_stationary=True, stationary_confirm=1, stationary_iou=0.05)
 
 
-@query()
+def _size(b: str) -> str:
+    return f"(greatest(0, {b}x2 - {b}x1)::double * greatest(0, {b}y2 - {b}y1))"
+
+
+def _over(a: str, b: str) -> str:
+    """Overlap of two boxes with these prefixes."""
+    w, h = (f"(least({a}{k}2, {b}{k}2) - greatest({a}{k}1, {b}{k}1))::double" for k in "xy")
+    return f"(case when {w} > 0 and {h} > 0 then {w} * {h} / ({_size(a)} + {_size(b)} - {w} * {h}) else 0 end)"
+
+
+_STEPS = f"""with recursive det as (select {DET[1]} from {DET[0]}),
+fr as (select *, row_number() over (partition by video_id order by frame_number) as n from (select distinct video_id, frame_number from det)),
+un as (select video_id, frame_number, row_id, detection_type = 'hand' as hand, bbox_x1::double as x1, bbox_y1::double as y1, bbox_x2::double as x2, bbox_y2::double as y2, confidence, least(1, confidence / 100) as prob, contact_label as label, blue_glove_status = 'experimenter' as blue, is_filtered is not true as seen from det)"""
+_AT = "{0}.video_id = fr.video_id and {0}.frame_number = fr.frame_number"
+_AHEAD = ", ".join(f"case when w.bx1 is null then w.l{k}{i} else 2 * ((w.l{k}1 + w.l{k}2) / 2) - (w.b{k}1 + w.b{k}2) / 2 {'-' if i == 1 else '+'} (w.l{k}2 - w.l{k}1) / 2 end as {k}{i}" for k, i in (("x", 1), ("y", 1), ("x", 2), ("y", 2)))
+_SIDES = ("x1", "y1", "x2", "y2")
+
+
+def _touch(names: str) -> str:
+    return f"(select o.row_id, {_over('o.', 'a.')} as over from un o where {_AT.format('o')} and o.seen and o.hand and not o.blue and o.label in ({names}) and {_over('o.', 'a.')} >= 0.05 order by over desc, o.row_id limit 1)"
+
+
+#: The bridge with the parameters of BRIDGE: a confirmation of one frame needs no streaks.
+_BRIDGE = f"""{_STEPS}, walk as (select video_id, 0::bigint as n, null::bigint as frame_number, null::bigint as tid, 1::bigint as next_id, {", ".join(f"null::double as l{k}, null::double as b{k}" for k in _SIDES)}, 0::bigint as missed,
+    null::varchar as state, null::bigint as r_id, null::bigint as r_missed, {", ".join(f"null::double as r{k}" for k in _SIDES)}, null::varchar as source, null::bigint as promoted, null::double as overlap from (select distinct video_id from det)
+  union all select w.video_id, fr.n, fr.frame_number, case when w.tid is null then case when s.row_id is null then null else w.next_id end when f.row_id is not null or w.missed < 4 then w.tid end, w.next_id + (w.tid is null and s.row_id is not null)::int,
+    {", ".join(f"case when w.tid is null then s.{k} when f.row_id is not null then f.{k} else a.{k} end, case when w.tid is null then null else w.l{k} end" for k in _SIDES)},
+    case when w.tid is null or f.row_id is not null then 0 else w.missed + 1 end,
+    case when w.tid is null and s.row_id is null then 'inactive' when w.tid is not null and f.row_id is null and w.missed >= 4 then 'lost' else 'tracking' end,
+    case when w.tid is not null then w.tid when s.row_id is not null then w.next_id end, case when w.tid is null then case when s.row_id is not null then 0 end when f.row_id is not null then 0 else w.missed + 1 end,
+    {", ".join(f"case when w.tid is null then s.{k} when f.row_id is not null then f.{k} when w.missed < 4 then a.{k} end" for k in _SIDES)},
+    case when w.tid is null then case when s.row_id is null then 'none' else 'seed_detected' end when f.row_id is not null then 'associated_detected' when w.missed < 4 then 'predicted' else 'none' end,
+    case when w.tid is not null and f.row_id is null and w.missed < 4 and not c.blue then case when t2.over > coalesce(t1.over, 0) or (t2.over = t1.over and t2.row_id < t1.row_id) then t2.row_id else t1.row_id end end,
+    case when w.tid is not null and f.row_id is null and w.missed < 4 and not c.blue then greatest(t1.over, t2.over) end
+  from walk w join fr on fr.video_id = w.video_id and fr.n = w.n + 1
+  left join lateral (select {_AHEAD}) a on true
+  left join lateral (select o.* from un o join un h on h.video_id = o.video_id and h.frame_number = o.frame_number where {_AT.format('o')} and o.seen and h.seen and not o.hand and h.hand and h.label = 'Portable Object' and not h.blue and o.prob >= 0.7
+    order by o.prob desc, sqrt(power((h.x1 + h.x2) / 2 - (o.x1 + o.x2) / 2, 2) + power((h.y1 + h.y2) / 2 - (o.y1 + o.y2) / 2, 2)), {_over('h.', 'o.')} desc, o.row_id, h.row_id limit 1) s on true
+  left join lateral (select o.* from un o where {_AT.format('o')} and o.seen and not o.hand and {_over('a.', 'o.')} >= 0.3 order by {_over('a.', 'o.')} desc, o.prob desc, o.row_id limit 1) f on true
+  left join lateral (select count(*) > 0 as blue from un o where {_AT.format('o')} and o.seen and o.hand and o.blue) c on true
+  left join lateral {_touch("'No Contact'")} t1 on true left join lateral {_touch("'Stationary Object', 'Stationary Object Contact'")} t2 on true)
+select d.video_id, d.frame_number, d.row_id, case when w.promoted = d.row_id then 'Portable Object' else d.contact_label end as contact_label, coalesce(w.promoted = d.row_id, false) as tracking_promoted, w.r_id as tracking_track_id,
+  case when w.promoted = d.row_id then round(w.overlap, 6) end as tracking_iou, w.r_missed as tracking_missed_count, w.state as tracking_state, w.source as tracking_bbox_source, round(w.rx1, 6) as x1 from det d join walk w on w.video_id = d.video_id and w.frame_number = d.frame_number"""
+
+
+@query(_BRIDGE)
 def tracking_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = tracking.tracking_bridge(det(spark, sf_dir), BRIDGE)
     return out.select("video_id", "frame_number", "row_id", "contact_label", "tracking_promoted", "tracking_track_id", F.round("tracking_iou", 6).alias("tracking_iou"), "tracking_missed_count", "tracking_state", "tracking_bbox_source", F.round("tracking_bbox_x1", 6).alias("x1"))
 
 
-@query()
+def _pick(found: str) -> str:
+    """The box that overlaps the last one most, then the highest score, then the smallest corners."""
+    return f"(select o.* from un o where {_AT.format('o')} and not o.hand and o.x2 > o.x1 and o.y2 > o.y1 and ({found}) order by case when w.x1 is null then 0 else {_over('o.', 'w.')} end desc, o.confidence desc, o.x1, o.y1, o.x2, o.y2 limit 1)"
+
+
+def _blue(b: str) -> str:
+    return f"(select count(*) > 0 as blue from un o where {_AT.format('o')} and o.hand and o.blue and {_over('o.', b)} > 0)"
+
+
+_REGIONS = f"""{_STEPS}, walk as (select video_id, 0::bigint as n, null::bigint as frame_number, null::varchar as outcome, 0 as missed, {", ".join(f"null::double as {k}" for k in _SIDES)} from (select distinct video_id from det)
+  union all select w.video_id, fr.n, fr.frame_number, v.outcome, case when v.outcome in ('picked', 'recovered') then 0 when v.outcome = 'missed' then case when w.missed + 1 >= 4 then 0 else w.missed + 1 end else w.missed end,
+    {", ".join(f"case v.outcome when 'picked' then a.{k} when 'recovered' then b.{k} when 'missed' then case when w.missed + 1 < 4 then w.{k} end else w.{k} end" for k in _SIDES)}
+  from walk w join fr on fr.video_id = w.video_id and fr.n = w.n + 1
+  left join lateral {_pick("o.confidence >= 70")} a on true left join lateral {_blue("a.")} ab on true left join lateral {_blue("w.")} wb on true
+  left join lateral {_pick(f"o.confidence >= 70 or {_over('o.', 'w.')} >= 0.1")} b on true left join lateral {_blue("b.")} bb on true
+  left join lateral (select case when a.row_id is not null then case when ab.blue then 'guarded' else 'picked' end when w.x1 is null or w.missed >= 4 then 'none' when wb.blue or b.row_id is null or bb.blue then 'missed' else 'recovered' end as outcome) v on true)
+select video_id, frame_number, outcome, missed, x1, y1, x2, y2 from walk where n > 0"""
+
+
+@query(_REGIONS)
 def temporal_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracking.temporal_regions(det(spark, sf_dir), 4)
 
