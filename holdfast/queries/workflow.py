@@ -9,7 +9,7 @@ from ..operators import dataset, metrics, refine, tracking
 from ..plans import workflow as w
 from ..streaming import events as ev
 from ..testdata import DET, SEQ, cte
-from .detections import _BH, _O, det, frames
+from .detections import _BEST, _BH, _BLUE, _CONDENSE, _O, _SIZE, _TIOU, _ratio_sql, det, frames
 from .registry import query
 from .sequences import _CONF, _GAPPY, _ISLANDS, SIMILAR, TIMED, gappy, seq
 
@@ -93,7 +93,20 @@ def temporal_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracking.temporal_regions(det(spark, sf_dir), 4)
 
 
-@query()
+_WALK = _BRIDGE[_BRIDGE.index("walk as (") : _BRIDGE.index("\nselect d.video_id")]
+_UN = _STEPS[_STEPS.index("fr as (") :].replace("from det)", "from big)")
+#: All filters, the bridge, strict evidence and one label for each frame.
+_FULL = f"""with recursive det as (select {DET[1]} from {DET[0]}), {_BLUE}, {_SIZE.replace("> 0.2", "> 0.3")}, {_ratio_sql("sized", "small", 2.0)}, {_ratio_sql("small", "big", 1.0)}, {_UN}, {_WALK},
+tracked as (select b.* replace (case when w.promoted = b.row_id then 'Portable Object' else b.contact_label end as contact_label) from big b join walk w on w.video_id = b.video_id and w.frame_number = b.frame_number),
+tb as (select video_id, frame_number, {", ".join(f"r{k} as t_{k}" for k in _SIDES)} from walk where source <> 'none' and rx2 > rx1 and ry2 > ry1),
+sm as ({_BEST.format("h.contact_label like 'Portable Object%' and h.blue_glove_status <> 'experimenter' and not coalesce(h.is_filtered, false)", "not coalesce(o.is_filtered, false)", t="tracked")}),
+j as (select h.*, sm.m_iou, h.contact_label like 'Portable Object%' and h.detection_type = 'hand' and not coalesce(h.is_filtered, false) as portable, case when tb.t_x1 is not null then {_TIOU} end as t_iou
+  from tracked h left join sm using (video_id, frame_number, row_id) left join tb using (video_id, frame_number)),
+strict as (select * replace (case when portable and (blue_glove_status = 'experimenter' or not (coalesce(m_iou >= 0.05, false) or coalesce(t_iou >= 0.15, false))) then 'No Contact' else contact_label end as contact_label) from j)
+{_CONDENSE.format(n=1, p=2, s=3, t="strict")}"""
+
+
+@query(_FULL)
 def full_contact_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = det(spark, sf_dir)
     return w.contact_labels(df, frames(), w.PipelineConfig(object_size=0.3, bigger_factor=1.0, bridge=BRIDGE, strict=True))
