@@ -123,6 +123,47 @@ def refine_transition_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refine.refine(seq(spark, sf_dir), r).select("video_id", "pos", "refined", F.round("objective", 6).alias("objective"), "n_segments")
 
 
+#: Observations by place from 1, their prefix sums of two states' log-likelihoods, and the pairs of boundaries u < t.
+_PREFIX = """o as (select video_id, pos + 1 as t, {one} as one, {zero} as zero, count(*) over (partition by video_id) as n from seq),
+pre as (select video_id, t, n, sum(one) over w as one, sum(zero) over w as zero from o window w as (partition by video_id order by t rows unbounded preceding) union all select distinct video_id, 0, n, 0, 0 from o),
+pairs as (select a.video_id, a.t as u, b.t, b.n, b.one - a.one as one, b.zero - a.zero as zero, b.t - a.t as d from pre a join pre b on a.video_id = b.video_id and a.t < b.t)"""
+_DP = f"""with recursive seq as (select {SEQ[1]} from {SEQ[0]}), {_PREFIX.format(one="-ln(case when pred = 1 then 0.999999 else 0.000001 end::double)", zero="-ln(case when pred = 1 then 0.000001 else 0.999999 end::double)")},
+dp as (select video_id, start, 0 as m, 0::bigint as t, 0.0::double as cost from (select distinct video_id from seq), (select unnest([0, 1]) as start) v
+  union all select dp.video_id, start, m + 1, pairs.t, min(cost + case when (start + m) % 2 = 1 then one else zero end + 0.5 * power((d - case when (start + m) % 2 = 1 then 7.5 else 5.0 end) / case when m in (0, 9) then 5.0 when (start + m) % 2 = 1 then 2.5 else 2.5 end, 2))
+  from dp join pairs on pairs.video_id = dp.video_id and pairs.u = dp.t where m < 10 group by dp.video_id, start, m + 1, pairs.t)
+select dp.video_id, round(min(cost), 6) as objective from dp join (select distinct video_id, n from o) z on z.video_id = dp.video_id and dp.t = z.n where m = 10 group by 1"""
+
+
+@query(_DP)
+def transition_objectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least cost of exactly nine changes of state."""
+    r = refine.TransitionDP(9, refine.Durations((1.0, 1.5), (0.5, 0.5), (1.0, 1.0), 5.0))
+    return refine.refine(seq(spark, sf_dir), r).where("objective is not null").groupBy("video_id").agg(F.round(F.first("objective"), 6).alias("objective"))
+
+
+_GAMMA = "case when odd then 3.0 * ln(0.4::double) - lgamma(3.0::double) + 2.0 * ln(d) - 0.4 * d else 2.0 * ln(0.3::double) - lgamma(2.0::double) + 1.0 * ln(d) - 0.3 * d end"
+_HSMM = f"""with recursive seq as (select {SEQ[1]} from {SEQ[0]}), {_PREFIX.format(one="ln(case when pred = 1 then 0.7 else 0.3 end::double)", zero="ln(case when pred = 1 then 0.2 else 0.8 end::double)")},
+w as (select video_id, u, t, n, odd, case when odd then one else zero end + {_GAMMA} as score from pairs, (select unnest([false, true]) as odd) v where d <= 540),
+best as (select video_id, 0 as m, 0::bigint as t, 0.0::double as score from (select distinct video_id from seq) union all
+  select b.video_id, m + 1, w.t, max(b.score + w.score) from best b join w on w.video_id = b.video_id and w.u = b.t and w.odd = (b.m % 2 = 1) where m < 9 group by b.video_id, m + 1, w.t),
+fw as (select video_id, 0 as m, 0::bigint as t, 1.0::double as p from (select distinct video_id from seq) union all
+  select b.video_id, m + 1, w.t, sum(b.p * exp(w.score)) from fw b join w on w.video_id = b.video_id and w.u = b.t and w.odd = (b.m % 2 = 1) where m < 9 group by b.video_id, m + 1, w.t),
+bw as (select distinct video_id, 9 as m, n as t, 1.0::double as p from o union all
+  select b.video_id, m - 1, w.u, sum(b.p * exp(w.score)) from bw b join w on w.video_id = b.video_id and w.t = b.t and w.odd = (b.m % 2 = 0) where m > 0 group by b.video_id, m - 1, w.u),
+z as (select fw.video_id, fw.p as total, best.score as objective from fw join (select distinct video_id, n from o) e on e.video_id = fw.video_id and e.n = fw.t join best on best.video_id = fw.video_id and best.m = 9 and best.t = fw.t where fw.m = 9),
+seg as (select w.video_id, w.u, w.t, sum(fw.p * exp(w.score) * bw.p / z.total) as p from w join fw on fw.video_id = w.video_id and fw.t = w.u and fw.m % 2 = 1 join bw on bw.video_id = w.video_id and bw.t = w.t and bw.m = fw.m + 1 join z on z.video_id = w.video_id where w.odd group by 1, 2, 3),
+change as (select video_id, place, sum(p) as p from (select video_id, u as place, p from seg union all select video_id, t, -p from seg) group by 1, 2)
+select o.video_id, o.t - 1 as pos, round(least(1, greatest(0, sum(coalesce(change.p, 0)) over (partition by o.video_id order by o.t rows unbounded preceding))), 6) as posterior, round(z.objective, 6) as objective
+from o join z using (video_id) left join change on change.video_id = o.video_id and change.place = o.t - 1"""
+
+
+@query(_HSMM)
+def hsmm_posteriors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each frame's probability of contact over all segmentations, and the likeliest one's score."""
+    r = refine.SegmentHSMM(9, (2.0, 3.0), (0.3, 0.4), 0.2, 0.3, posterior=True)
+    return refine.refine(seq(spark, sf_dir), r).where("status = 'ok'").select("video_id", "pos", F.round("posterior", 6).alias("posterior"), F.round("objective", 6).alias("objective"))
+
+
 @query()
 def refine_segment_hsmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = refine.SegmentHSMM(9, (2.0, 3.0), (0.3, 0.4), 0.2, 0.3, posterior=True)
