@@ -56,14 +56,23 @@ def segments(df: DataFrame, keys: list[str], order: str, label: str, background:
     return found.select(*keys, F.col(label).alias("label"), F.col("first").alias("start"), (F.col("last") + 1).alias("end"), (F.row_number().over(w) - 1).alias("nth"))
 
 
+#: Frames of a stretch of time: segments meet only those of the stretches that they touch.
+STRETCH = 256
+
+
 def segmental_f1(pred: DataFrame, gt: DataFrame, keys: list[str], thresholds: tuple[float, ...] = (0.1, 0.25, 0.5)) -> DataFrame:
-    """F1 by overlap of segments: a prediction's best truth of its label counts once for each threshold its overlap reaches."""
-    p, g = pred.alias("p"), gt.alias("g")
-    on = [F.col(f"p.{k}") == F.col(f"g.{k}") for k in keys] + [F.col("p.label") == F.col("g.label")]
+    """F1 by overlap of segments: a prediction's best truth of its label counts once for each threshold its overlap reaches.
+
+    Thresholds are above 0, so that only segments that overlap need to meet.
+    """
+    place = lambda c: F.floor(c / STRETCH)
+    p, g = (df.withColumn("stretch", F.explode(F.sequence(place(F.col("start")), place(F.col("end") - 1)))).alias(name) for df, name in ((pred, "p"), (gt, "g")))
+    on = [F.col(f"p.{k}") == F.col(f"g.{k}") for k in [*keys, "label", "stretch"]]
     inter = F.least("p.end", "g.end") - F.greatest("p.start", "g.start")
     union = F.greatest("p.end", "g.end") - F.least("p.start", "g.start")
-    over = F.greatest(inter, F.lit(0)) / union
-    best = p.join(g, on).groupBy(*[F.col(f"p.{k}").alias(k) for k in keys], F.col("p.nth").alias("nth")).agg(F.min_by(F.struct(over.alias("iou"), F.col("g.nth").alias("gt")), F.struct(-over, F.col("g.nth"))).alias("b"))
+    once = F.col("p.stretch") == place(F.greatest("p.start", "g.start"))  # the first stretch that both touch
+    over = inter / union
+    best = p.join(g, on).where(once & (inter > 0)).groupBy(*[F.col(f"p.{k}").alias(k) for k in keys], F.col("p.nth").alias("nth")).agg(F.min_by(F.struct(over.alias("iou"), F.col("g.nth").alias("gt")), F.struct(-over, F.col("g.nth"))).alias("b"))
     hits = best.groupBy(*keys).agg(*[F.count_distinct(F.when(F.col("b.iou") >= t, F.col("b.gt"))).alias(f"tp_{round(t * 100)}") for t in thresholds])
     n = pred.groupBy(*keys).agg(F.count("*").alias("n_pred")).join(gt.groupBy(*keys).agg(F.count("*").alias("n_gt")), keys, "full")
     out = n.join(hits, keys, "left").fillna(0)

@@ -122,6 +122,21 @@ def test_edit_score_of_labels_with_several_characters(spark):
     assert score([(1, 10, 0)], [(1, 10, 3)]) == 100.0
 
 
+def test_segments_meet_across_stretches(spark):
+    rng = np.random.default_rng(9)
+    cuts = [np.unique(np.concatenate([[0, 3000], rng.integers(1, 3000, 25)])) for _ in range(2)]
+    segs = [[(1, int(rng.integers(1, 3)), int(a), int(b), i) for i, (a, b) in enumerate(zip(c, c[1:], strict=False))] for c in cuts]
+    pred, gt = (spark.createDataFrame(x, "k int, label int, start int, end int, nth int") for x in segs)
+    found = metrics.segmental_f1(pred, gt, ["k"]).first()
+    for t in (0.1, 0.25, 0.5):
+        hit = set()
+        for _, label, a, b, _ in segs[0]:
+            over = [(max(0, min(b, d) - max(a, c)) / (max(b, d) - min(a, c)), -n) for _, other, c, d, n in segs[1] if other == label]
+            if over and max(over)[0] >= t:
+                hit.add(-max(over)[1])
+        assert found[f"f1_{round(t * 100)}"] == pytest.approx(200 * len(hit) / (len(segs[0]) + len(segs[1])))
+
+
 def test_infeasible_is_a_status_and_bad_input_an_error(spark):
     df = spark.createDataFrame([(1, i, i % 2) for i in range(4)] + [(2, i, 1) for i in range(30)], "video_id bigint, pos bigint, pred int")
     out = {r.video_id: (r.status, r.refined) for r in refine.refine(df, refine.SegmentHSMM(9, (2.0, 3.0), (0.3, 0.4), 0.2, 0.3)).collect()}
