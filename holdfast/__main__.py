@@ -1,8 +1,9 @@
-"""Command line: ``python -m holdfast MODE ...``. Modes: detect (plans nothing without a detector), postprocess, evaluate."""
+"""Command line: ``python -m holdfast MODE ...``. Modes: detect (with a detector that is imported by name), postprocess, evaluate."""
 
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
 import sys
 
@@ -16,6 +17,12 @@ from .sources import files
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser("holdfast")
     modes = p.add_subparsers(dest="mode", required=True)
+    det = modes.add_parser("detect", help="images of a folder to detections, by a detector")
+    det.add_argument("input")
+    det.add_argument("--output")
+    det.add_argument("--detector", required=True, help="module:factory; the factory gives a function from an image's bytes to rows")
+    det.add_argument("--key", required=True, help="the dataset's key")
+    det.add_argument("--skip-existing", action="store_true")
     post = modes.add_parser("postprocess", help="detections of datasets below a folder to labels")
     post.add_argument("input")
     post.add_argument("--output")
@@ -33,6 +40,13 @@ def parser() -> argparse.ArgumentParser:
 def main(arguments: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(arguments)
     spark = spark or SparkSession.builder.appName("holdfast").getOrCreate()
+    if a.mode == "detect":
+        module, _, name = a.detector.partition(":")
+        out = config.output_dir(a.output, a.input, "detections")
+        if not (a.skip_existing and a.key in batch.done_keys(spark, out)):
+            batch.detect(spark, a.input, out, getattr(importlib.import_module(module), name), a.key)
+        print(out)
+        return 0
     if a.mode == "postprocess":
         plain = config.load(workflow.PipelineConfig, a.config) if a.config else workflow.PipelineConfig()
         chosen = config.from_dict(workflow.PipelineConfig, config.overridden(config.to_dict(plain), a.set))

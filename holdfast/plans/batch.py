@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import labels
 from ..operators import metrics
 from ..sources import files
+from ..sources.detector import Detector
+from ..sources.detector import detect as run_detector
 from . import workflow as w
 
 #: The types of a full table of detections in CSV.
@@ -22,6 +27,30 @@ def detections(spark: SparkSession, root: str) -> DataFrame:
     return df.withColumn("dataset_key", F.regexp_extract(F.input_file_name(), r"/(?:dataset_key=)?([^/]+)/[^/]*$", 1))
 
 
+def full_table(found: DataFrame, frames: DataFrame) -> DataFrame:
+    """FULL rows of what a detector found (``sources.detector.DETECTIONS``) in frames (path, frame_number), as one video.
+
+    A frame's rows are numbered by type, box and confidence; labels follow from states and sides.
+    """
+    box = [F.col(f"bbox_{k}").cast("bigint").alias(f"bbox_{k}") for k in ("x1", "y1", "x2", "y2")]
+    by = Window.partitionBy("path").orderBy("detection_type", *[f"bbox_{k}" for k in ("x1", "y1", "x2", "y2")], "confidence")
+    rows = found.join(frames.select("path", "frame_number"), "path")
+    hand = F.col("detection_type") == "hand"
+    return rows.select(
+        F.lit(0).cast("bigint").alias("video_id"), F.col("frame_number").cast("bigint").alias("frame_number"), F.regexp_extract("path", r"([^/]*)$", 1).alias("frame_id"), F.row_number().over(by).cast("bigint").alias("row_id"), "detection_type", *box, "confidence",
+        F.when(hand, F.col("contact_state")).alias("contact_state"), F.when(hand, labels.state_label(F.col("contact_state"))).alias("contact_label"), F.when(hand, labels.side_label(F.col("hand_side"))).alias("hand_side"),
+        "offset_x", "offset_y", "offset_mag", "blue_prop", F.lit("NA").alias("blue_glove_status"), F.lit(False).alias("is_filtered"),
+    )
+
+
+def detect(spark: SparkSession, folder: str, out: str, factory: Callable[[], Detector], dataset: str) -> None:
+    """The detections of a folder's images as CSV below ``out``, as ``postprocess`` reads them. The detector is made once for each task."""
+    ordered = files.images(spark, folder).select("path", (F.col("pos") + 1).alias("frame_number"))
+    content = spark.read.format("binaryFile").load(folder).select("path", "content").join(ordered.select("path"), "path", "left_semi")
+    rows = full_table(run_detector(content, factory), ordered).withColumn("dataset_key", F.lit(dataset))
+    rows.sortWithinPartitions(*detection_order()).write.mode("append").option("header", True).partitionBy("dataset_key").csv(out)
+
+
 def detection_order() -> list[Column]:
     """The order of a full table: frame, type, box, confidence; row_id tells rows apart."""
     return [F.col(c) for c in ("frame_number", "detection_type", "bbox_x1", "bbox_y1", "bbox_x2", "bbox_y2", "confidence", "row_id")]
@@ -47,8 +76,8 @@ def postprocess(spark: SparkSession, root: str, out: str, frame_size: tuple[int,
     # Videos of two datasets may share numbers: the filters' key is a number for each dataset and video.
     names = df.select("dataset_key", F.col("video_id").alias("own_video")).distinct().withColumn("number", F.xxhash64("dataset_key", "own_video"))
     numbered = df.withColumn("video_id", F.xxhash64("dataset_key", "video_id"))
-    labels = w.contact_labels(numbered, (F.lit(frame_size[0]), F.lit(frame_size[1])), config).withColumnRenamed("video_id", "number")
-    joined = labels.join(names, "number").select("dataset_key", F.col("own_video").alias("video_id"), "frame_number", "frame_id", "contact_label", "source_hand")
+    found = w.contact_labels(numbered, (F.lit(frame_size[0]), F.lit(frame_size[1])), config).withColumnRenamed("video_id", "number")
+    joined = found.join(names, "number").select("dataset_key", F.col("own_video").alias("video_id"), "frame_number", "frame_id", "contact_label", "source_hand")
     writer = joined.repartition("dataset_key", "video_id").sortWithinPartitions("dataset_key", "video_id", "frame_number", "frame_id").write
     writer.mode("append" if skip_existing else "overwrite").option("header", True).partitionBy("dataset_key").csv(out)
 

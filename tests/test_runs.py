@@ -90,6 +90,30 @@ def test_command_line(spark, tmp_path, capsys):
             batch.resolve(spark, **given)
 
 
+def made_up_detector():
+    def detect(content):
+        n = int(content)
+        hand = ("hand", 10.0, 10.0, 30.0, 30.0, 90.0, 3, 1, 0.0, 0.0, 0.0, 0.0)
+        return [hand, ("object", 12.0, 12.0, 28.0, 28.0, 95.0, None, None, None, None, None, None)] if n % 2 else [hand[:6] + (0,) + hand[7:]]
+
+    return detect
+
+
+def test_command_line_from_images_to_labels(spark, tmp_path):
+    from holdfast.__main__ import main
+
+    (tmp_path / "frames").mkdir()
+    for i in range(1, 5):
+        (tmp_path / "frames" / f"{i:06d}.png").write_bytes(str(i).encode())
+    call = ["detect", f"{tmp_path}/frames", "--output", f"{tmp_path}/det", "--detector", "tests.test_runs:made_up_detector", "--key", "a"]
+    assert main(call, spark) == 0 and main([*call, "--skip-existing"], spark) == 0
+    rows = batch.detections(spark, f"{tmp_path}/det").collect()
+    assert len(rows) == 6 and {(r.frame_id, r.contact_label, r.hand_side) for r in rows if r.detection_type == "hand"} == {(f"{i:06d}.png", "Portable Object" if i % 2 else "No Contact", "Right") for i in range(1, 5)}
+    assert main(["postprocess", f"{tmp_path}/det", "--output", f"{tmp_path}/out", "--frame-size", "100", "100"], spark) == 0
+    out = {int(r.frame_number): r.contact_label for r in spark.read.option("header", True).csv(f"{tmp_path}/out").collect()}
+    assert out == {i: "Portable Object" if i % 2 else "No Contact" for i in range(1, 5)}
+
+
 def test_manifest_and_summary(spark):
     ready = batch.evaluation_manifest(spark.createDataFrame([("a", "1.csv"), ("b", "2.csv")], "dataset_key string, selected_csv string"), spark.createDataFrame([("a", "g.csv")], "dataset_key string, gt_csv string"))
     assert {r.dataset_key: r.status for r in ready.collect()} == {"a": "ready", "b": "missing_gt"}
