@@ -96,89 +96,82 @@ AREAS = {"all": (0.0, 1e10), "small": (0.0, 1024.0), "medium": (1024.0, 9216.0),
 THRESHOLDS = (0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95)
 
 
-def coco_match(dets: DataFrame, truths: DataFrame, area: tuple[float, float] = (0.0, 1e10), thresholds: tuple[float, ...] = THRESHOLDS, most: int = 100) -> DataFrame:
+def _kinds(areas: dict[str, tuple[float, float]]) -> Column:
+    return F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(float(low)).alias("low"), F.lit(float(high)).alias("high")) for k, (low, high) in areas.items()]))
+
+
+def coco_match(dets: DataFrame, truths: DataFrame, areas: dict[str, tuple[float, float]] | None = None, thresholds: tuple[float, ...] = THRESHOLDS, most: int = 100) -> DataFrame:
     """Detections (image_id, category_id, det_id, x, y, w, h, score) against truths (.., x, y, w, h, area, iscrowd, gt_ignore).
 
     In order of score a detection takes the free truth of largest overlap (of equals the last), one that counts before an ignored
     one; a crowd is always free. Truths that are crowds, ignored or out of the area range are ignored, and so are unmatched
     detections out of the range. The choice depends on what was taken before, so an image and category is one array that is
-    folded in the JVM, with at most ``most`` detections.
+    folded in the JVM, with at most ``most`` detections, for each of ``areas`` (all, by default) and thresholds.
 
-    Returns image_id, category_id, det_id, score, rank, threshold, matched, ignored.
+    Returns kind (of area), image_id, category_id, det_id, score, rank, threshold, matched, ignored.
     """
-    keys, (low, high) = ["image_id", "category_id"], area
+    keys = ["image_id", "category_id"]
     d = dets.groupBy(*keys).agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "det_id", "x", "y", "w", "h"))), 1, most).alias("ds"))
-    ignore = (F.col("iscrowd") == 1) | (F.col("gt_ignore") == 1) | (F.col("area") < low) | (F.col("area") > high)
-    g = truths.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("gt_id", "x", "y", "w", "h", (F.col("iscrowd") == 1).alias("crowd"), ignore.alias("ignore")))).alias("gs"))
-    both = d.join(g, keys, "left").withColumn("gs", F.coalesce("gs", F.expr("slice(gs, 1, 0)"))).withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
+    ignored = (F.col("iscrowd") == 1) | (F.col("gt_ignore") == 1)
+    g = truths.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("gt_id", "x", "y", "w", "h", "area", (F.col("iscrowd") == 1).alias("crowd"), ignored.alias("ignored")))).alias("gs"))
+    both = d.join(g, keys, "left").withColumn("gs", F.coalesce("gs", F.expr("slice(gs, 1, 0)")))
+    both = both.select("*", _kinds(areas or {"all": AREAS["all"]}).alias("k")).select("*", "k.*").withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
     side = lambda p, q: f"greatest(0D, least(d.{p} + d.{q}, g.{p} + g.{q}) - greatest(d.{p}, g.{p}))"
     inter = f"({side('x', 'w')} * {side('y', 'h')})"
     over = f"({inter} / greatest(1e-300D, case when g.crowd then d.w * d.h else d.w * d.h + g.w * g.h - {inter} end))"
-    able = f"filter(transform(gs, (g, i) -> named_struct('use', not g.ignore, 'over', {over}, 'i', i)), c -> c.over >= least(threshold, 1 - 1e-10D) and (gs[c.i].crowd or not array_contains(a.taken, c.i)))"
-    outside = f"(d.w * d.h < {low} or d.w * d.h > {high})"
+    use = "not (g.ignored or g.area < low or g.area > high)"
+    able = f"filter(transform(gs, (g, i) -> named_struct('use', {use}, 'over', {over}, 'i', i)), c -> c.over >= least(threshold, 1 - 1e-10D) and (gs[c.i].crowd or not array_contains(a.taken, c.i)))"
+    outside = "(d.w * d.h < low or d.w * d.h > high)"
     state = "named_struct('taken', case when b is null then a.taken else concat(a.taken, array(b.i)) end, 'out', concat(a.out, array(named_struct('det_id', d.det_id, 'score', -d.s, 'matched', b is not null, 'ignored', coalesce(not b.use, " + outside + ")))))"
     empty = "named_struct('taken', cast(array() as array<int>), 'out', transform(slice(ds, 1, 0), d -> named_struct('det_id', d.det_id, 'score', -d.s, 'matched', true, 'ignored', true)))"
     fold = f"aggregate(coalesce(ds, slice(ds, 1, 0)), {empty}, (a, d) -> transform(array(array_max({able})), b -> {state})[0]).out"
-    return both.select(*keys, "threshold", F.posexplode(F.expr(fold)).alias("rank", "r")).select(*keys, "r.det_id", "r.score", "rank", "threshold", "r.matched", "r.ignored")
+    return both.select("kind", *keys, "threshold", F.posexplode(F.expr(fold)).alias("rank", "r")).select("kind", *keys, "r.det_id", "r.score", "rank", "threshold", "r.matched", "r.ignored")
 
 
-def _counted(truths: DataFrame, area: tuple[float, float]) -> DataFrame:
-    counted = (F.col("iscrowd") == 0) & (F.col("gt_ignore") == 0) & F.col("area").between(*area)
-    return truths.where(counted).groupBy("category_id").agg(F.count("*").alias("npos"))
+def _counted(truths: DataFrame, areas: dict[str, tuple[float, float]]) -> DataFrame:
+    """(kind, category_id, npos): truths that count."""
+    each = truths.where((F.col("iscrowd") == 0) & (F.col("gt_ignore") == 0)).select("category_id", "area", _kinds(areas).alias("k"))
+    return each.where(F.col("area").between(F.col("k.low"), F.col("k.high"))).groupBy(F.col("k.kind").alias("kind"), "category_id").agg(F.count("*").alias("npos"))
 
 
-def coco_precision(matches: DataFrame, truths: DataFrame, area: tuple[float, float] = (0.0, 1e10)) -> DataFrame:
-    """(category_id, threshold, recall index 0..100, precision): the best precision at or beyond each recall; 0 beyond the last."""
-    npos = _counted(truths, area)
-    by = ["category_id", "threshold"]
-    df = matches.where(~F.col("ignored")).join(npos, "category_id").withColumns({"hit": F.col("matched").cast("int"), "miss": (~F.col("matched")).cast("int")})
+def coco_precision(matches: DataFrame, npos: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
+    """(kind, category_id, threshold, recall index 0..100, precision): the best precision at or beyond each recall; 0 beyond the last."""
+    by = ["kind", "category_id", "threshold"]
+    df = matches.where(~F.col("ignored")).join(npos, ["kind", "category_id"]).withColumns({"hit": F.col("matched").cast("int"), "miss": (~F.col("matched")).cast("int")})
     df = prefix_sums(df, by, [F.desc("score"), F.col("image_id"), F.col("rank")], {"tp": "hit", "fp": "miss"})
     df = df.withColumns({"precision": F.col("tp") / (F.col("tp") + F.col("fp")), "at": F.floor(F.col("tp") / F.col("npos") * 100 + 1e-9).cast("int")})
     best = df.groupBy(*by, "at").agg(F.max("precision").alias("precision"))
-    grid = matches.select("threshold").distinct().join(F.broadcast(npos.select("category_id"))).select(*by, F.explode(F.sequence(F.lit(0), F.lit(100))).alias("at"))
-    filled = grid.join(best, [*by, "at"], "left")
+    grid = npos.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds)))).select(*by, F.explode(F.sequence(F.lit(0), F.lit(100))).alias("at"))
     after = Window.partitionBy(*by).orderBy("at").rowsBetween(0, Window.unboundedFollowing)
-    return filled.select(*by, "at", F.coalesce(F.max("precision").over(after), F.lit(0.0)).alias("precision"))
+    return grid.join(best, [*by, "at"], "left").select(*by, "at", F.coalesce(F.max("precision").over(after), F.lit(0.0)).alias("precision"))
+
+
+def coco_recall(matches: DataFrame, npos: DataFrame, firsts: tuple[int, ...] = (1, 10, 100), thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
+    """(kind, category_id, threshold, recall_k ...): the share of truths that the first k detections of each image and category find."""
+    by = ["kind", "category_id", "threshold"]
+    hits = matches.where(F.col("matched") & ~F.col("ignored")).groupBy(*by).agg(*[F.count_if(F.col("rank") < k).alias(f"hits_{k}") for k in firsts])
+    grid = npos.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
+    return grid.join(hits, by, "left").select(*by, *[(F.coalesce(f"hits_{k}", F.lit(0)) / F.col("npos")).alias(f"recall_{k}") for k in firsts])
 
 
-def coco_recall(matches: DataFrame, truths: DataFrame, area: tuple[float, float] = (0.0, 1e10), first: int = 100) -> DataFrame:
-    """(category_id, threshold, recall): the share of truths that the ``first`` detections of each image and category find."""
-    by = ["category_id", "threshold"]
-    hits = matches.where(F.col("matched") & ~F.col("ignored") & (F.col("rank") < first)).groupBy(*by).agg(F.count("*").alias("hits"))
-    grid = matches.select("threshold").distinct().join(F.broadcast(_counted(truths, area)))
-    return grid.join(hits, by, "left").select(*by, (F.coalesce("hits", F.lit(0)) / F.col("npos")).alias("recall"))
+def _mean(value: str, *conditions: Column) -> Column:
+    """-1 marks what isn't there."""
+    return F.coalesce(F.avg(F.when(reduce(lambda a, b: a & b, conditions), F.col(value))), F.lit(-1.0))
 
 
 def coco_means(dets: DataFrame, truths: DataFrame) -> DataFrame:
     """One row of the twelve means: precision over all, at .50 and at .75, by area; recall with 1, 10 and 100 detections, by area."""
-    out, recalls = [], []
-    mean = F.coalesce(F.avg("recall"), F.lit(-1.0))
-    for name, area in AREAS.items():
-        m = staged(coco_match(dets, truths, area), "matches")
-        p = coco_summary(coco_precision(m, truths, area))
-        out.append(p if name == "all" else p.select(F.col("ap").alias(f"ap_{name}")))
-        recalls += [coco_recall(m, truths, area, k).agg(mean.alias(f"ar_{k if name == 'all' else name}")) for k in ((1, 10, 100) if name == "all" else (100,))]
-    first, *rest = [*out, *recalls]
-    for x in rest:
-        first = first.crossJoin(x)
-    return first
+    m, npos = staged(coco_match(dets, truths, AREAS), "matches"), _counted(truths, AREAS)
+    kind = lambda name: F.col("kind") == name
+    at = lambda t: F.col("threshold") == t
+    rest = [k for k in AREAS if k != "all"]
+    p = coco_precision(m, npos).agg(_mean("precision", kind("all")).alias("ap"), _mean("precision", kind("all"), at(0.5)).alias("ap50"), _mean("precision", kind("all"), at(0.75)).alias("ap75"), *[_mean("precision", kind(k)).alias(f"ap_{k}") for k in rest])
+    r = coco_recall(m, npos).agg(*[_mean(f"recall_{k}", kind("all")).alias(f"ar_{k}") for k in (1, 10, 100)], *[_mean("recall_100", kind(k)).alias(f"ar_{k}") for k in rest])
+    return p.crossJoin(r)  # one row each
 
 
 def coco_means_by_category(dets: DataFrame, truths: DataFrame) -> DataFrame:
     """category_id, ap, ap_small, ap_medium, ap_large: mean precision over all thresholds; -1 marks what isn't there."""
-    out = None
-    for name, area in AREAS.items():
-        p = coco_by_category(coco_precision(coco_match(dets, truths, area), truths, area))
-        p = p if name == "all" else p.withColumnRenamed("ap", f"ap_{name}")
-        out = p if out is None else out.join(p, "category_id", "left")
-    return out.fillna(-1.0)
-
-
-def coco_summary(precision: DataFrame) -> DataFrame:
-    """Mean precision over all, at .50 and at .75; -1 marks what isn't there."""
-    mean = lambda c: F.coalesce(F.avg(F.when(c & (F.col("precision") > -1), F.col("precision"))), F.lit(-1.0))
-    return precision.agg(mean(F.lit(True)).alias("ap"), mean(F.col("threshold") == 0.5).alias("ap50"), mean(F.col("threshold") == 0.75).alias("ap75"))
-
-
-def coco_by_category(precision: DataFrame) -> DataFrame:
-    return precision.groupBy("category_id").agg(F.coalesce(F.avg(F.when(F.col("precision") > -1, F.col("precision"))), F.lit(-1.0)).alias("ap"))
+    p = coco_precision(coco_match(dets, truths, AREAS), _counted(truths, AREAS))
+    means = [_mean("precision", F.col("kind") == k).alias("ap" if k == "all" else f"ap_{k}") for k in AREAS]
+    return p.groupBy("category_id").agg(*means, F.count_if(F.col("kind") == "all").alias("n")).where("n > 0").drop("n")
