@@ -25,11 +25,15 @@ from .tokens import encoder, tokenizer_path
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, task int, nth bigint"
 
 
+#: Runs of text whose ids a worker remembers: half as many as for token files, as workers that have served other operators pack, too.
+KEPT_RUNS = 300_000
+
+
 def pieces(docs: DataFrame, size: int, tokenizer: str, end_id: int) -> DataFrame:
     """Pieces of all documents; ``task`` and ``nth`` tell pieces of one length apart (once these rows are written)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task, seen = encoder(tokenizer).encode, TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
+        encode, task, seen = encoder(tokenizer, kept=KEPT_RUNS).encode, TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
         for batch in steps(batches):
             ids, offsets = encode(batch.column("text"))
             ids = np.insert(ids, offsets[1:], end_id).astype("<u4")

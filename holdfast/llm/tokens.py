@@ -17,8 +17,8 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 
 TOKENIZER = "byte_bpe_50k.json"
-#: Distinct runs whose ids a Python worker remembers; later ones are encoded again in each step that has them.
-KEPT_RUNS = 300_000
+#: Distinct runs whose ids a Python worker remembers (some 250 bytes each); later ones are encoded again in each step that has them.
+KEPT_RUNS = 600_000
 
 _byte = np.arange(256)
 _letter = ((_byte >= 65) & (_byte <= 90)) | ((_byte >= 97) & (_byte <= 122))
@@ -66,7 +66,7 @@ class Encoder:
     As in the library, the string of a special token gives that token's id wherever it stands; with ``special`` False it is ordinary text.
     """
 
-    def __init__(self, path: str, special: bool = True):
+    def __init__(self, path: str, special: bool = True, kept: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -78,6 +78,7 @@ class Encoder:
         added = [t["content"] for t in spec.get("added_tokens", []) if special or not t["special"]]
         self.by_runs = splits_at_words(spec)
         self.added = "|".join(map(re.escape, added))
+        self.kept = KEPT_RUNS if kept is None else kept
         self.known: dict[bytes, int] = {}
         self.starts, self.lengths, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
@@ -104,7 +105,7 @@ class Encoder:
             starts = np.concatenate([starts, len(pool) + np.cumsum(n) - n])
             lengths, pool = np.concatenate([lengths, n]), np.concatenate([pool, flat])
             at[new] = len(self.known) + np.arange(len(new))
-            if len(starts) <= KEPT_RUNS:
+            if len(starts) <= self.kept:
                 self.known.update(zip(fresh, at[new].tolist(), strict=True))
                 self.starts, self.lengths, self.pool = starts, lengths, pool
         return starts[at], lengths[at], pool
@@ -143,11 +144,11 @@ class Encoder:
         return ids, np.concatenate([[0], ends])[np.searchsorted(cut, offsets)]
 
 
-_encoders: dict[tuple[str, bool], Encoder] = {}
+_encoders: dict[tuple[str, bool, int | None], Encoder] = {}
 
 
-def encoder(path: str, special: bool = True) -> Encoder:
+def encoder(path: str, special: bool = True, kept: int | None = None) -> Encoder:
     """One encoder for each Python worker and file."""
-    if (path, special) not in _encoders:
-        _encoders[path, special] = Encoder(path, special)
-    return _encoders[path, special]
+    if (path, special, kept) not in _encoders:
+        _encoders[path, special, kept] = Encoder(path, special, kept)
+    return _encoders[path, special, kept]

@@ -317,6 +317,20 @@ def test_many_sources_stay_near_their_targets(spark):
     assert all(abs(r.taken - r.target) < 0.01 * r.target for r in out.collect())
 
 
+def test_targets_of_very_many_sources(spark):
+    """Reckoned by sums they are what one task reckons, and what resharing gives."""
+    from holdfast.llm.mixing import targets
+
+    rng = random.Random(14)
+    for seed in range(3):
+        sizes = {f"s{i}" if i else None: rng.choice([0, 1, 5, 40, 1000, 30_000]) + seed for i in range(40)}
+        df = spark.createDataFrame(list(sizes.items()), "source string, size bigint").repartition(3)
+        few, many = ({r.source: (r.source_size, r.target, r.offset) for r in targets(df, held=held).collect()} for held in (1000, 0))
+        assert few == many
+        assert {s: t for s, (_, t, _) in many.items()} == pytest.approx(brute.targets(sizes))
+    assert targets(df.limit(0), held=0).count() == 0
+
+
 @pytest.mark.parametrize("name", ["copies", "scan"])
 def test_native_operators_run_no_python(docs, name):
     from holdfast.llm import mixing, secret_scan
@@ -388,9 +402,7 @@ def test_encoder_is_the_tokenizer(rows):
 
     texts = [r[1] for r in rows] + ["a  b\n\n c.  x　 y don't 'll  '", "   q", " lead", "trail ", "été. É! 12.5 a1b2\x1c x\x85 y \t\n z", "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext", "|>"]
     for kept in (tokens.KEPT_RUNS, 3):
-        tokens.KEPT_RUNS, before = kept, tokens.KEPT_RUNS
-        ids, offsets = tokens.Encoder(tokens.tokenizer_path()).encode(pa.array(texts))
-        tokens.KEPT_RUNS = before
+        ids, offsets = tokens.Encoder(tokens.tokenizer_path(), kept=kept).encode(pa.array(texts))
         assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:], strict=False)] == [x[:-1].tolist() for x in brute.token_ids(texts, 0)]
 
 
