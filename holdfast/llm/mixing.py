@@ -3,7 +3,7 @@
 Within a source every document is expected as often as target / size of the source. Documents are ordered by size, so
 that each stretch of the prefix sum holds documents of like size and the words taken stay near the target; a document comes
 once for each integer that its stretch, moved by the source's one random offset, crosses. Ranks within a source come from a range
-sort of the whole table: the place in a task's sorted rows, and a sum over tasks. No source is ever in one task.
+sort of the whole table: the place in a task's sorted rows, and a sum over tasks. No source's rows are ever in one task.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.runs import ranked
 from .common import NOT_WHITE_RUN, fresh, shuffle_partitions, staged
 
 
@@ -18,26 +19,52 @@ def words() -> Column:
     return F.regexp_count(F.coalesce("text", F.lit("")), F.lit(NOT_WHITE_RUN)).cast("bigint")
 
 
-def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 42) -> DataFrame:
+#: Sources whose targets one task may reckon (a row of some 50 bytes each); with more they are reckoned by sums over all tasks.
+HELD = 100_000
+
+
+def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 42, held: int = HELD) -> DataFrame:
     """One row for each source of (source, size): source, source_size, target, and the offset of its prefix sum.
 
     Sources in code-point order, null last, have the weights in turn. Together the targets are ``share`` of all sizes; none is
     above ``most`` times its source's size, and what is above goes to the others by weight until none is.
     """
     n, table = len(weights), F.array(*map(F.lit, weights))
-    of = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    of = of.withColumn("nth", F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))) - 1)
+    of = staged(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
+    few = of.count() <= held
+    if few:
+        of = of.withColumn("nth", F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))) - 1)
+    else:
+        named = ranked(of.where("source is not null"), [], ["source"], "nth")
+        of = named.unionByName(of.where("source is null").withColumn("nth", F.lit(named.count())))
     of = of.withColumn("weight", F.element_at(table, (F.col("nth") % n + 1).cast("int")).cast("double")).withColumn("cap", most * F.col("source_size"))
-    # In order of cap / weight the first sources are at their caps; the others share what these leave by weight.
+    target = _filled_by_windows(of, share) if few else _filled_by_sums(of, share)
+    offset = ((F.col("nth") * 40503 + seed * 9973) % 65536) / F.lit(65536.0)
+    return target.select("source", "source_size", "target", offset.alias("offset"))
+
+
+def _filled_by_windows(of: DataFrame, share: float) -> DataFrame:
+    """In order of cap / weight the first sources are at their caps; the others share what these leave by weight."""
     everyone = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     by_cap = Window.orderBy(F.col("cap") / F.col("weight"), "nth")
     before, after = by_cap.rowsBetween(Window.unboundedPreceding, -1), by_cap.rowsBetween(0, Window.unboundedFollowing)
     of = of.withColumns({"rest": share * F.sum("source_size").over(everyone) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)), "heavy": F.sum("weight").over(after), "place": F.row_number().over(by_cap)})
     open_ = F.when(F.col("rest") * F.col("weight") <= F.col("cap") * F.col("heavy"), F.struct("place", "rest", "heavy"))
     of = of.withColumn("first", F.min(open_).over(everyone))
-    target = F.when(F.col("place") < F.col("first.place"), F.col("cap")).otherwise(F.col("first.rest") * F.col("weight") / F.col("first.heavy"))
-    offset = ((F.col("nth") * 40503 + seed * 9973) % 65536) / F.lit(65536.0)
-    return of.select("source", "source_size", target.alias("target"), offset.alias("offset"))
+    return of.withColumn("target", F.when(F.col("place") < F.col("first.place"), F.col("cap")).otherwise(F.col("first.rest") * F.col("weight") / F.col("first.heavy")))
+
+
+def _filled_by_sums(of: DataFrame, share: float) -> DataFrame:
+    """Sources above their caps are set to them, and the rest is shared anew, until none is above: a sum over all sources each time."""
+    of = staged(of, "weighted")
+    total, heavy = of.agg(share * F.sum("source_size"), F.sum("weight")).first()
+    rest = total
+    while True:
+        over = rest * F.col("weight") > F.col("cap") * heavy
+        capped, free = of.agg(F.coalesce(F.sum(F.when(over, F.col("cap"))), F.lit(0.0)), F.sum(F.when(~over, F.col("weight")))).first()
+        if free is None or (total - capped, free) == (rest, heavy):
+            return of.withColumn("target", F.when(over, F.col("cap")).otherwise(rest * F.col("weight") / heavy))
+        rest, heavy = total - capped, free
 
 
 def _copies(rows: DataFrame, **parameters) -> DataFrame:
@@ -65,7 +92,7 @@ def copies(docs: DataFrame, **parameters) -> DataFrame:
     A null text has size 0; a very long text counts whole; null is a source of its own. No document comes more often than
     target / source_size rounded up. Documents without words in a source without words have 0 copies. Repeated rows are documents
     each; a null doc_id comes first among rows of its source and size. Reruns agree, whatever the partitions. Other columns are
-    ignored, whatever their names. An empty table gives no rows. One row for each source goes through a single task.
+    ignored, whatever their names. An empty table gives no rows. No task holds more than ``HELD`` sources' rows.
     """
     none = F.lit(0).cast("bigint")
     rows = staged(docs.select(none.alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), "source", words().alias("size"), none.alias("tie")), "sizes")
