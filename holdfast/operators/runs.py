@@ -136,7 +136,10 @@ def subsample(df: DataFrame, keys: list[str], interval: float = 2.0) -> DataFram
 
 
 def by_ranges(df: DataFrame, by: list[str | Column]) -> DataFrame:
-    """``df`` dealt by ranges of ``by`` and sorted there, written with __task and __at, a number that rises by one within a task."""
+    """``df`` dealt by ranges of ``by`` and sorted there, written with __task and __at, a number that rises by one within a task.
+
+    Ranges come from a sample of ``df``, which is computed for it once more: stage what is costly before.
+    """
     rows = df.repartitionByRange(shuffle_partitions(df.sparkSession), *by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id())
     return staged(rows.withColumn("__task", F.shiftright("__at", 33)), "ranked")
 

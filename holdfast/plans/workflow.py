@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import condense, dataset, filters, metrics, runs
 from ..operators.matching import aligned
 from ..operators.tracking import BridgeConfig, tracking_bridge
+from ..staging import staged
 from . import config
 
 
@@ -133,4 +134,4 @@ def pseudo_labels(objects: DataFrame, hands: DataFrame, splits: DataFrame, fps:
     timed = kept.select("video_id", (F.col("frame_number") / fps).alias("time_sec"), F.col("row_id").alias("frame_idx"), "row_id", cx.alias("cx"), cy.alias("cy"), boxes.area(boxes.box()).alias("area"), F.lit(440).alias("width"))
     chosen = runs.similarity_filter(timed, ["video_id"], 0.2, 0.02, 0.05).select("video_id", "row_id")
     rows = kept.join(chosen, ["video_id", "row_id"], "left_semi").select("video_id", F.col("frame_number").alias("frame_idx"), F.lit(440).alias("width"), F.lit(300).alias("height"), *boxes.box(), "confidence", "row_id")
-    return dataset.coco_tables(dataset.with_split(rows, splits, "video_id"))
+    return dataset.coco_tables(staged(dataset.with_split(rows, splits, "video_id"), "labels"))
