@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -75,3 +75,20 @@ def whole_groups(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], ke
         n += len(new[0])
     if held:
         yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def named(name: str) -> Column:
+    """The column of this name, whatever characters it has."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, list[str], Callable[[DataFrame], DataFrame]]:
+    """``df`` with its columns named by position, so that any name survives a Python function; those names; and what gives the
+    columns their own names again, of a frame that may lack some, and leaves what was added."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    of = dict(zip(names, df.columns, strict=True))
+
+    def own(made: DataFrame) -> DataFrame:
+        return made.select(*[F.col(c).alias(of.get(c, c)) for c in made.columns])
+
+    return df.select(*[named(c).alias(n) for n, c in of.items()]), names, own
