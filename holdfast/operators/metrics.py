@@ -82,9 +82,10 @@ def segmental_f1(pred: DataFrame, gt: DataFrame, keys: list[str], thresholds: tu
 def edit_score(pred: DataFrame, gt: DataFrame, keys: list[str]) -> DataFrame:
     """100 x (1 - Levenshtein distance of the segments' labels / the longer's number); both empty: 0.
 
-    A label becomes one character, the place of its kind among a sequence's kinds of labels, so that it is one step whatever its name.
+    A label becomes one character, the place of its kind among a sequence's kinds of labels, so that it is one step whatever its
+    name. Null is a label of its own.
     """
-    names = lambda df, name: df.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("start", "label"))), lambda s: s.label.cast("string")).alias(name))
+    names = lambda df, name: df.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("start", "label"))), lambda s: F.coalesce(F.concat(F.lit("="), s.label.cast("string")), F.lit("null"))).alias(name))
     none = F.array().cast("array<string>")
     both = names(pred, "a").join(names(gt, "b"), keys, "full").withColumns({"a": F.coalesce("a", none), "b": F.coalesce("b", none)})
     both = both.withColumn("kinds", F.array_distinct(F.concat("a", "b")))

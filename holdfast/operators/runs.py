@@ -121,18 +121,19 @@ def since_kept(df: DataFrame, keys: list[str], order: list[str], columns: list[s
 def similarity_filter(df: DataFrame, keys: list[str], gap: float = 1.0, move: float = 0.05, area_change: float = 0.1) -> DataFrame:
     """Keep a box if, against the last kept one, enough time has passed and centre and area have changed enough.
 
-    Needs time_sec, frame_idx, cx, cy, area and width.
+    Needs time_sec, frame_idx, cx, cy, area and width; rows without a time or a box aren't kept.
     """
 
     def keep(last: tuple, x: tuple) -> bool:
         far = sqrt((x[3] - last[3]) ** 2 + (x[4] - last[4]) ** 2)
         return x[0] - last[0] >= gap and far > move * max(1, x[6]) and abs(x[5] - last[5]) / max(1e-6, last[5]) > area_change
 
-    return since_kept(df, keys, ["time_sec", "frame_idx"], ["row_id", "cx", "cy", "area", "width"], keep)
+    return since_kept(df.dropna(subset=["time_sec", "cx", "cy", "area", "width"]), keys, ["time_sec", "frame_idx"], ["row_id", "cx", "cy", "area", "width"], keep)
 
 
 def subsample(df: DataFrame, keys: list[str], interval: float = 2.0) -> DataFrame:
-    return since_kept(df, keys, ["time_sec", "frame_idx"], ["row_id"], lambda last, x: x[0] - last[0] >= interval)
+    """A row is kept if it comes ``interval`` or more after the last kept one; rows without a time aren't kept."""
+    return since_kept(df.where("time_sec is not null"), keys, ["time_sec", "frame_idx"], ["row_id"], lambda last, x: x[0] - last[0] >= interval)
 
 
 def by_ranges(df: DataFrame, by: list[str | Column]) -> DataFrame:
@@ -151,24 +152,35 @@ def _earlier(rows: DataFrame, keys: list[str], sums: dict[str, Column]) -> DataF
     return part.select(*keys, "__task", *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(k) for k in sums])
 
 
+def _with_base(rows: DataFrame, base: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the columns of ``base`` of their keys, null or not, and task."""
+    on = [*keys, "__task"]
+    renamed = base.withColumnsRenamed({k: f"__of_{i}" for i, k in enumerate(on)})
+    same = [rows[k].eqNullSafe(renamed[f"__of_{i}"]) for i, k in enumerate(on)]
+    return rows.join(renamed, same).drop(*[f"__of_{i}" for i in range(len(on))])
+
+
 def prefix_sums(df: DataFrame, keys: list[str], order: list[str | Column], values: dict[str, str]) -> DataFrame:
-    """``df`` with running sums (new name: column) within ``keys`` in ``order``, which no task needs to see whole; __task tells ranges."""
+    """``df`` with running sums (new name: column) within ``keys`` in ``order``, which no task needs to see whole; __task tells ranges.
+
+    Null keys are keys like any other; a sum of nulls only is null, as in a window.
+    """
     rows = by_ranges(df, [*keys, *order])
     upto = Window.partitionBy(*keys, "__task").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
     base = _earlier(rows, keys, {f"__{k}": F.sum(v) for k, v in values.items()})
-    out = rows.join(base, [*keys, "__task"]).withColumns({k: F.sum(v).over(upto) + F.col(f"__{k}") for k, v in values.items()})
+    out = _with_base(rows, base, keys).withColumns({k: F.sum(v).over(upto) + F.col(f"__{k}") for k, v in values.items()})
     return out.drop(*[f"__{k}" for k in values])
 
 
 def ranked(df: DataFrame, keys: list[str], order: list[str | Column], name: str) -> DataFrame:
     """``df`` with each row's place (from 0) in ``order`` within ``keys``, which no task needs to see whole.
 
-    Rows are dealt by ranges and sorted there; what stands in earlier tasks shifts them. ``keys`` and ``order`` name each row.
+    Rows are dealt by ranges and sorted there; what stands in earlier tasks shifts them. ``keys`` and ``order`` name each row; null keys are keys like any other.
     """
     rows = by_ranges(df, [*keys, *order])
     first = rows.groupBy(*keys, "__task").agg(F.min("__at").alias("__first"))
-    base = _earlier(rows, keys, {"__n": F.count("*")}).join(first, [*keys, "__task"])
-    return rows.join(base, [*keys, "__task"]).withColumn(name, F.col("__at") - F.col("__first") + F.col("__n")).select(*df.columns, name)
+    base = _with_base(_earlier(rows, keys, {"__n": F.count("*")}), first, keys)
+    return _with_base(rows, base, keys).withColumn(name, F.col("__at") - F.col("__first") + F.col("__n")).select(*df.columns, name)
 
 
 def batches_by_shape(df: DataFrame, size: int, low: float = 0.5, high: float = 2.0) -> DataFrame:

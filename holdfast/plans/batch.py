@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import labels
+from ..functions import labels, parsing
 from ..operators import metrics
 from ..sources import files
 from ..sources.detector import Detector
 from ..sources.detector import detect as run_detector
+from ..staging import staged
 from . import workflow as w
 
 #: The types of a full table of detections in CSV.
@@ -21,10 +22,54 @@ FULL = (
 )
 
 
+#: Columns that a table of detections must have; others may be absent.
+MUST = ("frame_id", "detection_type", "bbox_x1", "bbox_y1", "bbox_x2", "bbox_y2")
+
+
 def detections(spark: SparkSession, root: str) -> DataFrame:
-    """FULL rows of every detections_full.csv below ``root``, with the folder's name as dataset_key."""
-    df = spark.read.schema(FULL).option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(root)
-    return df.withColumn("dataset_key", F.regexp_extract(F.input_file_name(), r"/(?:dataset_key=)?([^/]+)/[^/]*$", 1))
+    """FULL rows of every detections_full.csv below ``root``, with the folder's name as dataset_key.
+
+    Such a file is one of that name, or a part that Spark wrote into a folder of that name or into dataset_key=...; others aren't
+    read. Each file's own header says where its columns stand. Absent ones are null, but for video_id (0), frame_number (the
+    first number in frame_id), row_id (the place in its frame, in the file's order) and is_filtered (false). Other columns are
+    left out. A file without one of ``MUST``, and a value that isn't of its column's type, are errors.
+    """
+    named = r"/(?:dataset_key=)?([^/]+?)(?:/detections_full\.csv)?/[^/]*$"
+    ours = F.rlike("path", F.lit(r"/detections_full\.csv$|/detections_full\.csv/part-[^/]*$|/dataset_key=[^/]*/part-[^/]*$"))
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "{detections_full,part-*}.csv")
+    at = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line")]
+    lines = reader.text(root).select("value", *at).where(ours & (F.col("start") == 0))
+    header = lines.groupBy("path").agg(F.min_by("value", "line").alias("h"))
+    names = F.transform(F.split(F.regexp_replace("h", "^\ufeff", ""), ","), lambda n: F.btrim(n, F.lit("\" \t\r")))
+    headers = staged(header.select("path", names.alias("names")), "headers")
+    missing = F.filter(F.array(*map(F.lit, MUST)), lambda n: ~F.array_contains("names", n))
+    wide, bare, bad = headers.agg(F.max(F.size("names")), F.bool_or(~F.array_contains("names", "row_id")), F.min(F.when(F.size(missing) > 0, F.struct("path", missing.alias("missing"))))).first()
+    if not wide:
+        raise FileNotFoundError(f"no detections_full.csv below {root}")
+    if bad:
+        raise ValueError(f"{bad.path} lacks columns: {bad.missing}")
+    cells = [f"c{i}" for i in range(wide)]
+    rows = reader.schema(", ".join(f"{c} string" for c in cells)).csv(root).select(F.array(*cells).alias("cells"), *at).where(ours)
+    rows = rows.join(headers, "path").where(~((F.get("cells", F.lit(0)).eqNullSafe(F.get("names", F.lit(0)))) & F.array_contains("cells", "detection_type")))
+
+    def cell(name: str) -> Column:
+        return F.get("cells", F.array_position("names", F.lit(name)).cast("int") - 1)
+
+    def typed(name: str, kind: str) -> Column:
+        value = cell(name)
+        number = value.try_cast("double")
+        out = F.when(value.isNotNull(), parsing.tolerant_bool(value)) if kind == "boolean" else value if kind == "string" else number if kind == "double" else F.when(number == F.floor(number), number.cast(kind))
+        return F.when(value.isNotNull() & out.isNull(), F.raise_error(F.concat(F.lit(f"{name} holds no {kind}: "), value))).otherwise(out)
+
+    out = {name: typed(name, kind) for name, kind in (c.split() for c in FULL.split(", "))}
+    out["video_id"] = F.coalesce(out["video_id"], F.lit(0).cast("bigint"))
+    out["is_filtered"] = F.when(F.array_contains("names", "is_filtered"), out["is_filtered"]).otherwise(False)
+    out["frame_number"] = F.coalesce(out["frame_number"], parsing.first_number(out["frame_id"]))
+    found = rows.select(*[c.alias(n) for n, c in out.items()], F.regexp_extract("path", named, 1).alias("dataset_key"), "path", "start", "line")
+    if bare:
+        nth = F.row_number().over(Window.partitionBy("path", "video_id", "frame_number", "frame_id").orderBy("start", "line"))
+        found = found.withColumn("row_id", F.coalesce("row_id", nth.cast("bigint")))
+    return found.drop("path", "start", "line")
 
 
 def full_table(found: DataFrame, frames: DataFrame) -> DataFrame:

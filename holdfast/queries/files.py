@@ -106,13 +106,18 @@ def coco_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 select dataset_key, video_id, frame_number, case min(case when detection_type = 'hand' and not is_filtered then case when label in ('Portable Object', 'Portable Object Contact') then 2 when label in ('Stationary Object', 'Stationary Object Contact') then 3 else 1 end end)
   when 2 then 'Portable Object' when 3 then 'Stationary Object' else 'No Contact' end as contact_label from b where dataset_key <> 'd2' group by 1, 2, 3""")
 def batch_of_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Datasets from CSV to labels in CSV, in two calls of which the second skips what is there; one dataset is left out."""
+    """Datasets from CSV to labels in CSV, in two calls of which the second skips what is there; one dataset is left out.
+
+    Columns stand in another order in each of two tables, one of which lacks frame_number; another table lies beside them.
+    """
     from ..plans.workflow import PipelineConfig
 
     root, out = scratch(spark, "runs"), scratch(spark, "labels")
     names = [c.split()[0] for c in batch.FULL.split(", ")]
     rows = det(spark, sf_dir).select(F.format_string("d%d", F.col("video_id") % 3).alias("dataset_key"), *[c.strip() for c in names])
-    rows.write.option("header", True).partitionBy("dataset_key").csv(root)
+    rows.where("dataset_key <> 'd1'").select("dataset_key", *sorted(names)).write.option("header", True).partitionBy("dataset_key").csv(f"{root}/some")
+    rows.where("dataset_key = 'd1'").select(*sorted(set(names) - {"frame_number"}, reverse=True)).write.option("header", True).csv(f"{root}/d1/detections_full.csv")
+    rows.select("frame_id", "contact_label").write.option("header", True).csv(f"{root}/d1/detections_condensed.csv")
     chosen = PipelineConfig(object_size=None, smaller_factor=None)
     batch.postprocess(spark, root, out, (440, 300), chosen, ["d0"])
     batch.postprocess(spark, root, out, (440, 300), chosen, ["d0", "d1"], skip_existing=True)

@@ -71,12 +71,15 @@ def separator(spark: SparkSession, path: str) -> str:
 
 
 def table(spark: SparkSession, path: str, required: tuple[str, ...] = (), sniff: bool = False) -> DataFrame:
-    """A CSV file as strings, with row (the order of lines in the file); missing columns are an error."""
+    """A CSV file as strings, with row, which orders lines: by file name, block and line; missing columns are an error.
+
+    Spark deals blocks to tasks by size, so that ids of tasks don't follow the files.
+    """
     df = spark.read.option("header", True).option("sep", separator(spark, path) if sniff else ",").csv(path)
     df = df.toDF(*[c.strip() for c in df.columns])
     if missing := sorted(set(required) - set(df.columns)):
         raise ValueError(f"{path} lacks columns: {missing}")
-    return df.withColumn("row", F.monotonically_increasing_id())
+    return df.select("*", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line")).alias("row"))
 
 
 def _binary(name: str) -> Column:
