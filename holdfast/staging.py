@@ -45,6 +45,13 @@ def staged(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     return out
 
 
+def again(df: DataFrame, spark: SparkSession) -> DataFrame:
+    """A staged frame read by another session."""
+    out = spark.read.schema(df.schema).parquet(df._staged_at)
+    out._staged_at = df._staged_at
+    return out
+
+
 def discard(*frames: DataFrame) -> None:
     """Remove the files of staged frames that nothing reads any more."""
     for df in frames:
