@@ -44,7 +44,8 @@ def mark_copies(docs: DataFrame, heavy: int = 1024) -> DataFrame:
 
     Of rows with equal texts the one with the most code points stays, then the one with the smallest doc_id. Null counts as
     empty; a very long text is hashed whole, in its task. Repeated rows with one doc_id count in group_size, and all of them are
-    marked as kept if that doc_id stays. A null doc_id loses against any other. Other columns are ignored, whatever their names;
+    marked as kept if that doc_id stays. A null doc_id loses ties of
+    length against any other. Other columns are ignored, whatever their names;
     an empty table gives no rows.
     """
     rows = staged(digests(docs), "digests")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WHITE, fresh, scratch, shuffle_partitions, staged, steps
+from .common import WHITE, again, numbered, scratch, shuffle_partitions, staged, steps
 
 _white = WHITE.encode()
 
@@ -62,20 +62,25 @@ BUCKET = 250_000
 
 
 @contextmanager
-def run_settings(spark: SparkSession, buckets: int) -> Iterator[None]:
-    """Within this, shuffles have as many partitions as runs have buckets, and a bucket that is one sorted file counts as sorted when it is read."""
-    wanted = {"spark.sql.shuffle.partitions": str(buckets), "spark.sql.legacy.bucketedTableScan.outputOrdering": "true"}
-    before = {k: spark.conf.get(k, None) for k in wanted}
-    for k, v in wanted.items():
-        spark.conf.set(k, v)
+def own_session(spark: SparkSession, buckets: int) -> Iterator[SparkSession]:
+    """A session with the settings of ``spark`` and a database of its own, which is dropped at the end with all its tables.
+
+    In it shuffles have as many partitions as runs have buckets, and a bucket that is one sorted file counts as sorted when it
+    is read. Settings and catalogue of ``spark`` stay as they are.
+    """
+    own, database = spark.newSession(), f"holdfast_{uuid.uuid4().hex}"
+    for key, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(key):
+            own.conf.set(key, value)
+    own.conf.set("spark.sql.shuffle.partitions", str(buckets))
+    own.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+    own.sql(f"create database {database} location '{scratch(spark, 'runs')}'")
     try:
-        yield
+        own.sql(f"use {database}")
+        yield own
     finally:
-        for k, v in before.items():
-            if v is None:
-                spark.conf.unset(k)
-            else:
-                spark.conf.set(k, v)
+        own.sql("use default")
+        own.sql(f"drop database if exists {database} cascade")
 
 
 class Runs:
@@ -87,7 +92,7 @@ class Runs:
 
     def _write(self, rows: DataFrame) -> str:
         """The name of the run of ``rows``, which lie by the hash of (h1, h2): each bucket comes from one task, so it is one file."""
-        name = f"holdfast_run_{uuid.uuid4().hex}"
+        name = f"run_{uuid.uuid4().hex}"
         self.names[name] = path = scratch(self.spark, "run")
         rows.select("h1", "h2", "n", "top").write.format("parquet").bucketBy(self.parts, "h1", "h2").sortBy("h1", "h2").option("path", path).saveAsTable(name)
         return name
@@ -171,24 +176,26 @@ def drop_repeated_lines(docs: DataFrame, least_chars: int = 40, least_docs: int
     lines = staged(line_hashes(docs, least_chars), "lines")
     bounds = docs.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] or [] if batches > 1 else []
     above = None
-    with run_settings(spark, max(1, min(shuffle_partitions(spark), -(-lines.count() // BUCKET)))):
-        runs = Runs(spark, least_docs)
+    with own_session(spark, max(1, min(shuffle_partitions(spark), -(-lines.count() // BUCKET)))) as apart:
+        runs, hashes = Runs(apart, least_docs), again(lines, apart)
         try:
             for low in [*sorted(set(bounds), reverse=True), None]:
-                batch = lines if low is None else lines.where(F.col("doc_id") >= low)
+                batch = hashes if low is None else hashes.where(F.col("doc_id") >= low)
                 runs.add(batch if above is None else batch.where(F.col("doc_id") < above))
                 above = low
-            frequent = runs.frequent()
+            frequent = again(runs.frequent(), spark)
         finally:
             runs.close()
 
-    keep = [f for f in docs.schema.fields if f.name not in ("n_lines", "n_dropped")]
-    schema = T.StructType([*keep, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    doc, gone = fresh(docs, "doc", "gone")
-    own = docs.select(*[F.col(f"`{f.name}`") for f in keep], F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias(doc))
+    kept = docs.drop("n_lines", "n_dropped")
+    given, names, named_again = numbered(kept)
+    of_text, of_id = (names[kept.columns.index(c)] for c in ("text", "doc_id"))
+    schema = T.StructType([*given.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    doc, gone = "doc", "gone"
+    own = given.withColumn(doc, F.coalesce(F.col(of_id).cast("bigint"), F.lit(-(2**63))))
 
     def rewritten(batch: pa.RecordBatch, drops: dict[int, set[bytes]]) -> pa.RecordBatch:
-        text = pc.fill_null(batch.column("text"), "")
+        text = pc.fill_null(batch.column(of_text), "")
         n_lines, n_dropped = pc.add(pc.count_substring(text, "\n"), 1).cast(pa.int64()), np.zeros(len(text), np.int64)
         if drops:
             out = text.to_pylist()
@@ -197,7 +204,7 @@ def drop_repeated_lines(docs: DataFrame, least_chars: int = 40, least_docs: int
                 new = [x for x in old if (key := _key(x, least_chars)) is None or xxhash.xxh3_128_digest(key) not in drop]
                 n_dropped[i], out[i] = len(old) - len(new), b"\n".join(new).decode()
             text = pa.array(out, text.type)
-        columns = [text if f.name == "text" else batch.column(f.name) for f in keep]
+        columns = [text if c == of_text else batch.column(c) for c in names]
         return pa.RecordBatch.from_arrays([*columns, n_lines, pa.array(n_dropped)], names=schema.names)
 
     if frequent.count() <= held:
@@ -206,15 +213,15 @@ def drop_repeated_lines(docs: DataFrame, least_chars: int = 40, least_docs: int
         known = spark.sparkContext.broadcast(table[np.lexsort((table[:, 1], table[:, 0]))])
 
         def in_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in steps(batches):
+            for batch in steps(batches, of_text):
                 ids = batch.column(doc).to_numpy()
-                keys, n = _hashes(batch.column("text"), least_chars)
+                keys, n = _hashes(batch.column(of_text), least_chars)
                 row, drops = np.repeat(np.arange(len(ids)), n), {}
                 for i in np.flatnonzero(_found(keys, ids[row], known.value)).tolist():
                     drops.setdefault(int(row[i]), set()).add(keys[i].tobytes())
                 yield rewritten(batch, drops)
 
-        return own.mapInArrow(in_place, schema)
+        return named_again(own.mapInArrow(in_place, schema))
 
     hot = frequent.orderBy(F.desc("n"), "h1", "h2").limit(HOT).select("h1", "h2", F.col("top").alias("hot_top"))
     marked = lines.join(F.broadcast(hot), ["h1", "h2"], "left")
@@ -224,10 +231,10 @@ def drop_repeated_lines(docs: DataFrame, least_chars: int = 40, least_docs: int
     dropped = all_gone.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set(F.struct("h1", "h2")).alias(gone))
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
+        for batch in steps(batches, of_text):
             pairs = batch.column(gone)
             here = np.flatnonzero(pairs.is_valid().to_numpy(zero_copy_only=False))
             found = pairs.take(pa.array(here)).to_pylist()
             yield rewritten(batch, {i: {np.array([p["h1"], p["h2"]], "<i8").tobytes() for p in x} for i, x in zip(here.tolist(), found, strict=True)})
 
-    return own.join(dropped, doc, "left").mapInArrow(joined, schema)
+    return named_again(own.join(dropped, doc, "left").mapInArrow(joined, schema))

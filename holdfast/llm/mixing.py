@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.runs import ranked
-from .common import NOT_WHITE_RUN, fresh, shuffle_partitions, staged
+from .common import NOT_WHITE_RUN, fresh, named, shuffle_partitions, staged
 
 
 def words() -> Column:
@@ -51,7 +51,8 @@ def _filled_by_windows(of: DataFrame, share: float) -> DataFrame:
     of = of.withColumns({"rest": share * F.sum("source_size").over(everyone) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)), "heavy": F.sum("weight").over(after), "place": F.row_number().over(by_cap)})
     open_ = F.when(F.col("rest") * F.col("weight") <= F.col("cap") * F.col("heavy"), F.struct("place", "rest", "heavy"))
     of = of.withColumn("first", F.min(open_).over(everyone))
-    return of.withColumn("target", F.when(F.col("place") < F.col("first.place"), F.col("cap")).otherwise(F.col("first.rest") * F.col("weight") / F.col("first.heavy")))
+    # Where no source is open (the caps together are below what there is to share), all are at their caps.
+    return of.withColumn("target", F.when(F.col("first").isNull() | (F.col("place") < F.col("first.place")), F.col("cap")).otherwise(F.col("first.rest") * F.col("weight") / F.col("first.heavy")))
 
 
 def _filled_by_sums(of: DataFrame, share: float) -> DataFrame:
@@ -110,4 +111,4 @@ def mix(docs: DataFrame, **parameters) -> DataFrame:
     sizes = numbered.select(F.col(row).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), "source", words().alias("size"), F.xxhash64("text").alias("tie"))
     taken = _copies(staged(sizes, "sizes"), **parameters).where("copies > 0").select(F.col("row").alias(row), F.col("copies").cast("int").alias(n))
     again = F.explode(F.array_repeat(F.lit(1), F.col(n))).alias(n)
-    return numbered.join(taken, row).select(*[F.col(f"`{c}`") for c in docs.columns], again).drop(n)
+    return numbered.join(taken, row).select(*map(named, docs.columns), again).drop(n)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, steps
+from .common import fresh, numbered, steps
 
 STATISTICS = (
     "log_bytes", "log_words", "word_mean", "word_std", "word_max", "distinct_words", "top_word", "top_pair", "distinct_pairs", "upper", "digit", "mark",
@@ -125,9 +125,9 @@ def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
 
 
-def _with_statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    for batch in steps(batches):
-        yield batch, np.array([statistics(t or b"") for t in batch.column("text").cast(pa.binary()).to_pylist()])
+def _with_statistics(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    for batch in steps(batches, column):
+        yield batch, np.array([statistics(t or b"") for t in batch.column(column).cast(pa.binary()).to_pylist()])
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = 16384) -> Trees:
@@ -158,13 +158,15 @@ def score(docs: DataFrame, trees: Trees, threshold: float = 0.7) -> DataFrame:
     statistics of zeros and get a score too. Equal texts get equal scores. Columns of these names are replaced, all others stay,
     repeated rows and null doc_ids too. An empty table gives no rows.
     """
-    keep = [f for f in docs.schema.fields if f.name not in ("score", "predicted")]
-    schema = T.StructType([*keep, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    kept = docs.drop("score", "predicted")
+    given, names, own = numbered(kept)
+    text = names[kept.columns.index("text")]
+    schema = T.StructType([*given.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     model = docs.sparkSession.sparkContext.broadcast(trees)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, x in _with_statistics(batches):
+        for batch, x in _with_statistics(batches, text):
             s = model.value.score(x)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=schema.names)
 
-    return docs.select(*[f.name for f in keep]).mapInArrow(run, schema)
+    return own(given.mapInArrow(run, schema))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, staged, steps, whole_groups
+from .common import named, shuffle_partitions, staged, steps, whole_groups
 from .components import components, merge_labels
 
 #: Fingerprints whose trees are built at once, and pairs of query and node that those followed at once may lead to: each leads to
@@ -182,4 +182,4 @@ def near_copies(docs: DataFrame, words: int = 4, radius: int = 4, most: int = 10
 def keep_one(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its group; rows with a null doc_id stay."""
     gone = near_copies(docs.where("doc_id is not null"), **parameters).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*map(named, docs.columns))

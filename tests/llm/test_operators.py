@@ -90,11 +90,12 @@ def test_line_dedup(docs, rows, empty):
 
 def test_runs_are_merged_as_they_lie(spark):
     """Neither the anti-join of a batch with a run nor the compaction of two runs exchanges or sorts a run."""
-    from holdfast.llm.line_dedup import Runs, run_settings
+    from holdfast.llm.line_dedup import Runs, own_session
 
-    rows = spark.range(20_000).selectExpr("id % 90 as doc_id", "xxhash64(id % 5000) as h1", "xxhash64(id % 5000, 1) as h2").distinct()
-    with run_settings(spark, 3):
-        runs = Runs(spark, 2)
+    before, tables = dict(spark.conf.getAll), spark.catalog.listDatabases()
+    with own_session(spark, 3) as own:
+        rows = own.range(20_000).selectExpr("id % 90 as doc_id", "xxhash64(id % 5000) as h1", "xxhash64(id % 5000, 1) as h2").distinct()
+        runs = Runs(own, 2)
         runs.add(rows.where("doc_id >= 60"))
         plan = runs.batch(rows.where("doc_id < 60 and doc_id >= 30"))._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan and plan.count("Exchange") == 1  # that of the batch's own counts
@@ -103,19 +104,21 @@ def test_runs_are_merged_as_they_lie(spark):
         plan = runs.merged(first, second)._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
         for name in runs.names:
-            assert len({f.split("_")[-1] for f in spark.table(name).inputFiles()}) == len(spark.table(name).inputFiles()) <= runs.parts
+            assert len({f.split("_")[-1] for f in own.table(name).inputFiles()}) == len(own.table(name).inputFiles()) <= runs.parts
+        # Neither settings nor tables of the user's session change meanwhile.
+        assert dict(spark.conf.getAll) == before and not spark.catalog.listTables() and spark.catalog.currentDatabase() == "default"
         assert runs.frequent().count() > 0
-    assert not [t for t in spark.catalog.listTables() if t.name.startswith("holdfast_run")]
+    assert dict(spark.conf.getAll) == before and spark.catalog.listDatabases() == tables
 
 
 def test_clashing_columns(spark, rows):
     """Columns that are named as the operators' own are carried along."""
-    from holdfast.llm import line_dedup, mixing, quality, simhash
+    from holdfast.llm import license_scan, line_dedup, mixing, quality, simhash
 
-    names = ["doc", "gone", "row", "copies", "label", "tie", "task", "h1", "top", "__doc", "__gone", "__size", "__source", "__copy", "__nth", "__y"]
+    names = ["doc", "gone", "row", "copies", "label", "tie", "task", "h1", "top", "__doc", "__gone", "__size", "__source", "__copy", "__nth", "__y", "c0", "lang.x", "a`b", "two words"]
     df = spark.createDataFrame([(r[0], r[1], r[3]) for r in rows], "doc_id bigint, text string, source string").withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names})
     labels = spark.createDataFrame([(r[0], r[0] % 2) for r in rows], "doc_id bigint, quality int")
-    outs = [line_dedup.drop_repeated_lines(df), line_dedup.drop_repeated_lines(df, held=0), mixing.mix(df), quality.score(df, quality.train(df, labels)), simhash.keep_one(df)]
+    outs = [line_dedup.drop_repeated_lines(df), line_dedup.drop_repeated_lines(df, held=0), mixing.mix(df), quality.score(df, quality.train(df, labels)), simhash.keep_one(df), license_scan.scan(df)]
     for out in outs:
         assert out.columns[: len(df.columns)] == df.columns
         found = out.collect()
@@ -329,6 +332,10 @@ def test_targets_of_very_many_sources(spark):
         assert few == many
         assert {s: t for s, (_, t, _) in many.items()} == pytest.approx(brute.targets(sizes))
     assert targets(df.limit(0), held=0).count() == 0
+    # Asked for as much as the caps allow, or more, every source is at its cap.
+    for share in (2.0, 3.0):
+        for held in (1000, 0):
+            assert {r.source: r.target for r in targets(df, held=held, share=share).collect()} == {s: 2.0 * n for s, n in sizes.items()}
 
 
 @pytest.mark.parametrize("name", ["copies", "scan"])
@@ -671,11 +678,13 @@ def test_ranks_count_cells():
 def test_queries_have_their_columns(spark):
     from holdfast.llm.queries import QUERIES
 
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 14))
     columns = {
         1: {"doc_id", "n_lines", "n_dropped", "kept_sha256"}, 2: {"doc_id", "start", "n_tokens", "ids_crc32"}, 3: {"doc_id", "size", "source_size", "target", "taken"}, 4: {"doc_id", "fingerprint", "component_id"},
         5: {"conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"}, 6: {"doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"}, 7: {"doc_id", "held_out", "score", "predicted"},
         8: {"vec_id", "n_links", "component_id", "kept"}, 9: {"doc_id", "keep_id", "group_size", "kept", "text_sha256"}, 10: {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"},
+        11: {"conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"}, 12: {"vec_id", "code", "error", "label_error", "codebooks_sha256"},
+        13: {"doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"},
     }
     for name, query in QUERIES.items():
         assert columns[int(name[2:].split("_")[0])] <= set(query(spark, SF).columns)

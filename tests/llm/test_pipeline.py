@@ -84,7 +84,7 @@ def test_stages_take_odd_and_empty_tables(spark):
             if "pack" not in name:
                 assert out.columns == docs.columns
     # Columns that are named as the operators' own.
-    clashing = odd.withColumns({c: odd.doc_id for c in ("doc", "gone", "row", "copies", "score", "fp", "rep", "component_id", "key", "__copy", "__size")})
+    clashing = odd.withColumns({c: odd.doc_id for c in ("doc", "gone", "row", "copies", "score", "fp", "rep", "component_id", "key", "__copy", "__size", "lang.x", "a`b", "two words", "c0")})
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, clashing, folder)
         assert out.columns == clashing.columns or name.startswith("quality")
