@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 from itertools import repeat
 from math import log
 
@@ -78,6 +79,11 @@ class Template:
     keys: tuple[tuple[tuple[int, ...], int], ...] = ()  # mandatory phrases and their places; none: the template is a phrase
     base: bool = False
 
+    @cached_property
+    def must(self) -> frozenset[int]:
+        """Words that a file must have: those of the mandatory phrases."""
+        return frozenset(w for key, _ in self.keys for w in key) if self.keys else frozenset(self.words)
+
 
 @dataclass
 class Index:
@@ -149,7 +155,7 @@ class Index:
     def anchors(self, found: dict[int, np.ndarray]) -> dict[int, list[int]]:
         """For each template that the file may hold, its words that the file's rarest licence words are: one for a phrase, else up to ``ANCHORS``."""
         out: dict[int, list[int]] = {}
-        open_ = {i: 1 if not t.keys else ANCHORS for i, t in enumerate(self.templates)}
+        open_ = {i: 1 if not t.keys else ANCHORS for i, t in enumerate(self.templates) if t.must <= found.keys()}
         for word in sorted(found, key=lambda w: (-self.weight[w], w)):
             if not open_:
                 break
