@@ -118,17 +118,23 @@ def since_kept(df: DataFrame, keys: list[str], order: list[str], columns: list[s
     return in_order(rows, keys, fields).mapInArrow(run, rows.schema)
 
 
-def similarity_filter(df: DataFrame, keys: list[str], gap: float = 1.0, move: float = 0.05, area_change: float = 0.1) -> DataFrame:
-    """Keep a box if, against the last kept one, enough time has passed and centre and area have changed enough.
-
-    Needs time_sec, frame_idx, cx, cy, area and width; rows without a time or a box aren't kept.
-    """
+def similar_enough(gap: float, move: float, area_change: float) -> Callable[[tuple, tuple], bool]:
+    """Whether a row (time_sec, frame_idx, row_id, cx, cy, area, width) differs enough from the last kept one."""
 
     def keep(last: tuple, x: tuple) -> bool:
         far = sqrt((x[3] - last[3]) ** 2 + (x[4] - last[4]) ** 2)
         return x[0] - last[0] >= gap and far > move * max(1, x[6]) and abs(x[5] - last[5]) / max(1e-6, last[5]) > area_change
 
-    return since_kept(df.dropna(subset=["time_sec", "cx", "cy", "area", "width"]), keys, ["time_sec", "frame_idx"], ["row_id", "cx", "cy", "area", "width"], keep)
+    return keep
+
+
+def similarity_filter(df: DataFrame, keys: list[str], gap: float = 1.0, move: float = 0.05, area_change: float = 0.1) -> DataFrame:
+    """Keep a box if, against the last kept one, enough time has passed and centre and area have changed enough.
+
+    Needs time_sec, frame_idx, cx, cy, area and width; rows without a time or a box aren't kept.
+    """
+    rows = df.dropna(subset=["time_sec", "cx", "cy", "area", "width"])
+    return since_kept(rows, keys, ["time_sec", "frame_idx"], ["row_id", "cx", "cy", "area", "width"], similar_enough(gap, move, area_change))
 
 
 def subsample(df: DataFrame, keys: list[str], interval: float = 2.0) -> DataFrame:

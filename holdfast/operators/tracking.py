@@ -251,6 +251,19 @@ def region_step(state: RegionState, image: object, detect: Detect, blue: Callabl
     return RegionState(box, 0), again, "recovered"
 
 
+def above_or_in_region(objects: list[tuple[Box, float]], region: Box | None) -> list[tuple[Box, float]]:
+    """Objects over the detector's threshold, and those below it that overlap an extra region."""
+    return [o for o in objects if o[1] >= 70 or (region is not None and iou(o[0], region) >= 0.1)]
+
+
+def frame_region(state: RegionState, rows: list[tuple], detect: Detect, max_missed: int) -> tuple[RegionState, str]:
+    """One frame's step from its rows (detection_type, box, confidence, blue_glove_status): the new state and what happened."""
+    objects = [(tuple(map(float, r[1:5])), float(r[5])) for r in rows if r[0] != "hand"]
+    gloves = [tuple(map(float, r[1:5])) for r in rows if r[0] == "hand" and r[6] == "experimenter"]
+    state, _, what = region_step(state, objects, detect, lambda _, b: any(iou(b, x) > 0 for x in gloves), max_missed)
+    return state, what
+
+
 REGIONS = "video_id bigint, frame_number bigint, outcome string, missed int, x1 double, y1 double, x2 double, y2 double"
 
 
@@ -260,11 +273,7 @@ def temporal_regions(df: DataFrame, max_missed: int = 8, detect: Callable[[list[
     A frame's objects over the detector's threshold (confidence >= 70) are what it finds; with an extra region it also finds
     those below it that overlap the region. ``detect(objects, region)`` replaces that. A frame is blue where an experimenter's hand touches the box.
     """
-
-    def default(objects: list[tuple[Box, float]], region: Box | None) -> list[tuple[Box, float]]:
-        return [o for o in objects if o[1] >= 70 or (region is not None and iou(o[0], region) >= 0.1)]
-
-    find = detect or default
+    find = detect or above_or_in_region
     needed = ["video_id", "frame_number", "row_id", "detection_type", "bbox_x1", "bbox_y1", "bbox_x2", "bbox_y2", "confidence", "blue_glove_status"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,10 +283,7 @@ def temporal_regions(df: DataFrame, max_missed: int = 8, detect: Callable[[list[
             for (v, number), group in groupby(zip(*(batch.column(c).to_pylist() for c in needed), strict=True), key=lambda r: r[:2]):
                 if v != video:
                     state, video = RegionState(), v
-                rows = list(group)
-                objects = [(tuple(map(float, r[4:8])), float(r[8])) for r in rows if r[3] != "hand"]
-                gloves = [tuple(map(float, r[4:8])) for r in rows if r[3] == "hand" and r[9] == "experimenter"]
-                state, _, what = region_step(state, objects, find, lambda _, b, g=gloves: any(iou(b, x) > 0 for x in g), max_missed)
+                state, what = frame_region(state, [r[3:] for r in group], find, max_missed)
                 out.append((v, number, what, state.missed, *(state.last or (None,) * 4)))
             types = [pa.int64(), pa.int64(), pa.string(), pa.int32(), *[pa.float64()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[x.split()[0] for x in REGIONS.split(", ")])

@@ -12,7 +12,7 @@ from ..operators import runs
 from ..sources import avi, frames
 from ..staging import scratch
 from ..testdata import GT, cte, view
-from .registry import query
+from .registry import ORACLE_SQL, query
 
 FPS = 25
 _V = f"{cte(gt=GT)}, f as (select *, row_number() over (partition by video_id order by frame_number) - 1 as frame_idx from gt)"
@@ -60,3 +60,28 @@ def written_frame_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames.write(frames.selected(chosen), out)
     images = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.png").load(out)
     return images.select(F.regexp_extract("path", r"_(\d+)/\d+\.png$", 1).cast("bigint").alias("video_id"), F.regexp_extract("path", r"(\d+)\.png$", 1).cast("bigint").alias("number"), F.md5("content").alias("image"))
+
+
+@query(ORACLE_SQL["subsampled_frames"])
+def streamed_subsample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch query's rule on a stream of the table in three parts by time, a run each, with heartbeats after them; its rows as the sink has them."""
+    from ..streaming import sequences
+
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    own = spark.newSession()
+    own.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    own.conf.set("spark.sql.session.timeZone", "UTC")
+    path, out, cp = (scratch(spark, tag) for tag in ("events", "streamed", "progress"))
+    e = own.read.parquet(f"{sf_dir}/events.parquet").selectExpr("user_id as video_id", "unix_micros(cast(ts as timestamp)) / 1000000D as time_sec", "event_id as frame_idx", "event_id as row_id", "cast(ts as timestamp) as ts")
+    low, high = e.agg(F.min("time_sec"), F.max("time_sec")).first()
+    third = F.floor((F.col("time_sec") - low) / (high - low) * 2.999)
+    # Heartbeats, twice: the watermark moves after the micro-batch that shows it.
+    beat = ["cast(null as double) as time_sec", *(f"0L as {c}" for c in ("video_id", "frame_idx", "row_id"))]
+    beats = [own.range(1).selectExpr(*beat, f"timestamp_micros(cast({high + 86_400.0 * i} * 1000000 as bigint)) as ts").select(e.columns) for i in (1, 2)]
+    for i, part in enumerate([*(e.where(third == i) for i in range(3)), *beats]):
+        part.write.parquet(f"{path}/{i}")
+        source = own.readStream.schema(e.schema).option("recursiveFileLookup", True).parquet(path)
+        kept = sequences.stream_subsample(source, ["video_id"], 90000.0, delay="1 second", idle="100000 days")
+        kept.writeStream.format("parquet").option("checkpointLocation", cp).trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.parquet(out).select("video_id", F.col("row_id").alias("event_id"))

@@ -12,11 +12,13 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.tracking import NEEDED, OUTPUT, STATE, BridgeConfig, BridgeState, annotate, packed, unpacked
 
 
-def stream_bridge(df: DataFrame, config: BridgeConfig = BridgeConfig(), idle_ms: int = 60_000) -> DataFrame:
+def stream_bridge(df: DataFrame, config: BridgeConfig = BridgeConfig(), idle_ms: int = 60_000, forget_ms: int = 3_600_000) -> DataFrame:
     """Annotations (see ``operators.tracking.OUTPUT``) of a stream of detections.
 
     A video's last frame is held until a later one shows that it is complete, or nothing has come for ``idle_ms``; rows of a
-    frame that comes after a later one was stepped through are dropped. Within a batch the order of rows doesn't matter.
+    frame that comes after a later one was stepped through are dropped. Within a batch the order of rows doesn't matter. A video
+    for which nothing has come for ``forget_ms`` after that is forgotten. Processing time decides; ``sequences.stream_bridge`` goes
+    by the frames' own.
     """
     config = config.clamped()
     names = [x.split()[0] for x in OUTPUT.split(", ")]
@@ -34,9 +36,11 @@ def stream_bridge(df: DataFrame, config: BridgeConfig = BridgeConfig(), idle_ms:
         held = rows[len(ready) :]
         out, state = annotate(ready, unpacked(old["bridge"]), config)
         done = [ready[-1][1], ready[-1][2]] if ready else old["done"]
+        if group.hasTimedOut and not rows:
+            group.remove()
+            return
         group.update((json.dumps({"bridge": packed(state), "done": done}), json.dumps(held)))
-        if held:
-            group.setTimeoutDuration(idle_ms)
+        group.setTimeoutDuration(idle_ms if held else forget_ms)
         yield pd.DataFrame(out, columns=names)
 
     return df.select(*NEEDED).groupBy("video_id").applyInPandasWithState(run, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
