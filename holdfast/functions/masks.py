@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -83,3 +85,161 @@ def bounds(counts: list[int], height: int) -> tuple[int, int, int, int]:
     whole = (starts // height != stops // height).any()
     y1, y2 = (0, height - 1) if whole else (int((starts % height).min()), int((stops % height).max()))
     return x1, y1, x2 - x1 + 1, y2 - y1 + 1
+
+
+# Columns: the same in the JVM, run by run, without a mask's pixels.
+
+_LONGS = "array<bigint>"
+
+
+def _nothing() -> Column:
+    return F.array().cast(_LONGS)
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once, however often the lambdas in ``then`` use it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _together(a: Column, b: Column, start: dict[str, Column], each: Callable[[Column, Column, Column, Column], dict[str, Column]], finish: Callable[[Column], Column]) -> Column:
+    """A fold over the stretches on which neither of two masks changes: ``each`` of (what was, length, in a, in b). Null where a
+    mask is null or their sizes differ."""
+    return _let(F.struct(a.cast(_LONGS).alias("a"), b.cast(_LONGS).alias("b")), lambda m: _stretches(m.a, m.b, start, each, finish))
+
+
+def _stretches(a: Column, b: Column, start: dict[str, Column], each: Callable[[Column, Column, Column, Column], dict[str, Column]], finish: Callable[[Column], Column]) -> Column:
+    places = F.sequence(F.lit(1), F.greatest(F.size(a) + F.size(b), F.lit(1)))
+
+    def step(s: Column, _: Column) -> Column:
+        c = F.coalesce(F.least(s.left_a, s.left_b), F.lit(0).cast("bigint"))
+        done_a, done_b = s.left_a == c, s.left_b == c
+        new = each(s, c, (s.i % 2 == 1) & s.left_a.isNotNull(), (s.j % 2 == 1) & s.left_b.isNotNull())
+        i, j = s.i + F.coalesce(done_a, F.lit(False)).cast("int"), s.j + F.coalesce(done_b, F.lit(False)).cast("int")
+        return F.struct(
+            i.alias("i"), j.alias("j"), F.when(done_a, F.get(a, i)).otherwise(s.left_a - c).alias("left_a"), F.when(done_b, F.get(b, j)).otherwise(s.left_b - c).alias("left_b"),
+            *[v.alias(k) for k, v in new.items()],
+        )
+
+    first = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.get(a, F.lit(0)).alias("left_a"), F.get(b, F.lit(0)).alias("left_b"), *[v.alias(k) for k, v in start.items()])
+    return F.when(_total(a) == _total(b), F.aggregate(places, first, step, finish))
+
+
+def _total(counts: Column) -> Column:
+    return F.aggregate(counts, F.lit(0).cast("bigint"), lambda n, x: n + x)
+
+
+def merged(a: Column, b: Column, intersect: bool = False) -> Column:
+    """Runs of the union (or intersection) of two masks of one size, without runs of length 0 but for the first."""
+
+    def each(s: Column, c: Column, in_a: Column, in_b: Column) -> dict[str, Column]:
+        value = (in_a & in_b) if intersect else (in_a | in_b)
+        ends = (value != s.value) & (c > 0)
+        return {"out": F.when(ends, F.concat(s.out, F.array(s.held))).otherwise(s.out), "held": F.when(ends, c).otherwise(s.held + c), "value": F.when(ends, value).otherwise(s.value)}
+
+    zero = F.lit(0).cast("bigint")
+    return _together(a, b, {"out": _nothing(), "held": zero, "value": F.lit(False)}, each, lambda s: F.when((s.held > 0) | (F.size(s.out) > 0), F.concat(s.out, F.array(s.held))).otherwise(s.out))
+
+
+def merged_all(masks: Column, intersect: bool = False) -> Column:
+    """Runs of the union (or intersection) of an array of masks of one size; null if there are none."""
+    return F.aggregate(F.slice(masks.cast(f"array<{_LONGS}>"), 2, F.greatest(F.size(masks), F.lit(1))), F.get(masks, F.lit(0)).cast(_LONGS), lambda a, m: merged(a, m, intersect))
+
+
+def overlap(a: Column, b: Column, crowd: Column | bool = False) -> Column:
+    """Shared pixels of two masks of one size over those of either; over a's own where b is a crowd; 0 without shared ones."""
+    zero = F.lit(0).cast("bigint")
+
+    def each(s: Column, c: Column, in_a: Column, in_b: Column) -> dict[str, Column]:
+        add = lambda name, some: s[name] + F.when(some, c).otherwise(zero)
+        return {"inter": add("inter", in_a & in_b), "union": add("union", in_a | in_b), "own": add("own", in_a)}
+
+    crowd = F.lit(crowd) if isinstance(crowd, bool) else F.coalesce(crowd, F.lit(False))
+    return _together(a, b, dict.fromkeys(("inter", "union", "own"), zero), each, lambda s: F.when(s.inter > 0, s.inter.cast("double") / F.when(crowd, s.own).otherwise(s.union)).otherwise(0.0))
+
+
+def box(counts: Column, height: Column, whole: bool = False) -> Column:
+    """(x, y, w, h) of the ones; zeros without a run of ones.
+
+    y and h are of the places where runs begin and end. With ``whole`` a run that goes on into another column counts as
+    reaching from the top to the bottom, as it does.
+    """
+    counts, height = counts.cast(_LONGS), height.cast("bigint")
+    far, zero = F.lit(1 << 60).cast("bigint"), F.lit(0).cast("bigint")
+
+    def step(s: Column, n: Column) -> Column:
+        end = s.at + n
+        ones = s.nth % 2 == 1
+        (x1, y1), (x2, y2) = ((F.floor(p / height).cast("bigint"), F.pmod(p, height)) for p in (s.at, end - 1))
+        top, low = F.least(y1, y2), F.greatest(y1, y2)
+        if whole:
+            top, low = F.when(x1 == x2, top).otherwise(zero), F.when(x1 == x2, low).otherwise(height - 1)
+            ones = ones & (n > 0)
+        pick = lambda new, old: F.when(ones, new).otherwise(old)
+        return F.struct(
+            (s.nth + 1).alias("nth"), end.alias("at"), pick(F.least(s.x1, x1, x2), s.x1).alias("x1"), pick(F.greatest(s.x2, x1, x2), s.x2).alias("x2"),
+            pick(F.least(s.y1, top), s.y1).alias("y1"), pick(F.greatest(s.y2, low), s.y2).alias("y2"),
+        )
+
+    first = F.struct(F.lit(0).alias("nth"), zero.alias("at"), far.alias("x1"), zero.alias("x2"), far.alias("y1"), zero.alias("y2"))
+    some = lambda s, v: F.when(s.x1 < far, v).otherwise(zero)
+    found = lambda s: F.struct(some(s, s.x1).alias("x"), some(s, s.y1).alias("y"), some(s, s.x2 - s.x1 + 1).alias("w"), some(s, s.y2 - s.y1 + 1).alias("h"))
+    return F.aggregate(counts, first, step, found)
+
+
+#: Fixed value: corners are rounded to this part of a pixel.
+FINE = 5
+
+
+def polygon(corners: Column, height: Column, width: Column) -> Column:
+    """Runs of a polygon's mask, from an array of its corners (x, y).
+
+    Scan lines are the columns of pixels: each edge that crosses a column's middle says at which row the inside begins or ends
+    there, by the lattice line of ``FINE`` steps a pixel that is nearest to the edge; two such places that are the same cancel.
+    What is beyond the image is cut off. Fewer than three corners enclose nothing.
+    """
+    height, width = height.cast("bigint"), width.cast("bigint")
+    fine = F.transform(corners, lambda c: F.struct((c.x * FINE + 0.5).cast("bigint").alias("x"), (c.y * FINE + 0.5).cast("bigint").alias("y")))
+
+    def crossings(c: Column, i: Column, ring: Column) -> Column:
+        d = F.get(ring, ((i + 1) % F.size(ring)).cast("int"))
+        flat = F.abs(d.x - c.x) >= F.abs(d.y - c.y)
+        # From left to right, or, of a steep edge, from top to bottom.
+        turned = F.when(flat, c.x > d.x).otherwise(c.y > d.y)
+        first = lambda k: F.when(turned, d[k]).otherwise(c[k])
+        last = lambda k: F.when(turned, c[k]).otherwise(d[k])
+        edge = F.struct(first("x").alias("x1"), first("y").alias("y1"), last("x").alias("x2"), last("y").alias("y2"), flat.alias("flat"))
+        return _let(edge, columns_of)
+
+    def columns_of(e: Column) -> Column:
+        low, high = F.least(e.x1, e.x2), F.greatest(e.x1, e.x2)
+        middle = FINE // 2
+        # The middle of column x is between the lattice's places FINE * x + 2 and the next.
+        begin, end = F.greatest(F.ceil((low - middle) / FINE), F.lit(0)), F.least(F.ceil((high - middle) / FINE), width) - 1
+        slope = F.when(e.flat, (e.y2 - e.y1) / (e.x2 - e.x1)).otherwise((e.x2 - e.x1) / (e.y2 - e.y1))
+        line = F.struct(e.x1.alias("x1"), e.y1.alias("y1"), (e.y2 - e.y1).alias("n"), e.flat.alias("flat"), slope.alias("slope"))
+        return F.when(begin <= end, _let(line, lambda s: F.transform(F.sequence(begin, end), lambda x: _place(s, x, x * FINE + middle, height)))).otherwise(_nothing())
+
+    toggles = F.flatten(_let(fine, lambda ring: F.transform(ring, lambda c, i: crossings(c, i, ring))))
+    total = height * width
+    ends = F.filter(F.array_sort(toggles), lambda p: p < total)
+
+    def odd(s: Column, p: Column) -> Column:
+        same = s.held == p
+        return F.struct(F.when(s.held.isNull() | same, s.out).otherwise(F.concat(s.out, F.array(s.held))).alias("out"), F.when(same, F.lit(None).cast("bigint")).otherwise(p).alias("held"))
+
+    kept = F.aggregate(ends, F.struct(_nothing().alias("out"), F.lit(None).cast("bigint").alias("held")), odd, lambda s: F.when(s.held.isNull(), s.out).otherwise(F.concat(s.out, F.array(s.held))))
+    return _let(F.concat(kept, F.array(total)), lambda e: F.transform(e, lambda p, i: F.when(i > 0, p - F.get(e, i - 1)).otherwise(p)))
+
+
+def _place(s: Column, x: Column, u: Column, height: Column) -> Column:
+    """Where an edge crosses the middle of column x, between the lattice's places u and u + 1, as a place in the mask."""
+    at = lambda t: (s.y1 + s.slope * t + 0.5).cast("bigint")
+    across = lambda t: (s.x1 + s.slope * t + 0.5).cast("bigint")
+    flat = F.least(at(u - s.x1), at(u + 1 - s.x1))
+    # A steep edge: the last row before it changes sides, near where it would by real numbers.
+    near = F.floor((u + 0.5 - s.x1) / s.slope)
+    rows = F.sequence(F.greatest(near - 2, F.lit(0)), F.greatest(near - 2, F.lit(0)) + 4)
+    changes = F.filter(rows, lambda t: (t < s.n) & ((across(t) <= u) != (across(t + 1) <= u)))
+    steep = s.y1 + F.get(changes, F.lit(0))
+    row = F.ceil((F.when(s.flat, flat).otherwise(steep) - FINE // 2) / FINE)
+    return x * height + F.greatest(F.lit(0), F.least(row, height)).cast("bigint")
