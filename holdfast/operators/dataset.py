@@ -47,6 +47,7 @@ def coco_tables(labels: DataFrame, category: str = "stimulus") -> tuple[DataFram
     """(images, annotations) of labels (split, video_id, frame_idx, width, height, box, confidence, row_id).
 
     Ids run from 1 within a split in order of (video_id, frame_idx). Names that collide after cleaning get _1, _2, ...
+    A null split is a split of its own.
     """
     frames = labels.select("split", "video_id", "frame_idx", "width", "height").distinct()
     name = image_names(frames, F.col("video_id").cast("string"), number=F.col("frame_idx") % 1000)
@@ -54,7 +55,9 @@ def coco_tables(labels: DataFrame, category: str = "stimulus") -> tuple[DataFram
     again = F.row_number().over(Window.partitionBy("split", "stem").orderBy("image_id")) - 1
     images = images.withColumn("file_name", F.concat("stem", F.when(again > 0, F.concat(F.lit("_"), again.cast("string"))).otherwise(""), F.lit(".png"))).drop("stem")
     b = boxes.to_xywh(boxes.box())
-    ann = labels.join(images.select("split", "video_id", "frame_idx", "image_id"), ["split", "video_id", "frame_idx"])
+    of = images.select(F.col("split").alias("__split"), F.col("video_id").alias("__video"), F.col("frame_idx").alias("__frame"), "image_id")
+    same = labels["split"].eqNullSafe(of["__split"]) & labels["video_id"].eqNullSafe(of["__video"]) & labels["frame_idx"].eqNullSafe(of["__frame"])
+    ann = labels.join(of, same).drop("__split", "__video", "__frame")
     ann = ranked(ann, ["split"], ["image_id", "row_id"], "annotation_id")
     ann = ann.select("split", "image_id", (F.col("annotation_id") + 1).cast("int").alias("annotation_id"), F.array(*[c.cast("double") for c in b]).alias("bbox"), boxes.area(boxes.box()).alias("area"), F.lit(1).alias("category_id"), F.lit(0).alias("iscrowd"))
     return images, ann

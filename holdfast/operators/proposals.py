@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import boxes
+from .grid import with_truths
 
 
 def base_anchors(spark: SparkSession, base: int = 16, ratios: tuple[float, ...] = (0.5, 1.0, 2.0), scales: tuple[int, ...] = (8, 16, 32)) -> DataFrame:
@@ -51,15 +52,9 @@ def proposals(df: DataFrame, keys: list[str], w: Column, h: Column, first: int =
     return suppressed(df.withColumns({f"bbox_{k}": v for k, v in zip(("x1", "y1", "x2", "y2"), b, strict=True)}), keys, threshold, True, first, most)
 
 
-def _pairs(anchors: DataFrame, truths: DataFrame, key: str) -> DataFrame:
-    """Regions with each truth of their image and the overlap; a region of an image without truth comes once, with overlap 0."""
-    over = F.when(F.col("gt_id").isNull(), 0.0).otherwise(boxes.iou_pixels_masked(boxes.box(), boxes.box("gt_")))
-    return anchors.join(truths, key, "left").withColumn("overlap", over)
-
-
 def anchor_targets(anchors: DataFrame, truths: DataFrame, key: str, positive: float = 0.7, negative: float = 0.3) -> DataFrame:
     """Labels of anchors: 1 if the overlap is high or the best of some truth, 0 if low, else -1. Needs anchor_id and gt_id."""
-    p = _pairs(anchors, truths, key).withColumn("most", F.max("overlap").over(Window.partitionBy(key, "gt_id")))
+    p = with_truths(anchors, truths, key).withColumn("most", F.max("overlap").over(Window.partitionBy(key, "gt_id")))
     by = p.groupBy(key, "anchor_id").agg(F.max("overlap").alias("overlap"), F.bool_or((F.col("overlap") == F.col("most")) & (F.col("most") > 0)).alias("best"), F.max_by("gt_id", F.struct("overlap", -F.col("gt_id"))).alias("gt_id"))
     label = F.when(F.col("best") | (F.col("overlap") >= positive), 1).when(F.col("overlap") < negative, 0).otherwise(-1)
     return by.select(key, "anchor_id", "gt_id", "overlap", label.alias("label"))
@@ -80,7 +75,7 @@ def sampled_anchors(labelled: DataFrame, key: str, batch: int = 256, share: floa
 
 def proposal_targets(rois: DataFrame, truths: DataFrame, key: str, foreground: float = 0.5, low: float = 0.1, high: float = 0.5, batch: int = 128, share: float = 0.25, seed: int = 7) -> DataFrame:
     """Of each image's regions a sample of foreground (overlap >= .5) and background (in [low, high)), by a seeded hash."""
-    by = _pairs(rois, truths, key).groupBy(key, "anchor_id").agg(F.max("overlap").alias("overlap"), F.max_by("gt_id", F.struct("overlap", -F.col("gt_id"))).alias("gt_id"))
+    by = with_truths(rois, truths, key).groupBy(key, "anchor_id").agg(F.max("overlap").alias("overlap"), F.max_by("gt_id", F.struct("overlap", -F.col("gt_id"))).alias("gt_id"))
     kind = F.when(F.col("overlap") >= foreground, "fg").when((F.col("overlap") >= low) & (F.col("overlap") < high), "bg")
     w = Window.partitionBy(key, "kind").orderBy(drawn("anchor_id", seed), "anchor_id")
     some = by.withColumn("kind", kind).where("kind is not null").withColumn("nth", F.row_number().over(w))
@@ -104,5 +99,5 @@ def unique_boxes(df: DataFrame, keys: list[str], scale: float = 1.0) -> DataFram
 
 def truth_classes(df: DataFrame, truths: DataFrame, key: str) -> DataFrame:
     """Each region with the class of its best truth; without overlap class 0."""
-    by = _pairs(df, truths, key).groupBy(key, "anchor_id").agg(F.max(F.struct("overlap", -F.col("gt_id"), F.col("gt_class"))).alias("m"))
+    by = with_truths(df, truths, key).groupBy(key, "anchor_id").agg(F.max(F.struct("overlap", -F.col("gt_id"), F.col("gt_class"))).alias("m"))
     return by.select(key, "anchor_id", F.when(F.col("m.overlap") > 0, F.col("m.gt_class")).otherwise(0).alias("gt_class"), "m.overlap")

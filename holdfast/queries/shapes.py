@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import masks
+from ..functions import boxes, masks
+from ..operators import grid, rois
 from ..testdata import DET, cte
 from .detections import det
 from .registry import query
@@ -77,3 +78,57 @@ def polygon_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of a polygon for each object, in an image of 50 x 35 pixels."""
     objects = det(spark, sf_dir).where("detection_type = 'object'")
     return objects.select("video_id", "row_id", F.array_join(masks.polygon(_corners(), F.lit(35), F.lit(50)).cast("array<string>"), " ").alias("runs"))
+
+
+_OVERLAP = """greatest(0, least({a}.x2, {b}.x2) - greatest({a}.x1, {b}.x1) + 1)::double * greatest(0, least({a}.y2, {b}.y2) - greatest({a}.y1, {b}.y1) + 1)"""
+_SIZE = "(({a}.x2 - {a}.x1 + 1)::double * ({a}.y2 - {a}.y1 + 1))"
+_I = _OVERLAP.format(a="a", b="b")
+_IOU = f"({_I}) / ({_SIZE.format(a='a')} + {_SIZE.format(a='b')} - {_I})"
+
+
+@query(f"""{cte(det=DET)}, b as (select video_id, row_id, frame_number, detection_type = 'hand' as hand, bbox_x1 + frame_number * 2 as x1, bbox_y1 as y1, bbox_x2 + frame_number * 2 as x2, bbox_y2 as y2 from det),
+p as (select a.video_id, a.row_id, {_IOU} as iou from b a join b on a.video_id = b.video_id and a.hand and not b.hand)
+select video_id, row_id, count(*)::bigint as n, round(max(iou), 9) as most, round(sum(iou), 6) as total from p where iou > 0 group by all""")
+def boxes_that_meet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each hand box the object boxes that share pixels with it in one strip of all frames of a video: some thousands of boxes each."""
+    df = det(spark, sf_dir).withColumns({f"bbox_{k}": F.col(f"bbox_{k}") + F.col("frame_number") * 2 for k in ("x1", "x2")})
+    sides = ("x1", "y1", "x2", "y2")
+    hands = df.where("detection_type = 'hand'").select("video_id", "row_id", *[f"bbox_{k}" for k in sides])
+    objects = df.where("detection_type = 'object'").select("video_id", *[F.col(f"bbox_{k}").alias(f"gt_{k}") for k in sides])
+    iou = boxes.iou_pixels(boxes.box(), boxes.box("gt_"))
+    pairs = grid.meeting(hands, objects, ["video_id"]).select("video_id", "row_id", iou.alias("iou"))
+    return pairs.groupBy("video_id", "row_id").agg(F.count("*").alias("n"), F.round(F.max("iou"), 9).alias("most"), F.round(F.sum("iou"), 6).alias("total"))
+
+
+@query(f"""{cte(det=DET)}, o as (select video_id * 512 + frame_number as image_id, row_id, row_id % 4 = 0 as crowd, row_id % 5 + 1 as cls, bbox_x1 - 60 as x, bbox_y1 - 10 as y, bbox_x2 - bbox_x1 + (row_id % 4 = 0)::int * 150 as w, bbox_y2 - bbox_y1 + (row_id % 4 = 0)::int * 90 as h, row_id % 7 as area from det where detection_type = 'object'),
+c as (select image_id, row_id, crowd, cls, greatest(0, x)::double as x1, greatest(0, y)::double as y1, least(439, greatest(0, x) + greatest(0, w - 1))::double as x2, least(299, greatest(0, y) + greatest(0, h - 1))::double as y2 from o where area > 0),
+t as (select * from c where x2 >= x1 and y2 >= y1),
+p as (select video_id * 512 + frame_number as image_id, row_id, bbox_x1::double as x1, bbox_y1::double as y1, bbox_x2::double as x2, bbox_y2::double as y2 from det where detection_type = 'hand'),
+m as (select a.image_id, a.row_id, max({{'o': {_IOU}, 'g': -b.row_id, 'c': b.cls}}) as m from p a join t b on a.image_id = b.image_id and not b.crowd group by all),
+k as (select distinct a.image_id, a.row_id from p a join t b on a.image_id = b.image_id and b.crowd where ({_I}) / {_SIZE.format(a="a")} >= 0.7),
+r as (select image_id, row_id as roi_id, 'truth' as kind, x1, y1, x2, y2, cls::int as gt_class, case when crowd then -1 else 1 end::double as overlap, case when crowd then 0 else cls end::int as best_class from t
+  union all select p.image_id, p.row_id, 'proposal', p.x1, p.y1, p.x2, p.y2, 0, round(case when k.row_id is not null then -1 else coalesce(m.m.o, 0) end, 9), (case when k.row_id is not null or coalesce(m.m.o, 0) <= 0 then 0 else m.m.c end)::int
+    from p left join m on p.image_id = m.image_id and p.row_id = m.row_id left join k on p.image_id = k.image_id and p.row_id = k.row_id)
+select image_id, roi_id, kind, x1, y1, x2, y2, gt_class, overlap, best_class, case when overlap >= 0.5 then 'fg' when overlap >= 0.1 then 'bg' end as trained from r""")
+def crowd_rois(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A database of regions: clean truths, a quarter of them crowds, and hands as proposals, some of which crowds cover."""
+    image = (F.col("video_id") * 512 + F.col("frame_number")).alias("image_id")
+    d = det(spark, sf_dir)
+    crowd = (F.col("row_id") % 4 == 0).cast("int")
+    width, height = F.col("bbox_x2") - F.col("bbox_x1") + crowd * 150, F.col("bbox_y2") - F.col("bbox_y1") + crowd * 90
+    annotations = d.where("detection_type = 'object'").select(image, F.col("row_id").alias("roi_id"), (F.col("row_id") % 5).alias("category_id"), (F.col("bbox_x1") - 60).alias("x"), (F.col("bbox_y1") - 10).alias("y"), width.alias("w"), height.alias("h"), (F.col("row_id") % 7).alias("area"), crowd.alias("iscrowd"))
+    images = d.select(image).distinct().select("image_id", F.lit(440).alias("width"), F.lit(300).alias("height"))
+    truths = rois.truth_rois(annotations, images, spark.range(5).select(F.col("id").alias("category_id"), (F.col("id") + 1).alias("class")))
+    proposals = d.where("detection_type = 'hand'").select(image, F.col("row_id").alias("roi_id"), *[f"bbox_{k}" for k in ("x1", "y1", "x2", "y2")])
+    out = rois.with_proposals(truths, proposals).withColumn("trained", rois.kind_for_training(F.col("overlap")))
+    return out.select("image_id", "roi_id", "kind", *[F.col(f"bbox_{k}").alias(k) for k in ("x1", "y1", "x2", "y2")], "gt_class", F.round("overlap", 9).alias("overlap"), "best_class", "trained")
+
+
+@query(f"""{cte(det=DET)} select video_id, frame_number, coalesce(string_agg(row_id || ':' || confidence::int, ' ' order by row_id) filter (detection_type = 'hand'), '') as hands,
+  coalesce(string_agg(row_id || ':' || confidence::int, ' ' order by row_id) filter (detection_type = 'object'), '') as objects from det group by all""")
+def hands_with_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each frame's hands and objects as two arrays."""
+    d = det(spark, sf_dir).withColumn("image", F.struct("video_id", "frame_number"))
+    packed = rois.hands_with_objects(d.where("detection_type = 'hand'"), d.where("detection_type = 'object'"), "image", "row_id", ["confidence"])
+    text = lambda c: F.array_join(F.transform(c, lambda r: F.concat_ws(":", r.row_id, r.confidence.cast("int"))), " ").alias(c)
+    return packed.select("image.*", text("hands"), text("objects"))
