@@ -26,8 +26,8 @@ FULL = (
 MUST = ("frame_id", "detection_type", "bbox_x1", "bbox_y1", "bbox_x2", "bbox_y2")
 
 
-def detections(spark: SparkSession, root: str) -> DataFrame:
-    """FULL rows of every detections_full.csv below ``root``, with the folder's name as dataset_key.
+def detections(spark: SparkSession, root: str | list[str]) -> DataFrame:
+    """FULL rows of every detections_full.csv below ``root`` (a folder or several), with the folder's name as dataset_key.
 
     Such a file is one of that name, or a part that Spark wrote into a folder of that name or into dataset_key=...; others aren't
     read. Each file's own header says where its columns stand. Absent ones are null, but for video_id (0), frame_number (the
@@ -111,6 +111,15 @@ def done_keys(spark: SparkSession, out: str) -> list[str]:
     return sorted(n.removeprefix("dataset_key=") for n in names if n.startswith("dataset_key="))
 
 
+def labelled(df: DataFrame, frame_size: tuple[int, int], config: w.PipelineConfig) -> DataFrame:
+    """Labels (dataset_key, video_id, frame_number, frame_id, contact_label, source_hand) of detections of many datasets, in one plan."""
+    # Videos of two datasets may share numbers: the filters' key is a number for each dataset and video.
+    names = df.select("dataset_key", F.col("video_id").alias("own_video")).distinct().withColumn("number", F.xxhash64("dataset_key", "own_video"))
+    numbered = df.withColumn("video_id", F.xxhash64("dataset_key", "video_id"))
+    found = w.contact_labels(numbered, (F.lit(frame_size[0]), F.lit(frame_size[1])), config).withColumnRenamed("video_id", "number")
+    return found.join(names, "number").select("dataset_key", F.col("own_video").alias("video_id"), "frame_number", "frame_id", "contact_label", "source_hand")
+
+
 def postprocess(spark: SparkSession, root: str, out: str, frame_size: tuple[int, int], config: w.PipelineConfig = w.PipelineConfig(), keys: list[str] | None = None, skip_existing: bool = False) -> None:
     """Labels of all datasets below ``root`` (or of ``keys``) in one plan, written as CSV by dataset; those already there can be skipped."""
     df = detections(spark, root)
@@ -118,11 +127,7 @@ def postprocess(spark: SparkSession, root: str, out: str, frame_size: tuple[int,
         df = df.where(F.col("dataset_key").isin(keys))
     if skip_existing and (done := done_keys(spark, out)):
         df = df.where(~F.col("dataset_key").isin(done))
-    # Videos of two datasets may share numbers: the filters' key is a number for each dataset and video.
-    names = df.select("dataset_key", F.col("video_id").alias("own_video")).distinct().withColumn("number", F.xxhash64("dataset_key", "own_video"))
-    numbered = df.withColumn("video_id", F.xxhash64("dataset_key", "video_id"))
-    found = w.contact_labels(numbered, (F.lit(frame_size[0]), F.lit(frame_size[1])), config).withColumnRenamed("video_id", "number")
-    joined = found.join(names, "number").select("dataset_key", F.col("own_video").alias("video_id"), "frame_number", "frame_id", "contact_label", "source_hand")
+    joined = labelled(df, frame_size, config)
     writer = joined.repartition("dataset_key", "video_id").sortWithinPartitions("dataset_key", "video_id", "frame_number", "frame_id").write
     writer.mode("append" if skip_existing else "overwrite").option("header", True).partitionBy("dataset_key").csv(out)
 

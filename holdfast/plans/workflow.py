@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import labels
 from ..operators import condense, dataset, filters, metrics, runs
 from ..operators.matching import aligned
 from ..operators.tracking import BridgeConfig, tracking_bridge
@@ -46,6 +47,11 @@ def contact_labels(df: DataFrame, frames: DataFrame | tuple[Column, Column], cho
     return condense.condense(df, chosen.strategy)
 
 
+def as_binary(label: str) -> Column:
+    """A condensed label as 0 or 1, as evaluation reads it."""
+    return labels.binary(F.col(label), "exact")
+
+
 def with_metadata(predictions: DataFrame, metadata: DataFrame, keys: list[str], how: str = "inner", flag: str = "blue") -> DataFrame:
     """Predictions with their frame's flag; with "left" a frame without metadata counts as not flagged."""
     if how not in ("inner", "left"):
