@@ -2,28 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import boxes
 from .grid import with_truths
 
 
-def base_anchors(spark: SparkSession, base: int = 16, ratios: tuple[float, ...] = (0.5, 1.0, 2.0), scales: tuple[int, ...] = (8, 16, 32)) -> DataFrame:
-    """One row for each ratio and scale, in that order (anchor), centred on the base window."""
-    grid = spark.createDataFrame([(i * len(scales) + j, float(r), float(s)) for i, r in enumerate(ratios) for j, s in enumerate(scales)], "anchor int, ratio double, scale double")
-    w = F.bround(F.sqrt(F.lit(float(base * base)) / F.col("ratio")))
-    h = F.bround(w * F.col("ratio"))
-    c = (base - 1) / 2
-    half_w, half_h = (w * F.col("scale") - 1) / 2, (h * F.col("scale") - 1) / 2
-    return grid.select("anchor", (c - half_w).alias("x1"), (c - half_h).alias("y1"), (c + half_w).alias("x2"), (c + half_h).alias("y2"))
+def base_anchors(base: int = 16, ratios: tuple[float, ...] = (0.5, 1.0, 2.0), scales: tuple[int, ...] = (8, 16, 32)) -> Column:
+    """An array of (anchor, x1, y1, x2, y2), one for each ratio and scale in that order, centred on the base window."""
+    c, out = (base - 1) / 2, []
+    for ratio in ratios:
+        w = F.bround(F.sqrt(F.lit(base * base / ratio)))
+        h = F.bround(w * ratio)
+        for scale in scales:
+            half_w, half_h = (w * float(scale) - 1) / 2, (h * float(scale) - 1) / 2
+            out.append(F.struct(F.lit(len(out)).alias("anchor"), (c - half_w).alias("x1"), (c - half_h).alias("y1"), (c + half_w).alias("x2"), (c + half_h).alias("y2")))
+    return F.array(*out)
 
 
-def shifted_anchors(base: DataFrame, rows: int, columns: int, stride: int = 16) -> DataFrame:
-    """Every base anchor at every cell of a feature map."""
-    cells = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("row")).select("*", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("column"))
-    dx, dy = F.col("column") * stride, F.col("row") * stride
-    return cells.select(((F.col("row") * columns + F.col("column")) * 9 + F.col("anchor")).alias("anchor_id"), (F.col("x1") + dx).alias("x1"), (F.col("y1") + dy).alias("y1"), (F.col("x2") + dx).alias("x2"), (F.col("y2") + dy).alias("y2"))
+def shifted_anchors(images: DataFrame, rows: Column, columns: Column, stride: int = 16, base: Column | None = None) -> DataFrame:
+    """``images`` with every base anchor at every cell of their feature map of ``rows`` times ``columns`` cells: anchor_id, bbox_x1 .. bbox_y2.
+
+    An image without cells has no anchors.
+    """
+    base = base_anchors(stride) if base is None else base
+    span = lambda n: F.when(n > 0, F.sequence(F.lit(0), (n - 1).cast("int")))
+    cells = images.withColumn("__columns", columns.cast("bigint")).withColumn("__row", F.explode(span(rows))).withColumn("__column", F.explode(span(columns)))
+    each = cells.select("*", base.alias("__all")).withColumn("__n", F.size("__all")).withColumn("__a", F.explode("__all"))
+    dx, dy = F.col("__column") * stride, F.col("__row") * stride
+    place = ((F.col("__row") * F.col("__columns") + F.col("__column")) * F.col("__n") + F.col("__a.anchor")).cast("bigint")
+    sides = [(F.col(f"__a.{k}") + d).alias(f"bbox_{k}") for k, d in (("x1", dx), ("y1", dy), ("x2", dx), ("y2", dy))]
+    return each.select(*images.columns, place.alias("anchor_id"), *sides)
 
 
 def suppressed(df: DataFrame, keys: list[str], threshold: float = 0.3, inclusive: bool = True, first: int | None = None, most: int | None = None) -> DataFrame:

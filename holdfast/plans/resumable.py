@@ -154,15 +154,15 @@ class Workflow:
         self._record(rows.select(F.lit(stage.name).alias("stage"), "*", *times).select(names))
 
 
-def contact_workflow(spark: SparkSession, detections: str, truth: DataFrame, root: str, frame_size: tuple[int, int], chosen: w.PipelineConfig = PROFILES["baseline"]) -> Workflow:
-    """Detections of datasets (folders below ``detections``) to labels, and labels against ``truth`` (dataset_key, frame, gt).
+def contact_workflow(spark: SparkSession, detections: str, truth: DataFrame, root: str, frame_size: tuple[int, int], chosen: w.PipelineConfig = PROFILES["baseline"], folder: str = "{}") -> Workflow:
+    """Detections of datasets (below ``detections``, each in the ``folder`` of its key) to labels, and labels against ``truth`` (dataset_key, frame, gt).
 
     Stages: ``labels`` (a row for each frame) and ``metrics`` (a row for each dataset, over frames that both have).
     """
 
     def labels(keys: DataFrame, _: Callable[[str], DataFrame]) -> DataFrame:
         # Each dataset is a folder: only those that are due are read.
-        folders = [f"{detections.rstrip('/')}/{r.dataset_key}" for r in keys.toLocalIterator()]
+        folders = [f"{detections.rstrip('/')}/{folder.format(r.dataset_key)}" for r in keys.toLocalIterator()]
         return batch.labelled(batch.detections(spark, folders), frame_size, chosen)
 
     def scores(keys: DataFrame, earlier: Callable[[str], DataFrame]) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import labels
+from ..functions import boxes, labels
 from ..operators import condense, dataset, filters, metrics, runs
 from ..operators.matching import aligned
 from ..operators.tracking import BridgeConfig, tracking_bridge
@@ -131,13 +131,40 @@ def sweep_modes(predictions: DataFrame, flags: DataFrame, truth: DataFrame, key:
     return metrics.rates(out).withColumn("name", name).withColumn("rank", F.row_number().over(w)).select("name", "seconds", "mode", *metrics.COUNTS, "n_failed", "accuracy", "macro_f1", "rank")
 
 
-def pseudo_labels(objects: DataFrame, hands: DataFrame, splits: DataFrame, fps: float = 30.0) -> tuple[DataFrame, DataFrame]:
-    """Dataset building: heuristics, temporal filter, split, COCO tables. Returns (images, annotations)."""
-    kept = filters.heuristics(objects, hands, 60, (0.5, 2.0), True, 1.5, 0.4).where("passed_heuristics")
-    from ..functions import boxes
-
-    cx, cy = boxes.centre(boxes.box())
-    timed = kept.select("video_id", (F.col("frame_number") / fps).alias("time_sec"), F.col("row_id").alias("frame_idx"), "row_id", cx.alias("cx"), cy.alias("cy"), boxes.area(boxes.box()).alias("area"), F.lit(440).alias("width"))
-    chosen = runs.similarity_filter(timed, ["video_id"], 0.2, 0.02, 0.05).select("video_id", "row_id")
-    rows = kept.join(chosen, ["video_id", "row_id"], "left_semi").select("video_id", F.col("frame_number").alias("frame_idx"), F.lit(440).alias("width"), F.lit(300).alias("height"), *boxes.box(), "confidence", "row_id")
-    return dataset.coco_tables(staged(dataset.with_split(rows, splits, "video_id"), "labels"))
+@dataclass(frozen=True)
+class DatasetConfig:
+    """Parameters of ``pseudo_labels``. ``min_confidence`` is in the unit of the confidences; ``strategy`` thins a video's labels out
+    in time: bbox_similarity, subsample, or none."""
+
+    min_confidence: float = 0.7
+    aspect: tuple[float, float] = (0.8, 1.2)
+    require_hand: bool = True
+    max_area_ratio: float = 1.0
+    max_hand_overlap: float = 1.0
+    strategy: str = "bbox_similarity"
+    gap_sec: float = 0.25
+    move: float = 0.10
+    area_change: float = 0.20
+    interval_sec: float = 0.25
+    default_fps: float = 60.0
+    category: str = "stimulus"
+
+
+def pseudo_labels(objects: DataFrame, hands: DataFrame, splits: DataFrame, videos: DataFrame, chosen: DatasetConfig = DatasetConfig()) -> tuple[DataFrame, DataFrame]:
+    """Dataset building: heuristics, thinning out in time, split, COCO tables. Returns (images, annotations).
+
+    ``videos`` (video_id, width, height, fps) says how large and fast each video is; a rate that is null or not positive is the
+    default one. Objects of videos that aren't there go. Videos without a split are train.
+    """
+    if chosen.strategy not in ("bbox_similarity", "subsample", "none"):
+        raise ValueError(f"unknown strategy {chosen.strategy!r}")
+    kept = filters.heuristics(objects, hands, chosen.min_confidence, chosen.aspect, chosen.require_hand, chosen.max_area_ratio, chosen.max_hand_overlap).where("passed_heuristics")
+    kept = kept.drop("width", "height", "fps").join(videos.select("video_id", "width", "height", "fps"), "video_id")
+    if chosen.strategy != "none":
+        cx, cy = boxes.centre(boxes.box())
+        rate = F.when(F.col("fps") > 0, F.col("fps").cast("double")).otherwise(chosen.default_fps)
+        timed = kept.select("video_id", (F.col("frame_number") / rate).alias("time_sec"), F.col("row_id").alias("frame_idx"), "row_id", cx.alias("cx"), cy.alias("cy"), boxes.area(boxes.box()).alias("area"), "width")
+        thin = runs.subsample(timed, ["video_id"], chosen.interval_sec) if chosen.strategy == "subsample" else runs.similarity_filter(timed, ["video_id"], chosen.gap_sec, chosen.move, chosen.area_change)
+        kept = kept.join(thin.select("video_id", "row_id"), ["video_id", "row_id"], "left_semi")
+    rows = kept.select("video_id", F.col("frame_number").alias("frame_idx"), "width", "height", *boxes.box(), "confidence", "row_id")
+    return dataset.coco_tables(staged(dataset.with_split(rows, splits, "video_id"), "labels"), chosen.category)

@@ -138,15 +138,28 @@ b as (select i * 3 + j as anchor, scale, round_even(sqrt(256.0::double / ratio),
 base as (select anchor, 7.5 - (w - 1) / 2 as x1, 7.5 - (h - 1) / 2 as y1, 7.5 + (w - 1) / 2 as x2, 7.5 + (h - 1) / 2 as y2 from b2)"""
 
 
-@query(f"with {_ANCHORS} select * from base")
+_STRIPS = f"{cte(det=DET)}, v as (select video_id, ceil((max(bbox_y2) + 1) / 16.0)::bigint as rows, ceil((max(bbox_x2) + 1) / 16.0)::bigint as cols from det group by video_id)"
+
+
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of 16 pixels that each video's boxes reach over."""
+    cells = lambda c: F.ceil((F.max(c) + 1) / 16)
+    return det(spark, sf_dir).groupBy("video_id").agg(cells("bbox_y2").alias("rows"), cells("bbox_x2").alias("cols"))
+
+
+@query(f"{_STRIPS}, {_ANCHORS} select video_id, anchor, x1 + cols as x1, y1 + rows as y1, x2 + cols as x2, y2 + rows as y2 from v, base")
 def base_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p.base_anchors(spark)
+    """The base anchors, moved by the size of each video's feature map."""
+    b = _sizes(spark, sf_dir).select("video_id", "rows", "cols", F.explode(p.base_anchors()).alias("a"))
+    return b.select("video_id", "a.anchor", *[(F.col(f"a.{k}") + F.col(d)).alias(k) for k, d in (("x1", "cols"), ("y1", "rows"), ("x2", "cols"), ("y2", "rows"))])
 
 
-@query(f"""with {_ANCHORS} select ((y.row * 28 + x.col) * 9 + anchor)::int as anchor_id, x1 + x.col * 16 as x1, y1 + y.row * 16 as y1, x2 + x.col * 16 as x2, y2 + y.row * 16 as y2
-from base, (select unnest(generate_series(0, 18)) as row) y, (select unnest(generate_series(0, 27)) as col) x""")
+@query(f"""{_STRIPS}, {_ANCHORS} select video_id, (y * cols + x) * 9 + anchor as anchor_id, x1 + x * 16 as x1, y1 + y * 16 as y1, x2 + x * 16 as x2, y2 + y * 16 as y2
+from v, base, lateral (select unnest(range(0, rows)) as y), lateral (select unnest(range(0, cols)) as x)""")
 def shifted_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p.shifted_anchors(p.base_anchors(spark), 19, 28)
+    """The grid of anchors over each video's feature map, whose size is that of its boxes."""
+    out = p.shifted_anchors(_sizes(spark, sf_dir), F.col("rows"), F.col("cols"))
+    return out.select("video_id", "anchor_id", *[F.col(f"bbox_{k}").alias(k) for k in ("x1", "y1", "x2", "y2")])
 
 
 def _truths(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from ..operators.runs import ranked
 from ..plans import batch
 from ..sources import annotations, files
 from ..staging import scratch
-from ..testdata import DET, SEQ, cte
+from ..testdata import DET, GT, SEQ, cte
 from .detections import det
 from .registry import query
 from .sequences import seq
@@ -204,3 +204,23 @@ def intersection_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = seq(spark, sf_dir)
     out = batch.intersection_metrics(s.select("video_id", "pos", "pred"), s.where("pos % 3 <> 1").select("video_id", "pos", "gt"), ["video_id"], "pos")
     return out.select("video_id", "n_common", "frame_min", "frame_max", F.round("accuracy", 6).alias("accuracy"))
+
+
+@query(f"""{cte(det=DET, gt=GT)}, l as (select video_id, frame_number, case when min(case when detection_type = 'hand' and not is_filtered then case when blue_prop >= 0.5 then 1 when contact_label in ('Portable Object', 'Portable Object Contact') then 2 when contact_label in ('Stationary Object', 'Stationary Object Contact') then 3 else 1 end end) = 2 then 1 else 0 end as pred from det group by all),
+b as (select l.video_id, l.pred, g.gt, l.frame_number from l join gt g on l.video_id = g.video_id and l.frame_number = g.frame_number where l.frame_number % 3 <> 0)
+select 'd' || video_id as dataset_key, count(*)::bigint as n_common, sum(pred * gt)::bigint as tp, sum(pred * (1 - gt))::bigint as fp, sum((1 - pred) * (1 - gt))::bigint as tn, sum((1 - pred) * gt)::bigint as fn, min(frame_number) as frame_min, max(frame_number) as frame_max, round(avg((pred = gt)::int), 9) as accuracy from b group by video_id""")
+def resumed_workflow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dataset for each video, from CSV to scores, in two runs: of the even ones, and then of all, which goes on."""
+    from ..plans import resumable
+    from ..testdata import view
+
+    root, out = scratch(spark, "datasets"), scratch(spark, "workflow")
+    names = [c.split()[0] for c in batch.FULL.split(", ")]
+    rows = det(spark, sf_dir).select(F.format_string("d%d", "video_id").alias("dataset_key"), *names)
+    rows.repartition("dataset_key").write.option("header", True).partitionBy("dataset_key").csv(root)
+    truth = view(spark, sf_dir, GT).where("frame_number % 3 <> 0").select(F.format_string("d%d", "video_id").alias("dataset_key"), F.col("frame_number").alias("frame"), "gt")
+    flow = resumable.contact_workflow(spark, root, truth, out, (440, 300), resumable.profile("baseline"), "dataset_key={}")
+    keys = rows.select("dataset_key").distinct()
+    flow.run(keys.where("cast(substr(dataset_key, 2) as int) % 2 = 0"))
+    flow.run(keys)
+    return flow.output("metrics").select("dataset_key", "n_common", "tp", "fp", "tn", "fn", "frame_min", "frame_max", F.round("accuracy", 9).alias("accuracy"))

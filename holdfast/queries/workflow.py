@@ -229,7 +229,9 @@ chosen as (select good.*, split from good join kept using (video_id, row_id) joi
 def pseudo_label_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = det(spark, sf_dir)
     splits = dataset.split_by_rank(df, "video_id", 0.2, 42)
-    images, _ = w.pseudo_labels(df.where("detection_type = 'object'"), df.where("detection_type = 'hand'"), splits)
+    videos = df.select("video_id").distinct().select("video_id", F.lit(440).alias("width"), F.lit(300).alias("height"), F.lit(30.0).alias("fps"))
+    chosen = w.DatasetConfig(min_confidence=60, aspect=(0.5, 2.0), max_area_ratio=1.5, max_hand_overlap=0.4, gap_sec=0.2, move=0.02, area_change=0.05)
+    images, _ = w.pseudo_labels(df.where("detection_type = 'object'"), df.where("detection_type = 'hand'"), splits, videos, chosen)
     return images
 
 
