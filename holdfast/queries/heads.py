@@ -68,3 +68,32 @@ def aligned_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rois = d.where("detection_type = 'object'").select(F.col("video_id").alias("image_id"), F.col("row_id").alias("roi_id"), *[F.col(f"bbox_{k}").alias(k) for k in ("x1", "y1", "x2", "y2")])
     found = pooling.region_features(maps, rois, (2, 2), 1 / 50, sampling=2)
     return found.select(F.col("image_id").alias("video_id"), F.col("roi_id").alias("row_id"), F.posexplode("pooled").alias("bin", "v")).select("video_id", "row_id", F.col("bin").cast("bigint").alias("bin"), F.round(F.col("v") + 0.000000003, 5).alias("value"))
+
+
+_CHOICE = "{low} + (('0x' || substr(md5('7-' || image_id), 1, 12))::bigint % greatest({high} - ({low}), 1))"
+_START = f"""case when {{first}} = 0 then 0 when {{last}} - {{first}} + 1 < {{trim}} then case when greatest({{last}} - {{trim}}, 0) = least({{first}}, {{length}} - {{trim}}) then greatest({{last}} - {{trim}}, 0) else {_CHOICE.format(low='greatest({last} - {trim}, 0)', high='least({first}, {length} - {trim})')} end
+  when floor(({{last}} - {{first}} + 1 - {{trim}}) / 2.0) = 0 then {{first}} else {_CHOICE.format(low='{first}', high='({first} + floor(({last} - {first} + 1 - {trim}) / 2.0)::bigint)')} end"""
+
+
+@query(f"""{cte(det=DET)}, f as (select video_id * 512 + frame_number as image_id, 300 + frame_number % 7 * 100 as w, 250 + video_id % 5 * 90 as h, bbox_x1 as x1, bbox_y1 as y1, bbox_x2 as x2, bbox_y2 as y2, row_id % 5 as cls from det where detection_type = 'object'),
+i as (select image_id, w, h, min(x1) as fx, min(y1) as fy, max(x2) as lx, max(y2) as ly, least(2.0::double, greatest(0.5::double, w / h::double)) as ratio, w / h::double < 0.5 or w / h::double > 2 as crop from f group by all),
+t as (select *, least(floor(w / ratio)::bigint, h) as tall, least(ceil(h * ratio)::bigint, w) as wide from i),
+c as (select *, case when crop and ratio < 1 then {_START.format(first='fy', last='ly', trim='tall', length='h')} else 0 end as top, case when crop and ratio >= 1 then {_START.format(first='fx', last='lx', trim='wide', length='w')} else 0 end as lft from t),
+o as (select *, case when ratio < 1 then ceil(w / ratio)::bigint when ratio = 1 then least(w, h) else h end as out_height, case when ratio < 1 then w when ratio = 1 then least(w, h) else ceil(h * ratio)::bigint end as out_width from c),
+m as (select f.image_id, md5('7-' || f.image_id || '-' || x1 || '-' || y1 || '-' || x2 || '-' || y2 || '-' || cls) as k, case when crop and ratio >= 1 then greatest(0, least(x1 - lft, wide - 1)) else x1 - lft end as x1, case when crop and ratio < 1 then greatest(0, least(y1 - top, tall - 1)) else y1 - top end as y1,
+  case when crop and ratio >= 1 then greatest(0, least(x2 - lft, wide - 1)) else x2 - lft end as x2, case when crop and ratio < 1 then greatest(0, least(y2 - top, tall - 1)) else y2 - top end as y2, ratio = 1 as even, least(c.w, c.h) as square from f join c on f.image_id = c.image_id),
+e as (select image_id, k, case when even then greatest(0, least(x1, square)) else x1 end as x1, case when even then greatest(0, least(y1, square)) else y1 end as y1, case when even then greatest(0, least(x2, square)) else x2 end as x2, case when even then greatest(0, least(y2, square)) else y2 end as y2 from m),
+n as (select image_id, count(*)::bigint as n_boxes, sum(x1 + 3 * y1 + 7 * x2 + 11 * y2)::bigint as corners from (select * from e where not (x2 - x1 < 10 and y2 - y1 < 10) qualify row_number() over (partition by image_id order by k, x1, y1, x2, y2) <= 2) group by 1)
+select o.image_id, lft::bigint as cut_left, top::bigint as cut_top, out_width, out_height, coalesce(n_boxes, 0) as n_boxes, coalesce(corners, 0) as corners from o left join n on o.image_id = n.image_id""")
+def padded_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each frame's image is cut, how large it is padded, and its first two boxes in it; sizes from a third to four times as wide as high."""
+    from ..operators import minibatch
+
+    d = det(spark, sf_dir).where("detection_type = 'object'")
+    sides = [F.col(f"bbox_{k}").alias(k) for k in ("x1", "y1", "x2", "y2")]
+    images = d.groupBy((F.col("video_id") * 512 + F.col("frame_number")).alias("image_id"), (F.col("frame_number") % 7 * 100 + 300).alias("width"), (F.col("video_id") % 5 * 90 + 250).alias("height")).agg(F.collect_list(F.struct(*sides, (F.col("row_id") % 5).alias("class"))).alias("boxes"))
+    ratio = F.col("width") / F.col("height")
+    shaped = images.withColumns({"target_ratio": F.least(F.lit(2.0), F.greatest(F.lit(0.5), ratio)), "need_crop": (ratio < 0.5) | (ratio > 2)})
+    out = minibatch.geometry(shaped, most=2)
+    corners = F.aggregate("boxes", F.lit(0.0), lambda a, b: a + b.x1 + 3 * b.y1 + 7 * b.x2 + 11 * b.y2).cast("bigint")
+    return out.select("image_id", F.col("left").alias("cut_left"), F.col("top").alias("cut_top"), "out_width", "out_height", F.col("n_boxes").cast("bigint").alias("n_boxes"), corners.alias("corners"))
