@@ -227,4 +227,4 @@ def extra_regions(rois: DataFrame, extra: DataFrame, key: str, scale: Column, w:
 
 def with_vocabulary(nodes: DataFrame, vocabulary: DataFrame, key: str = "image_id") -> DataFrame:
     """The images that have at least one object with a name of the vocabulary."""
-    return nodes.join(F.broadcast(vocabulary.select("name").distinct()), "name", "left_semi").select(key).distinct()
+    return nodes.join(vocabulary.select("name").distinct(), "name", "left_semi").select(key).distinct()

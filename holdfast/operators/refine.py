@@ -12,7 +12,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..staging import shuffle_partitions
@@ -163,16 +163,20 @@ class SegmentHSMM:
     eps: float = 1e-6
     posterior: bool = False
 
+    def log_likelihoods(self) -> tuple[tuple[float, float], tuple[float, float]]:
+        """Of an observed 1 and of an observed 0, each in the states without and with contact."""
+        clip = lambda v: min(1 - self.eps, max(self.eps, v))
+        log = lambda *values: tuple(math.log(clip(v)) for v in values)
+        return log(self.fpr, 1 - self.fnr), log(1 - self.fpr, self.fnr)
+
     def predict(self, observations: np.ndarray) -> Refined:
         x = _binary(observations)
         n, k = len(x), self.segments
         longest = min(n, self.longest or n)
         if not 1 <= k <= n or n > k * longest:
             raise Infeasible(f"no feasible segmentation of {n} frames in {k} segments of at most {longest}")
-        clip = lambda v: min(1 - self.eps, max(self.eps, v))
-        hit = (clip(self.fpr), clip(1 - self.fnr))
-        miss = (clip(1 - self.fpr), clip(self.fnr))
-        emit = np.stack([np.concatenate([[0.0], np.cumsum(np.where(x == 1, math.log(hit[s]), math.log(miss[s])))]) for s in (0, 1)])
+        hit, miss = self.log_likelihoods()
+        emit = np.stack([np.concatenate([[0.0], np.cumsum(np.where(x == 1, hit[s], miss[s]))]) for s in (0, 1)])
         d = np.arange(1, longest + 1)
         last = np.stack([np.concatenate([[0.0], a * math.log(r) - math.lgamma(a) + (a - 1) * np.log(d) - r * d]) for a, r in zip(self.shape, self.rate, strict=True)])
 
@@ -248,6 +252,22 @@ def refine(df: DataFrame, refiner: Refiner, observation: str = "pred") -> DataFr
     return dealt.groupBy("video_id").applyInPandas(run, OUTPUT)
 
 
+def log_likelihood_sums(df: DataFrame, model: SegmentHSMM, keys: tuple[str, ...] = ("video_id",), order: str = "pos", observation: str = "pred") -> DataFrame:
+    """``df`` with contact and free: the sums of the observations' log-likelihoods in either state up to each row."""
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    hit, miss = model.log_likelihoods()
+    part = lambda s: F.sum(F.when(F.col(observation) == 1, hit[s]).otherwise(miss[s])).over(w)
+    return df.withColumns({"contact": part(1), "free": part(0)})
+
+
+def export(df: DataFrame, refined: DataFrame, folder: str) -> None:
+    """Refined labels and posteriors as CSV by video below ``folder``/refined, and each video's accuracy before and after (``df``
+    has pred and gt), its objective and status below ``folder``/metrics."""
+    refined.repartition("video_id").sortWithinPartitions("video_id", "pos").write.mode("overwrite").option("header", True).partitionBy("video_id").csv(f"{folder.rstrip('/')}/refined")
+    status = refined.groupBy("video_id").agg(F.count("*").alias("n_frames"), F.first("objective").alias("objective"), F.first("n_segments").alias("n_segments"), F.first("status").alias("status"))
+    change_of_metrics(df, refined).join(status, "video_id").write.mode("overwrite").option("header", True).csv(f"{folder.rstrip('/')}/metrics")
+
+
 def change_of_metrics(df: DataFrame, refined: DataFrame) -> DataFrame:
     """Per sequence accuracy before and after, and the difference; df has pred and gt."""
     both = df.join(refined.select("video_id", "pos", "refined"), ["video_id", "pos"])

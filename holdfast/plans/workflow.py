@@ -106,18 +106,19 @@ def sweep(predictions: DataFrame, truth: DataFrame, keys: list[str], order: str,
     return metrics.rates(both.groupBy("seconds", "fps").agg(*metrics.confusion())).select("seconds", "fps", *metrics.COUNTS, "accuracy", "macro_f1")
 
 
-def sweep_modes(predictions: DataFrame, flags: DataFrame, truth: DataFrame, key: str, order: str, label: str, seconds: list[float], modes: list[str], groups: list[tuple[float, list]]) -> DataFrame:
+def sweep_modes(predictions: DataFrame, flags: DataFrame, truth: DataFrame, key: str, order: str, label: str, seconds: list[float], modes: list[str], groups: DataFrame) -> DataFrame:
     """The whole grid of seconds and join modes, with rates by group of datasets; one row for each cell, the best first (rank from 1).
 
-    ``groups`` are (fps, datasets); datasets of no group take no part. Best: micro accuracy, then fewest failed datasets (those
+    ``groups`` are rows (key, fps); datasets without one take no part, and a rate that isn't positive is an error. Best: micro accuracy, then fewest failed datasets (those
     without a frame that has truth), then the cell's name.
     """
-    if not set(modes) <= {"inner", "left"} or not modes or not seconds or any(f <= 0 or not keys for f, keys in groups):
-        raise ValueError("a sweep needs seconds, join modes among inner and left, and groups with a positive fps and datasets")
+    if not set(modes) <= {"inner", "left"} or not modes or not seconds:
+        raise ValueError("a sweep needs seconds and join modes among inner and left")
     spark = predictions.sparkSession
-    fps = spark.createDataFrame([(k, float(f)) for f, keys in groups for k in keys], f"{key} bigint, fps double")
+    rate = F.col("fps").cast("double")
+    fps = groups.select(key, F.when(rate > 0, rate).otherwise(F.raise_error(F.lit("a group's fps is not positive"))).alias("fps")).dropDuplicates([key])
     cells = spark.createDataFrame([(float(s),) for s in seconds], "seconds double")
-    joined = predictions.join(F.broadcast(fps), key).join(flags.select(key, order, "blue"), [key, order], "left")
+    joined = predictions.join(fps, key).join(flags.select(key, order, "blue"), [key, order], "left")
     by_mode = joined.withColumn("mode", F.explode(F.array(*map(F.lit, modes)))).where("mode = 'left' or blue is not null").fillna(False, ["blue"])
     found = runs.islands(by_mode, [key, "mode", "fps"], order, label, "blue")
     kept = found.join(F.broadcast(cells), F.col("length") >= F.ceil(F.col("seconds") * F.col("fps"))).where(~((F.col(label) == 1) & F.col("has_blue")))
@@ -125,7 +126,7 @@ def sweep_modes(predictions: DataFrame, flags: DataFrame, truth: DataFrame, key:
     by_dataset = aligned(chosen, truth, [key, order], "drop").groupBy("seconds", "mode", key).agg(*metrics.confusion())
     grid = cells.withColumn("mode", F.explode(F.array(*map(F.lit, modes))))
     totals = by_dataset.groupBy("seconds", "mode").agg(F.count("*").alias("n"), *[F.sum(c).cast("bigint").alias(c) for c in metrics.COUNTS])
-    out = grid.join(totals, ["seconds", "mode"], "left").fillna(0).withColumn("n_failed", sum(len(k) for _, k in groups) - F.col("n"))
+    out = grid.join(totals, ["seconds", "mode"], "left").fillna(0).crossJoin(fps.agg(F.count("*").alias("n_datasets"))).withColumn("n_failed", F.col("n_datasets") - F.col("n"))  # one row
     name = F.concat_ws("_", F.col("mode"), F.col("seconds").cast("string"))
     w = Window.orderBy(F.desc("accuracy"), "n_failed", "name")  # one row for each cell of the grid
     return metrics.rates(out).withColumn("name", name).withColumn("rank", F.row_number().over(w)).select("name", "seconds", "mode", *metrics.COUNTS, "n_failed", "accuracy", "macro_f1", "rank")

@@ -71,7 +71,7 @@ def manifest_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of a manifest by key and status."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     rows = e.groupBy("user_id").agg(F.count("*").alias("n")).select(F.format_string("d%d", "user_id").alias("dataset_key"), F.when(F.col("user_id") % 3 == 0, "failed").otherwise("success").alias("status"), "n")
-    keys = [r[0] for r in e.where("user_id % 2 = 0").select(F.format_string("d%d", "user_id")).distinct().collect()]  # the keys that a user names
+    keys = e.where("user_id % 2 = 0").select(F.format_string("d%d", "user_id").alias("dataset_key")).distinct()
     return files.manifest(spark, _csv(rows, "manifest"), ("dataset_key", "status"), keys, ["success"])
 
 
@@ -187,15 +187,14 @@ def mask_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select("l_orderkey", "l_linenumber", masks.area(F.col("counts")).alias("area"))
 
 
-@query(f"""{_S}, f as (select *, ln(case when pred = 1 then 0.9 else 0.2 end::double) as one, ln(case when pred = 1 then 0.1 else 0.8 end::double) as zero from seq)
+@query(f"""{_S}, f as (select *, ln(case when pred = 1 then 0.9 else 0.1 end::double) as one, ln(case when pred = 1 then 0.2 else 0.8 end::double) as zero from seq)
 select video_id, pos, round(sum(one) over w, 6) as contact, round(sum(zero) over w, 6) as free from f window w as (partition by video_id order by pos rows unbounded preceding)""")
 def log_likelihood_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running log-likelihoods of the two states, as refinement uses them."""
-    from pyspark.sql import Window
+    from ..operators import refine
 
-    w = Window.partitionBy("video_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    p = F.col("pred") == 1
-    return seq(spark, sf_dir).select("video_id", "pos", F.round(F.sum(F.log(F.when(p, 0.9).otherwise(0.2))).over(w), 6).alias("contact"), F.round(F.sum(F.log(F.when(p, 0.1).otherwise(0.8))).over(w), 6).alias("free"))
+    sums = refine.log_likelihood_sums(seq(spark, sf_dir), refine.SegmentHSMM(1, (1.0, 1.0), (1.0, 1.0), fpr=0.2, fnr=0.1))
+    return sums.select("video_id", "pos", F.round("contact", 6).alias("contact"), F.round("free", 6).alias("free"))
 
 
 @query(f"""{_S}, b as (select video_id, pos, pred, gt from seq where pos % 3 <> 1), c as (select video_id, count(*) as n_common, min(pos) as frame_min, max(pos) as frame_max, round(avg((pred = gt)::int), 6) as accuracy from b group by 1) select * from c""")

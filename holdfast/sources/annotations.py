@@ -58,13 +58,15 @@ def coco_results(spark: SparkSession, path: str, images: DataFrame) -> DataFrame
     return df.select("*", (F.get("bbox", 2) * F.get("bbox", 3)).alias("area"), (F.monotonically_increasing_id() + 1).alias("id"), F.lit(0).alias("iscrowd"))
 
 
-def write_coco(images: DataFrame, annotations: DataFrame, category: str, path: str) -> None:
-    """One JSON document for each split: its lists are gathered by the split, as the format asks."""
-    i = images.groupBy("split").agg(F.array_sort(F.collect_list(F.struct(F.col("image_id").alias("id"), "file_name", "width", "height"))).alias("images"))
-    a = annotations.groupBy("split").agg(F.array_sort(F.collect_list(F.struct(F.col("annotation_id").alias("id"), "image_id", "category_id", "bbox", "area", "iscrowd"))).alias("annotations"))
-    both = i.join(a, "split", "left")
+def write_coco(images: DataFrame, annotations: DataFrame, category: str, path: str, most: int = 100_000) -> None:
+    """JSON documents of each split, below ``path``/split=...: one for each ``most`` image ids, so that none, and no task, holds a
+    whole large split. Each has its images' annotations; ``coco`` reads a folder of them as one dataset. A null split is one."""
+    shard = F.floor((F.col("image_id") - 1) / most).alias("shard")
+    i = images.groupBy("split", shard).agg(F.array_sort(F.collect_list(F.struct(F.col("image_id").alias("id"), "file_name", "width", "height"))).alias("images"))
+    a = annotations.groupBy(F.col("split").alias("of"), shard.alias("of_shard")).agg(F.array_sort(F.collect_list(F.struct(F.col("annotation_id").alias("id"), "image_id", "category_id", "bbox", "area", "iscrowd"))).alias("annotations"))
+    both = i.join(a, i["split"].eqNullSafe(a["of"]) & (i["shard"] == a["of_shard"]), "left")
     doc = F.to_json(F.struct("images", F.coalesce("annotations", F.expr("slice(annotations, 1, 0)")).alias("annotations"), F.array(F.struct(F.lit(1).alias("id"), F.lit(category).alias("name"))).alias("categories")))
-    both.select("split", doc.alias("value")).write.mode("overwrite").partitionBy("split").text(path)
+    both.select("split", doc.alias("value")).write.mode("overwrite").option("maxRecordsPerFile", 1).partitionBy("split").text(path)
 
 
 def scene_graphs(spark: SparkSession, path: str, attributes: int = 16) -> tuple[DataFrame, DataFrame]:

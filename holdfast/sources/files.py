@@ -137,9 +137,12 @@ def selected(spark: SparkSession, path: str, strict_duplicates: bool = False) ->
     return out.drop("n")
 
 
-def manifest(spark: SparkSession, path: str, required: tuple[str, ...] = ("dataset_key",), keys: list[str] | None = None, statuses: list[str] | None = None) -> DataFrame:
+def manifest(spark: SparkSession, path: str, required: tuple[str, ...] = ("dataset_key",), keys: list[str] | DataFrame | None = None, statuses: list[str] | None = None) -> DataFrame:
+    """Rows of a manifest with one of ``keys`` (a few, or a frame of dataset_key) and statuses; none given restrict nothing."""
     df = table(spark, path, required)
-    if keys:
+    if isinstance(keys, DataFrame):
+        df = df.join(keys.select("dataset_key"), "dataset_key", "left_semi")
+    elif keys:
         df = df.where(F.col("dataset_key").isin(keys))
     if statuses and "status" in df.columns:
         df = df.where(F.col("status").isin(statuses))

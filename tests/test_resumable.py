@@ -85,3 +85,49 @@ def test_contact_workflow(spark, tmp_path):
     assert total == {"x": 0.5, "__macro__": 0.5, "__weighted__": 0.5}
     with pytest.raises(ValueError, match="tracking"):
         resumable.profile("other")
+
+
+def test_command_line_of_videos_and_workflows(spark, tmp_path, capsys):
+    from holdfast.__main__ import main
+    from holdfast.sources import avi
+
+    (tmp_path / "videos").mkdir()
+    (tmp_path / "videos" / "v.avi").write_bytes(avi.written([b"a", b"b"], 25, 4, 4))
+    assert main(["preprocess", f"{tmp_path}/videos", "--output", f"{tmp_path}/images"], spark) == 0
+    assert (tmp_path / "images" / "v" / "000002.png").read_bytes() == b"b"
+    (tmp_path / "in" / "x").mkdir(parents=True)
+    (tmp_path / "in" / "x" / "detections_full.csv").write_text("frame_id,frame_number,detection_type,bbox_x1,bbox_y1,bbox_x2,bbox_y2,contact_label,is_filtered\n1.png,1,hand,1,1,9,9,Portable Object,False\n")
+    (tmp_path / "gt").mkdir()
+    (tmp_path / "gt" / "x.csv").write_text("frame_number,gt_binary\n1,1\n")
+    (tmp_path / "gt" / "y.csv").write_text("frame_number,gt_binary\n1,1\n")
+    call = ["workflow", f"{tmp_path}/in", "--output", f"{tmp_path}/out", "--truth", f"{tmp_path}/gt", "--frame-size", "100", "100"]
+    assert main(call, spark) == 1 and "y: labels" in capsys.readouterr().err
+    assert main([*call, "--keys", "x"], spark) == 0
+
+
+def test_documents_of_a_bounded_size(spark, tmp_path):
+    from holdfast.sources import annotations
+
+    images = spark.createDataFrame([(s, i, f"{s}{i}.png", 9, 9) for s in ("train", None) for i in range(1, 8)], "split string, image_id int, file_name string, width int, height int")
+    anns = images.where("image_id <> 4").selectExpr("split", "image_id as annotation_id", "image_id", "1 as category_id", "array(0d, 0d, 1d, 1d) as bbox", "1d as area", "0 as iscrowd")
+    annotations.write_coco(images, anns, "thing", f"{tmp_path}/coco", most=3)
+    for split in ("train", "__HIVE_DEFAULT_PARTITION__"):
+        assert len([f for f in (tmp_path / "coco" / f"split={split}").iterdir() if f.name.startswith("part")]) == 3
+        read = annotations.coco(spark, f"{tmp_path}/coco/split={split}")
+        assert read["images"].count() == 7 and sorted(r.image_id for r in read["annotations"].collect()) == [1, 2, 3, 5, 6, 7]
+
+
+def test_refined_labels_are_exported(spark, tmp_path):
+    from holdfast.operators import refine
+
+    df = spark.createDataFrame([(v, i, int(2 <= i < 7 and i != 4), int(2 <= i < 7)) for v in (1, 2) for i in range(10)], "video_id long, pos long, pred int, gt int")
+    model = refine.SegmentHSMM(3, (4.0, 4.0), (1.0, 1.0), 0.1, 0.1, posterior=True)
+    refine.export(df, refine.refine(df, model), f"{tmp_path}/out")
+    rows = spark.read.option("header", True).csv(f"{tmp_path}/out/refined").where("video_id = 2").collect()
+    assert len(rows) == 10 and {r.pos for r in rows if r.refined == "1"} == {str(i) for i in range(2, 7)} and all(0 <= float(r.posterior) <= 1 for r in rows)
+    (first, second) = spark.read.option("header", True).csv(f"{tmp_path}/out/metrics").orderBy("video_id").collect()
+    assert (first.before, first.after, second.status, second.n_segments) == ("0.9", "1.0", "ok", "3")
+    sums = refine.log_likelihood_sums(df, model).where("video_id = 1 and pos = 9").first()
+    from math import log
+
+    assert sums.contact == pytest.approx(4 * log(0.9) + 6 * log(0.1)) and sums.free == pytest.approx(4 * log(0.1) + 6 * log(0.9))
