@@ -244,44 +244,26 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.9
 
     at = staged(classes.select("cls", "mult", "vec").mapInArrow(placed, f"{PLACED}, visited binary"), "placed")
 
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cell, n = np.unique(np.frombuffer(b"".join(batch.column("visited").to_pylist()), np.int64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], names=["cell", "n"])
-
-    # Cells with over ``most`` vectors: no more rows than the grid has cells come to the driver.
-    homes = at.groupBy(F.col("home").alias("cell")).agg(F.count("*").alias("n")).where(F.col("n") > most).collect()
-    guests = at.select("visited").mapInArrow(tally, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > 8 * most).collect()
-    parts = spark.sparkContext.broadcast(({r["cell"]: -(-r["n"] // most) for r in homes}, {r["cell"]: -(-r["n"] // (8 * most)) for r in guests}))
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_home, by_guest = parts.value
-        split = np.array(sorted(by_home.keys() | by_guest.keys()), np.int64)
+    def visits_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             visited = batch.column("visited").to_pylist()
             cell = np.frombuffer(b"".join(visited), np.int64)
             row = np.repeat(np.arange(len(visited)), [len(v) // 8 for v in visited])
             own = cell == batch.column("home").to_numpy()[row]
-            plain = ~np.isin(cell, split)
-            # A guest of a cell that isn't split meets all its vectors in one block; one that lies there is a host, too.
-            index, out = [row[plain]], [(cell[plain], np.zeros(plain.sum(), np.int64), np.zeros(plain.sum(), np.int64), 2 + own[plain])]
-            extra = []
-            cls = batch.column("cls").to_pylist()
-            for i, c, mine in zip(row[~plain].tolist(), cell[~plain].tolist(), own[~plain].tolist(), strict=True):
-                h, v = by_home.get(c, 1), by_guest.get(c, 1)
-                own_h, own_v = (xxhash.xxh64_intdigest(cls[i].to_bytes(8, "little", signed=True)) % m for m in (h, v))
-                blocks = {(a, own_v): 2 for a in range(h)}
-                if mine:
-                    for b in range(v):
-                        blocks[own_h, b] = blocks.get((own_h, b), 0) | 1
-                extra += [(i, c, a, b, role) for (a, b), role in blocks.items()]
-            if extra:
-                i, *columns = np.array(extra, np.int64).T
-                index.append(i)
-                out.append(tuple(columns))
-            head = [pa.array(np.concatenate(c).astype(t)) for c, t in zip(zip(*out, strict=True), (np.int64, np.int32, np.int32, np.int32), strict=True)]
-            rest = batch.take(pa.array(np.concatenate(index)))
-            yield pa.RecordBatch.from_arrays([*head, *(rest.column(k) for k in _names[4:])], names=_names)
+            yield pa.RecordBatch.from_arrays([batch.column("cls").take(pa.array(row)), pa.array(cell), pa.array(own)], names=["cls", "cell", "own"])
+
+    # A cell with over ``most`` vectors, or eight times as many visits, is a grid of blocks: a host is in one row of them and all its
+    # columns, a guest in one column and all its rows, so that each pair meets in one block. Which cells are so large stays distributed.
+    slim = at.select("cls", "home", "visited").mapInArrow(visits_of, "cls bigint, cell bigint, own boolean")
+    blocks = [F.greatest(F.ceil(F.col(n) / m), F.lit(1)).cast("int").alias(k) for k, n, m in (("rows", "hosts", most), ("columns", "guests", 8 * most))]
+    large = slim.groupBy("cell").agg(F.count("*").alias("guests"), F.count_if("own").alias("hosts")).where((F.col("hosts") > most) | (F.col("guests") > 8 * most)).select("cell", *blocks)
+    sized = slim.join(staged(large, "large"), "cell", "left").select("cls", "cell", "own", F.coalesce("rows", F.lit(1)).alias("rows"), F.coalesce("columns", F.lit(1)).alias("columns"))
+    place = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
+    block = lambda h, v, role: F.struct(h.alias("h"), v.alias("v"), role.alias("role"))
+    spans = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    as_guest = F.transform(spans("rows"), lambda h: block(h, place("columns"), F.when(F.col("own") & (h == place("rows")), 3).otherwise(2)))
+    as_host = F.transform(F.filter(spans("columns"), lambda v: F.col("own") & (v != place("columns"))), lambda v: block(place("rows"), v, F.lit(1)))
+    dealt = sized.select("cls", "cell", F.explode(F.concat(as_guest, as_host)).alias("b")).select("cls", "cell", "b.*").join(at.select(_names[4:]), "cls").select(*_names)
 
     def verify(block: pa.Table) -> pa.RecordBatch:
         """Of one block: classes, their links found here, and the smallest class that each is joined with here."""
@@ -330,7 +312,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.9
                 held.append(batch.slice(a, b - a))
         yield from done()
 
-    dealt = at.mapInArrow(deal, DEALT).repartition(shuffle_partitions(spark), "cell", "h", "v").sortWithinPartitions("cell", "h", "v")
+    dealt = dealt.repartition(shuffle_partitions(spark), "cell", "h", "v").sortWithinPartitions("cell", "h", "v")
     found = staged(dealt.mapInArrow(search, "cls bigint, n bigint, root bigint"), "found")
     joined = components(found.select(F.col("cls").alias("a"), F.col("root").alias("b")))
     info = classes.select("key", "cls", "mult").join(found.groupBy("cls").agg(F.sum("n").alias("n")), "cls", "left").join(joined.withColumnRenamed("node", "cls"), "cls", "left")

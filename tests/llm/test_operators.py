@@ -638,6 +638,38 @@ def test_embeddings(spark):
     assert near_vectors(spark.createDataFrame([(None, [1.0, 2.0]), (2, [1.0, 2.0])], "vec_id bigint, embedding array<double>")).count() == 2
 
 
+def test_large_cells_are_split_without_the_driver(spark, monkeypatch):
+    """Cells of any number of vectors, in blocks of 5 and 40: the same links, and nothing about cells is collected."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from holdfast.llm.embedding_dedup import near_vectors
+
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(6, 16))
+    x = np.concatenate([centres[rng.integers(0, 6, 260)] + rng.normal(size=(260, 16)) * 0.12, rng.normal(size=(60, 16))]).astype(np.float32)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = np.argwhere(unit.astype(float) @ unit.T.astype(float) >= 0.9)
+    near = near[near[:, 0] != near[:, 1]]
+    labels = brute.components(len(x), near.tolist(), list(range(len(x))))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+
+    collect, collected = DataFrame.collect, []
+
+    def counted(self):
+        rows = collect(self)
+        collected.append(rows[0].asDict().keys() if rows else None)
+        return rows
+
+    with monkeypatch.context() as m:
+        m.setattr(DataFrame, "collect", counted)
+        out = near_vectors(df, most=5, recall=1.0)
+    assert [set(c) for c in collected] == [{"size", "step", "n"}]  # how many visits a sample's links need
+    got = {r.vec_id: (r.n_links, r.component_id) for r in out.collect()}
+    counts = np.bincount(near[:, 0], minlength=len(x))
+    assert sum(got[i][0] == counts[i] for i in got) >= 0.97 * len(x) and sum(got[i][1] == labels[i] for i in got) >= 0.97 * len(x)
+    assert all(got[i][0] <= counts[i] for i in got) and counts.max() > 20
+
+
 @pytest.mark.parametrize("size", [4_000, 16_000])
 def test_recall_of_planted_pairs(spark, size):
     """Pairs at cosines of .90 to .95 among random vectors: at least 0.95 of the links are found, and no others."""
