@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runs import islands, ranked
+from .runs import integer_segments, islands, ranked
 
 
 def _rate(a: Column, b: Column) -> Column:
@@ -145,6 +145,22 @@ def coverage(pred: DataFrame, gt: DataFrame, key: str, frame: str) -> DataFrame:
     return out.withColumns({"gt_over_pred": share("overlap_n", "pred_n"), "pred_over_gt": share("overlap_n", "gt_n"), "missing_tail_only": F.coalesce(F.col("first_missing") > F.col("gt_max"), F.lit(False))}).drop("first_missing")
 
 
+def missing_segments(pred: DataFrame, gt: DataFrame, key: str, frame: str) -> DataFrame:
+    """Per dataset the runs of frames that only predictions have (missing_gt_segments), and only the truth (missing_pred_segments),
+    each as JSON of [first, last, length]; an empty list without any. Null frames are none; a null dataset is one.
+
+    Runs are found by windows; what is gathered are runs, not frames.
+    """
+    p, g = (df.where(F.col(frame).isNotNull()).select(key, frame).distinct() for df in (pred, gt))
+    both = p.withColumn("p", F.lit(1)).withColumn("g", F.lit(0)).unionByName(g.withColumn("p", F.lit(0)).withColumn("g", F.lit(1))).groupBy(key, frame).agg(F.max("p").alias("p"), F.max("g").alias("g"))
+    alone = both.where("p <> g").withColumn("side", F.col("p"))
+    found = integer_segments(alone, [key, "side"], frame)
+    lists = found.groupBy(key).agg(*[F.array_sort(F.collect_list(F.when(F.col("side") == s, F.array("first", "last", "length")))).alias(n) for s, n in ((1, "missing_gt_segments"), (0, "missing_pred_segments"))])
+    known = both.select(key).distinct()
+    out = known.join(lists.withColumnRenamed(key, "__key"), known[key].eqNullSafe(F.col("__key")), "left")
+    return out.select(key, *[F.coalesce(F.to_json(n), F.lit("[]")).alias(n) for n in ("missing_gt_segments", "missing_pred_segments")])
+
+
 def coverage_gates(audit: DataFrame, least: float, tail_only: bool = True) -> DataFrame:
     """Datasets that the audit refuses: coverage below ``least``, or missing frames other than a tail."""
     bad = F.coalesce(F.col("gt_over_pred") < least, F.lit(True))

@@ -60,6 +60,16 @@ def selected_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.selected(spark, path)
 
 
+@query(f"""{_S}, c as (select video_id, count(*) as n, count(*) filter (pred = 1 and gt = 1) as tp, avg((pred = gt)::int) as accuracy from seq group by 1)
+select 'd' || video_id as dataset_key, case when video_id % 4 = 0 then 'failed' else 'success' end as status, case when video_id % 4 = 0 then null else n end as n_frames, case when video_id % 4 = 0 then null else tp end as tp, case when video_id % 4 = 0 then null else round(accuracy, 9) end as accuracy, case when video_id % 4 = 0 then 'no truth' end as error from c""")
+def metrics_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of datasets written as CSV, some failed, and read with their types."""
+    c = seq(spark, sf_dir).groupBy("video_id").agg(F.count("*").alias("n_frames"), F.count_if((F.col("pred") == 1) & (F.col("gt") == 1)).alias("tp"), F.avg((F.col("pred") == F.col("gt")).cast("int")).alias("accuracy"))
+    failed = F.col("video_id") % 4 == 0
+    rows = c.select(F.format_string("d%d", "video_id").alias("dataset_key"), F.when(failed, "failed").otherwise("success").alias("status"), F.lit("s.csv").alias("selected_csv"), F.lit("g.csv").alias("gt_csv"), *[F.when(~failed, F.col(n)).alias(n) for n in ("n_frames", "tp", "accuracy")], F.when(failed, "no truth").alias("error"))
+    return files.dataset_metrics(spark, _csv(rows, "metrics")).select("dataset_key", "status", "n_frames", "tp", F.round("accuracy", 9).alias("accuracy"), "error")
+
+
 @query(f"{_D} select frame_number + video_id * 512 as frame, (contact_label = 'Portable Object')::int as pred from det where detection_type = 'hand' and row_id = (select min(d.row_id) from det d where d.video_id = det.video_id and d.frame_number = det.frame_number)")
 def condensed_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = det(spark, sf_dir).groupBy((F.col("frame_number") + F.col("video_id") * 512).alias("frame_number")).agg(F.min_by(F.struct("detection_type", "contact_label"), "row_id").alias("m")).where("m.detection_type = 'hand'")

@@ -246,6 +246,15 @@ def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.coverage(p, view(spark, sf_dir, GT).where("frame_number % 7 <> 3 and frame_number < 480"), "video_id", "frame_number")
 
 
+@query(f"""{_COV}, m as (select video_id, p, f, f - row_number() over (partition by video_id, p order by f) as run from b where p <> g), s as (select video_id, p, min(f) as first, max(f) as last, count(*) as n from m group by video_id, p, run),
+t as (select video_id, string_agg('[' || first || ',' || last || ',' || n || ']', ',' order by first) filter (p) as x, string_agg('[' || first || ',' || last || ',' || n || ']', ',' order by first) filter (not p) as y from s group by 1)
+select a.video_id, '[' || coalesce(x, '') || ']' as missing_gt_segments, '[' || coalesce(y, '') || ']' as missing_pred_segments from (select distinct video_id from b) a left join t on a.video_id = t.video_id""")
+def missing_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of frames that only one side has, as JSON."""
+    p = view(spark, sf_dir, DET).where("row_id % 3 = 0")
+    return k.missing_segments(p, view(spark, sf_dir, GT).where("frame_number % 7 <> 3 and frame_number < 480"), "video_id", "frame_number")
+
+
 @query(f"{_COV} select * from audit")
 def coverage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(spark, sf_dir)

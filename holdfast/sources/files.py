@@ -122,6 +122,30 @@ def ground_truth(spark: SparkSession, path: str) -> DataFrame:
     return df.groupBy("frame").agg(F.max_by("gt", "row").alias("gt"))
 
 
+def truth_map(spark: SparkSession, path: str) -> DataFrame:
+    """``ground_truth`` of which something is left: a table without a row with a frame is an error, as is a value that isn't binary."""
+    out = ground_truth(spark, path).where("frame is not null")
+    if out.isEmpty():
+        raise ValueError(f"{path} gives no frame with a truth")
+    return out
+
+
+#: Columns that a table of datasets' scores must have.
+METRICS = ("dataset_key", "status", "selected_csv", "gt_csv")
+
+
+def dataset_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """A table of datasets' scores: ``METRICS`` as strings, counts (n_*, tp, fp, tn, fn) as longs and other columns that hold only
+    numbers as doubles; what isn't a number where others are is null. Keys and statuses that are missing are the text "nan"."""
+    df = table(spark, path, METRICS).drop("row")
+    rest = [c for c in df.columns if c not in (*METRICS, "error")]
+    number = lambda c: F.col(f"`{c}`").try_cast("double")
+    some = df.agg(*[(F.count_if(number(c).isNotNull()) > 0).alias(f"v{i}") for i, c in enumerate(rest)]).first() if rest else []
+    kinds = [(number(c).cast("bigint") if c.startswith("n_") or c in ("tp", "fp", "tn", "fn") else number(c)).alias(c) if is_number else F.col(f"`{c}`") for c, is_number in zip(rest, some, strict=True)]
+    text = [F.coalesce(c, F.lit("nan")).alias(c) if c in ("dataset_key", "status") else F.col(c) for c in METRICS]
+    return df.select(*text, *[F.col("error")] * ("error" in df.columns), *kinds)
+
+
 def condensed(spark: SparkSession, path: str) -> DataFrame:
     """(frame, pred) of condensed detections: sorted by frame, the first of duplicates wins."""
     df = table(spark, path, ("frame_number", "contact_label"))

@@ -91,3 +91,24 @@ def test_the_first_line_is_that_of_the_first_file(spark, tmp_path):
     (tmp_path / "gt" / "b.csv").write_text("frame_number,gt_binary\n5,0\n")
     truth = files.ground_truth(spark, f"{tmp_path}/gt").where(F.col("frame") == 5).first()
     assert truth.gt == 0
+
+
+def test_missing_segments(spark):
+    p = spark.createDataFrame([("a", f) for f in (1, 2, 3, 7, 7, 9)] + [("b", 1), ("c", None), (None, 4)], "k string, f int")
+    g = spark.createDataFrame([("a", 2), ("a", 20), ("a", 21), ("b", 1), ("d", 5)], "k string, f int")
+    got = {r.k: (r.missing_gt_segments, r.missing_pred_segments) for r in metrics.missing_segments(p, g, "k", "f").collect()}
+    assert got == {"a": ("[[1,1,1],[3,3,1],[7,7,1],[9,9,1]]", "[[20,21,2]]"), "b": ("[]", "[]"), "d": ("[]", "[[5,5,1]]"), None: ("[[4,4,1]]", "[]")}
+
+
+def test_truths_and_scores_from_files(spark, tmp_path):
+    (tmp_path / "gt.csv").write_text("frame_id,label\nx.png,Portable Object\n")
+    with pytest.raises(ValueError, match="no frame"):
+        files.truth_map(spark, f"{tmp_path}/gt.csv")
+    (tmp_path / "gt.csv").write_text("frame_number;gt_binary\n3;1\n3;0\n")
+    assert [tuple(r) for r in files.truth_map(spark, f"{tmp_path}/gt.csv").collect()] == [(3, 0)]
+    (tmp_path / "m.csv").write_text("dataset_key,status,selected_csv,gt_csv,n_gt_total,accuracy,note,error\n7,success,a,b,3.0,0.5,x,\n,failed,,,oops,,y,bad\n")
+    one, two = files.dataset_metrics(spark, f"{tmp_path}/m.csv").orderBy("status", ascending=False).collect()
+    assert (one.dataset_key, one.n_gt_total, one.accuracy, one.note, one.error) == ("7", 3, 0.5, "x", None) and (two.dataset_key, two.n_gt_total, two.accuracy, two.error) == ("nan", None, None, "bad")
+    (tmp_path / "m.csv").write_text("dataset_key,status\n")
+    with pytest.raises(ValueError, match="gt_csv"):
+        files.dataset_metrics(spark, f"{tmp_path}/m.csv")
