@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.boxes import box
-from ..staging import staged
+from ..staging import shuffle_partitions, staged
+from . import coco
 from .filters import same_object
 from .matching import overlaps
 from .runs import prefix_sums
@@ -100,32 +101,36 @@ def _kinds(areas: dict[str, tuple[float, float]]) -> Column:
     return F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(float(low)).alias("low"), F.lit(float(high)).alias("high")) for k, (low, high) in areas.items()]))
 
 
+def coco_folded(dets: DataFrame, truths: DataFrame, areas: dict[str, tuple[float, float]], thresholds: tuple[float, ...] = THRESHOLDS, most: int = 100) -> DataFrame:
+    """image_id, category_id, det_id, score, rank, matched and ignored: one row a detection, a bit a combination (see ``coco``).
+
+    The choice depends on what was taken before, so an image and category is one array, with at most ``most`` detections; many
+    arrays are folded at once, rank by rank, for all combinations.
+    """
+    keys, box = ["image_id", "category_id"], [F.col(c).cast("double").alias(c) for c in ("x", "y", "w", "h")]
+    d = dets.groupBy(*keys).agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "det_id", *box, "score"))), 1, most).alias("ds"))
+    ignored = (F.col("iscrowd") == 1) | (F.col("gt_ignore") == 1)
+    g = truths.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("gt_id", *box, F.col("area").cast("double").alias("area"), (F.col("iscrowd") == 1).alias("crowd"), ignored.alias("ignored")))).alias("gs"))
+    both = d.join(g, keys, "left").withColumn("gs", F.coalesce("gs", F.expr("slice(gs, 1, 0)"), F.array().cast(g.schema["gs"].dataType)))
+    kinds = [dets.schema[c].dataType.simpleString() for c in ("det_id", "score")]
+    of = [both.schema[c].dataType.simpleString() for c in keys]
+    low, high = ([float(r[i]) for r in areas.values()] for i in (0, 1))
+    return both.select(*keys, "ds", "gs").mapInArrow(coco.folding(low, high, list(thresholds)), f"image_id {of[0]}, category_id {of[1]}, det_id {kinds[0]}, score {kinds[1]}, rank int, matched array<bigint>, ignored array<bigint>")
+
+
 def coco_match(dets: DataFrame, truths: DataFrame, areas: dict[str, tuple[float, float]] | None = None, thresholds: tuple[float, ...] = THRESHOLDS, most: int = 100) -> DataFrame:
     """Detections (image_id, category_id, det_id, x, y, w, h, score) against truths (.., x, y, w, h, area, iscrowd, gt_ignore).
 
     In order of score a detection takes the free truth of largest overlap (of equals the last), one that counts before an ignored
     one; a crowd is always free. Truths that are crowds, ignored or out of the area range are ignored, and so are unmatched
-    detections out of the range. The choice depends on what was taken before, so an image and category is one array that is
-    folded in the JVM, with at most ``most`` detections, for each of ``areas`` (all, by default) and thresholds.
+    detections out of the range, for each of ``areas`` (all, by default) and thresholds.
 
     Returns kind (of area), image_id, category_id, det_id, score, rank, threshold, matched, ignored.
     """
-    keys = ["image_id", "category_id"]
-    d = dets.groupBy(*keys).agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "det_id", "x", "y", "w", "h"))), 1, most).alias("ds"))
-    ignored = (F.col("iscrowd") == 1) | (F.col("gt_ignore") == 1)
-    g = truths.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("gt_id", "x", "y", "w", "h", "area", (F.col("iscrowd") == 1).alias("crowd"), ignored.alias("ignored")))).alias("gs"))
-    both = d.join(g, keys, "left").withColumn("gs", F.coalesce("gs", F.expr("slice(gs, 1, 0)")))
-    both = both.select("*", _kinds(areas or {"all": AREAS["all"]}).alias("k")).select("*", "k.*").withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
-    side = lambda p, q: f"greatest(0D, least(d.{p} + d.{q}, g.{p} + g.{q}) - greatest(d.{p}, g.{p}))"
-    inter = f"({side('x', 'w')} * {side('y', 'h')})"
-    over = f"({inter} / greatest(1e-300D, case when g.crowd then d.w * d.h else d.w * d.h + g.w * g.h - {inter} end))"
-    use = "not (g.ignored or g.area < low or g.area > high)"
-    able = f"filter(transform(gs, (g, i) -> named_struct('use', {use}, 'over', {over}, 'i', i)), c -> c.over >= least(threshold, 1 - 1e-10D) and (gs[c.i].crowd or not array_contains(a.taken, c.i)))"
-    outside = "(d.w * d.h < low or d.w * d.h > high)"
-    state = "named_struct('taken', case when b is null then a.taken else concat(a.taken, array(b.i)) end, 'out', concat(a.out, array(named_struct('det_id', d.det_id, 'score', -d.s, 'matched', b is not null, 'ignored', coalesce(not b.use, " + outside + ")))))"
-    empty = "named_struct('taken', cast(array() as array<int>), 'out', transform(slice(ds, 1, 0), d -> named_struct('det_id', d.det_id, 'score', -d.s, 'matched', true, 'ignored', true)))"
-    fold = f"aggregate(coalesce(ds, slice(ds, 1, 0)), {empty}, (a, d) -> transform(array(array_max({able})), b -> {state})[0]).out"
-    return both.select("kind", *keys, "threshold", F.posexplode(F.expr(fold)).alias("rank", "r")).select("kind", *keys, "r.det_id", "r.score", "rank", "threshold", "r.matched", "r.ignored")
+    areas = areas or {"all": AREAS["all"]}
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(t).alias("threshold"), F.lit(i).alias("i")) for i, (k, t) in enumerate((k, t) for k in areas for t in thresholds)]))
+    bit = lambda c: F.expr(f"getbit({c}[c.i div 64], c.i % 64) = 1").alias(c)
+    return coco_folded(dets, truths, areas, thresholds, most).withColumn("c", each).select("c.kind", "image_id", "category_id", "det_id", "score", "rank", "c.threshold", bit("matched"), bit("ignored"))
 
 
 def _counted(truths: DataFrame, areas: dict[str, tuple[float, float]]) -> DataFrame:
@@ -134,22 +139,41 @@ def _counted(truths: DataFrame, areas: dict[str, tuple[float, float]]) -> DataFr
     return each.where(F.col("area").between(F.col("k.low"), F.col("k.high"))).groupBy(F.col("k.kind").alias("kind"), "category_id").agg(F.count("*").alias("npos"))
 
 
-def coco_precision(matches: DataFrame, npos: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
-    """(kind, category_id, threshold, recall index 0..100, precision): the best precision at or beyond each recall; 0 beyond the last."""
-    by = ["kind", "category_id", "threshold"]
-    df = matches.where(~F.col("ignored")).join(npos, ["kind", "category_id"]).withColumns({"hit": F.col("matched").cast("int"), "miss": (~F.col("matched")).cast("int")})
-    df = prefix_sums(df, by, [F.desc("score"), F.col("image_id"), F.col("rank")], {"tp": "hit", "fp": "miss"})
-    df = df.withColumns({"precision": F.col("tp") / (F.col("tp") + F.col("fp")), "at": F.floor(F.col("tp") / F.col("npos") * 100 + 1e-9).cast("int")})
-    best = df.groupBy(*by, "at").agg(F.max("precision").alias("precision"))
+def _named(df: DataFrame, areas: dict[str, tuple[float, float]], thresholds: tuple[float, ...]) -> DataFrame:
+    """``df`` with the kind and threshold of its combination."""
+    k, t = (F.array(*map(F.lit, x)) for x in (areas, thresholds))
+    n = len(thresholds)
+    return df.withColumns({"kind": F.get(k, F.floor(F.col("combination") / n)), "threshold": F.get(t, F.col("combination") % n)}).drop("combination")
+
+
+def coco_precision(folded: DataFrame, npos: DataFrame, areas: dict[str, tuple[float, float]], thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
+    """(kind, category_id, threshold, recall index 0..100, precision): the best precision at or beyond each recall; 0 beyond the last.
+
+    ``folded`` is sorted once for all combinations, by ranges, and its rows leave their task in blocks with their sums; what stands
+    before a block is a window over blocks. Ranges come from a sample of ``folded``: stage it before.
+    """
+    by, n = ["kind", "category_id", "threshold"], len(areas) * len(thresholds)
+    order = [F.col("category_id"), F.desc("score"), F.col("image_id"), F.col("rank")]
+    rows = folded.where("category_id is not null").repartitionByRange(shuffle_partitions(folded.sparkSession), *order).sortWithinPartitions(*order)
+    of = folded.schema["category_id"].dataType.simpleString()
+    blocks = staged(rows.select("category_id", "matched", "ignored").mapInArrow(coco.blocks(n), f"category_id {of}, task int, no bigint, hit binary, miss binary, hits array<bigint>, misses array<bigint>"), "blocks")
+    earlier = Window.partitionBy("category_id", "i").orderBy("task", "no").rowsBetween(Window.unboundedPreceding, -1)
+    each = blocks.select("category_id", "task", "no", F.posexplode(F.concat("hits", "misses")).alias("i", "n"))
+    before = each.withColumn("n", F.coalesce(F.sum("n").over(earlier), F.lit(0))).groupBy("category_id", "task", "no").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "n"))), lambda x: x.n).alias("before"))
+    truths = npos.groupBy("category_id").agg(F.concat(*[F.array_repeat(F.coalesce(F.max(F.when(F.col("kind") == k, F.col("npos"))), F.lit(0)), len(thresholds)) for k in areas]).alias("npos"))
+    best = blocks.join(before, ["category_id", "task", "no"]).join(truths, "category_id").select("category_id", "hit", "miss", "before", "npos")
+    best = best.mapInArrow(coco.best_of_blocks(n), f"category_id {of}, combination int, at int, precision double").groupBy("category_id", "combination", "at").agg(F.max("precision").alias("precision"))
     grid = npos.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds)))).select(*by, F.explode(F.sequence(F.lit(0), F.lit(100))).alias("at"))
     after = Window.partitionBy(*by).orderBy("at").rowsBetween(0, Window.unboundedFollowing)
-    return grid.join(best, [*by, "at"], "left").select(*by, "at", F.coalesce(F.max("precision").over(after), F.lit(0.0)).alias("precision"))
+    return grid.join(_named(best, areas, thresholds), [*by, "at"], "left").select(*by, "at", F.coalesce(F.max("precision").over(after), F.lit(0.0)).alias("precision"))
 
 
-def coco_recall(matches: DataFrame, npos: DataFrame, firsts: tuple[int, ...] = (1, 10, 100), thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
+def coco_recall(folded: DataFrame, npos: DataFrame, areas: dict[str, tuple[float, float]], firsts: tuple[int, ...] = (1, 10, 100), thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
     """(kind, category_id, threshold, recall_k ...): the share of truths that the first k detections of each image and category find."""
-    by = ["kind", "category_id", "threshold"]
-    hits = matches.where(F.col("matched") & ~F.col("ignored")).groupBy(*by).agg(*[F.count_if(F.col("rank") < k).alias(f"hits_{k}") for k in firsts])
+    by, n = ["kind", "category_id", "threshold"], len(areas) * len(thresholds)
+    of = folded.schema["category_id"].dataType.simpleString()
+    parts = folded.where("category_id is not null").select("category_id", "rank", "matched", "ignored").mapInArrow(coco.hits_of_firsts(n, firsts), f"category_id {of}, combination int, " + ", ".join(f"hits_{k} bigint" for k in firsts))
+    hits = _named(parts.groupBy("category_id", "combination").agg(*[F.sum(f"hits_{k}").alias(f"hits_{k}") for k in firsts]), areas, thresholds)
     grid = npos.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
     return grid.join(hits, by, "left").select(*by, *[(F.coalesce(f"hits_{k}", F.lit(0)) / F.col("npos")).alias(f"recall_{k}") for k in firsts])
 
@@ -161,17 +185,17 @@ def _mean(value: str, *conditions: Column) -> Column:
 
 def coco_means(dets: DataFrame, truths: DataFrame) -> DataFrame:
     """One row of the twelve means: precision over all, at .50 and at .75, by area; recall with 1, 10 and 100 detections, by area."""
-    m, npos = staged(coco_match(dets, truths, AREAS), "matches"), _counted(truths, AREAS)
+    m, npos = staged(coco_folded(dets, truths, AREAS), "matches"), _counted(truths, AREAS)
     kind = lambda name: F.col("kind") == name
     at = lambda t: F.col("threshold") == t
     rest = [k for k in AREAS if k != "all"]
-    p = coco_precision(m, npos).agg(_mean("precision", kind("all")).alias("ap"), _mean("precision", kind("all"), at(0.5)).alias("ap50"), _mean("precision", kind("all"), at(0.75)).alias("ap75"), *[_mean("precision", kind(k)).alias(f"ap_{k}") for k in rest])
-    r = coco_recall(m, npos).agg(*[_mean(f"recall_{k}", kind("all")).alias(f"ar_{k}") for k in (1, 10, 100)], *[_mean("recall_100", kind(k)).alias(f"ar_{k}") for k in rest])
+    p = coco_precision(m, npos, AREAS).agg(_mean("precision", kind("all")).alias("ap"), _mean("precision", kind("all"), at(0.5)).alias("ap50"), _mean("precision", kind("all"), at(0.75)).alias("ap75"), *[_mean("precision", kind(k)).alias(f"ap_{k}") for k in rest])
+    r = coco_recall(m, npos, AREAS).agg(*[_mean(f"recall_{k}", kind("all")).alias(f"ar_{k}") for k in (1, 10, 100)], *[_mean("recall_100", kind(k)).alias(f"ar_{k}") for k in rest])
     return p.crossJoin(r)  # one row each
 
 
 def coco_means_by_category(dets: DataFrame, truths: DataFrame) -> DataFrame:
     """category_id, ap, ap_small, ap_medium, ap_large: mean precision over all thresholds; -1 marks what isn't there."""
-    p = coco_precision(coco_match(dets, truths, AREAS), _counted(truths, AREAS))
+    p = coco_precision(staged(coco_folded(dets, truths, AREAS), "matches"), _counted(truths, AREAS), AREAS)
     means = [_mean("precision", F.col("kind") == k).alias("ap" if k == "all" else f"ap_{k}") for k in AREAS]
     return p.groupBy("category_id").agg(*means, F.count_if(F.col("kind") == "all").alias("n")).where("n > 0").drop("n")

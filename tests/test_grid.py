@@ -92,3 +92,37 @@ def test_a_null_split_is_a_split(spark):
     labels = spark.createDataFrame(rows, "split string, video_id int, frame_idx int, width int, height int, bbox_x1 double, bbox_y1 double, bbox_x2 double, bbox_y2 double, confidence double, row_id int")
     images, annotations = dataset.coco_tables(labels)
     assert images.count() == 3 and sorted((str(r.split), r.image_id, r.annotation_id) for r in annotations.collect()) == [("None", 1, 1), ("None", 2, 2), ("train", 1, 1)]
+
+
+def test_coco_curves_sort_a_detection_once(spark, monkeypatch):
+    """A detection is one row for all areas and thresholds: none of the staged tables has more rows than there are detections."""
+    from holdfast.operators import detection_eval as e
+
+    rng, sizes, staged = random.Random(5), [], e.staged
+
+    def counted(df, tag, *rest):
+        out = staged(df, tag, *rest)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(e, "staged", counted)
+    box = lambda: [float(rng.randint(0, 30)), float(rng.randint(0, 30)), float(rng.randint(5, 60)), float(rng.randint(5, 60))]
+    d = [(i % 40, i % 3, i, *box(), rng.randint(0, 9) / 10) for i in range(400)]
+    g = [(i % 40, i % 3, i, *b[3:7], b[5] * b[6], int(i % 9 == 0), 0) for i, b in enumerate(d) if i % 2]
+    dd = spark.createDataFrame(d, "image_id bigint, category_id bigint, det_id bigint, x double, y double, w double, h double, score double").repartition(7)
+    gg = spark.createDataFrame(g, "image_id bigint, category_id bigint, gt_id bigint, x double, y double, w double, h double, area double, iscrowd int, gt_ignore int")
+    rows = e.coco_match(dd, gg, e.AREAS).collect()
+    got = {(r.kind, r.category_id, r.threshold, r.at): r.precision for r in e.coco_precision(staged(e.coco_folded(dd, gg, e.AREAS), "m"), e._counted(gg, e.AREAS), e.AREAS).collect()}
+    npos = {(r.kind, r.category_id): r.npos for r in e._counted(gg, e.AREAS).collect()}
+    assert len(got) == len(npos) * 1010 and len(rows) == 16000
+    for kind, category, threshold in {k[:3] for k in got}:
+        own = sorted((r for r in rows if (r.kind, r.category_id, r.threshold) == (kind, category, threshold) and not r.ignored), key=lambda r: (-r.score, r.image_id, r["rank"]))
+        tp, want = 0, [0.0] * 101
+        for n, r in enumerate(own, 1):
+            tp += r.matched
+            at = int(tp / npos[kind, category] * 100 + 1e-9)
+            want[: at + 1] = [max(w, tp / n) for w in want[: at + 1]]
+        assert [got[kind, category, threshold, at] for at in range(101)] == want
+    e.coco_means(dd, gg).collect()
+    e.coco_means_by_category(dd, gg).collect()
+    assert len(sizes) == 5 and max(sizes) <= 400
