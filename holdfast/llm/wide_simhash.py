@@ -9,7 +9,9 @@ Candidates: tables of ``bits`` places each, drawn from the fingerprint; document
 bucket, a shard with a BK-tree over the first lane. With more documents a table has more places, so that buckets stay small, and
 there are more tables, so that a pair at the similarity meets in one of them with the same probability. Buckets get 64 bits of
 a document; the links that their trees find are verified over all lanes. Before buckets are dealt, each task gathers what is
-close to a leader among its own rows: a group of any size leaves a task as links to a few leaders.
+close to a leader among its own rows: a group of any size leaves a task as links to a few leaders. That joins most of what
+belongs together and may leave a link out; so buckets are dealt once more, whole, and what meets there from two groups is
+compared row by row and verified. Every pair of a bucket within the radius is then in one group or was verified and isn't near.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ LANES = 16
 BITS = 64 * LANES
 #: A bucket's documents on average at the most, rows in a bucket of one task from which leaders are sought, and shingles whose bits are counted at once.
 FILL, CROWD, SHINGLES = 64, 32, 1 << 16
+#: Pairs of a bucket that are compared at once.
+COMPARED = 1 << 16
 #: The constants of SplitMix64.
 _golden, _one, _two = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _bytes = np.uint64(0x0101010101010101)
@@ -182,20 +186,25 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return np.array(kept, np.int64)
 
 
+def bucket_keys(fps: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """(rows, tables): the bucket of each row in each table."""
+    powers = (1 << np.arange(places.shape[1], dtype=np.int64))[::-1]
+    bits = np.unpackbits(fps.astype(">u8").view(np.uint8).reshape(len(fps), -1), axis=1)
+    return np.stack([bits[:, p] @ powers for p in places], axis=1) + (np.arange(len(places), dtype=np.int64) << 40)
+
+
 def dealt(distinct: DataFrame, places: np.ndarray, most: int) -> DataFrame:
     """(key, rep, sketch): documents in their buckets; and, with a null key, links (rep, sketch) that a task has found itself.
 
     A crowd of a bucket within a task sends only its leaders on.
     """
-    powers = (1 << np.arange(places.shape[1], dtype=np.int64))[::-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 8192):
                 part = batch.slice(at, 8192)
                 fps, rep = _wide(part.column("fp")), part.column("rep").to_numpy()
-                bits = np.unpackbits(fps.astype(">u8").view(np.uint8).reshape(len(fps), -1), axis=1)
-                key = np.stack([bits[:, p] @ powers for p in places], axis=1) + (np.arange(len(places), dtype=np.int64) << 40)
+                key = bucket_keys(fps, places)
                 row = np.repeat(np.arange(len(fps)), len(places))
                 order = np.argsort(key.ravel(), kind="stable")
                 key, row = key.ravel()[order], row[order]
@@ -254,6 +263,67 @@ def verified(pairs: DataFrame, distinct: DataFrame, most: int) -> DataFrame:
     return both.select("a", "b", "fp_a", "fp_b").mapInArrow(run, "a bigint, b bigint")
 
 
+def rest(distinct: DataFrame, joined: DataFrame, places: np.ndarray, radius: int, most: int) -> DataFrame:
+    """(a, b): links between rows of a bucket that ``joined`` (node, component) leaves in two groups.
+
+    Buckets are dealt whole, with all lanes. A row is compared with the rows of later groups in its bucket, ``COMPARED`` pairs at
+    once, and with none of its own group, however large that is. Of links between groups that others join already none leaves.
+    """
+    lanes = [f"l{i}" for i in range(LANES)]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                fps = _wide(part.column("fp"))
+                row = np.repeat(np.arange(len(fps)), len(places))
+                rep, group = (part.column(c).to_numpy()[row] for c in ("rep", "group"))
+                wide = fps.view(np.int64)[row]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket_keys(fps, places).ravel()), pa.array(group), pa.array(rep), *(pa.array(wide[:, i]) for i in range(LANES))], names=["key", "group", "rep", *lanes])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, group, rep, *wide in whole_groups(batches, ("key", "group", "rep", *lanes), 1, 20_000):
+            n, fps = len(key), np.stack(wide, axis=1).view(np.uint64)
+            last = np.concatenate([key[1:] != key[:-1], [True]])
+            own_last = last | np.concatenate([group[1:] != group[:-1], [True]])
+            end, own = (np.flatnonzero(x)[np.searchsorted(np.flatnonzero(x), np.arange(n))] + 1 for x in (last, own_last))
+            labels = np.unique(own, return_index=True)[1][np.cumsum(np.concatenate([[0], own_last[:-1]]))]
+            upto, begin = np.cumsum(end - own), 0
+            while begin < n:
+                stop = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + COMPARED, "right")))
+                here = (end - own)[begin:stop]
+                a = np.repeat(np.arange(begin, stop), here)
+                b = np.arange(len(a)) - np.repeat(np.cumsum(here) - here, here) + own[a]
+                near = (np.bitwise_count(fps[a, 0] ^ fps[b, 0]) <= radius) & (labels[a] != labels[b])
+                a, b = a[near], b[near]
+                near = _apart(fps[a], fps[b]) <= most
+                if near.any():
+                    a, b = a[near], b[near]
+                    some = forest(labels[a], labels[b], n)
+                    labels = merge_labels(labels, a[some], b[some])
+                    yield pa.RecordBatch.from_arrays([pa.array(rep[a[some]]), pa.array(rep[b[some]])], names=["a", "b"])
+                begin = stop
+
+    labelled = distinct.join(joined, distinct.rep == joined.node, "left").select("rep", "fp", F.coalesce("component", "rep").alias("group"))
+    rows = labelled.mapInArrow(deal, "key bigint, group bigint, rep bigint, " + ", ".join(f"{c} bigint" for c in lanes))
+    rows = rows.repartition(shuffle_partitions(distinct.sparkSession), "key").sortWithinPartitions("key", "group")
+    return rows.mapInArrow(meet, "a bigint, b bigint")
+
+
+def groups(distinct: DataFrame, similarity: float, recall: float) -> DataFrame:
+    """(node, component) of the fingerprints (rep, fp) that a link joins to another one."""
+    share, most = differing(similarity)
+    places = tables(distinct.count(), similarity, recall)
+    buckets = staged(dealt(distinct, places, most), "buckets")
+    own = buckets.where("key is null").select(F.col("rep").alias("a"), F.col("sketch").alias("b"))
+    radius = round(64 * share + 2.4 * sqrt(64 * share * (1 - share)))
+    found = staged(verified(candidates(buckets.where("key is not null"), radius), distinct, most).unionAll(own), "links")
+    discard(buckets)
+    joined = staged(components(found), "joined")
+    more = staged(rest(distinct, joined, places, radius, most), "more-links")
+    return components(found.unionAll(more)) if more.take(1) else joined
+
+
 def similar_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.99) -> DataFrame:
     """One row for each document: doc_id, component_id (smallest doc_id reachable by links at ``similarity`` of shingle sets).
 
@@ -265,13 +335,7 @@ def similar_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, rec
     """
     rows = staged(fingerprints(docs, words), "fingerprints")
     distinct = staged(rows.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    share, most = differing(similarity)
-    buckets = staged(dealt(distinct, tables(distinct.count(), similarity, recall), most), "buckets")
-    own = buckets.where("key is null").select(F.col("rep").alias("a"), F.col("sketch").alias("b"))
-    radius = round(64 * share + 2.4 * sqrt(64 * share * (1 - share)))
-    found = staged(verified(candidates(buckets.where("key is not null"), radius), distinct, most), "links")
-    joined = components(found.unionAll(own))
-    discard(buckets)
+    joined = groups(distinct, similarity, recall)
     group = distinct.join(joined, distinct.rep == joined.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     group = staged(group, "groups")
     return rows.join(group, "fp", "left").select("doc_id", "component_id")

@@ -89,3 +89,27 @@ def test_stages_take_odd_and_empty_tables(spark):
         out = stage(spark, clashing, folder)
         assert out.columns == clashing.columns or name.startswith("quality")
         assert all(r["copies"] == r["row"] == r.doc_id for r in out.collect())
+
+
+def test_a_crowd_hides_no_link(spark):
+    """A text near one follower of a crowd's leader, in another task than the crowd, and not near the leader."""
+    import numpy as np
+    from holdfast.llm import wide_simhash as w
+
+    n, most = 102, w.differing(0.8)[1]
+    rng = np.random.default_rng(1)
+    free = rng.permutation(np.setdiff1d(np.arange(64, w.BITS), w.tables(n, 0.8, 0.99)))
+    lead = rng.integers(0, 2, w.BITS, dtype=np.uint8)
+
+    def flipped(bits, places):
+        out = bits.copy()
+        out[places] ^= 1
+        return out
+
+    follower = flipped(lead, free[:120])
+    rows = [lead, follower, *(flipped(lead, rng.choice(free, 10, False)) for _ in range(n - 3)), flipped(follower, free[120:240])]
+    rows = [(i, np.packbits(r).view(">u8").astype(np.uint64).tobytes()) for i, r in enumerate(rows)]
+    assert 120 <= most < 240
+    sc = spark.sparkContext
+    distinct = spark.createDataFrame(sc.parallelize(rows[:-1], 1).union(sc.parallelize(rows[-1:], 1)), "rep bigint, fp binary")
+    assert {r.node: r.component for r in w.groups(distinct, 0.8, 0.99).collect()} == dict.fromkeys(range(1, n), 0)
