@@ -30,6 +30,14 @@ def _packed(df: DataFrame, rows: Column) -> DataFrame:
     return df.withColumn("__objects", F.collect_list(F.when(objects, F.struct(*_COLUMNS))).over(Window.partitionBy(*FRAME)))
 
 
+def _found(df: DataFrame, best: Column) -> DataFrame:
+    """``df`` with __best, a row's choice from its array, as the output of a generator.
+
+    A plain column would be copied into each of its fields and into filters above it, and each copy walks the array anew.
+    """
+    return df.withColumn("__best", F.explode(F.array(best)))
+
+
 def _box_of(item: Column, prefix: str = "bbox_") -> boxes.Box:
     return boxes.Box(*(item[f"{prefix}{k}"] for k in ("x1", "y1", "x2", "y2")))
 
@@ -46,11 +54,12 @@ def best_object(df: DataFrame, hands: Column, objects: Column) -> DataFrame:
         iou, area = boxes.iou(hand, b), boxes.area(b)
         far = boxes.offset_distance(hand, b, F.col("offset_mag"), F.col("offset_x"), F.col("offset_y"))
         key = [(-conf).alias("k1"), far.alias("k2"), (-iou).alias("k3"), (-area).alias("k4"), *[c.alias(f"k{i}") for i, c in enumerate(b, 5)]]
-        return F.struct(*key, o.row_id.alias("row_id"), conf.alias("confidence"), area.alias("area"), iou.alias("iou"))
+        return F.struct(*key, o.row_id.alias("row_id"))
 
     best = F.when((F.col("detection_type") == "hand") & hands, F.array_min(F.transform("__objects", judged)))
-    out = _packed(df, objects).withColumn("__best", best)
-    return out.withColumns({f"m_{k}": F.col(f"__best.{k}") for k in ("row_id", "confidence", "area", "iou")}).drop("__objects", "__best")
+    out = _found(_packed(df, objects), best)
+    named = {"row_id": F.col("__best.row_id"), "confidence": -F.col("__best.k1"), "area": -F.col("__best.k4"), "iou": -F.col("__best.k3")}
+    return out.withColumns({f"m_{k}": v for k, v in named.items()}).drop("__objects", "__best")
 
 
 def best_hand(objects: DataFrame, hands: DataFrame) -> DataFrame:
@@ -64,11 +73,11 @@ def best_hand(objects: DataFrame, hands: DataFrame) -> DataFrame:
     def judged(h: Column) -> Column:
         b = _box_of(h)
         iou, far = boxes.iou(boxes.box(), b), boxes.centre_distance(boxes.box(), b)
-        return F.struct((-iou).alias("k"), far.alias("far"), h.row_id.alias("row_id"), *[c.alias(k) for k, c in zip(names, b, strict=True)], iou.alias("iou"))
+        return F.struct((-iou).alias("k"), far.alias("far"), h.row_id.alias("row_id"), *[c.alias(k) for k, c in zip(names, b, strict=True)])
 
-    out = objects.join(of_frame, list(FRAME), "left").withColumn("__best", F.array_min(F.transform("__hands", judged)))
-    named = {"hand_row_id": "row_id", **{f"hand_{k}": k for k in names}, "matched_hand_iou": "iou", "matched_hand_center_dist": "far"}
-    return out.withColumns({k: F.col(f"__best.{v}") for k, v in named.items()}).drop("__hands", "__best")
+    out = _found(objects.join(of_frame, list(FRAME), "left"), F.array_min(F.transform("__hands", judged)))
+    named = {"hand_row_id": F.col("__best.row_id"), **{f"hand_{k}": F.col(f"__best.{k}") for k in names}, "matched_hand_iou": -F.col("__best.k"), "matched_hand_center_dist": F.col("__best.far")}
+    return out.withColumns(named).drop("__hands", "__best")
 
 
 def nearest_object(df: DataFrame, in_contact: Column) -> DataFrame:
@@ -85,10 +94,10 @@ def overlaps(dets: DataFrame, truths: DataFrame, keys: list[str], masked: bool =
 
     def judged(g: Column) -> Column:
         over = measure(boxes.box(), _box_of(g, "gt_"))
-        return F.struct((-over).alias("k"), g.gt_id.alias("gt_id"), over.alias("overlap"), *[g[c].alias(c) for c in extra])
+        return F.struct((-over).alias("k"), g.gt_id.alias("gt_id"), *[g[c].alias(c) for c in extra])
 
-    out = dets.join(of_image, keys, "left").withColumn("__best", F.array_min(F.transform("__truths", judged)))
-    return out.withColumns({k: F.col(f"__best.{k}") for k in ("gt_id", "overlap", *extra)}).drop("__truths", "__best")
+    out = _found(dets.join(of_image, keys, "left"), F.array_min(F.transform("__truths", judged)))
+    return out.withColumns({"overlap": -F.col("__best.k"), **{k: F.col(f"__best.{k}") for k in ("gt_id", *extra)}}).drop("__truths", "__best")
 
 
 def aligned(predictions: DataFrame, truth: DataFrame, keys: list[str], missing: str = "drop") -> DataFrame:

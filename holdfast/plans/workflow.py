@@ -160,8 +160,9 @@ def pseudo_labels(objects: DataFrame, hands: DataFrame, splits: DataFrame, video
     if chosen.strategy not in ("bbox_similarity", "subsample", "none"):
         raise ValueError(f"unknown strategy {chosen.strategy!r}")
     kept = filters.heuristics(objects, hands, chosen.min_confidence, chosen.aspect, chosen.require_hand, chosen.max_area_ratio, chosen.max_hand_overlap).where("passed_heuristics")
-    kept = kept.drop("width", "height", "fps").join(videos.select("video_id", "width", "height", "fps"), "video_id")
+    kept = kept.select("video_id", "frame_number", *boxes.box(), "confidence", "row_id").join(videos.select("video_id", "width", "height", "fps"), "video_id")
     if chosen.strategy != "none":
+        kept = staged(kept, "candidates")  # read twice: by the rule, and for what it keeps
         cx, cy = boxes.centre(boxes.box())
         rate = F.when(F.col("fps") > 0, F.col("fps").cast("double")).otherwise(chosen.default_fps)
         timed = kept.select("video_id", (F.col("frame_number") / rate).alias("time_sec"), F.col("row_id").alias("frame_idx"), "row_id", cx.alias("cx"), cy.alias("cy"), boxes.area(boxes.box()).alias("area"), "width")
