@@ -21,14 +21,21 @@ def voc_hits(dets: DataFrame, truths: DataFrame, keys: list[str], threshold: flo
     A detection's best truth must overlap by more than ``threshold``. The first detection by confidence that also ``qualifies``
     (a condition on columns of both, truths' prefixed with gt_) takes it; others are false. A difficult truth counts neither way.
     """
+    df = _taken(dets, truths, keys, threshold, {"": F.lit(True) if qualifies is None else qualifies})
+    return df.withColumnsRenamed({"tp_": "tp", "fp_": "fp"})
+
+
+def _taken(dets: DataFrame, truths: DataFrame, keys: list[str], threshold: float, tests: dict[str, Column]) -> DataFrame:
+    """``dets`` with tp_<name> and fp_<name> under each of the named conditions: one match and one window for all."""
     extra = [c for c in truths.columns if c not in (*keys, "gt_id", "gt_x1", "gt_y1", "gt_x2", "gt_y2")]
-    matched = overlaps(dets, truths, keys, extra=tuple(extra))
     over = F.coalesce(F.col("overlap") > threshold, F.lit(False))
-    good = over & F.coalesce(qualifies if qualifies is not None else F.lit(True), F.lit(False))
-    df = matched.withColumns({"__good": good, "__hard": over & F.coalesce(F.col("gt_difficult"), F.lit(False))})
-    w = Window.partitionBy(*keys, "gt_id", "__good").orderBy(F.desc("confidence"), "det_id")
-    first = F.col("__good") & (F.row_number().over(w) == 1)
-    return df.withColumns({"tp": (first & ~F.col("__hard")).cast("int")}).withColumn("fp", (~F.col("__hard") & (F.col("tp") == 0)).cast("int")).drop("__good", "__hard")
+    good = {f"__good_{k}": over & F.coalesce(v, F.lit(False)) for k, v in tests.items()}
+    df = overlaps(dets, truths, keys, extra=tuple(extra)).withColumns({**good, "__hard": over & F.coalesce(F.col("gt_difficult"), F.lit(False))})
+    upto = Window.partitionBy(*keys, "gt_id").orderBy(F.desc("confidence"), "det_id").rowsBetween(Window.unboundedPreceding, 0)
+    df = df.select(*dets.columns, "gt_id", "overlap", *extra, "__hard", *good, *[F.sum(F.col(g).cast("int")).over(upto).alias(g.replace("__good", "__nth")) for g in good])
+    tp = {f"tp_{k}": (F.col(f"__good_{k}") & (F.col(f"__nth_{k}") == 1) & ~F.col("__hard")).cast("int") for k in tests}
+    fp = {f"fp_{k}": (~F.col("__hard") & (F.col(f"tp_{k}") == 0)).cast("int") for k in tests}
+    return df.withColumns(tp).withColumns(fp).drop("__hard", *good, *[g.replace("__good", "__nth") for g in good])
 
 
 def precision_curve(hits: DataFrame, truths: DataFrame, by: list[str]) -> DataFrame:
@@ -36,15 +43,42 @@ def precision_curve(hits: DataFrame, truths: DataFrame, by: list[str]) -> DataFr
 
     Sums over a class run through ranges of confidence; so does the envelope, the best precision from here on.
     """
-    npos = truths.where(~F.coalesce(F.col("gt_difficult"), F.lit(False))).groupBy(*by).agg(F.count("*").alias("npos"))
-    df = prefix_sums(hits.join(npos, by), by, [F.desc("confidence"), F.col("det_id")], {"ctp": "tp", "cfp": "fp"})
+    # Ranges come from a sample: only what is summed and sorted is written before, so that hits are formed once.
+    rows = staged(hits.join(_positives(truths, by), by).select(*by, "confidence", "det_id", "tp", "fp", "npos"), "hits")
+    return _enveloped(prefix_sums(rows, by, [F.desc("confidence"), F.col("det_id")], {"ctp": "tp", "cfp": "fp"}), by).drop("__task", "__at")
+
+
+def _positives(truths: DataFrame, by: list[str]) -> DataFrame:
+    return truths.where(~F.coalesce(F.col("gt_difficult"), F.lit(False))).groupBy(*by).agg(F.count("*").alias("npos"))
+
+
+def _enveloped(df: DataFrame, by: list[str]) -> DataFrame:
+    """Rows with running sums ctp and cfp with recall, precision and its envelope."""
     df = df.withColumns({"recall": F.col("ctp") / F.col("npos"), "precision": F.col("ctp") / F.greatest(F.col("ctp") + F.col("cfp"), F.lit(2.0**-52))})
     # A running maximum from the other end: a frame that shrinks would be computed anew for each row.
     back = Window.partitionBy(*by, "__task").orderBy(F.desc("__at")).rowsBetween(Window.unboundedPreceding, 0)
     later = Window.partitionBy(*by).orderBy(F.desc("__task")).rowsBetween(Window.unboundedPreceding, -1)
     beyond = df.groupBy(*by, "__task").agg(F.max("precision").alias("__most")).select(*by, "__task", F.max("__most").over(later).alias("__beyond"))
     out = df.withColumn("envelope", F.max("precision").over(back)).join(beyond, [*by, "__task"])
-    return out.withColumn("envelope", F.greatest("envelope", "__beyond")).drop("__task", "__at", "__beyond")
+    return out.withColumn("envelope", F.greatest("envelope", "__beyond")).drop("__beyond")
+
+
+def average_precision_of_tests(dets: DataFrame, truths: DataFrame, keys: list[str], by: list[str], tests: dict[str, Column], threshold: float = 0.5) -> DataFrame:
+    """(name, by, ap) under each named condition on a detection and its truth (see ``voc_hits``); ``by`` are columns of detections.
+
+    Detections are matched and sorted once for all conditions. Precision rises only at true positives, so these alone are kept by
+    condition for the envelope.
+    """
+    n = {k: f"{i}" for i, k in enumerate(tests)}
+    hits = _taken(dets, truths.drop(*by), keys, threshold, {n[k]: v for k, v in tests.items()})
+    counts = [f"{c}_{i}" for i in n.values() for c in ("tp", "fp")]
+    rows = staged(hits.join(_positives(truths, by), by).select(*by, "confidence", "det_id", "npos", *[F.col(c).cast("tinyint").alias(c) for c in counts]), "hits")
+    sums = prefix_sums(rows, by, [F.desc("confidence"), F.col("det_id")], {f"c{c}": c for c in counts})
+    each = F.array(*[F.struct(F.lit(k).alias("name"), F.col(f"tp_{i}").alias("tp"), F.col(f"ctp_{i}").alias("ctp"), F.col(f"cfp_{i}").alias("cfp")) for k, i in n.items()])
+    found = sums.select(*by, "npos", "__task", "__at", F.inline(F.filter(each, lambda x: x.tp == 1)))
+    ap = average_precision(_enveloped(found, ["name", *by]), ["name", *by])
+    groups = rows.select(*by).distinct().withColumn("name", F.explode(F.array(*map(F.lit, tests))))
+    return groups.join(ap, ["name", *by], "left").fillna(0.0, ["ap"])
 
 
 def average_precision(curve: DataFrame, by: list[str], eleven: bool = False) -> DataFrame:

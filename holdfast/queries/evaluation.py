@@ -289,12 +289,8 @@ def voc_hand_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((F.col("contact_state") + (F.col("row_id") % 4 == 0).cast("int")) % 5).alias("contact_state"), F.when(F.col("row_id") % 7 == 0, "Left").otherwise(F.col("hand_side")).alias("hand_side"),
         *[F.when(linked, F.col(f"bbox_{k}") + (far if k[0] == "x" else 0)).alias(f"object_{k}") for k in names],
     )
-    keys, out = ["video_id", "frame_number"], None
-    for name in e.CONSTRAINTS:
-        hits = e.voc_hits(d, g.drop("class"), keys, 0.5, e.constraint(name)).withColumn("name", F.lit(name))
-        out = hits if out is None else out.unionByName(hits)
-    truths = g.withColumn("name", F.explode(F.array(*map(F.lit, e.CONSTRAINTS))))
-    return e.average_precision(e.precision_curve(out, truths, ["name", "class"]), ["name", "class"]).select("name", "class", F.round("ap", 9).alias("ap"))
+    out = e.average_precision_of_tests(d, g, ["video_id", "frame_number"], ["class"], {name: e.constraint(name) for name in e.CONSTRAINTS})
+    return out.select("name", "class", F.round("ap", 9).alias("ap"))
 
 
 @query(f"""{cte(det=DET)}, s as (select row_id, [(row_id % 17)::double, (row_id % 13)::double, (row_id % 11)::double, (row_id % 7)::double, (row_id % 5)::double] as scores, row_id % 9 - 4 as logit from det)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from holdfast.operators import filters, matching
+from holdfast.operators import detection_eval, filters, matching
 from holdfast.queries.detections import det
 
 SMALL = "/root/testdata/sf0.001"
@@ -20,3 +20,22 @@ def test_best_candidate_is_found_once_below_filters(spark):
     truths = hands.select("video_id", "frame_number", F.col("row_id").alias("gt_id"), *[F.col(f"bbox_{k}").alias(f"gt_{k}") for k in ("x1", "y1", "x2", "y2")])
     over = matching.overlaps(df, truths, ["video_id", "frame_number"]).where("overlap > 0.5 and gt_id % 2 = 0").select("row_id", "gt_id", "overlap")
     assert plan(over).count("array_min(") == 1
+
+
+def test_all_conditions_of_hands_are_summed_in_one_sort(spark, monkeypatch):
+    sorted_rows = []
+    plain = detection_eval.prefix_sums
+    monkeypatch.setattr(detection_eval, "prefix_sums", lambda df, *rest: sorted_rows.append(df.count()) or plain(df, *rest))
+    dets = [(v, i, v % 2, 10 * i, 0, 10 * i + 20, 20, float((i * 7 + v) % 5), i % 3) for v in range(4) for i in range(6)]
+    d = spark.createDataFrame(dets, "video_id int, det_id int, class int, bbox_x1 int, bbox_y1 int, bbox_x2 int, bbox_y2 int, confidence double, state int")
+    truths = [(v, i, v % 2, 10 * i, 0, 10 * i + 20, 20, i == 2, (i + v) % 3) for v in range(4) for i in range(0, 6, 2)]
+    g = spark.createDataFrame(truths, "video_id int, gt_id int, class int, gt_x1 int, gt_y1 int, gt_x2 int, gt_y2 int, gt_difficult boolean, gt_state int")
+    tests = {"": F.lit(True), "state": F.col("state") == F.col("gt_state"), "never": F.lit(None).cast("boolean")}
+    got = {(r["name"], r["class"]): r["ap"] for r in detection_eval.average_precision_of_tests(d, g, ["video_id"], ["class"], tests, 0.3).collect()}
+    assert sorted_rows == [len(dets)]
+    want = {}
+    for name, test in tests.items():
+        curve = detection_eval.precision_curve(detection_eval.voc_hits(d, g.drop("class"), ["video_id"], 0.3, test), g, ["class"])
+        want |= {(name, r["class"]): r["ap"] for r in detection_eval.average_precision(curve, ["class"]).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert 0 < got["", 0] and got["never", 1] == 0
