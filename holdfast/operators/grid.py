@@ -37,12 +37,23 @@ def meeting(left: DataFrame, right: DataFrame, keys: list[str], prefixes: tuple[
     return both.where((F.col("__cx") == _cell(x, side)) & (F.col("__cy") == _cell(y, side)) & share).drop("__cx", "__cy")
 
 
-def with_truths(regions: DataFrame, truths: DataFrame, key: str, side: float = CELL) -> DataFrame:
+def side_for(df: DataFrame, prefix: str = "gt_") -> float:
+    """A cell's side for few copies: four times the boxes' mean length, so that a box is dealt to some 1.6 cells; ``CELL`` at least.
+
+    At ``CELL`` a box of that length is dealt to four, and so are both sides of a join.
+    """
+    b = boxes.box(prefix)
+    mean = df.agg(F.avg(F.greatest(b.x2 - b.x1, b.y2 - b.y1)).cast("double")).first()[0]
+    return max(float(CELL), 4.0 * mean) if mean is not None and mean < float("inf") else float(CELL)
+
+
+def with_truths(regions: DataFrame, truths: DataFrame, key: str, side: float | None = None) -> DataFrame:
     """Regions with each truth of their image that they meet and the pixel overlap; and once more with the image's first truth.
 
     The second row has the overlap of a region that meets nothing: 0, or -1 for an empty region (see ``boxes.iou_pixels_masked``);
     without a truth in the image gt_id is null and the overlap 0. Greatest overlaps and first truths are then what all pairs give.
     """
+    side = side_for(truths) if side is None else side
     pairs = meeting(regions, truths, [key], side=side).withColumn("overlap", boxes.iou_pixels_masked(boxes.box(), boxes.box("gt_")))
     first = truths.groupBy(key).agg(F.min("gt_id").alias("gt_id"))
     nothing = F.when(F.col("gt_id").isNotNull(), boxes.iou_pixels_masked(boxes.box(), Box(*[F.lit(0)] * 4))).otherwise(0.0)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import boxes
-from .grid import CELL, meeting, with_truths
+from .grid import meeting, side_for, with_truths
 
 _SIDES = ("x1", "y1", "x2", "y2")
 ROI = "image_id, roi_id, kind, bbox_x1, bbox_y1, bbox_x2, bbox_y2, gt_class, overlap, best_class"
@@ -32,7 +32,7 @@ def truth_rois(annotations: DataFrame, images: DataFrame, classes: DataFrame) ->
     return clean.select("image_id", "roi_id", F.lit("truth").alias("kind"), *[f"bbox_{k}" for k in _SIDES], cls.alias("gt_class"), F.when(crowd, -1.0).otherwise(1.0).alias("overlap"), F.when(crowd, 0).otherwise(cls).alias("best_class"))
 
 
-def with_proposals(truths: DataFrame, proposals: DataFrame, covered: float = 0.7, side: float = CELL) -> DataFrame:
+def with_proposals(truths: DataFrame, proposals: DataFrame, covered: float = 0.7, side: float | None = None) -> DataFrame:
     """``truths`` (ROI rows) and below them ``proposals`` (image_id, roi_id, bbox_x1 .. bbox_y2): class 0, and the greatest overlap
     with a truth that is no crowd, with its class as the best one (0 without overlap).
 
@@ -41,6 +41,7 @@ def with_proposals(truths: DataFrame, proposals: DataFrame, covered: float = 0.7
     sides = [F.col(f"bbox_{k}").alias(f"gt_{k}") for k in _SIDES]
     real = truths.where("overlap >= 0").select("image_id", F.col("roi_id").alias("gt_id"), *sides, F.col("gt_class").alias("of_class"))
     crowds = truths.where("overlap < 0").select("image_id", *sides)
+    side = side_for(truths, "bbox_") if side is None else side
     regions = proposals.select("image_id", "roi_id", *[F.col(f"bbox_{k}").cast("double").alias(f"bbox_{k}") for k in _SIDES])
     best = with_truths(regions, real, "image_id", side).groupBy("image_id", "roi_id").agg(F.max(F.struct("overlap", -F.col("gt_id"), "of_class")).alias("m"))
     inside = meeting(regions, crowds, ["image_id"], side=side).where(boxes.coverage(boxes.box("gt_"), boxes.box()) >= covered).select("image_id", "roi_id").distinct().withColumn("in_crowd", F.lit(True))

@@ -39,3 +39,18 @@ def test_all_conditions_of_hands_are_summed_in_one_sort(spark, monkeypatch):
         want |= {(name, r["class"]): r["ap"] for r in detection_eval.average_precision(curve, ["class"]).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
     assert 0 < got["", 0] and got["never", 1] == 0
+
+
+def test_regions_are_dealt_to_few_cells(spark):
+    from holdfast.operators import grid
+
+    boxes = [(v, i, 37 * i % 400, 53 * i % 250, 37 * i % 400 + 90 + i % 100, 53 * i % 250 + 80 + i % 90) for v in range(3) for i in range(200)]
+    truths = spark.createDataFrame(boxes, "image_id int, gt_id int, gt_x1 int, gt_y1 int, gt_x2 int, gt_y2 int")
+    side = grid.side_for(truths)
+    assert side > grid.CELL and grid.side_for(truths.limit(0)) == grid.CELL
+    from holdfast.functions.boxes import box
+
+    assert grid._dealt(truths, box("gt_"), side).count() < 2 * len(boxes) < grid._dealt(truths, box("gt_"), grid.CELL).count()
+    regions = truths.toDF("image_id", "anchor_id", *[f"bbox_{k}" for k in ("x1", "y1", "x2", "y2")])
+    few, many = (grid.with_truths(regions, truths, "image_id", s).orderBy("anchor_id", "image_id", "gt_id", "overlap").collect() for s in (None, grid.CELL))
+    assert few == many
