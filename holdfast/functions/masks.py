@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -186,6 +187,70 @@ def box(counts: Column, height: Column, whole: bool = False) -> Column:
     return F.aggregate(counts, first, step, found)
 
 
+# Columns of whole Arrow batches: for many rows, as the JVM's lambdas take some tens of microseconds a fold.
+
+
+def _ends(counts: pa.Array, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the kept rows: where their runs end, one after another; where each row's runs begin in that, and each mask's size."""
+    rows = counts.filter(pa.array(keep))
+    starts = rows.offsets.to_numpy().astype(np.int64)
+    flat = np.concatenate([[0], np.cumsum(rows.flatten().to_numpy(zero_copy_only=False).astype(np.int64))])
+    starts = starts - starts[0]
+    sizes = np.diff(starts)
+    return flat[1:] - np.repeat(flat[starts[:-1]], sizes), starts, flat[starts[1:]] - flat[starts[:-1]]
+
+
+def _with_nulls(counts: pa.Array) -> np.ndarray:
+    """Rows that are null or hold a null."""
+    out = counts.is_null().to_numpy(zero_copy_only=False).copy()
+    if counts.flatten().null_count:
+        out |= np.array([r is not None and None in r for r in counts.to_pylist()])
+    return out
+
+
+def compare_batch(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Structs (united, shared_pixels, either_pixels, own_pixels) of rows' masks; null where one is null or their sizes differ.
+
+    Places where a run ends are numbers that rise from row to row, so that one sort and two searches serve the batch.
+    """
+    keep = ~(_with_nulls(a) | _with_nulls(b))
+    (ends_a, from_a, size), (ends_b, from_b, size_b) = _ends(a, keep), _ends(b, keep)
+    same = size == size_b
+    if not same.all():
+        keep[np.flatnonzero(keep)[~same]] = False
+        (ends_a, from_a, size), (ends_b, from_b, _) = _ends(a, keep), _ends(b, keep)
+    n = len(size)
+    base = np.concatenate([[0], np.cumsum(size + 1)])
+    at_a, at_b = (e + np.repeat(base[:n], np.diff(f)) for e, f in ((ends_a, from_a), (ends_b, from_b)))
+    # Each row also begins and ends a stretch, so that stretches tile it.
+    places = np.unique(np.concatenate([at_a, at_b, base[:n], base[:n] + size]))
+    row = np.searchsorted(base, places, "right") - 1
+    in_a, in_b = (((np.searchsorted(at, places, "right") - f[row]) % 2 == 1) for at, f in ((at_a, from_a), (at_b, from_b)))
+    inner = places < base[row] + size[row]
+    length = np.where(inner, np.append(places[1:], 0) - places, 0)
+    pixels = [np.bincount(row, np.where(some, length, 0), n).astype(np.int64) for some in (in_a & in_b, in_a | in_b, in_a)]
+    either = in_a | in_b
+    first = np.append(True, row[1:] != row[:-1])[: len(row)]
+    turns = inner & (either != np.where(first, False, np.append(False, either[:-1])[: len(row)]))
+    stops = np.sort(np.concatenate([places[turns], (base[:n] + size)[size > 0]]))
+    of = np.searchsorted(base, stops, "right") - 1
+    begins = np.append(True, of[1:] != of[:-1])[: len(of)]
+    runs = stops - np.where(begins, base[of], np.append(0, stops[:-1])[: len(of)])
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=n))]).astype(np.int32)
+    found = pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(runs, pa.int64())), *map(pa.array, pixels)], ["united", "shared_pixels", "either_pixels", "own_pixels"])
+    return found.take(pa.array(np.where(keep, np.cumsum(keep) - 1, 0), pa.int64(), mask=~keep))
+
+
+def compared(a: Column, b: Column) -> Column:
+    """A struct for two masks of one size: runs of their union (as ``merged``), shared pixels, pixels of either, and a's own."""
+
+    @F.arrow_udf("united array<bigint>, shared_pixels bigint, either_pixels bigint, own_pixels bigint")
+    def compare(a: pa.Array, b: pa.Array) -> pa.Array:
+        return compare_batch(a, b)
+
+    return compare(a.cast(_LONGS), b.cast(_LONGS))
+
+
 #: Fixed value: corners are rounded to this part of a pixel.
 FINE = 5
 

@@ -54,3 +54,17 @@ def test_regions_are_dealt_to_few_cells(spark):
     regions = truths.toDF("image_id", "anchor_id", *[f"bbox_{k}" for k in ("x1", "y1", "x2", "y2")])
     few, many = (grid.with_truths(regions, truths, "image_id", s).orderBy("anchor_id", "image_id", "gt_id", "overlap").collect() for s in (None, grid.CELL))
     assert few == many
+
+
+def test_masks_of_a_batch_are_compared_without_lambdas(spark):
+    from holdfast.functions import masks
+    from holdfast.queries import QUERIES
+
+    assert "aggregate(" not in plan(QUERIES["mask_merges"](spark, SMALL))
+    rows = [([0, 3, 2], [2, 3]), ([5], [0, 5]), ([1, 0, 2, 2], [4, 1, 0]), ([], []), ([0], []), (None, [1]), ([1, 2], [4]), ([1, None], [1])]
+    df = spark.createDataFrame(rows, "a array<bigint>, b array<bigint>").coalesce(1)
+    a, b = F.col("a"), F.col("b")
+    got = df.select(masks.compared(a, b).alias("m")).select("m.united", "m.shared_pixels", F.expr("case when m.shared_pixels > 0 then m.shared_pixels / m.either_pixels else 0D end").alias("iou"), F.col("m.united").isNull().alias("none")).collect()
+    want = df.select(masks.merged(a, b).alias("united"), masks.area(masks.merged(a, b, True)).alias("shared_pixels"), masks.overlap(a, b).alias("iou")).collect()
+    assert [r.united for r in got] == [r.united for r in want] and [r.shared_pixels for r in got] == [r.shared_pixels for r in want]
+    assert [r.iou for r in got if not r.none] == [r.iou for r in want if r.iou is not None]
