@@ -26,34 +26,60 @@ FULL = (
 MUST = ("frame_id", "detection_type", "bbox_x1", "bbox_y1", "bbox_x2", "bbox_y2")
 
 
-def detections(spark: SparkSession, root: str | list[str]) -> DataFrame:
+#: Orders of columns that a plan spells out; with more, each row looks up its own file's.
+LAYOUTS = 16
+
+
+def detections(spark: SparkSession, root: str | list[str], chosen: Callable[[Column], Column] | None = None) -> DataFrame:
     """FULL rows of every detections_full.csv below ``root`` (a folder or several), with the folder's name as dataset_key.
 
     Such a file is one of that name, or a part that Spark wrote into a folder of that name or into dataset_key=...; others aren't
     read. Each file's own header says where its columns stand. Absent ones are null, but for video_id (0), frame_number (the
     first number in frame_id), row_id (the place in its frame, in the file's order) and is_filtered (false). Other columns are
     left out. A file without one of ``MUST``, and a value that isn't of its column's type, are errors.
+
+    ``chosen`` says by dataset_key which datasets are wanted: the files of others are neither opened nor checked.
     """
     named = r"/(?:dataset_key=)?([^/]+?)(?:/detections_full\.csv)?/[^/]*$"
-    ours = F.rlike("path", F.lit(r"/detections_full\.csv$|/detections_full\.csv/part-[^/]*$|/dataset_key=[^/]*/part-[^/]*$"))
+    path, start = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    # Of the file's path alone, and right above the scan: Spark leaves out files by it.
+    ours = F.rlike(path, F.lit(r"/detections_full\.csv$|/detections_full\.csv/part-[^/]*$|/dataset_key=[^/]*/part-[^/]*$"))
+    wanted = ours if chosen is None else ours & chosen(F.regexp_extract(path, named, 1))
     reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "{detections_full,part-*}.csv")
-    at = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line")]
-    lines = reader.text(root).select("value", *at).where(ours & (F.col("start") == 0))
-    header = lines.groupBy("path").agg(F.min_by("value", "line").alias("h"))
+    at = [path.alias("path"), start.alias("start"), F.monotonically_increasing_id().alias("line")]
+    text = reader.text(root)
+    header = text.where(wanted).where(start == 0).select("value", *at).groupBy("path").agg(F.min_by("value", "line").alias("h"))
     names = F.transform(F.split(F.regexp_replace("h", "^\ufeff", ""), ","), lambda n: F.btrim(n, F.lit("\" \t\r")))
     headers = staged(header.select("path", names.alias("names")), "headers")
     missing = F.filter(F.array(*map(F.lit, MUST)), lambda n: ~F.array_contains("names", n))
     wide, bare, bad = headers.agg(F.max(F.size("names")), F.bool_or(~F.array_contains("names", "row_id")), F.min(F.when(F.size(missing) > 0, F.struct("path", missing.alias("missing"))))).first()
-    if not wide:
+    if not wide and (chosen is None or text.where(ours).isEmpty()):
         raise FileNotFoundError(f"no detections_full.csv below {root}")
     if bad:
         raise ValueError(f"{bad.path} lacks columns: {bad.missing}")
-    cells = [f"c{i}" for i in range(wide)]
-    rows = reader.schema(", ".join(f"{c} string" for c in cells)).csv(root).select(F.array(*cells).alias("cells"), *at).where(ours)
-    rows = rows.join(headers, "path").where(~((F.get("cells", F.lit(0)).eqNullSafe(F.get("names", F.lit(0)))) & F.array_contains("cells", "detection_type")))
+    cells = [f"c{i}" for i in range(wide or 1)]
+    rows = reader.schema(", ".join(f"{c} string" for c in cells)).csv(root).where(wanted).select(*cells, *(at if bare else at[:1]))
+    layouts = [r.names for r in headers.select("names").distinct().limit(LAYOUTS + 1).collect()]
+    if len(layouts) > LAYOUTS:
+        rows = rows.join(headers, "path").withColumn("cells", F.array(*cells))
+        first, filterable = F.get("names", F.lit(0)), F.array_contains("names", "is_filtered")
+
+        def cell(name: str) -> Column:
+            return F.get("cells", F.array_position("names", F.lit(name)).cast("int") - 1)
+
+    else:
+        if len(layouts) > 1:
+            of = F.coalesce(*[F.when(F.col("names") == F.array(*map(F.lit, n)), i) for i, n in enumerate(layouts)])
+            rows = rows.join(headers.select("path", of.alias("layout")), "path")
 
-    def cell(name: str) -> Column:
-        return F.get("cells", F.array_position("names", F.lit(name)).cast("int") - 1)
+        def by_layout(values: list[Column]) -> Column:
+            return values[0] if len(values) == 1 else F.coalesce(*[F.when(F.col("layout") == i, v) for i, v in enumerate(values)])
+
+        def cell(name: str) -> Column:
+            return by_layout([F.col(f"c{n.index(name)}") if name in n else F.lit(None).cast("string") for n in layouts] or [F.lit(None).cast("string")])
+
+        first, filterable = (by_layout([F.lit(x) for x in values]) for values in ([n[0] for n in layouts] or [""], ["is_filtered" in n for n in layouts] or [False]))
+    rows = rows.where(~(F.col("c0").eqNullSafe(first) & cell("detection_type").eqNullSafe("detection_type")))
 
     def typed(name: str, kind: str) -> Column:
         value = cell(name)
@@ -63,9 +89,9 @@ def detections(spark: SparkSession, root: str | list[str]) -> DataFrame:
 
     out = {name: typed(name, kind) for name, kind in (c.split() for c in FULL.split(", "))}
     out["video_id"] = F.coalesce(out["video_id"], F.lit(0).cast("bigint"))
-    out["is_filtered"] = F.when(F.array_contains("names", "is_filtered"), out["is_filtered"]).otherwise(False)
+    out["is_filtered"] = F.when(filterable, out["is_filtered"]).otherwise(False)
     out["frame_number"] = F.coalesce(out["frame_number"], parsing.first_number(out["frame_id"]))
-    found = rows.select(*[c.alias(n) for n, c in out.items()], F.regexp_extract("path", named, 1).alias("dataset_key"), "path", "start", "line")
+    found = rows.select(*[c.alias(n) for n, c in out.items()], F.regexp_extract("path", named, 1).alias("dataset_key"), *(["path", "start", "line"] if bare else []))
     if bare:
         nth = F.row_number().over(Window.partitionBy("path", "video_id", "frame_number", "frame_id").orderBy("start", "line"))
         found = found.withColumn("row_id", F.coalesce("row_id", nth.cast("bigint")))
@@ -113,21 +139,24 @@ def done_keys(spark: SparkSession, out: str) -> list[str]:
 
 def labelled(df: DataFrame, frame_size: tuple[int, int], config: w.PipelineConfig) -> DataFrame:
     """Labels (dataset_key, video_id, frame_number, frame_id, contact_label, source_hand) of detections of many datasets, in one plan."""
-    # Videos of two datasets may share numbers: the filters' key is a number for each dataset and video.
-    names = df.select("dataset_key", F.col("video_id").alias("own_video")).distinct().withColumn("number", F.xxhash64("dataset_key", "own_video"))
-    numbered = df.withColumn("video_id", F.xxhash64("dataset_key", "video_id"))
-    found = w.contact_labels(numbered, (F.lit(frame_size[0]), F.lit(frame_size[1])), config).withColumnRenamed("video_id", "number")
-    return found.join(names, "number").select("dataset_key", F.col("own_video").alias("video_id"), "frame_number", "frame_id", "contact_label", "source_hand")
+    # Videos of two datasets may share numbers: the filters' key is a text of both, from which both are read again.
+    kinds = df.schema
+    both = F.concat(F.coalesce(F.col("video_id").cast("string"), F.lit("")), F.lit("/"), F.coalesce(F.concat(F.lit("="), F.col("dataset_key")), F.lit("")))
+    found = w.contact_labels(df.withColumn("video_id", both), (F.lit(frame_size[0]), F.lit(frame_size[1])), config)
+    at = F.locate("/", "video_id")
+    video = F.when(at > 1, F.substring("video_id", F.lit(1), at - 1)).cast(kinds["video_id"].dataType)
+    dataset = F.when(at < F.length("video_id"), F.substring("video_id", at + 2, F.length("video_id")))
+    return found.select(dataset.alias("dataset_key"), video.alias("video_id"), "frame_number", "frame_id", "contact_label", "source_hand")
 
 
 def postprocess(spark: SparkSession, root: str, out: str, frame_size: tuple[int, int], config: w.PipelineConfig = w.PipelineConfig(), keys: list[str] | None = None, skip_existing: bool = False) -> None:
     """Labels of all datasets below ``root`` (or of ``keys``) in one plan, written as CSV by dataset; those already there can be skipped."""
-    df = detections(spark, root)
-    if keys:
-        df = df.where(F.col("dataset_key").isin(keys))
-    if skip_existing and (done := done_keys(spark, out)):
-        df = df.where(~F.col("dataset_key").isin(done))
-    joined = labelled(df, frame_size, config)
+    done = done_keys(spark, out) if skip_existing else []
+
+    def due(key: Column) -> Column:
+        return (key.isin(keys) if keys else F.lit(True)) & (~key.isin(done) if done else F.lit(True))
+
+    joined = labelled(detections(spark, root, due if keys or done else None), frame_size, config)
     writer = joined.repartition("dataset_key", "video_id").sortWithinPartitions("dataset_key", "video_id", "frame_number", "frame_id").write
     writer.mode("append" if skip_existing else "overwrite").option("header", True).partitionBy("dataset_key").csv(out)
 

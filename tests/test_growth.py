@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from holdfast.operators import detection_eval, filters, matching
+from holdfast.plans import batch
+from holdfast.plans.workflow import PipelineConfig
 from holdfast.queries.detections import det
 
 SMALL = "/root/testdata/sf0.001"
@@ -68,3 +70,32 @@ def test_masks_of_a_batch_are_compared_without_lambdas(spark):
     want = df.select(masks.merged(a, b).alias("united"), masks.area(masks.merged(a, b, True)).alias("shared_pixels"), masks.overlap(a, b).alias("iou")).collect()
     assert [r.united for r in got] == [r.united for r in want] and [r.shared_pixels for r in got] == [r.shared_pixels for r in want]
     assert [r.iou for r in got if not r.none] == [r.iou for r in want if r.iou is not None]
+
+
+TABLE = "frame_id,detection_type,bbox_x1,bbox_y1,bbox_x2,bbox_y2\n1.png,hand,1,2,3,4\n"
+
+
+def test_only_wanted_datasets_are_read(spark, tmp_path):
+    for key, text in (("a", TABLE), ("b", "frame_id\n1.png\n"), ("c", TABLE.replace(",1,2,", ",1,x,"))):
+        (tmp_path / "in" / key).mkdir(parents=True)
+        (tmp_path / "in" / key / "detections_full.csv").write_text(text)
+    batch.postprocess(spark, f"{tmp_path}/in", f"{tmp_path}/out", (100, 100), keys=["a"])
+    batch.postprocess(spark, f"{tmp_path}/in", f"{tmp_path}/out", (100, 100), keys=["a"], skip_existing=True)
+    assert [r.dataset_key for r in spark.read.option("header", True).csv(f"{tmp_path}/out").collect()] == ["a"]
+
+
+def test_detections_are_parsed_once(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "detections_full.csv").write_text(TABLE)
+    labels = batch.labelled(batch.detections(spark, f"{tmp_path}"), (100, 100), PipelineConfig(object_size=None, smaller_factor=None))
+    assert plan(labels).count("Relation [") == 1 and "Join" not in plan(labels)
+    assert [tuple(r) for r in labels.select("dataset_key", "video_id", "frame_number").collect()] == [("a", 0, 1)]
+
+
+def test_any_number_of_orders_of_columns(spark, tmp_path, monkeypatch):
+    for i in range(3):
+        (tmp_path / f"d{i}").mkdir()
+        (tmp_path / f"d{i}" / "detections_full.csv").write_text("\n".join(",".join(x[i:] + x[:i]) for x in (r.split(",") for r in TABLE.split())))
+    few = sorted(map(str, batch.detections(spark, f"{tmp_path}").collect()))
+    monkeypatch.setattr(batch, "LAYOUTS", 2)
+    assert few == sorted(map(str, batch.detections(spark, f"{tmp_path}").collect())) and len(few) == 3
