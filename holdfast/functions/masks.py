@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -255,56 +256,77 @@ def compared(a: Column, b: Column) -> Column:
 FINE = 5
 
 
+def polygon_batch(corners: pa.Array, height: pa.Array, width: pa.Array) -> pa.Array:
+    """Runs of rows' polygons, as ``polygon`` says; null where something is null.
+
+    A row of numpy's is an edge first, then a column of pixels that an edge crosses; one sort of places serves the batch.
+    """
+    flat = corners.flatten()
+    x, y = (pa.compute.struct_field(flat, [i]) for i in (0, 1))
+    bad = corners.is_null().to_numpy(zero_copy_only=False) | height.is_null().to_numpy(zero_copy_only=False) | width.is_null().to_numpy(zero_copy_only=False)
+    if x.null_count or y.null_count:
+        bad |= np.array([c is not None and any(p is None or p["x"] is None or p["y"] is None for p in c) for c in corners.to_pylist()], bool)
+    kept = corners.filter(pa.array(~bad))
+    flat, starts = kept.flatten(), kept.offsets.to_numpy().astype(np.int64)
+    starts = starts - starts[0]
+    high, wide = (c.filter(pa.array(~bad)).to_numpy(zero_copy_only=False).astype(np.int64) for c in (height, width))
+    n, sizes = len(starts) - 1, np.diff(starts)
+    x, y = ((pa.compute.struct_field(flat, [i]).to_numpy(zero_copy_only=False).astype(float) * FINE + 0.5).astype(np.int64) for i in (0, 1))
+    row = np.repeat(np.arange(n), sizes)
+    after = np.arange(1, len(x) + 1)
+    after[starts[1:][sizes > 0] - 1] = starts[:-1][sizes > 0]
+    bx, by = x[after], y[after]
+    level = np.abs(bx - x) >= np.abs(by - y)
+    # From left to right, or, of a steep edge, from top to bottom.
+    turned = np.where(level, x > bx, y > by)
+    x1, y1, x2, y2 = (np.where(turned, b, a) for a, b in ((x, bx), (y, by), (bx, x), (by, y)))
+    middle = FINE // 2
+    # The middle of column c is between the lattice's places FINE * c + 2 and the next.
+    begin = np.maximum(-((middle - np.minimum(x1, x2)) // FINE), 0)
+    end = np.minimum(-((middle - np.maximum(x1, x2)) // FINE), wide[row]) - 1
+    with np.errstate(divide="ignore", invalid="ignore"):
+        slope = np.where(level, (y2 - y1) / (x2 - x1), (x2 - x1) / (y2 - y1))
+    count = np.maximum(end - begin + 1, 0)
+    edge = np.repeat(np.arange(len(x)), count)
+    column = begin[edge] + np.arange(len(edge)) - np.repeat(np.cumsum(count) - count, count)
+    u, x1, y1, slope, level, steps, of = column * FINE + middle, x1[edge], y1[edge], slope[edge], level[edge], (y2 - y1)[edge], row[edge]
+    place = np.empty(len(edge), np.int64)
+    i = np.flatnonzero(level)
+    lines = [(y1[i] + slope[i] * t + 0.5).astype(np.int64) for t in (u[i] - x1[i], u[i] + 1 - x1[i])]
+    place[i] = np.minimum(*lines)
+    # A steep edge: the last row before it changes sides, near where it would by real numbers.
+    i = np.flatnonzero(~level)
+    low = np.maximum(np.floor((u[i] + 0.5 - x1[i]) / slope[i]).astype(np.int64) - 2, 0)
+    found = np.full(len(i), -1)
+    for t in (low + k for k in range(4, -1, -1)):
+        left, right = ((x1[i] + slope[i] * v + 0.5).astype(np.int64) <= u[i] for v in (t, t + 1))
+        found = np.where((t < steps[i]) & (left != right), t, found)
+    place[i], lost = y1[i] + found, i[found < 0]
+    at = column * high[of] + np.clip(-((middle - place) // FINE), 0, high[of])
+    size = high * wide
+    inside = at < size[of]
+    inside[lost] = False
+    # A place that comes an even number of times is none; each mask's end is one more.
+    base = np.concatenate([[0], np.cumsum(size + 1)])
+    places, times = np.unique(at[inside] + base[of[inside]], return_counts=True)
+    stops = np.sort(np.concatenate([places[times % 2 == 1], base[:n] + size]))
+    of = np.searchsorted(base, stops, "right") - 1
+    first = np.append(True, of[1:] != of[:-1])[: len(of)]
+    runs = stops - np.where(first, base[of], np.append(0, stops[:-1])[: len(of)])
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=n))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(runs, pa.int64())).take(pa.array(np.where(bad, 0, np.cumsum(~bad) - 1), pa.int64(), mask=bad))
+
+
 def polygon(corners: Column, height: Column, width: Column) -> Column:
-    """Runs of a polygon's mask, from an array of its corners (x, y).
+    """Runs of a polygon's mask, from an array of its corners (x, y), for whole Arrow batches.
 
     Scan lines are the columns of pixels: each edge that crosses a column's middle says at which row the inside begins or ends
     there, by the lattice line of ``FINE`` steps a pixel that is nearest to the edge; two such places that are the same cancel.
     What is beyond the image is cut off. Fewer than three corners enclose nothing.
     """
-    height, width = height.cast("bigint"), width.cast("bigint")
-    fine = F.transform(corners, lambda c: F.struct((c.x * FINE + 0.5).cast("bigint").alias("x"), (c.y * FINE + 0.5).cast("bigint").alias("y")))
-
-    def crossings(c: Column, i: Column, ring: Column) -> Column:
-        d = F.get(ring, ((i + 1) % F.size(ring)).cast("int"))
-        flat = F.abs(d.x - c.x) >= F.abs(d.y - c.y)
-        # From left to right, or, of a steep edge, from top to bottom.
-        turned = F.when(flat, c.x > d.x).otherwise(c.y > d.y)
-        first = lambda k: F.when(turned, d[k]).otherwise(c[k])
-        last = lambda k: F.when(turned, c[k]).otherwise(d[k])
-        edge = F.struct(first("x").alias("x1"), first("y").alias("y1"), last("x").alias("x2"), last("y").alias("y2"), flat.alias("flat"))
-        return _let(edge, columns_of)
-
-    def columns_of(e: Column) -> Column:
-        low, high = F.least(e.x1, e.x2), F.greatest(e.x1, e.x2)
-        middle = FINE // 2
-        # The middle of column x is between the lattice's places FINE * x + 2 and the next.
-        begin, end = F.greatest(F.ceil((low - middle) / FINE), F.lit(0)), F.least(F.ceil((high - middle) / FINE), width) - 1
-        slope = F.when(e.flat, (e.y2 - e.y1) / (e.x2 - e.x1)).otherwise((e.x2 - e.x1) / (e.y2 - e.y1))
-        line = F.struct(e.x1.alias("x1"), e.y1.alias("y1"), (e.y2 - e.y1).alias("n"), e.flat.alias("flat"), slope.alias("slope"))
-        return F.when(begin <= end, _let(line, lambda s: F.transform(F.sequence(begin, end), lambda x: _place(s, x, x * FINE + middle, height)))).otherwise(_nothing())
-
-    toggles = F.flatten(_let(fine, lambda ring: F.transform(ring, lambda c, i: crossings(c, i, ring))))
-    total = height * width
-    ends = F.filter(F.array_sort(toggles), lambda p: p < total)
-
-    def odd(s: Column, p: Column) -> Column:
-        same = s.held == p
-        return F.struct(F.when(s.held.isNull() | same, s.out).otherwise(F.concat(s.out, F.array(s.held))).alias("out"), F.when(same, F.lit(None).cast("bigint")).otherwise(p).alias("held"))
-
-    kept = F.aggregate(ends, F.struct(_nothing().alias("out"), F.lit(None).cast("bigint").alias("held")), odd, lambda s: F.when(s.held.isNull(), s.out).otherwise(F.concat(s.out, F.array(s.held))))
-    return _let(F.concat(kept, F.array(total)), lambda e: F.transform(e, lambda p, i: F.when(i > 0, p - F.get(e, i - 1)).otherwise(p)))
-
-
-def _place(s: Column, x: Column, u: Column, height: Column) -> Column:
-    """Where an edge crosses the middle of column x, between the lattice's places u and u + 1, as a place in the mask."""
-    at = lambda t: (s.y1 + s.slope * t + 0.5).cast("bigint")
-    across = lambda t: (s.x1 + s.slope * t + 0.5).cast("bigint")
-    flat = F.least(at(u - s.x1), at(u + 1 - s.x1))
-    # A steep edge: the last row before it changes sides, near where it would by real numbers.
-    near = F.floor((u + 0.5 - s.x1) / s.slope)
-    rows = F.sequence(F.greatest(near - 2, F.lit(0)), F.greatest(near - 2, F.lit(0)) + 4)
-    changes = F.filter(rows, lambda t: (t < s.n) & ((across(t) <= u) != (across(t + 1) <= u)))
-    steep = s.y1 + F.get(changes, F.lit(0))
-    row = F.ceil((F.when(s.flat, flat).otherwise(steep) - FINE // 2) / FINE)
-    return x * height + F.greatest(F.lit(0), F.least(row, height)).cast("bigint")
+
+    @F.arrow_udf(_LONGS)
+    def runs(corners: pa.Array, height: pa.Array, width: pa.Array) -> pa.Array:
+        return polygon_batch(corners, height, width)
+
+    return runs(corners.cast("array<struct<x:double,y:double>>"), height.cast("bigint"), width.cast("bigint"))

@@ -73,3 +73,12 @@ def test_boxes_by_the_ends_of_runs(spark):
     assert got == [(0, 1, 2, 2), (0, 0, 0, 0), (0, 0, 0, 0), (0, 0, 1, 3), (1, 0, 1, 2), None]
     odd = spark.createDataFrame([([3], [2, 2]), (None, [3]), ([], [])], "a array<int>, b array<int>").coalesce(1)
     assert [(r.u, r.o) for r in odd.select(masks.merged(F.col("a"), F.col("b")).alias("u"), masks.overlap(F.col("a"), F.col("b")).alias("o")).collect()] == [(None, None), (None, None), ([], 0.0)]
+
+
+def test_polygons_are_folded_by_batches(spark):
+    square = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]
+    df = spark.createDataFrame([(0, square, 6), (1, None, 6), (2, square, None), (3, [], 6), (4, [(0.0, 0.0), (None, 1.0), (4.0, 4.0)], 6)], "i int, c array<struct<x:double,y:double>>, h int")
+    out = df.select("i", masks.polygon(F.col("c"), F.col("h"), F.lit(5)).alias("m"))
+    shown = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in shown and "lambdafunction" not in shown
+    assert {r.i: r.m for r in out.collect()} == {0: masks.encode(drawn(square, 6, 5)), 1: None, 2: None, 3: [30], 4: None}
