@@ -11,12 +11,12 @@ The state store must be RocksDB's, as for all of Spark's stateful processors:
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from itertools import groupby
 from typing import Protocol
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
@@ -47,50 +47,48 @@ class Stepper(Protocol):
 
 
 class Stepped(StatefulProcessor):
-    """State of a key: what the stepper keeps; rows that wait; the time of the one timer and of the last row stepped through."""
+    """State of a key: what the stepper keeps; rows that wait; and a clock: the time of the one timer and of the last row stepped
+    through, and whether rows wait. A key has few rows in a micro-batch, so that each call to the state and each value in it counts:
+    rows come as they are, without a data frame for each key; thousands of them wait as one value; the clock is read and written once."""
 
-    def __init__(self, stepper: Stepper, held: str, names: list[str], time: str, idle: int) -> None:
-        self.stepper, self.schema, self.names, self.time, self.idle = stepper, held, names, time, idle
+    def __init__(self, stepper: Stepper, names: list[str], idle: int) -> None:
+        self.stepper, self.idle = stepper, idle
+        self.row = Row(*names)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.kept = handle.getValueState("kept", self.stepper.state)
-        self.held = handle.getListState("held", self.schema)
-        self.clock = handle.getValueState("clock", "timer bigint, last bigint")
+        self.held = handle.getListState("held", "rows binary")
+        self.clock = handle.getValueState("clock", "timer bigint, last bigint, waiting boolean")
 
-    def _set_timer(self, at: int, last: int | None, old: int | None) -> None:
+    def _set_timer(self, at: int, last: int | None, waiting: bool, old: int | None) -> None:
         if old != at:
             if old is not None:
                 self.handle.deleteTimer(old)
             self.handle.registerTimer(at)
-        self.clock.update((at, last))
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        new = []
-        for pdf in rows:
-            # Rows without their first column only move the watermark.
-            pdf = pdf[pdf[self.stepper.needed[0]].notna()]
-            times = (pdf[self.time].astype("int64") // _per_ms(pdf[self.time])).tolist()
-            columns = [_plain(pdf[c]) for c in self.stepper.needed]
-            new += list(zip(times, *columns, strict=True))
+        self.clock.update((at, last, waiting))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
+        n = 1 + len(self.stepper.needed)
+        # Rows without their first column only move the watermark. What isn't a number is missing.
+        new = [tuple(None if v != v else v for v in row[-n:]) for row in rows if row[1 - n] is not None and row[1 - n] == row[1 - n]]
         if new:
-            timer, last = self.clock.get() if self.clock.exists() else (None, None)
-            waiting = timer is not None and self.held.exists()
-            self.held.appendList(new)
+            timer, last, waiting = self.clock.get() or (None, None, False)
+            self.held.appendList(_packed(new))
             earliest = min(r[0] for r in new)
-            self._set_timer(min(earliest, timer) if waiting else earliest, last, timer)
+            self._set_timer(min(earliest, timer) if waiting else earliest, last, True, timer)
         return iter(())
 
-    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs()
-        _, last = self.clock.get()
+        _, last, waiting = self.clock.get()
         fired = expiredTimerInfo.getExpiryTimeInMs()
-        rows = list(self.held.get()) if self.held.exists() else []
+        rows = [r for part in self.held.get() for r in pickle.loads(part[0])] if waiting else []
         ready, rest = [r for r in rows if r[0] <= now], [r for r in rows if r[0] > now]
         out: list[tuple] = []
         if ready:
             ready.sort(key=lambda r: r[: 1 + self.stepper.order])
-            state = self.kept.get() if self.kept.exists() else None
+            state = self.kept.get() if last is not None else None
             for part in self._apart(ready):
                 if last is not None and part[0][0] - last >= self.idle:
                     state = None
@@ -100,16 +98,16 @@ class Stepped(StatefulProcessor):
             if state is not None:
                 self.kept.update(state)
         if rest:
-            self.held.put(rest)
-            self._set_timer(min(r[0] for r in rest), last, None)
+            self.held.put(_packed(rest))
+            self._set_timer(min(r[0] for r in rest), last, True, None)
         elif last is not None and now < last + self.idle:
-            self.held.clear()
-            self._set_timer(last + self.idle, last, None if fired <= now else fired)
+            if rows:
+                self.held.clear()
+            self._set_timer(last + self.idle, last, False, None if fired <= now else fired)
         else:
             for state in (self.held, self.kept, self.clock):
                 state.clear()
-        if out:
-            yield pd.DataFrame([(*key, *r) for r in out], columns=self.names)
+        return iter([self.row(*key, *r) for r in out])
 
     def _apart(self, rows: list[tuple]) -> Iterator[list[tuple]]:
         """Rows between which no idle time passes. What begins anew doesn't depend on when the rows came."""
@@ -125,13 +123,8 @@ class Stepped(StatefulProcessor):
         pass
 
 
-def _per_ms(times: pd.Series) -> int:
-    return {"ns": 1_000_000, "us": 1000, "ms": 1}[times.dt.unit]
-
-
-def _plain(values: pd.Series) -> list:
-    """Python values, None for what is missing; numbers that became floats because some are missing are whole again in the state's types."""
-    return [None if missing else v for v, missing in zip(values.tolist(), values.isna().tolist(), strict=True)]
+def _packed(rows: list[tuple], most: int = 4096) -> list[tuple]:
+    return [(pickle.dumps(rows[i : i + most]),) for i in range(0, len(rows), most)]
 
 
 def stepped(df: DataFrame, keys: list[str], time: str, stepper: Stepper, delay: str = "10 seconds", idle: str = "10 minutes") -> DataFrame:
@@ -141,10 +134,9 @@ def stepped(df: DataFrame, keys: list[str], time: str, stepper: Stepper, delay:
     """
     fields = StructType.fromDDL(stepper.output).fields
     output = StructType([df.schema[k] for k in keys] + fields)
-    used = df.select(*keys, time, *[c for c in stepper.needed if c not in keys and c != time])
-    held = ", ".join(["at bigint", *[f"v{i} {used.schema[c].dataType.simpleString()}" for i, c in enumerate(stepper.needed)]])
-    processor = Stepped(stepper, held, [f.name for f in output.fields], time, milliseconds(idle))
-    return used.withWatermark(time, delay).groupBy(*keys).transformWithStateInPandas(processor, output, "Append", "EventTime")
+    used = df.select(*keys, time, F.unix_millis(F.col(time).cast("timestamp")).alias("__at"), *[F.col(c).alias(f"__{i}") for i, c in enumerate(stepper.needed)])
+    processor = Stepped(stepper, [f.name for f in output.fields], milliseconds(idle))
+    return used.withWatermark(time, delay).groupBy(*keys).transformWithState(processor, output, "Append", "EventTime")
 
 
 _BOX = ["bbox_x1", "bbox_y1", "bbox_x2", "bbox_y2"]

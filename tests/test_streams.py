@@ -98,5 +98,11 @@ def test_a_sequence_that_is_over_begins_anew(spark, tmp_path):
     assert sorted(r.row_id for r in got) == [10, 15, 20] and state > 0
 
 
+def test_rows_that_wait_are_few_values(spark, tmp_path):
+    df = timed(spark, [(1, 5.0, i, i) for i in range(50)], "v bigint, time_sec double, frame_idx bigint, row_id bigint", F.col("time_sec"))
+    got, state = stream(spark, tmp_path, [df], lambda s: sequences.stream_subsample(s, ["v"], 2.0, delay="10 seconds"), "waiting")
+    assert got == [] and 0 < state < 10
+
+
 def test_intervals():
     assert sequences.milliseconds("2 seconds") == 2000 and sequences.milliseconds("1.5 minutes") == 90_000
