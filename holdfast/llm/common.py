@@ -10,7 +10,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..staging import again, discard, scratch, shared_dir, shuffle_partitions, staged  # noqa: F401
+from ..staging import again, discard, place_in_files, scratch, shared_dir, shuffle_partitions, staged  # noqa: F401
 
 #: The white space of every contract here: space and the five control characters tab to carriage return.
 WHITE = " \t\n\x0b\x0c\r"

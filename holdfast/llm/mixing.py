@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.runs import ranked
-from .common import NOT_WHITE_RUN, fresh, named, shuffle_partitions, staged
+from .common import NOT_WHITE_RUN, fresh, named, place_in_files, shuffle_partitions, staged
 
 
 def words() -> Column:
@@ -103,11 +103,15 @@ def copies(docs: DataFrame, **parameters) -> DataFrame:
 def mix(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of ``docs``, each as often as ``copies`` says, with all their columns, whatever their names.
 
-    Rows are numbered in a written table, and decided on by number, source and size; texts are joined to the decisions once. Rows
-    that agree in doc_id, source and size go by a hash of their texts, so that reruns agree; equal rows are interchangeable.
+    Rows are decided on by number, source and size; texts are joined to the decisions once. Rows that agree in doc_id, source
+    and size go by a hash of their texts, so that reruns agree; equal rows are interchangeable. Rows of files are numbered by
+    file and place, so that their texts aren't written once more; others are numbered in a written table.
     """
     row, n = fresh(docs, "row", "copies")
-    numbered = staged(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    if (place := place_in_files(docs)) is not None:
+        numbered = docs.select("*", place.alias(row))
+    else:
+        numbered = staged(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     sizes = numbered.select(F.col(row).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), "source", words().alias("size"), F.xxhash64("text").alias("tie"))
     taken = _copies(staged(sizes, "sizes"), **parameters).where("copies > 0").select(F.col("row").alias(row), F.col("copies").cast("int").alias(n))
     again = F.explode(F.array_repeat(F.lit(1), F.col(n))).alias(n)

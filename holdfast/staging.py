@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -60,5 +61,13 @@ def discard(*frames: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def place_in_files(df: DataFrame) -> Column | None:
+    """A struct (file, place) that tells rows of ``df`` apart however often it is read; None unless ``df`` is a table of Parquet files as it is read."""
+    plan = df._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() != "LogicalRelation" or "_metadata" in df.columns or not plan.toString().rstrip().endswith("parquet"):
+        return None
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -113,3 +113,16 @@ def test_a_crowd_hides_no_link(spark):
     sc = spark.sparkContext
     distinct = spark.createDataFrame(sc.parallelize(rows[:-1], 1).union(sc.parallelize(rows[-1:], 1)), "rep bigint, fp binary")
     assert {r.node: r.component for r in w.groups(distinct, 0.8, 0.99).collect()} == dict.fromkeys(range(1, n), 0)
+
+
+def test_mixing_writes_no_texts_of_files_again(spark, tmp_path, monkeypatch):
+    from holdfast.llm import mixing
+
+    rows = [(None if i % 9 == 0 else i // 2, "w " * (i % 7 + 1), ("a", "b", None)[i % 3], i) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string, place int").repartition(3).write.parquet(f"{tmp_path}/docs")
+    docs, written, plain = spark.read.parquet(f"{tmp_path}/docs"), [], mixing.staged
+    monkeypatch.setattr(mixing, "staged", lambda df, *rest: written.append(df.columns) or plain(df, *rest))
+    words = lambda df: sorted((r.source or "", r.doc_id or -1, r.text) for r in df.collect())
+    got = words(mixing.mix(docs))
+    assert got and not any("text" in columns for columns in written)
+    assert got == words(mixing.mix(docs.where("place >= 0"))) and any("text" in columns for columns in written)
