@@ -10,8 +10,11 @@ from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, replace
 from itertools import groupby
 from math import hypot
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,8 +29,8 @@ def iou(a: Box, b: Box) -> float:
     w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
     if w <= 0 or h <= 0:
         return 0.0
-    size = lambda x: max(0.0, x[2] - x[0]) * max(0.0, x[3] - x[1])
-    union = size(a) + size(b) - w * h
+    # Boxes that share something have sides above 0.
+    union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - w * h
     return w * h / union if union > 0 else 0.0
 
 
@@ -68,7 +71,7 @@ class BridgeConfig:
         )
 
 
-@dataclass
+@dataclass(slots=True)
 class Track:
     track_id: int
     last: Box
@@ -78,14 +81,13 @@ class Track:
     stationary_streak: int = 0
 
 
-@dataclass
+@dataclass(slots=True)
 class BridgeState:
     track: Track | None = None
     next_id: int = 1
 
 
-@dataclass(frozen=True)
-class Detection:
+class Detection(NamedTuple):
     row_id: int
     is_hand: bool
     box: Box
@@ -94,7 +96,7 @@ class Detection:
     blue: bool
 
 
-@dataclass
+@dataclass(slots=True)
 class FrameResult:
     """What a frame's rows get: state, track, box and its source; and which row is promoted."""
 
@@ -109,16 +111,19 @@ class FrameResult:
 
 def _seed(frame: list[Detection], least: float) -> Detection | None:
     hands = [d for d in frame if d.is_hand and d.label == PORTABLE and not d.blue]
-    objects = [d for d in frame if not d.is_hand and probability(d.confidence) >= least]
-    key = lambda p: (-probability(p[1].confidence), hypot(*(x - y for x, y in zip(centre(p[0].box), centre(p[1].box), strict=True))), -iou(p[0].box, p[1].box), p[1].row_id, p[0].row_id)
-    best = min(((h, o) for h in hands for o in objects), key=key, default=None)
-    return best[1] if best else None
+    objects = [(p, d) for d in frame if not d.is_hand and (p := probability(d.confidence)) >= least] if hands else []
+    most = max((p for p, _ in objects), default=0.0)
+    likeliest = [d for p, d in objects if p == most]
+    if len(likeliest) < 2:
+        return likeliest[0] if likeliest else None
+    key = lambda p: (hypot(*(x - y for x, y in zip(centre(p[0].box), centre(p[1].box), strict=True))), -iou(p[0].box, p[1].box), p[1].row_id, p[0].row_id)
+    return min(((h, o) for h in hands for o in likeliest), key=key)[1]
 
 
 def _associated(frame: list[Detection], box: Box, least: float) -> Detection | None:
     best, mark = None, (0.0, 0.0)
     for d in frame:
-        if not d.is_hand and (found := (iou(box, d.box), probability(d.confidence))) > mark:
+        if not d.is_hand and (over := iou(box, d.box)) >= mark[0] and (found := (over, probability(d.confidence))) > mark:
             best, mark = d, found
     return best if best and mark[0] >= least else None
 
@@ -145,7 +150,7 @@ def step(state: BridgeState, frame: list[Detection], config: BridgeConfig) -> tu
     if found is not None:
         track = Track(track.track_id, found.box, track.last)
         return BridgeState(track, state.next_id), FrameResult("tracking", track.track_id, 0, track.last, "associated_detected")
-    track = replace(track, before=track.last, last=ahead, missed=track.missed + 1)
+    track = Track(track.track_id, ahead, track.last, track.missed + 1, track.no_contact_streak, track.stationary_streak)
     if track.missed > config.max_missed:
         return BridgeState(None, state.next_id), FrameResult("lost", track.track_id, track.missed)
     result = FrameResult("tracking", track.track_id, track.missed, track.last, "predicted")
@@ -187,6 +192,55 @@ def annotate(rows: list[tuple], state: BridgeState, config: BridgeConfig) -> tup
     return out, state
 
 
+def _values(column: pa.Array) -> list:
+    return column.to_pylist() if column.null_count or not pa.types.is_primitive(column.type) else column.to_numpy(zero_copy_only=False).tolist()
+
+
+def _words(column: pa.Array) -> list[str | None]:
+    """Texts of which there are few."""
+    codes = column.dictionary_encode(null_encoding="encode")
+    words = codes.dictionary.to_pylist()
+    return [words[i] for i in codes.indices.to_numpy().tolist()]
+
+
+def annotated_batch(batch: pa.RecordBatch, state: BridgeState, video: object, config: BridgeConfig) -> tuple[list[pa.Array], BridgeState, object]:
+    """What ``annotate`` gives for a batch of whole frames of several videos, as columns (ADDED): a step a frame, no tuple a row."""
+    column, change = batch.column, np.zeros(batch.num_rows, bool)
+    change[0] = True
+    for name in ("video_id", "frame_number", "frame_id"):
+        codes = column(name).dictionary_encode(null_encoding="encode").indices.to_numpy()
+        change[1:] |= codes[1:] != codes[:-1]
+    starts = np.flatnonzero(change)
+    stops = np.append(starts[1:], batch.num_rows)
+    is_ = lambda name, value: pa.compute.fill_null(pa.compute.equal(column(name), value), False).to_numpy(zero_copy_only=False)
+    seen = ~is_("is_filtered", True)
+    corners = [column(f"bbox_{k}") for k in ("x1", "y1", "x2", "y2")]
+    if any(c.null_count and (c.is_null().to_numpy(zero_copy_only=False) & seen).any() for c in corners):
+        raise TypeError("a detection's box lacks a corner")
+    numbers = lambda c: c.cast(pa.float64(), safe=False).to_numpy(zero_copy_only=False).tolist()
+    ids = _values(column("row_id"))
+    rows = list(map(Detection, ids, is_("detection_type", "hand").tolist(), zip(*map(numbers, corners), strict=True), numbers(column("confidence")), _words(column("contact_label")), is_("blue_glove_status", "experimenter").tolist()))
+    hidden = np.add.reduceat(~seen, starts, dtype=np.int64).tolist()
+    seen, found, mine, overlap = seen.tolist(), [], np.zeros(len(rows), bool), [None] * len(rows)
+    for v, begin, end, some in zip(column("video_id").take(pa.array(starts)).to_pylist(), starts.tolist(), stops.tolist(), hidden, strict=True):
+        if v != video:
+            state, video = BridgeState(), v
+        frame = [rows[i] for i in range(begin, end) if seen[i]] if some else rows[begin:end]
+        state, f = step(state, frame, config)
+        found.append(f)
+        if f.promoted is not None:
+            for i in range(begin, end):
+                if ids[i] == f.promoted:
+                    mine[i], overlap[i] = True, f.overlap
+    of = pa.array(np.repeat(np.arange(len(starts)), stops - starts))
+    by_frame = lambda values, kind: pa.array(values, kind).take(of)
+    boxes = zip(*(f.box or (None,) * 4 for f in found), strict=True)
+    return [
+        pa.array(mine), by_frame([f.track_id for f in found], pa.int64()), pa.array(overlap, pa.float64()), by_frame([f.missed for f in found], pa.int64()), by_frame([f.state for f in found], pa.string()),
+        *[by_frame(b, pa.float64()) for b in boxes], by_frame([f.source for f in found], pa.string()),
+    ], state, video
+
+
 def tracking_bridge(df: DataFrame, config: BridgeConfig = BridgeConfig()) -> DataFrame:
     """``df`` with tracking columns; hands that a track promotes become Portable Object."""
     config = config.clamped()
@@ -197,13 +251,7 @@ def tracking_bridge(df: DataFrame, config: BridgeConfig = BridgeConfig()) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, video = BridgeState(), None
         for batch in whole_groups(batches, ["video_id", "frame_number", "frame_id"]):
-            out: list[tuple] = []
-            for v, rows in groupby(zip(*(batch.column(c).to_pylist() for c in NEEDED), strict=True), key=lambda r: r[0]):
-                if v != video:
-                    state, video = BridgeState(), v
-                found, state = annotate(list(rows), state, config)
-                out += [r[3:] for r in found]
-            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), _added_types, strict=True)]
+            columns, state, video = annotated_batch(batch, state, video, config)
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=schema.names)
 
     marked = in_order(df, ["video_id"], ["frame_number", "frame_id", "row_id"]).mapInArrow(run, schema)
@@ -211,9 +259,6 @@ def tracking_bridge(df: DataFrame, config: BridgeConfig = BridgeConfig()) -> Dat
     return marked.withColumns({"contact_label": F.when(promoted, PORTABLE).otherwise(F.col("contact_label")), "contact_state": F.when(promoted, 3).otherwise(F.col("contact_state"))})
 
 
-_added_types = [pa.bool_(), pa.int64(), pa.float64(), pa.int64(), pa.string(), *[pa.float64()] * 4, pa.string()]
-
-
 def pick(candidates: list[tuple[Box, float]], before: Box | None) -> Box | None:
     """The valid box that overlaps the previous one most, then of highest score, then of smallest corners."""
     good = [(b, s) for b, s in candidates if b[2] > b[0] and b[3] > b[1]]

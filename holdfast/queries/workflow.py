@@ -65,7 +65,7 @@ select d.video_id, d.frame_number, d.row_id, case when w.promoted = d.row_id the
 
 @query(_BRIDGE)
 def tracking_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = tracking.tracking_bridge(det(spark, sf_dir), BRIDGE)
+    out = tracking.tracking_bridge(det(spark, sf_dir).select(*tracking.NEEDED, "contact_state"), BRIDGE)
     return out.select("video_id", "frame_number", "row_id", "contact_label", "tracking_promoted", "tracking_track_id", F.round("tracking_iou", 6).alias("tracking_iou"), "tracking_missed_count", "tracking_state", "tracking_bbox_source", F.round("tracking_bbox_x1", 6).alias("x1"))
 
 

@@ -1,8 +1,13 @@
 """Steps whose work once grew faster than their input: each is done once, and results stay those of the plain way."""
 
+import random
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from holdfast.operators import detection_eval, filters, matching
+from holdfast.operators import detection_eval, filters, matching, tracking
+from holdfast.operators.streams import whole_groups
 from holdfast.plans import batch
 from holdfast.plans.workflow import PipelineConfig
 from holdfast.queries.detections import det
@@ -99,3 +104,24 @@ def test_any_number_of_orders_of_columns(spark, tmp_path, monkeypatch):
     few = sorted(map(str, batch.detections(spark, f"{tmp_path}").collect()))
     monkeypatch.setattr(batch, "LAYOUTS", 2)
     assert few == sorted(map(str, batch.detections(spark, f"{tmp_path}").collect())) and len(few) == 3
+
+
+def test_a_batch_of_frames_is_annotated_as_rows_are(spark):
+    rng = random.Random(5)
+    rows, row = [], 0
+    for v, number in ((v, n) for v in (None, 1, 2) for n in range(150)):
+        for i in range(rng.choice([1, 2, 4])):
+            row += 1
+            x, y = rng.randrange(0, 40), rng.randrange(0, 40)
+            label = rng.choice(["Portable Object", "No Contact", "Stationary Object", None])
+            rows.append((v, number // 2, f"{number}.png", row, rng.choice(["hand", "object"]), x, y, x + 40, y + 40, rng.choice([None, 90.0, 0.9, 50.0]), label, rng.choice(["NA", "NA", None, "experimenter"]), rng.choice([True, False, None])))
+    columns = [pa.array(c) for c in zip(*rows, strict=True)]
+    config, want = tracking.BridgeConfig(max_missed=3, confirm=1).clamped(), []
+    for _, video in groupby(rows, key=lambda r: r[0]):
+        want += [r[3:] for r in tracking.annotate(list(video), tracking.BridgeState(), config)[0]]
+    got, state, video = [], tracking.BridgeState(), None
+    whole = pa.RecordBatch.from_arrays(columns, names=tracking.NEEDED)
+    for batch in whole_groups((whole.slice(i, 100) for i in range(0, len(rows), 100)), tracking.NEEDED[:3]):
+        added, state, video = tracking.annotated_batch(batch, state, video, config)
+        got += list(zip(*(c.to_pylist() for c in added), strict=True))
+    assert got == want and any(r[0] for r in got) and {r[4] for r in got} == {"inactive", "tracking", "lost"}
