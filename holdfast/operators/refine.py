@@ -6,12 +6,13 @@ number at once: candidates for the previous boundary are columns of a matrix, in
 
 from __future__ import annotations
 
+import contextlib
 import math
 from dataclasses import dataclass, field
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,6 +90,10 @@ def _best_path(score, n: int, k: int, longest: int) -> tuple[float, list[tuple[i
     return float(best[n]), cuts[::-1]
 
 
+#: Frames up to which a sequence's scores of all segments are held at once, 2 MB a state.
+SHORT = 512
+
+
 def _filled(cuts: list[tuple[int, int]], start: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     segments = [(u, t, (start + i) % 2) for i, (u, t) in enumerate(cuts)]
     return np.concatenate([np.full(t - u, s) for u, t, s in segments]), segments
@@ -184,6 +189,14 @@ class SegmentHSMM:
             s = (self.start_state + m - 1) % 2
             return self.emission_weight * (emit[s][t] - emit[s][u]) + self.duration_weight * last[s][np.clip(t - u, 0, longest)]
 
+        if n <= SHORT:
+            # A short sequence's segments are scored once for each state, not for each number of a segment and pass.
+            ends = np.arange(n + 1)
+            whole = [score(1 + (s - self.start_state) % 2, ends, ends[:, None]) for s in (0, 1)]
+
+            def score(m: int, u: np.ndarray, t: np.ndarray) -> np.ndarray:
+                return whole[(self.start_state + m - 1) % 2][t, u]
+
         value, cuts = _best_path(score, n, k, longest)
         seq, parts = _filled(cuts, self.start_state)
         return Refined(seq, value, parts, self._posteriors(score, n, k, longest) if self.posterior else None)
@@ -238,18 +251,21 @@ def refine(df: DataFrame, refiner: Refiner, observation: str = "pred") -> DataFr
     Rows are (video_id, pos, observation).
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos", kind="stable")
-        out = pd.DataFrame({"video_id": pdf["video_id"], "pos": pdf["pos"]})
-        try:
-            r = refiner.predict(pdf[observation].to_numpy())
-        except Infeasible:
-            return out.assign(refined=pd.array([None] * len(out), "Int32"), posterior=None, objective=None, n_segments=pd.array([None] * len(out), "Int32"), status="infeasible")
-        return out.assign(refined=r.sequence, posterior=r.posteriors, objective=r.objective, n_segments=r.transitions + 1, status="ok")
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("pos")
+        n, missing = rows.num_rows, pa.nulls(rows.num_rows)
+        columns = {"refined": missing, "posterior": missing, "objective": missing, "n_segments": missing, "status": pa.repeat("infeasible", n)}
+        with contextlib.suppress(Infeasible):
+            r = refiner.predict(rows.column(observation).to_numpy())
+            columns = {"refined": r.sequence, "objective": pa.repeat(float(r.objective), n), "n_segments": pa.repeat(r.transitions + 1, n), "status": pa.repeat("ok", n)}
+            columns["posterior"] = missing if r.posteriors is None else r.posteriors
+        kinds = {"refined": pa.int32(), "posterior": pa.float64(), "objective": pa.float64(), "n_segments": pa.int32(), "status": pa.string()}
+        arrays = [(c if isinstance(c := columns[name], pa.Array) else pa.array(c)).cast(kind) for name, kind in kinds.items()]
+        return pa.table([rows.column("video_id"), rows.column("pos"), *arrays], names=["video_id", "pos", *kinds])
 
     # Dealt by a given number of partitions: rows are few, steps many, so that small partitions aren't to be put together.
     dealt = df.select("video_id", "pos", observation).repartition(shuffle_partitions(df.sparkSession), "video_id")
-    return dealt.groupBy("video_id").applyInPandas(run, OUTPUT)
+    return dealt.select(*[F.col(c).cast("bigint") for c in ("video_id", "pos")], observation).groupBy("video_id").applyInArrow(run, OUTPUT)
 
 
 def log_likelihood_sums(df: DataFrame, model: SegmentHSMM, keys: tuple[str, ...] = ("video_id",), order: str = "pos", observation: str = "pred") -> DataFrame:

@@ -3,10 +3,11 @@
 import random
 from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from holdfast.operators import detection_eval, filters, matching, tracking
+from holdfast.operators import detection_eval, filters, matching, refine, tracking
 from holdfast.operators.streams import whole_groups
 from holdfast.plans import batch
 from holdfast.plans.workflow import PipelineConfig
@@ -125,3 +126,15 @@ def test_a_batch_of_frames_is_annotated_as_rows_are(spark):
         added, state, video = tracking.annotated_batch(batch, state, video, config)
         got += list(zip(*(c.to_pylist() for c in added), strict=True))
     assert got == want and any(r[0] for r in got) and {r[4] for r in got} == {"inactive", "tracking", "lost"}
+
+
+def test_short_sequences_score_segments_once(monkeypatch):
+    rng = np.random.default_rng(1)
+    for start in (0, 1):
+        model = refine.SegmentHSMM(3, (2.0, 3.0), (0.3, 0.4), 0.2, 0.3, start_state=start, longest=20, posterior=True)
+        for n in (3, 17, 40):
+            x, found = rng.integers(0, 2, n), []
+            for short in (512, 0):
+                monkeypatch.setattr(refine, "SHORT", short)
+                found.append(model.predict(x))
+            assert found[0].objective == found[1].objective and found[0].segments == found[1].segments and (found[0].posteriors == found[1].posteriors).all()
