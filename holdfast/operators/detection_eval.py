@@ -6,10 +6,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.boxes import box
-from ..staging import shuffle_partitions, staged
-from . import coco
+from ..staging import discard, shuffle_partitions, staged
+from . import coco, curves
 from .filters import same_object
 from .matching import overlaps
 from .runs import prefix_sums
@@ -89,6 +90,50 @@ def average_precision(curve: DataFrame, by: list[str], eleven: bool = False) ->
     return curve.groupBy(*by).agg(F.sum(F.when(F.col("tp") == 1, F.col("envelope") / F.col("npos")).otherwise(0.0)).alias("ap"))
 
 
+def hit_blocks(hits: DataFrame, by: list[str], scored: bool = False) -> DataFrame:
+    """``hits`` (by, confidence, det_id, tp, fp) in order of confidence as blocks (see ``curves``), with their confidences if ``scored``.
+
+    Detections are sorted once, by ranges, and leave their task as bits.
+    """
+    order = [*map(F.col, by), F.desc("confidence"), F.col("det_id")]
+    # Ranges come from a sample: only what is summed and sorted is written before, so that hits are formed once.
+    rows = staged(hits.select(*by, "confidence", "det_id", *[F.col(c).cast("tinyint").alias(c) for c in ("tp", "fp")]), "hits")
+    ranges = rows.repartitionByRange(shuffle_partitions(rows.sparkSession), *order).sortWithinPartitions(*order)
+    types = {"task": T.IntegerType(), "no": T.LongType(), "n": T.LongType(), "hit": T.BinaryType(), "miss": T.BinaryType(), "hits": T.LongType(), "misses": T.LongType()}
+    if scored:
+        types["confidences"] = T.ArrayType(rows.schema["confidence"].dataType)
+    schema = T.StructType([*[rows.schema[c] for c in by], *[T.StructField(k, t) for k, t in types.items()]])
+    out = staged(ranges.select(*by, "tp", "fp", *(["confidence"] if scored else [])).mapInArrow(curves.blocks(by, scored), schema), "blocks")
+    discard(rows)
+    return out
+
+
+def _placed(blocks: DataFrame, npos: DataFrame, by: list[str]) -> DataFrame:
+    """``blocks`` of classes in ``npos`` (by, npos) with what stands before each, which is written."""
+    earlier = Window.partitionBy(*by).orderBy("task", "no").rowsBetween(Window.unboundedPreceding, -1)
+    sums = {f"{c}_before": F.coalesce(F.sum(c).over(earlier), F.lit(0)) for c in ("hits", "misses")}
+    before = staged(blocks.select(*by, "task", "no", "hits", "misses").join(npos, by).withColumns(sums).select("task", "no", *sums, "npos"), "before")
+    return blocks.join(before, ["task", "no"])
+
+
+def average_precision_of_blocks(blocks: DataFrame, npos: DataFrame, by: list[str], eleven: bool = False) -> DataFrame:
+    """(by, ap) of blocks (see ``hit_blocks``) and truths (by, npos): ``average_precision`` of their ``precision_curve``, of which no row is formed."""
+    of, placed = [blocks.schema[c] for c in by], _placed(blocks, npos, by)
+    if eleven:
+        found = placed.mapInArrow(curves.best_at_recalls(by, [i * 0.1 for i in range(11)]), T.StructType([*of, T.StructField("best", T.ArrayType(T.DoubleType()))]))
+        points = [F.max(F.get("best", F.lit(i))) for i in range(11)]
+        return found.groupBy(*by).agg((sum(points[1:], points[0]) / 11).alias("ap"))
+    later = Window.partitionBy(*by).orderBy(F.desc("task"), F.desc("no")).rowsBetween(Window.unboundedPreceding, -1)
+    most = placed.mapInArrow(curves.best(by), T.StructType([*of, T.StructField("task", T.IntegerType()), T.StructField("no", T.LongType()), T.StructField("best", T.DoubleType())]))
+    beyond = most.select("task", "no", F.coalesce(F.max("best").over(later), F.lit(0.0)).alias("beyond"))
+    return placed.join(beyond, ["task", "no"]).mapInArrow(curves.areas(by), T.StructType([*of, T.StructField("ap", T.DoubleType())])).groupBy(*by).agg(F.sum("ap").alias("ap"))
+
+
+def average_precision_of_hits(hits: DataFrame, truths: DataFrame, by: list[str], eleven: bool = False) -> DataFrame:
+    """(by, ap): ``average_precision`` of the ``precision_curve`` of ``hits``, of which no row is formed."""
+    return average_precision_of_blocks(hit_blocks(hits, by), _positives(truths, by), by, eleven)
+
+
 #: The names of constraints on a hand's true positive.
 CONSTRAINTS = ("", "handstate", "handside", "objectbbox", "all")
 
@@ -111,17 +156,28 @@ def class_average_precision(dets: DataFrame, truths: DataFrame, key: str, thresh
     name = (lambda c: F.col(c)) if same_case else (lambda c: F.lower(F.trim(c)))
     d, g = (df.withColumn("class", name("class")) for df in (dets, truths))
     g = g if "gt_difficult" in g.columns else g.withColumn("gt_difficult", F.lit(False))
-    ap = average_precision(precision_curve(voc_hits(d, g, [key, "class"], threshold), g, ["class"]), ["class"], eleven)
-    n = g.where(~F.coalesce(F.col("gt_difficult"), F.lit(False))).groupBy("class").agg(F.count("*").alias("npos"))
-    classes = d.select("class").unionAll(g.select("class")).distinct()
+    blocks = hit_blocks(voc_hits(d, g, [key, "class"], threshold), ["class"])
+    n = staged(g.groupBy("class").agg(F.count_if(~F.coalesce(F.col("gt_difficult"), F.lit(False))).alias("npos")), "truths")
+    ap = average_precision_of_blocks(blocks, n.where("npos > 0"), ["class"], eleven)
+    classes = blocks.select("class").unionAll(n.select("class")).distinct()
     return classes.join(n, "class", "left").join(ap, "class", "left").fillna({"npos": 0, "ap": 0.0})
 
 
 def best_threshold(curve: DataFrame, by: list[str]) -> DataFrame:
     """The score where (precision x recall) / (precision + recall) is largest; classes with one truth or none take the mean of the others."""
     p, r = F.col("precision"), F.col("recall")
-    f = F.coalesce(F.try_divide(p * r, p + r), F.lit(0.0))
-    out = curve.groupBy(*by).agg(F.max("npos").alias("npos"), F.max_by("confidence", F.struct(f, F.col("confidence"))).alias("t"))
+    return _best_threshold(curve.withColumn("f", F.coalesce(F.try_divide(p * r, p + r), F.lit(0.0))), by)
+
+
+def best_threshold_of_hits(hits: DataFrame, truths: DataFrame, by: list[str]) -> DataFrame:
+    """``best_threshold`` of the ``precision_curve`` of ``hits``, of which no row is formed."""
+    blocks = hit_blocks(hits, by, True)
+    schema = T.StructType([*[blocks.schema[c] for c in by], T.StructField("npos", T.LongType()), T.StructField("f", T.DoubleType()), T.StructField("confidence", hits.schema["confidence"].dataType)])
+    return _best_threshold(_placed(blocks, _positives(truths, by), by).mapInArrow(curves.best_scores(by), schema), by)
+
+
+def _best_threshold(scores: DataFrame, by: list[str]) -> DataFrame:
+    out = scores.groupBy(*by).agg(F.max("npos").alias("npos"), F.max_by("confidence", F.struct("f", "confidence")).alias("t"))
     out = out.withColumn("t", F.when(F.col("npos") > 1, F.col("t")).otherwise(0.0))
     mean = out.agg(F.avg(F.when(F.col("t") != 0, F.col("t"))).alias("mean"))
     return out.join(F.broadcast(mean)).select(*by, "npos", F.when(F.col("t") != 0, F.col("t")).otherwise(F.col("mean")).alias("threshold"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import detection_eval as e
@@ -30,33 +30,32 @@ def _voc(spark: SparkSession, sf_dir: str, side: bool = False) -> tuple[DataFram
     d = df.withColumns({"det_id": F.col("row_id"), "bbox_x1": F.col("bbox_x1") + shift, "bbox_x2": F.col("bbox_x2") + shift, "confidence": F.col("confidence") + F.col("row_id") % 1009 / F.lit(10000.0)})
     d = d.select("video_id", "frame_number", "class", "det_id", "bbox_x1", "bbox_y1", "bbox_x2", "bbox_y2", "confidence", "hand_side")
     g = df.where("row_id % 3 = 0").select("video_id", "frame_number", "class", F.col("row_id").alias("gt_id"), *[F.col(f"bbox_{k}").alias(f"gt_{k}") for k in ("x1", "y1", "x2", "y2")], (F.col("row_id") % 10 == 0).alias("gt_difficult"), F.col("hand_side").alias("gt_side"))
-    hits = e.voc_hits(d, g.drop("class"), ["video_id", "frame_number"], 0.5, F.col("hand_side") == F.col("gt_side") if side else None)
-    return e.precision_curve(hits, g, ["class"]), g
+    return e.voc_hits(d, g.drop("class"), ["video_id", "frame_number"], 0.5, F.col("hand_side") == F.col("gt_side") if side else None), g
 
 
 @query(f"{_VOC.format(c='true')} select class, round(sum(case when tp = 1 then env / npos else 0 end), 9) as ap from cv group by 1")
 def voc_average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return e.average_precision(_voc(spark, sf_dir)[0], ["class"]).select("class", F.round("ap", 9).alias("ap"))
+    return e.average_precision_of_hits(*_voc(spark, sf_dir), ["class"]).select("class", F.round("ap", 9).alias("ap"))
 
 
 @query(f"{_VOC.format(c='true')} select class, round(({' + '.join(f'coalesce(max(prec) filter (recall >= {i * 0.1}::double), 0)' for i in range(11))}) / 11, 9) as ap from cv group by 1")
 def voc_eleven_point(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return e.average_precision(_voc(spark, sf_dir)[0], ["class"], True).select("class", F.round("ap", 9).alias("ap"))
+    return e.average_precision_of_hits(*_voc(spark, sf_dir), ["class"], True).select("class", F.round("ap", 9).alias("ap"))
 
 
 @query(f"{_VOC.format(c='hand_side = gt_side')} select class, round(sum(case when tp = 1 then env / npos else 0 end), 9) as ap from cv group by 1")
 def voc_hand_side_constraint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return e.average_precision(_voc(spark, sf_dir, True)[0], ["class"]).select("class", F.round("ap", 9).alias("ap"))
+    return e.average_precision_of_hits(*_voc(spark, sf_dir, True), ["class"]).select("class", F.round("ap", 9).alias("ap"))
 
 
 @query(f"{_VOC.format(c='true')}, a as (select class, sum(case when tp = 1 then env / npos else 0 end) as ap from cv group by 1) select round(avg(ap), 9) as mean_ap from a")
 def voc_mean_average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return e.average_precision(_voc(spark, sf_dir)[0], ["class"]).agg(F.round(F.avg("ap"), 9).alias("mean_ap"))
+    return e.average_precision_of_hits(*_voc(spark, sf_dir), ["class"]).agg(F.round(F.avg("ap"), 9).alias("mean_ap"))
 
 
 @query(f"""{_VOC.format(c='true')} select class, max(npos) as npos, round(arg_max(confidence, struct_pack(f := case when prec + recall > 0 then prec * recall / (prec + recall) else 0 end, s := confidence)), 6) as threshold from cv group by 1""")
 def score_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return e.best_threshold(_voc(spark, sf_dir)[0], ["class"]).select("class", "npos", F.round("threshold", 6).alias("threshold"))
+    return e.best_threshold_of_hits(*_voc(spark, sf_dir), ["class"]).select("class", "npos", F.round("threshold", 6).alias("threshold"))
 
 
 def _coco(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -232,11 +231,15 @@ def _class_truths(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     return d.select("image_id", "det_id", "row_id", *[f"bbox_{k}" for k in ("x1", "y1", "x2", "y2")], "confidence"), g
 
 
+def _numbered(letter: str, n: Column) -> Column:
+    return F.concat(F.lit(letter), n.cast("string"))  # format_string builds a formatter a row
+
+
 @query(_CLASS_AP.format(dc="'c' || row_id % 4", gs="select *, row_id as gt_id, 'c' || row_id % 5 as class from t", t=0.5))
 def scene_graph_average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects by class; c4 has truths and no detections."""
     d, g = _class_truths(spark, sf_dir)
-    out = e.class_average_precision(d.withColumn("class", F.format_string("c%d", F.col("row_id") % 4)), g.withColumn("class", F.format_string("c%d", F.col("gt_id") % 5)), "image_id")
+    out = e.class_average_precision(d.withColumn("class", _numbered("c", F.col("row_id") % 4)), g.withColumn("class", _numbered("c", F.col("gt_id") % 5)), "image_id")
     return out.select("class", "npos", F.round("ap", 9).alias("ap"))
 
 
@@ -244,8 +247,8 @@ def scene_graph_average_precision(spark: SparkSession, sf_dir: str) -> DataFrame
 def scene_graph_attribute_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Truths have two attributes each."""
     d, g = _class_truths(spark, sf_dir)
-    truths = g.withColumn("class", F.explode(F.array(F.format_string("a%d", F.col("gt_id") % 5), F.format_string("a%d", (F.col("gt_id") + 1) % 5))))
-    return e.class_average_precision(d.withColumn("class", F.format_string("a%d", F.col("row_id") % 4)), truths, "image_id").select("class", "npos", F.round("ap", 9).alias("ap"))
+    truths = g.withColumn("class", F.explode(F.array(_numbered("a", F.col("gt_id") % 5), _numbered("a", (F.col("gt_id") + 1) % 5))))
+    return e.class_average_precision(d.withColumn("class", _numbered("a", F.col("row_id") % 4)), truths, "image_id").select("class", "npos", F.round("ap", 9).alias("ap"))
 
 
 _CASES = "case when {0} % 2 = 0 then 'Hand' else 'hand' end"
