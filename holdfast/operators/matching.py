@@ -87,6 +87,10 @@ def nearest_object(df: DataFrame, in_contact: Column) -> DataFrame:
     return _packed(df, F.lit(True)).where("detection_type = 'hand'").select(*FRAME, "row_id", F.coalesce(best["row_id"], F.lit(-1)).alias("object_row_id"))
 
 
+#: Truths of an image that are judged by generated code; what an image has beyond them, by a lambda.
+FIRST = 4
+
+
 def overlaps(dets: DataFrame, truths: DataFrame, keys: list[str], masked: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:
     """Each detection with its best truth by pixel overlap: gt_id, overlap (ties: smallest gt_id), ``extra`` columns of it; nulls without a truth."""
     measure = boxes.iou_pixels_masked if masked else boxes.iou_pixels
@@ -96,8 +100,13 @@ def overlaps(dets: DataFrame, truths: DataFrame, keys: list[str], masked: bool =
         over = measure(boxes.box(), _box_of(g, "gt_"))
         return F.struct((-over).alias("k"), g.gt_id.alias("gt_id"), *[g[c].alias(c) for c in extra])
 
-    out = _found(dets.join(of_image, keys, "left"), F.array_min(F.transform("__truths", judged)))
-    return out.withColumns({"overlap": -F.col("__best.k"), **{k: F.col(f"__best.{k}") for k in ("gt_id", *extra)}}).drop("__truths", "__best")
+    # Lambdas are interpreted, and so is all of a generator that has one: an image's first truths are judged by plain expressions of
+    # a projection, whose code is split into methods small enough to be compiled.
+    n = F.size("__truths")
+    rest = F.when(n > FIRST, F.array_min(F.transform(F.slice("__truths", FIRST + 1, n), judged)))
+    first = [F.when(n > i, judged(F.get("__truths", F.lit(i)))) for i in range(FIRST)]
+    out = _found(dets.join(of_image, keys, "left").withColumn("__least", F.least(*first, rest)), F.col("__least"))
+    return out.withColumns({"overlap": -F.col("__best.k"), **{k: F.col(f"__best.{k}") for k in ("gt_id", *extra)}}).drop("__truths", "__least", "__best")
 
 
 def aligned(predictions: DataFrame, truth: DataFrame, keys: list[str], missing: str = "drop") -> DataFrame:

@@ -138,3 +138,22 @@ def test_short_sequences_score_segments_once(monkeypatch):
                 monkeypatch.setattr(refine, "SHORT", short)
                 found.append(model.predict(x))
             assert found[0].objective == found[1].objective and found[0].segments == found[1].segments and (found[0].posteriors == found[1].posteriors).all()
+
+
+def test_first_truths_are_judged_without_lambdas(spark, monkeypatch):
+    rng, names = random.Random(8), ("x1", "y1", "x2", "y2")
+    box = lambda: (x := rng.randrange(30), y := rng.randrange(30), x + rng.randrange(9, 20), y + rng.randrange(9, 20))
+    dets = [(rng.choice([None, *range(7)]), i, *box()) for i in range(60)]
+    truths = [(v, 9 * i % 10, *b, rng.choice([None, "a"])) for v in (*range(6), None) for i in range(v or 3) for b in [box()] * (1 + i % 2)]
+    d = spark.createDataFrame(dets, "v int, det_id int, " + ", ".join(f"bbox_{k} int" for k in names))
+    g = spark.createDataFrame(truths, "v int, gt_id int, " + ", ".join(f"gt_{k} int" for k in names) + ", gt_side string")
+    over = lambda a, b: (w := max(0, min(a[2], b[2]) - max(a[0], b[0]) + 1) * max(0, min(a[3], b[3]) - max(a[1], b[1]) + 1)) / ((a[2] - a[0] + 1) * (a[3] - a[1] + 1) + (b[2] - b[0] + 1) * (b[3] - b[1] + 1) - w)
+    want = {}
+    for v, i, *a in dets:
+        found = min(((-over(a, b), t, side is not None, side) for n, t, *b, side in truths if v is not None and n == v), default=None)
+        want[i] = (found[1], -found[0], found[3]) if found else (None, None, None)
+    for first in (1, matching.FIRST, 12):
+        monkeypatch.setattr(matching, "FIRST", first)
+        out = matching.overlaps(d, g, ["v"], extra=("gt_side",))
+        assert {r.det_id: (r.gt_id, r.overlap, r.gt_side) for r in out.collect()} == want
+        assert plan(out).count("transform(") == 1 and "transform(slice(__truths" in plan(out)
