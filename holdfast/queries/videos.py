@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import runs
+from ..operators.streams import in_order
 from ..sources import avi, frames
 from ..staging import scratch
 from ..testdata import GT, cte, view
@@ -19,21 +22,33 @@ _V = f"{cte(gt=GT)}, f as (select *, row_number() over (partition by video_id or
 
 
 def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One frame for each order: its image names it."""
-    return view(spark, sf_dir, GT).select("video_id", "frame_number", "gt", F.concat_ws(":", "video_id", "frame_number", "gt").alias("image"))
+    """One frame for each order."""
+    return view(spark, sf_dir, GT).select("video_id", "frame_number", "gt")
 
 
-def _videos(spark: SparkSession, sf_dir: str) -> str:
-    """A folder of videos {0}_{video_id}.avi, written by the sink that commits."""
+def _made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Videos of (video_id, image) in order: a task holds one video's images, and ``frames.BATCH`` of videos that wait."""
+
+    def made() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array([0] * len(ids), pa.int32()), pa.array(videos, pa.binary())], names=["video_id", "frame_idx", "content"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [avi.written([x["image"].encode() for x in images], FPS, 64, 48) for images in batch.column("images").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("video_id"), pa.array([0] * len(made), pa.int32()), pa.array(made, pa.binary())], names=["video_id", "frame_idx", "content"])
+    ids, videos, held = [], [], 0
+    rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    for video, of_video in groupby(rows, itemgetter(0)):
+        ids.append(video)
+        videos.append(avi.written([image.encode() for _, image in of_video], FPS, 64, 48))
+        held += len(videos[-1])
+        if held > frames.BATCH:
+            yield made()
+            ids, videos, held = [], [], 0
+    yield made()
 
+
+def _videos(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of videos {0}_{video_id}.avi, written by the sink that commits; a frame's image names it."""
     folder = scratch(spark, "videos")
-    by_video = _frames(spark, sf_dir).groupBy(F.col("video_id").cast("string").alias("video_id")).agg(F.array_sort(F.collect_list(F.struct("frame_number", "image"))).alias("images"))
-    frames.write(by_video.mapInArrow(run, "video_id string, frame_idx int, content binary"), folder, name="legacy", extension="avi")
+    rows = in_order(_frames(spark, sf_dir), ["video_id"], ["frame_number", "gt"]).select(F.col("video_id").cast("string").alias("video_id"), F.concat_ws(":", "video_id", "frame_number", "gt").alias("image"))
+    frames.write(rows.mapInArrow(_made, "video_id string, frame_idx int, content binary"), folder, name="legacy", extension="avi")
     return folder
 
 

@@ -1,5 +1,6 @@
 """Steps whose work once grew faster than their input: each is done once, and results stay those of the plain way."""
 
+import io
 import random
 from itertools import groupby
 
@@ -157,3 +158,29 @@ def test_first_truths_are_judged_without_lambdas(spark, monkeypatch):
         out = matching.overlaps(d, g, ["v"], extra=("gt_side",))
         assert {r.det_id: (r.gt_id, r.overlap, r.gt_side) for r in out.collect()} == want
         assert plan(out).count("transform(") == 1 and "transform(slice(__truths" in plan(out)
+
+
+def test_videos_are_made_from_single_frames(spark, tmp_path, monkeypatch):
+    """A task gets frames in order, no rows of whole videos, and holds few bytes of those it made; a video may span batches."""
+    from holdfast.queries import videos
+    from holdfast.sources import avi, frames
+
+    spark.range(3000).selectExpr("(id * 7919) % 3000 as o_orderkey", "if(id % 3 = 0, 'F', 'O') as o_orderstatus").write.parquet(f"{tmp_path}/orders.parquet")
+    made, plain = [], frames.write
+    monkeypatch.setattr(frames, "write", lambda df, *rest, **options: made.append(df) or plain(df, *rest, **options))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        read = videos.video_frames(spark, str(tmp_path))
+        got = {(r.video_id, r.frame_idx): r.image for r in read.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = videos._frames(spark, str(tmp_path)).selectExpr("video_id", "frame_number as i", "md5(concat_ws(':', video_id, frame_number, gt)) as image").collect()
+    assert got == {(r.video_id, r.i): r.image for r in want} and len(got) == 3000
+    assert "collect_list" not in plan(made[0])
+    monkeypatch.setattr(frames, "BATCH", 1000)
+    rows = [pa.RecordBatch.from_pydict({"video_id": [str(i // 50)] * 10, "image": [f"{i}:{k}" for k in range(10)]}) for i in range(0, 500, 10)]
+    taken = []
+    out = videos._made(taken.append(i) or b for i, b in enumerate(rows))
+    assert next(out).num_rows == 1 and len(taken) == 6
+    rest = [x for b in out for x in b.column("content").to_pylist()]
+    assert len(rest) == 9 and all(len(avi.Avi(io.BytesIO(x))) == 50 for x in rest)
