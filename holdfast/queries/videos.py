@@ -73,7 +73,7 @@ def written_frame_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = runs.islands(numbered, ["video_id"], "frame_idx", "gt").where("length >= 3")
     chosen = found.select(F.concat(F.lit(f"{folder}/0_"), F.col("video_id").cast("string"), F.lit(".avi")).alias("path"), runs.middle().alias("frame_idx"))
     frames.write(frames.selected(chosen), out)
-    images = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.png").load(out)
+    images = frames.images(spark, out)
     return images.select(F.regexp_extract("path", r"_(\d+)/\d+\.png$", 1).cast("bigint").alias("video_id"), F.regexp_extract("path", r"(\d+)\.png$", 1).cast("bigint").alias("number"), F.md5("content").alias("image"))
 
 
